@@ -91,7 +91,7 @@ customer_support AS (
 ),
 reviews AS (
   SELECT doc_id AS seq, source AS "userName", CAST(doc_id % 5 + 1 AS INTEGER) AS score,
-    TIMESTAMP '2026-02-09 00:00:00' + to_seconds(doc_id) AS at, text AS content
+    TIMESTAMP '2026-02-09 00:00:00' + to_seconds(doc_id) AS "at", text AS content
   FROM documents
 )"""
 
@@ -162,3 +162,48 @@ def weighted_bucket_sql(u: str, labels, weights) -> str:
 __all__ = ["ADAPTER_CTES", "with_adapters", "exact_avg_sql", "exact_sum_e4_sql", "fmt_ratio_2dp_sql",
            "diagnose_sql", "diagnose_long_sql", "weighted_bucket_sql", "uniform_sql", "unit_suffix_sql",
            "KYC_REASONS", "KYC_REASON_WEIGHTS"]
+
+
+def classify_sql(col: str, rules, default: str = "GENERAL_INQUIRY") -> str:
+    whens = " ".join(f"WHEN regexp_matches(lower({col}), '{p}') THEN '{label}'" for label, p in rules)
+    return f"(CASE WHEN {col} IS NULL THEN NULL {whens} ELSE '{default}' END)"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def preview_sql(x: str, n: int = 75) -> str:
+    return f"(CASE WHEN length({x}) > {n} THEN substr({x}, 1, {n}) || '...' ELSE {x} END)"
+
+
+def label_reply_sql(prompt_len: str) -> str:
+    from rootcause.plans.reply_models import LABEL_TEMPLATES, template_sql
+    from rootcause.themes import THEMES
+    n = f"({prompt_len})"
+    theme = "(CASE " + " ".join(f"WHEN {n} % 7 = {i} THEN '{t}'" for i, t in enumerate(THEMES)) + " END)"
+    why = f"('review of ' || CAST({n} AS VARCHAR) || ' characters')"
+    shape = f"(({n} // 7) % {len(LABEL_TEMPLATES)})"
+    whens = " ".join(f"WHEN {shape} = {i} THEN {template_sql(t, W=why, T=theme)}"
+                     for i, t in enumerate(LABEL_TEMPLATES))
+    return f"(CASE {whens} END)"
+
+
+def sql_reply_sql(text: str) -> str:
+    from rootcause.plans.reply_models import SQL_TEMPLATES, template_sql
+    shape = f"(length({text}) % {len(SQL_TEMPLATES)})"
+    whens = " ".join(f"WHEN {shape} = {i} THEN {template_sql(t, X=text)}" for i, t in enumerate(SQL_TEMPLATES))
+    return f"(CASE WHEN {text} IS NULL THEN NULL {whens} END)"
+
+
+def extract_label_sql(reply: str) -> str:
+    span = f"regexp_extract({reply}, '(?s)\\{{.*\\}}', 0)"
+    return (f"(CASE WHEN {reply} IS NULL OR {span} = '' OR NOT json_valid({span}) THEN 'GENERAL_INQUIRY' "
+            f"WHEN json_type({span}) <> 'OBJECT' THEN 'GENERAL_INQUIRY' "
+            f"WHEN NOT json_exists({span}, '$.category') THEN 'GENERAL_INQUIRY' "
+            f"ELSE json_extract_string({span}, '$.category') END)")
+
+
+def extract_sql_sql(reply: str) -> str:
+    stmt = strip_sql(f"regexp_extract({reply}, '(?is)\\bSELECT\\b.*?(?:;|$)', 0)")
+    return f"(CASE WHEN {stmt} = '' THEN 'ERROR_GENERATING_SQL' ELSE {stmt} END)"

@@ -58,3 +58,144 @@ def q_table_row_counts(spark, sf_dir):
     return reduce(DataFrame.unionByName, [
         spark.table(t).select(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
         for t in T])
+
+
+# ------------------------------------------------------------ reviews: B, C, D, E8
+
+from rootcause.operators import classify as C  # noqa: E402
+from rootcause.operators import curate as K  # noqa: E402
+from rootcause.functions import text as X  # noqa: E402
+from rootcause.plans import lexicons as L  # noqa: E402
+from rootcause.plans import reply_models as M  # noqa: E402
+from rootcause.schemas import CATEGORY_COL  # noqa: E402
+
+
+def _reviews(spark, sf_dir):
+    return A.review_feed(spark, sf_dir)
+
+
+_REV = 'seq, "userName", score, "at", content'
+_CORPUS_CASE = O.classify_sql("content", L.CORPUS_RULES)
+_FIN_CASE = O.classify_sql("content", L.FINANCE_RULES)
+_BATCHES_SQL = " UNION ALL ".join(
+    f"(SELECT {_REV} FROM reviews WHERE score = {s} ORDER BY seq LIMIT {c})" for s, c in K.FETCH_CAPS.items())
+_QUOTA_CASE = "CASE " + " ".join(f"WHEN score = {s} THEN {q}" for s, q in K.QUOTAS.items()) + " END"
+_CURATED_SQL = (f"SELECT {_REV} FROM (SELECT *, row_number() OVER (PARTITION BY score ORDER BY seq) AS rn "
+                f"FROM ({_BATCHES_SQL}) b WHERE length(content) > 50 AND score IN "
+                f"({', '.join(str(s) for s in K.QUOTAS)})) r WHERE rn <= {_QUOTA_CASE}")
+
+
+@register("project_reviews", O.with_adapters(f"SELECT {_REV} FROM reviews"))
+def q_project_reviews(spark, sf_dir):
+    return K.project_reviews(_reviews(spark, sf_dir))
+
+
+@register("drop_short_reviews", O.with_adapters(f"SELECT seq, score FROM reviews WHERE length(content) > 50"))
+def q_drop_short(spark, sf_dir):
+    return K.drop_short(_reviews(spark, sf_dir)).select("seq", "score")
+
+
+@register("review_previews", O.with_adapters(f"SELECT seq, {O.preview_sql('content')} AS preview FROM reviews"))
+def q_previews(spark, sf_dir):
+    return K.with_preview(_reviews(spark, sf_dir)).select("seq", "preview")
+
+
+@register("head_reviews", O.with_adapters(f"SELECT {_REV} FROM reviews ORDER BY seq LIMIT 10"))
+def q_head(spark, sf_dir):
+    return K.head_n(K.project_reviews(_reviews(spark, sf_dir)), 10)
+
+
+@register("tail_reviews", O.with_adapters(f"SELECT {_REV} FROM reviews ORDER BY seq DESC LIMIT 6"))
+def q_tail(spark, sf_dir):
+    return K.tail_n(K.project_reviews(_reviews(spark, sf_dir)), 6)
+
+
+@register("score_batches", O.with_adapters(f"SELECT seq, score FROM ({_BATCHES_SQL}) b"))
+def q_score_batches(spark, sf_dir):
+    return K.score_batches(_reviews(spark, sf_dir)).select("seq", "score")
+
+
+@register("curated_sample", O.with_adapters(_CURATED_SQL))
+def q_curated(spark, sf_dir):
+    return K.curate(_reviews(spark, sf_dir))
+
+
+@register("reviews_with_category", O.with_adapters(
+    f"SELECT seq, score, {_CORPUS_CASE} AS {CATEGORY_COL} FROM reviews"))
+def q_with_category(spark, sf_dir):
+    df = _reviews(spark, sf_dir)
+    return C.with_category(df, C.classify_by_rules("content", L.CORPUS_RULES)).select("seq", "score", CATEGORY_COL)
+
+
+@register("classify_finance_lexicon", O.with_adapters(
+    f"SELECT seq, {_FIN_CASE} AS {CATEGORY_COL} FROM reviews"))
+def q_finance(spark, sf_dir):
+    df = _reviews(spark, sf_dir)
+    return C.with_category(df, C.classify_by_rules("content", L.FINANCE_RULES)).select("seq", CATEGORY_COL)
+
+
+_DIST_SQL = (f"SELECT {_CORPUS_CASE} AS \"Category\", COUNT(*) AS \"Count\" FROM reviews "
+             f"WHERE content IS NOT NULL GROUP BY 1")
+
+
+def _distribution(spark, sf_dir):
+    df = _reviews(spark, sf_dir)
+    return C.category_distribution(C.with_category(df, C.classify_by_rules("content", L.CORPUS_RULES)))
+
+
+@register("category_distribution", O.with_adapters(_DIST_SQL))
+def q_distribution(spark, sf_dir):
+    return _distribution(spark, sf_dir)
+
+
+@register("top_category", O.with_adapters(
+    f'SELECT * FROM ({_DIST_SQL}) d ORDER BY "Count" DESC, "Category" LIMIT 1'))
+def q_top(spark, sf_dir):
+    return C.top_category(_distribution(spark, sf_dir))
+
+
+@register("ranked_categories", O.with_adapters(
+    f'SELECT "Category", "Count", CAST(row_number() OVER (ORDER BY "Count" DESC, "Category") - 1 AS INTEGER) AS idx, '
+    f'row_number() OVER (ORDER BY "Count" DESC, "Category") = 1 AS is_default FROM ({_DIST_SQL}) d'))
+def q_ranked(spark, sf_dir):
+    return C.ranked_categories(_distribution(spark, sf_dir))
+
+
+@register("wrapped_reviews", O.with_adapters("SELECT seq, '<review>' || content || '</review>' AS prompt FROM reviews"))
+def q_wrapped(spark, sf_dir):
+    return _reviews(spark, sf_dir).select("seq", X.wrap_review("content").alias("prompt"))
+
+
+def _label_replies(spark, sf_dir):
+    return C.batch_infer(_reviews(spark, sf_dir), "content", M.label_model, out="reply", wrap=True)
+
+
+_LABEL_REPLY = O.label_reply_sql("length(content) + 17")
+
+
+@register("batch_infer_replies", O.with_adapters(
+    f"SELECT seq, {_LABEL_REPLY} AS reply FROM reviews WHERE content IS NOT NULL"))
+def q_batch_infer(spark, sf_dir):
+    return _label_replies(spark, sf_dir).where(F.col("content").isNotNull()).select("seq", "reply")
+
+
+@register("extract_labels", O.with_adapters(
+    f"SELECT seq, {O.extract_label_sql('reply')} AS {CATEGORY_COL} FROM "
+    f"(SELECT seq, {_LABEL_REPLY} AS reply FROM reviews WHERE content IS NOT NULL) r"))
+def q_extract_labels(spark, sf_dir):
+    df = _label_replies(spark, sf_dir).where(F.col("content").isNotNull())
+    return df.select("seq", C.extract_label("reply").alias(CATEGORY_COL))
+
+
+@register("extract_sql_statements", O.with_adapters(
+    f"SELECT seq, {O.extract_sql_sql('reply')} AS sql_text FROM "
+    f"(SELECT seq, {O.sql_reply_sql('content')} AS reply FROM reviews WHERE content IS NOT NULL) r"))
+def q_extract_sql(spark, sf_dir):
+    df = C.batch_infer(_reviews(spark, sf_dir), "content", M.sql_model, out="reply")
+    return df.where(F.col("content").isNotNull()).select("seq", X.extract_sql("reply").alias("sql_text"))
+
+
+@register("theme_filter_tickets", O.with_adapters(
+    "SELECT ticket_id, user_id FROM customer_support WHERE complaint_theme = 'LEDGER_DISPUTE'"))
+def q_theme_filter(spark, sf_dir):
+    return D.theme_filter(_tables(spark, sf_dir)["customer_support"], "LEDGER_DISPUTE").select("ticket_id", "user_id")
