@@ -199,3 +199,230 @@ def q_extract_sql(spark, sf_dir):
     "SELECT ticket_id, user_id FROM customer_support WHERE complaint_theme = 'LEDGER_DISPUTE'"))
 def q_theme_filter(spark, sf_dir):
     return D.theme_filter(_tables(spark, sf_dir)["customer_support"], "LEDGER_DISPUTE").select("ticket_id", "user_id")
+
+
+# ------------------------------------------------------------ sources and sinks: A1, A2, A4, A6
+
+from rootcause.operators import cohorts as G  # noqa: E402
+from rootcause.operators import ledger as LG  # noqa: E402
+from rootcause.operators import quality as Q  # noqa: E402
+from rootcause.functions import finance as FN  # noqa: E402
+from rootcause.functions.uniform import uniform, uniform_sql  # noqa: E402
+from rootcause.session import scratch_dir  # noqa: E402
+from rootcause.sources import reviews as RV  # noqa: E402
+from rootcause.sources import tables as TB  # noqa: E402
+from rootcause.themes import KYC_REASONS, KYC_REASON_WEIGHTS  # noqa: E402
+
+
+@register("reviews_csv_roundtrip", O.with_adapters('SELECT "userName", score, "at", content FROM reviews'))
+def q_csv_roundtrip(spark, sf_dir):
+    path = scratch_dir(spark, "reviews-csv")
+    RV.write_reviews(K.project_reviews(_reviews(spark, sf_dir), keep=()), path)
+    return RV.read_reviews(spark, path)
+
+
+_SUPPORT_COLS = "ticket_id, user_id, complaint_theme, ticket_resolution_time_hours, support_interaction_count"
+
+
+@register("save_table_roundtrip", O.with_adapters(f"SELECT {_SUPPORT_COLS} FROM customer_support"))
+def q_save_table(spark, sf_dir):
+    path = scratch_dir(spark, "customer_support")
+    TB.save_table(_tables(spark, sf_dir)["customer_support"], path, "customer_support")
+    return TB.read_table(spark, path, "customer_support")
+
+
+def _pk_sql(t, pk):
+    return (f"SELECT '{t}' AS table_name, 'pk_unique:{pk}' AS rule, "
+            f"CAST(COALESCE(SUM(CASE WHEN n > 1 OR k IS NULL THEN 1 ELSE 0 END), 0) AS BIGINT) AS violations "
+            f"FROM (SELECT {pk} AS k, COUNT(*) AS n FROM {t} GROUP BY {pk}) g")
+
+
+def _fk_sql(t):
+    return (f"SELECT '{t}' AS table_name, 'fk:user_id->users.user_id' AS rule, COUNT(*) AS violations "
+            f"FROM {t} c WHERE c.user_id IS NOT NULL AND NOT EXISTS "
+            f"(SELECT 1 FROM users p WHERE p.user_id = c.user_id)")
+
+
+@register("constraint_violations", O.with_adapters(" UNION ALL ".join(
+    [_pk_sql(t, pk) for t, pk in Q.PRIMARY_KEYS.items()] + [_fk_sql(t) for t in Q.FOREIGN_KEYS])))
+def q_constraints(spark, sf_dir):
+    return Q.constraint_violations(_tables(spark, sf_dir))
+
+
+_BUY_SIDE = "(CASE WHEN order_type LIKE '%BUY%' THEN 1 ELSE -1 END)"
+_RECOMPUTED_BPS = f"(-{_BUY_SIDE}) * (executed_price - requested_price) / requested_price * 10000.0e0"
+_KYC_USERS = "(SELECT user_id FROM users WHERE kyc_status <> 'APPROVED')"
+_INVARIANTS_SQL = " UNION ALL ".join([
+    *[f"SELECT '{t}' AS table_name, 'kyc_user_has_activity' AS rule, COUNT(*) AS violations FROM {t} "
+      f"WHERE user_id IN {_KYC_USERS}" for t in ("trades", "financial_ledger", "app_performance")],
+    "SELECT 'customer_support', 'kyc_cohort_overlaps_other_theme', COUNT(*) FROM customer_support "
+    "WHERE complaint_theme <> 'KYC_ONBOARDING_EFFICIENCY' AND user_id IN (SELECT user_id FROM customer_support "
+    "WHERE complaint_theme = 'KYC_ONBOARDING_EFFICIENCY')",
+    "SELECT 'trades', 'slippage_sign', CAST(SUM(CASE WHEN (order_type LIKE '%MARKET' AND price_slippage_bps > 0) "
+    "OR (NOT order_type LIKE '%MARKET' AND price_slippage_bps < 0) THEN 1 ELSE 0 END) AS BIGINT) FROM trades",
+    f"SELECT 'trades', 'price_bps_agreement', CAST(SUM(CASE WHEN abs({_RECOMPUTED_BPS} - price_slippage_bps) "
+    f"> 1e-6 THEN 1 ELSE 0 END) AS BIGINT) FROM trades",
+    "SELECT 'trades', 'timeout_code_override', CAST(SUM(CASE WHEN order_routing_latency_ms > 5000 AND "
+    "exchange_rejection_code <> 'FAILED TIMEOUT' THEN 1 ELSE 0 END) AS BIGINT) FROM trades",
+    "SELECT 'users', 'final_balance_in_ledger', CAST(COALESCE(SUM(1 - hit), 0) AS BIGINT) FROM (SELECT l.user_id, "
+    "MAX(CASE WHEN abs(l.balance_after_txn - u.total_ledger_balance) < 0.005e0 THEN 1 ELSE 0 END) AS hit "
+    "FROM financial_ledger l JOIN users u ON l.user_id = u.user_id GROUP BY l.user_id) m",
+])
+
+
+@register("telemetry_invariants", O.with_adapters(_INVARIANTS_SQL))
+def q_invariants(spark, sf_dir):
+    return Q.telemetry_invariants(_tables(spark, sf_dir))
+
+
+# ------------------------------------------------------------ ledger: G5, G6, G9
+
+_REPLAY_CTES = """ev AS (
+  SELECT txn_id, user_id, txn_type, amount,
+    row_number() OVER (PARTITION BY user_id ORDER BY txn_ts, txn_id) AS rn
+  FROM ledger_events WHERE user_id IN (SELECT c_custkey FROM customer)
+),
+rep(user_id, rn, txn_id, bal) AS (
+  SELECT c_custkey, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), c_acctbal FROM customer
+  UNION ALL
+  SELECT e.user_id, e.rn, e.txn_id,
+    CASE WHEN e.txn_type = 'DEPOSIT' THEN r.bal + e.amount
+         WHEN e.txn_type = 'WITHDRAWAL' THEN (CASE WHEN r.bal <= 0 THEN r.bal ELSE r.bal - least(r.bal, e.amount) END)
+         ELSE r.bal - e.amount END
+  FROM rep r JOIN ev e ON e.user_id = r.user_id AND e.rn = r.rn + 1
+)"""
+_LEVERAGE_SQL = "(CASE user_id % 4 WHEN 0 THEN 1.0e0 WHEN 1 THEN 2.0e0 WHEN 2 THEN 4.0e0 ELSE 5.0e0 END)"
+
+
+def _ledger_inputs(spark, sf_dir):
+    src = A.read_sources(spark, sf_dir, ("customer", "orders"))
+    starts = src["customer"].select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("start_balance"))
+    return starts, A.ledger_events(src["orders"])
+
+
+def _leverage():
+    out = F.lit(None).cast("double")
+    for i, lev in reversed(list(enumerate(A.LEVERAGE))):
+        out = F.when(F.col("user_id") % 4 == i, F.lit(lev)).otherwise(out)
+    return out
+
+
+@register("ledger_replay", O.with_adapters(
+    "SELECT txn_id, user_id, rn AS txn_seq, bal AS balance_after_txn FROM rep WHERE rn > 0",
+    _REPLAY_CTES, recursive=True))
+def q_ledger_replay(spark, sf_dir):
+    starts, events = _ledger_inputs(spark, sf_dir)
+    return LG.replay_ledger(starts, events, ["txn_ts"])
+
+
+@register("ledger_final_state", O.with_adapters(
+    "SELECT user_id, round(bal, 2) AS total_ledger_balance, rn AS n_txns, "
+    f"round(CASE WHEN round(bal, 2) > 0 THEN round(bal, 2) * {_LEVERAGE_SQL} ELSE round(bal, 2) END, 2) "
+    "AS margin_balance FROM (SELECT *, max(rn) OVER (PARTITION BY user_id) AS last_rn FROM rep WHERE rn > 0) s "
+    "WHERE rn = last_rn", _REPLAY_CTES, recursive=True))
+def q_ledger_final(spark, sf_dir):
+    starts, events = _ledger_inputs(spark, sf_dir)
+    return LG.final_balances(starts, events, ["txn_ts"], leverage=_leverage())
+
+
+@register("margin_balances", O.with_adapters(
+    f"SELECT user_id, CASE WHEN total_ledger_balance > 0 THEN total_ledger_balance * {_LEVERAGE_SQL} "
+    f"ELSE total_ledger_balance END AS margin_balance FROM users"))
+def q_margin(spark, sf_dir):
+    u = _tables(spark, sf_dir)["users"]
+    return u.select("user_id", FN.margin_balance("total_ledger_balance", _leverage()).alias("margin_balance"))
+
+
+# ------------------------------------------------------------ trades: G7, G8
+
+@register("slippage_recomputed", O.with_adapters(
+    f"SELECT order_id, order_type, {_RECOMPUTED_BPS} AS slippage_bps, "
+    f"requested_price * (1.0e0 + {_BUY_SIDE} * (-price_slippage_bps) / 10000.0e0) AS fill_price FROM trades"))
+def q_slippage(spark, sf_dir):
+    t = _tables(spark, sf_dir)["trades"]
+    return t.select("order_id", "order_type",
+                    FN.slippage_bps("order_type", "requested_price", "executed_price").alias("slippage_bps"),
+                    FN.executed_price("order_type", "requested_price", "price_slippage_bps").alias("fill_price"))
+
+
+@register("rejection_codes", O.with_adapters(
+    "SELECT CASE WHEN l_quantity * 110.0e0 > 5000 THEN 'FAILED TIMEOUT' ELSE (CASE WHEN l_partkey % 10 = 0 "
+    "THEN 'INSUFFICIENT_DEPTH' WHEN l_partkey % 10 = 1 THEN 'INVALID_TICK_SIZE' ELSE 'NONE' END) END "
+    "AS exchange_rejection_code, COUNT(*) AS n FROM lineitem GROUP BY 1"))
+def q_rejection(spark, sf_dir):
+    li = A.read_sources(spark, sf_dir, ("lineitem",))["lineitem"]
+    base = (F.when(F.col("l_partkey") % 10 == 0, "INSUFFICIENT_DEPTH")
+            .when(F.col("l_partkey") % 10 == 1, "INVALID_TICK_SIZE").otherwise("NONE"))
+    code = FN.rejection_code(F.col("l_quantity") * F.lit(110.0), base)
+    return li.groupBy(code.alias("exchange_rejection_code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------ cohorts: G1-G4, G10, G11
+
+def _u_sql(key, salt):
+    return uniform_sql(key, salt)
+
+
+_APPROVED = "(SELECT user_id FROM users WHERE kyc_status = 'APPROVED')"
+
+
+def _k_of(df, num, den):
+    return df.count() * num // den
+
+
+@register("split_kyc_cohort", O.with_adapters(
+    f"SELECT user_id, CASE WHEN rn <= (SELECT COUNT(*) * 650 // 5000 FROM users) THEN 'first' ELSE 'rest' END "
+    f"AS part FROM (SELECT user_id, row_number() OVER (ORDER BY {_u_sql('user_id', 'kyc_split')}, user_id) AS rn "
+    f"FROM users) r"))
+def q_split(spark, sf_dir):
+    u = _tables(spark, sf_dir)["users"].select("user_id")
+    first, rest = G.split_exact(u, "user_id", _k_of(u, 650, 5000), "kyc_split")
+    return first.withColumn("part", F.lit("first")).unionByName(rest.withColumn("part", F.lit("rest")))
+
+
+_SAMPLES = [("auth", 250), ("chart", 821)]
+
+
+@register("sample_cohorts", O.with_adapters(" UNION ALL ".join(
+    f"SELECT '{salt}' AS cohort, user_id FROM (SELECT user_id, row_number() OVER "
+    f"(ORDER BY {_u_sql('user_id', salt)}, user_id) AS rn FROM {_APPROVED} a) r "
+    f"WHERE rn <= (SELECT COUNT(*) * {k} // 4350 FROM {_APPROVED} b)" for salt, k in _SAMPLES)))
+def q_samples(spark, sf_dir):
+    approved = _tables(spark, sf_dir)["users"].where(F.col("kyc_status") == "APPROVED").select("user_id")
+    n = approved.count()
+    return reduce(DataFrame.unionByName, [
+        G.sample_exact(approved, "user_id", n * k // 4350, salt).select(F.lit(salt).alias("cohort"), "user_id")
+        for salt, k in _SAMPLES])
+
+
+@register("kyc_reason_assignment", O.with_adapters(
+    f"SELECT user_id, {O.weighted_bucket_sql(_u_sql('user_id', 'kyc_reason'), KYC_REASONS, KYC_REASON_WEIGHTS)} "
+    f"AS reason FROM users WHERE kyc_status <> 'APPROVED'"))
+def q_weighted(spark, sf_dir):
+    u = _tables(spark, sf_dir)["users"].where(F.col("kyc_status") != "APPROVED")
+    return u.select("user_id", G.weighted_bucket(uniform("user_id", "kyc_reason"), KYC_REASONS,
+                                                 KYC_REASON_WEIGHTS).alias("reason"))
+
+
+@register("draws_with_replacement", O.with_adapters(
+    "SELECT d.draw_id, x.user_id FROM draws d JOIN idx x ON x.i = d.j",
+    f"idx AS (SELECT user_id, row_number() OVER (ORDER BY {_u_sql('user_id', 'healthy')}, user_id) AS i "
+    f"FROM {_APPROVED} a),\n"
+    f"draws AS (SELECT i - 1 AS draw_id, CAST(floor({_u_sql('i - 1', 'healthy')} * "
+    f"(SELECT COUNT(*) FROM idx)) AS BIGINT) + 1 AS j FROM idx)"))
+def q_draws(spark, sf_dir):
+    approved = _tables(spark, sf_dir)["users"].where(F.col("kyc_status") == "APPROVED").select("user_id")
+    return G.sample_with_replacement(approved, "user_id", approved.count(), "healthy")
+
+
+@register("session_surrogate_ids", O.with_adapters(
+    f"SELECT session_id, row_number() OVER (ORDER BY {_u_sql('session_id', 'shuffle')}, session_id) AS id "
+    f"FROM app_performance"))
+def q_surrogate(spark, sf_dir):
+    p = _tables(spark, sf_dir)["app_performance"].select("session_id")
+    return G.surrogate_ids(p.withColumn("_u", uniform("session_id", "shuffle")), ["_u", "session_id"]).drop("_u")
+
+
+@register("cohort_tickets", O.with_adapters(f"SELECT {_SUPPORT_COLS} FROM customer_support"))
+def q_cohort_tickets(spark, sf_dir):
+    return _tables(spark, sf_dir)["customer_support"]
