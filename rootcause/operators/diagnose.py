@@ -201,7 +201,11 @@ def result_contract(result: DataFrame, plan: DiagnosticPlan) -> list[tuple[str,
     the result is not grouped by an id column; measures (suffixed columns) are
     aggregated with AVG/SUM/COUNT only, never COUNT DISTINCT.
     """
-    cols = set(result.columns)
+    return result_contract_of_columns(result.columns, plan)
+
+
+def result_contract_of_columns(columns, plan: DiagnosticPlan) -> list[tuple[str, str, bool]]:
+    cols = set(columns)
     source_cols = set(TABLE_SCHEMAS[plan.target].fieldNames()) | set(TABLE_SCHEMAS["customer_support"].fieldNames())
     out = []
     for m in plan.metrics:

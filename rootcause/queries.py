@@ -426,3 +426,127 @@ def q_surrogate(spark, sf_dir):
 @register("cohort_tickets", O.with_adapters(f"SELECT {_SUPPORT_COLS} FROM customer_support"))
 def q_cohort_tickets(spark, sf_dir):
     return _tables(spark, sf_dir)["customer_support"]
+
+
+# ------------------------------------------------------------ interpretation: F1-F6, E9, E10
+
+from rootcause.operators import insight as IN  # noqa: E402
+from rootcause.themes import ACTIONS_HEADING, INSIGHT_HEADING  # noqa: E402
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_DISPLAY = (f"(CASE WHEN agg = 'count' THEN CAST(n AS VARCHAR) ELSE {O.fmt_ratio_2dp_sql('sum_e4', 'n')} END) "
+            f"|| {O.unit_suffix_sql('metric')}")
+_DL_CTES = f"dl AS ({O.diagnose_long_sql()}),\ndisp AS (SELECT *, {_DISPLAY} AS display FROM dl)"
+_CELL = "metric || '=' || coalesce(display, 'null')"
+_TEXT_CTES = _DL_CTES + (
+    f",\nrowlines AS (SELECT complaint_theme, coalesce(group_key || ' | ', '') || "
+    f"string_agg({_CELL}, ' | ' ORDER BY {_CELL}) AS line FROM disp GROUP BY complaint_theme, group_key),\n"
+    f"mtext AS (SELECT complaint_theme, string_agg(line, chr(10) ORDER BY line) AS metrics_text "
+    f"FROM rowlines GROUP BY complaint_theme)")
+_SEV_METRIC = "CASE complaint_theme " + " ".join(
+    f"WHEN '{t}' THEN '{p.severity_metric}'" for t, p in PLANS.items()) + " END"
+_SEV_HIGH = "CASE complaint_theme " + " ".join(
+    f"WHEN '{t}' THEN {str(p.severity_high_is_bad).upper()}" for t, p in PLANS.items()) + " END"
+_WORST_CTES = _DL_CTES + (
+    f",\nsev AS (SELECT *, CASE WHEN {_SEV_HIGH} THEN -value ELSE value END AS b FROM disp "
+    f"WHERE metric = {_SEV_METRIC}),\n"
+    f"worst AS (SELECT complaint_theme, group_key, metric AS severity_metric, value AS severity_value, "
+    f"display AS severity_display FROM (SELECT *, row_number() OVER (PARTITION BY complaint_theme "
+    f"ORDER BY b, group_key) AS rn FROM sev) s WHERE rn = 1)")
+_S1 = ("complaint_theme || ' complaints trace to ' || severity_metric || ' at ' || "
+       "coalesce(severity_display, 'no data') || coalesce(' for ' || group_key, '') || '.'")
+_SUMMARY = (f"concat_ws(chr(10), {_lit(INSIGHT_HEADING)}, {_S1} || ' ' || "
+            f"'Act on this cohort before the complaint volume grows.', '', {_lit(ACTIONS_HEADING)}, "
+            f"'- **Engineering**: fix the logic behind ' || severity_metric || ' for the affected cohort.', "
+            f"'- **Infrastructure**: add capacity and alerting on ' || severity_metric || '.', "
+            f"'- **Product**: notify the affected ' || complaint_theme || ' cohort in-app while the fix ships.')")
+_SUMMARY_CTES = _WORST_CTES + f",\nsummaries AS (SELECT complaint_theme, {_SUMMARY} AS summary FROM worst)"
+
+
+def _long(spark, sf_dir):
+    return D.diagnose_long(_tables(spark, sf_dir))
+
+
+@register("formatted_metrics", O.with_adapters(
+    "SELECT complaint_theme, group_key, metric, display FROM disp", _DL_CTES))
+def q_formatted(spark, sf_dir):
+    return IN.with_display(_long(spark, sf_dir)).select("complaint_theme", "group_key", "metric", "display")
+
+
+@register("metrics_text", O.with_adapters("SELECT complaint_theme, metrics_text FROM mtext", _TEXT_CTES))
+def q_metrics_text(spark, sf_dir):
+    return IN.metrics_to_text(_long(spark, sf_dir))
+
+
+@register("worst_rows", O.with_adapters("SELECT * FROM worst", _WORST_CTES))
+def q_worst(spark, sf_dir):
+    return IN.worst_row(_long(spark, sf_dir))
+
+
+_REQ_HEAD, _REQ_REST = IN.INSIGHT_REQUEST.split("{theme}")
+_REQ_MID, _REQ_TAIL = _REQ_REST.split("{text}")
+
+
+@register("insight_requests", O.with_adapters(
+    f"SELECT complaint_theme, {_lit(_REQ_HEAD)} || complaint_theme || {_lit(_REQ_MID)} || metrics_text || "
+    f"{_lit(_REQ_TAIL)} AS request FROM mtext", _TEXT_CTES))
+def q_requests(spark, sf_dir):
+    t = IN.metrics_to_text(_long(spark, sf_dir))
+    return t.select("complaint_theme", IN.insight_request("complaint_theme", "metrics_text").alias("request"))
+
+
+@register("executive_summaries", O.with_adapters("SELECT * FROM summaries", _SUMMARY_CTES))
+def q_summaries(spark, sf_dir):
+    return IN.summarise(_long(spark, sf_dir))
+
+
+@register("summary_contract", O.with_adapters(
+    f"SELECT complaint_theme, starts_with(summary, {_lit(INSIGHT_HEADING)}) AS has_heading, "
+    f"CAST(len(regexp_extract_all(summary, '{IN.BULLET_PATTERN}')) AS BIGINT) AS bullet_count, "
+    f"NOT regexp_matches(summary, '{IN.BPS_AS_PERCENT_PATTERN}') AS bps_not_percent, "
+    f"starts_with(summary, {_lit(INSIGHT_HEADING)}) AND contains(summary, {_lit(ACTIONS_HEADING)}) AND "
+    f"len(regexp_extract_all(summary, '{IN.BULLET_PATTERN}')) = 3 AND "
+    f"NOT regexp_matches(summary, '{IN.BPS_AS_PERCENT_PATTERN}') AS ok FROM summaries", _SUMMARY_CTES))
+def q_summary_contract(spark, sf_dir):
+    return IN.summary_contract(IN.summarise(_long(spark, sf_dir)))
+
+
+@register("run_sql_ledger_dispute", O.with_adapters(O.diagnose_sql("LEDGER_DISPUTE")))
+def q_run_sql(spark, sf_dir):
+    D.load_tables(spark, _tables(spark, sf_dir))
+    return D.run_sql(spark, D.plan_sql("LEDGER_DISPUTE"))
+
+
+def _contract_rows():
+    rows = []
+    for theme, plan in PLANS.items():
+        cols = plan.output_columns
+        for column, rule, ok in D.result_contract_of_columns(cols, plan):
+            rows.append((theme, column, rule, ok))
+    return rows
+
+
+_CONTRACT_VALUES = ", ".join(
+    f"({_lit(t)}, {_lit(c)}, {_lit(r)}, {str(ok).upper()})" for t, c, r, ok in _contract_rows())
+
+
+@register("result_contract", O.with_adapters(
+    "SELECT v.complaint_theme, v.column_name, v.rule, v.ok, COALESCE(r.result_rows, 0) AS result_rows "
+    f"FROM (VALUES {_CONTRACT_VALUES}) v(complaint_theme, column_name, rule, ok) LEFT JOIN "
+    "(SELECT complaint_theme, COUNT(DISTINCT coalesce(group_key, '')) AS result_rows FROM dl GROUP BY 1) r "
+    "ON r.complaint_theme = v.complaint_theme", _DL_CTES))
+def q_result_contract(spark, sf_dir):
+    T = _tables(spark, sf_dir)
+    rows = []
+    for theme, plan in PLANS.items():
+        for column, rule, ok in D.result_contract(D.diagnose(T, theme), plan):
+            rows.append((theme, column, rule, ok))
+    checks = spark.createDataFrame(rows, "complaint_theme string, column_name string, rule string, ok boolean")
+    sizes = (D.diagnose_long(T).groupBy("complaint_theme")
+             .agg(F.countDistinct(F.coalesce(F.col("group_key"), F.lit(""))).alias("result_rows")))
+    return checks.join(sizes, "complaint_theme", "left").withColumn(
+        "result_rows", F.coalesce(F.col("result_rows"), F.lit(0).cast("long")))
