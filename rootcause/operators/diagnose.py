@@ -78,28 +78,12 @@ def diagnose_long(tables: dict[str, DataFrame], themes=None) -> DataFrame:
     A global aggregate over an empty cohort still yields its row (nulls), as
     in SQL; keyed aggregates yield no rows.
     """
-    spark = tables["users"].sparkSession
     themes = list(themes or PLANS)
     by_target: dict[str, list[DiagnosticPlan]] = {}
     for t in themes:
         by_target.setdefault(PLANS[t].target, []).append(PLANS[t])
     parts = [_diagnose_target(tables, target, plans) for target, plans in by_target.items()]
-    out = reduce(DataFrame.unionByName, parts)
-
-    global_themes = [t for t in themes if PLANS[t].group_by is None]
-    if global_themes:
-        skeleton = spark.createDataFrame(
-            [(p.theme, m.alias, m.agg) for p in (PLANS[t] for t in global_themes) for m in p.metrics],
-            "complaint_theme string, metric string, agg string")
-        keyed = out.where(~F.col("complaint_theme").isin(global_themes))
-        glob = (skeleton.join(out.where(F.col("complaint_theme").isin(global_themes)),
-                              ["complaint_theme", "metric", "agg"], "left")
-                .select("complaint_theme", F.lit(None).cast("string").alias("group_key"), "metric", "agg",
-                        "value", "sum_e4", F.coalesce("n", F.lit(0).cast("long")).alias("n")))
-        glob = glob.withColumn(
-            "value", F.when(F.col("agg") == "count", F.col("n").cast("double")).otherwise(F.col("value")))
-        out = keyed.unionByName(glob)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _diagnose_target(tables, target: str, plans: list[DiagnosticPlan]) -> DataFrame:
@@ -118,6 +102,17 @@ def _diagnose_target(tables, target: str, plans: list[DiagnosticPlan]) -> DataFr
             gkey = F.when(F.col("complaint_theme") == p.theme, F.col(p.group_by).cast("string")).otherwise(gkey)
     joined = joined.withColumn("group_key", gkey)
 
+    # A global aggregate over an empty cohort is still one row in SQL. One
+    # all-null seed row per global theme gives that row (counts 0, averages
+    # null) without touching any count or average of a non-empty cohort.
+    global_themes = [p.theme for p in plans if p.group_by is None]
+    if global_themes:
+        spark = joined.sparkSession
+        seeds = spark.createDataFrame([(t,) for t in global_themes], "complaint_theme string")
+        seeds = seeds.select(*[F.col("complaint_theme") if f.name == "complaint_theme"
+                               else F.lit(None).cast(f.dataType).alias(f.name) for f in joined.schema.fields])
+        joined = joined.unionByName(seeds)
+
     metrics = {}
     for p in plans:
         for m in p.metrics:

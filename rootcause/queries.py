@@ -550,3 +550,56 @@ def q_result_contract(spark, sf_dir):
              .agg(F.countDistinct(F.coalesce(F.col("group_key"), F.lit(""))).alias("result_rows")))
     return checks.join(sizes, "complaint_theme", "left").withColumn(
         "result_rows", F.coalesce(F.col("result_rows"), F.lit(0).cast("long")))
+
+
+# ------------------------------------------------------------ flagship and streaming: H1, H2
+
+from rootcause.plans.triage import triage_report  # noqa: E402
+from rootcause.streaming import categorise as ST  # noqa: E402
+from pyspark.sql import types as _T  # noqa: E402
+
+_RANKED_SQL = (
+    f"SELECT \"Category\" AS complaint_theme, \"Count\" AS review_count, "
+    f"CAST(row_number() OVER (ORDER BY \"Count\" DESC, \"Category\") - 1 AS INTEGER) AS rank_idx FROM "
+    f"(SELECT {_CORPUS_CASE} AS \"Category\", COUNT(*) AS \"Count\" FROM ({_CURATED_SQL}) c "
+    f"GROUP BY 1) d")
+
+
+@register("triage_report", O.with_adapters(
+    "SELECT coalesce(d.complaint_theme, r.complaint_theme) AS complaint_theme, "
+    "coalesce(r.review_count, 0) AS review_count, r.rank_idx, d.group_key, d.metric, d.value, d.display "
+    "FROM disp d FULL OUTER JOIN ranked r ON d.complaint_theme = r.complaint_theme",
+    _DL_CTES + f",\nranked AS ({_RANKED_SQL})"))
+def q_triage(spark, sf_dir):
+    return triage_report(_reviews(spark, sf_dir), _tables(spark, sf_dir))
+
+
+_FEED_SCHEMA = _T.StructType([
+    _T.StructField("seq", _T.LongType()), _T.StructField("userName", _T.StringType()),
+    _T.StructField("score", _T.IntegerType()), _T.StructField("at", _T.TimestampNTZType()),
+    _T.StructField("content", _T.StringType())])
+
+
+def _land_feed(spark, sf_dir, files: int = 3) -> str:
+    """Land the review feed as several files, the way an acquisition job would."""
+    landing = scratch_dir(spark, "landing")
+    _reviews(spark, sf_dir).repartitionByRange(files, "seq").write.parquet(landing)
+    return landing
+
+
+@register("stream_categorise", O.with_adapters(
+    f"SELECT seq, score, {_CORPUS_CASE} AS {CATEGORY_COL} FROM reviews"))
+def q_stream_categorise(spark, sf_dir):
+    landing = _land_feed(spark, sf_dir)
+    sink, ckpt = scratch_dir(spark, "labelled"), scratch_dir(spark, "ckpt-labelled")
+    ST.stream_categorise(spark, landing, sink, ckpt, _FEED_SCHEMA).awaitTermination()
+    return spark.read.parquet(sink).select("seq", "score", CATEGORY_COL)
+
+
+@register("stream_distribution", O.with_adapters(_DIST_SQL))
+def q_stream_distribution(spark, sf_dir):
+    import uuid
+    landing = _land_feed(spark, sf_dir)
+    name = "category_counts_" + uuid.uuid4().hex[:8]
+    ST.stream_distribution(spark, landing, scratch_dir(spark, "ckpt-counts"), _FEED_SCHEMA, name).awaitTermination()
+    return spark.table(name)
