@@ -78,3 +78,18 @@ def local_path(path: str) -> str:
 
 def exists(path: str) -> bool:
     return os.path.exists(local_path(path))
+
+
+def ensure_parallelism(df, min_partitions: int | None = None):
+    """Spread a scan that yields fewer partitions than the cluster has cores.
+
+    A large table arrives as many files / row groups and is left as is; a
+    small one stored as a single row group would otherwise run every pre-
+    shuffle step (regex classification, adapters, partial aggregates) in one
+    task. Round-robin repartitioning is deterministic on retry (rows are
+    sorted before being dealt out).
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

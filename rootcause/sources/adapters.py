@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rootcause.functions.finance import executed_price, rejection_code
 from rootcause.schemas import conform
+from rootcause.session import ensure_parallelism
 from rootcause.themes import AUTH_CLEARED, AUTH_OTP, KYC_REASONS, THEMES
 
 SOURCE_TABLES = ("customer", "orders", "lineitem", "events", "documents")
@@ -46,8 +47,16 @@ TICKET_ID_STRIDE = 1_000_000_000
 assert sorted(t for t, _, _ in COHORTS) == sorted(THEMES)
 
 
-def read_sources(spark: SparkSession, sf_dir: str, names=SOURCE_TABLES) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet") for n in names}
+def read_sources(spark: SparkSession, sf_dir: str, names=SOURCE_TABLES, spread: bool = False) -> dict[str, DataFrame]:
+    """Read driver tables; with ``spread``, a table read as fewer partitions
+    than there are cores is dealt out across them (see ``ensure_parallelism``).
+    Only worth it ahead of CPU-heavy per-row work (regex over long texts):
+    for cheap columns the extra exchange costs more than it saves."""
+    out = {}
+    for n in names:
+        df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet")
+        out[n] = ensure_parallelism(df) if spread else df
+    return out
 
 
 def _pick(col, pairs, default=None):
@@ -184,4 +193,4 @@ def telemetry_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def review_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reviews(read_sources(spark, sf_dir, ("documents",))["documents"])
+    return reviews(read_sources(spark, sf_dir, ("documents",), spread=True)["documents"])

@@ -2,7 +2,8 @@
 
 Review text holds newlines, quotes and backslashes, so CSV needs both
 ``multiLine`` and ``escape='"'`` (RFC 4180 doubling) to read back exactly.
-A multi-line CSV file is read by one task, so at scale the feed should land
+An empty text is written as ``""`` but, like missing values, reads back as
+null. A multi-line CSV file is read by one task, so at scale the feed should land
 as many files, or as parquet (``fmt='parquet'``), which splits freely.
 """
 
