@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 from pyspark.errors import PySparkException
 
-from rootcause.functions.numeric import exact_avg, exact_sum_e4
+from rootcause.functions.numeric import SUM_TYPE, exact_avg, exact_sum_e4
 from rootcause.plans.diagnostics import ID_COLUMNS, PLANS, UNIT_SUFFIXES, DiagnosticPlan
 from rootcause.schemas import TABLE_SCHEMAS
 from rootcause.session import reliable_checkpoint
@@ -68,68 +68,150 @@ def diagnose(tables: dict[str, DataFrame], theme: str) -> DataFrame:
     return joined.agg(*aggs)
 
 
-def diagnose_long(tables: dict[str, DataFrame], themes=None) -> DataFrame:
+# Cohorts up to this many tickets are broadcast (user_id, theme and at most two
+# numeric ticket columns: a few tens of MB). Checked with a bounded count.
+BROADCAST_MAX_TICKETS = 1_000_000
+
+
+def cohort_fits_broadcast(support: DataFrame, themes, max_rows: int = BROADCAST_MAX_TICKETS) -> bool:
+    """True when the themes' tickets number at most ``max_rows``, proven by
+    counting at most ``max_rows + 1`` of them."""
+    cohort = support.where(F.col("complaint_theme").isin(list(themes))).select("user_id")
+    return cohort.limit(max_rows + 1).count() <= max_rows
+
+
+def diagnose_long(tables: dict[str, DataFrame], themes=None, strategy: str = "auto") -> DataFrame:
     """All requested themes in one tidy frame.
 
-    Themes that share a target table are computed in one pass: the cohort of
-    all of them is joined once and grouped by (theme, group key). Output rows:
-    (complaint_theme, group_key, metric, agg, value, sum_e4, n); ``sum_e4`` and
-    ``n`` keep the exact sum and count behind an average for exact rendering.
-    A global aggregate over an empty cohort still yields its row (nulls), as
-    in SQL; keyed aggregates yield no rows.
+    Themes that share a target table are computed in one pass and grouped by
+    (theme, group key). Output rows: (complaint_theme, group_key, metric, agg,
+    value, sum_e4, n); ``sum_e4`` and ``n`` keep the exact sum and count behind
+    an average for exact rendering. A global aggregate over an empty cohort
+    still yields its row (nulls), as in SQL; keyed aggregates yield no rows.
+
+    Strategies (identical results, bit for bit):
+
+    - ``broadcast``: the cohort tickets are broadcast and every telemetry row
+      is joined map-side, then aggregated. Telemetry is never shuffled and a
+      hot user costs nothing extra. Chosen by ``auto`` only when the cohort is
+      proven small (``cohort_fits_broadcast``).
+    - ``pre_aggregate``: both sides are reduced per user before the join:
+      telemetry to (user, group column) partial sums and counts, tickets to
+      (user, theme) counts. Partial aggregation collapses a hot user inside
+      each map task, the join meets one row per user on each side, and totals
+      are sums of ticket count x partial. Decimal sums keep this exact,
+      repeated tickets included. The plan for cohorts too large to broadcast.
+    - ``rows``: the plain row-level join; the join strategy is left to AQE.
     """
     themes = list(themes or PLANS)
+    if strategy == "auto":
+        strategy = ("broadcast" if cohort_fits_broadcast(tables["customer_support"], themes)
+                    else "pre_aggregate")
     by_target: dict[str, list[DiagnosticPlan]] = {}
     for t in themes:
         by_target.setdefault(PLANS[t].target, []).append(PLANS[t])
-    parts = [_diagnose_target(tables, target, plans) for target, plans in by_target.items()]
+    parts = [_diagnose_target(tables, target, plans, strategy) for target, plans in by_target.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _diagnose_target(tables, target: str, plans: list[DiagnosticPlan]) -> DataFrame:
-    themes = [p.theme for p in plans]
-    support_cols = sorted({c for p in plans for c in _support_cols(p)})
-    target_cols = []
+def _metric_index(plans):
+    metrics = {}
     for p in plans:
-        target_cols += [c for c in _target_cols(p) if c not in target_cols]
-    cohort = (tables["customer_support"].where(F.col("complaint_theme").isin(themes))
-              .select("user_id", "complaint_theme", *[F.col(c).alias("cs_" + c) for c in support_cols]))
-    joined = tables[target].select(*target_cols).join(cohort, "user_id", "inner")
+        for m in p.metrics:
+            metrics.setdefault((m.column, m.source, m.agg), len(metrics))
+    return metrics
+
 
+def _group_key(plans):
     gkey = F.lit(None).cast("string")
     for p in plans:
         if p.group_by:
             gkey = F.when(F.col("complaint_theme") == p.theme, F.col(p.group_by).cast("string")).otherwise(gkey)
-    joined = joined.withColumn("group_key", gkey)
+    return gkey
+
 
-    # A global aggregate over an empty cohort is still one row in SQL. One
-    # all-null seed row per global theme gives that row (counts 0, averages
-    # null) without touching any count or average of a non-empty cohort.
+def _with_seeds(joined: DataFrame, plans) -> DataFrame:
+    """A global aggregate over an empty cohort is still one row in SQL. One
+    all-null seed row per global theme gives that row (counts 0, averages
+    null) without touching any count or average of a non-empty cohort."""
     global_themes = [p.theme for p in plans if p.group_by is None]
-    if global_themes:
-        spark = joined.sparkSession
-        seeds = spark.createDataFrame([(t,) for t in global_themes], "complaint_theme string")
-        seeds = seeds.select(*[F.col("complaint_theme") if f.name == "complaint_theme"
-                               else F.lit(None).cast(f.dataType).alias(f.name) for f in joined.schema.fields])
-        joined = joined.unionByName(seeds)
+    if not global_themes:
+        return joined
+    seeds = joined.sparkSession.createDataFrame([(t,) for t in global_themes], "complaint_theme string")
+    seeds = seeds.select(*[F.col("complaint_theme") if f.name == "complaint_theme"
+                           else F.lit(None).cast(f.dataType).alias(f.name) for f in joined.schema.fields])
+    return joined.unionByName(seeds)
 
-    metrics = {}
+
+def _grouped_rows(tables, target, plans, metrics, broadcast_cohort: bool = False) -> DataFrame:
+    """Row-level plan: join every telemetry row to the cohort, then aggregate."""
+    themes = [p.theme for p in plans]
+    support_cols = sorted({c for p in plans for c in _support_cols(p)})
+    target_cols = []
     for p in plans:
-        for m in p.metrics:
-            metrics[(m.column, m.source, m.agg)] = m
-    aggs, names = [], {}
-    for i, ((col, source, agg), m) in enumerate(metrics.items()):
+        target_cols += [c for c in _target_cols(p) if c not in target_cols]
+    cohort = (tables["customer_support"].where(F.col("complaint_theme").isin(themes))
+              .select("user_id", "complaint_theme", *[F.col(c).alias("cs_" + c) for c in support_cols]))
+    if broadcast_cohort:
+        cohort = F.broadcast(cohort)
+    joined = tables[target].select(*target_cols).join(cohort, "user_id", "inner")
+    joined = _with_seeds(joined.withColumn("group_key", _group_key(plans)), plans)
+    aggs = []
+    for (col, source, agg), i in metrics.items():
         c = F.col("cs_" + col) if source == "support" else F.col(col)
         aggs.append(F.count(c).alias(f"n{i}"))
         if agg == "avg":
             aggs += [exact_avg(c).alias(f"v{i}"), exact_sum_e4(c).alias(f"s{i}")]
-        names[(col, source, agg)] = i
-    grouped = joined.groupBy("complaint_theme", "group_key").agg(*aggs)
+    return joined.groupBy("complaint_theme", "group_key").agg(*aggs)
+
 
+def _grouped_preaggregated(tables, target, plans, metrics) -> DataFrame:
+    """Eager-aggregation plan: reduce both sides per user, then join."""
+    themes = [p.theme for p in plans]
+    group_cols = sorted({p.group_by for p in plans if p.group_by})
+    t_cols = sorted({c for (c, src, _) in metrics if src == "target"})
+    s_cols = sorted({c for (c, src, _) in metrics if src == "support"})
+
+    t_aggs = [F.count(F.lit(1)).alias("_rows")]
+    for c in t_cols:
+        t_aggs += [F.sum(F.col(c).cast(SUM_TYPE)).alias("ts_" + c), F.count(c).alias("tn_" + c)]
+    tpart = tables[target].groupBy("user_id", *group_cols).agg(*t_aggs)
+
+    s_aggs = [F.count(F.lit(1)).alias("_tickets")]
+    for c in s_cols:
+        s_aggs += [F.sum(F.col(c).cast(SUM_TYPE)).alias("ss_" + c), F.count(c).alias("sn_" + c)]
+    spart = (tables["customer_support"].where(F.col("complaint_theme").isin(themes))
+             .groupBy("user_id", "complaint_theme").agg(*s_aggs))
+
+    joined = tpart.join(spart, "user_id", "inner")
+    joined = _with_seeds(joined.withColumn("group_key", _group_key(plans)), plans)
+    aggs = []
+    for (col, source, agg), i in metrics.items():
+        if source == "support":
+            weight, total, cnt = F.col("_rows"), F.col("ss_" + col), F.col("sn_" + col)
+        else:
+            weight, total, cnt = F.col("_tickets"), F.col("ts_" + col), F.col("tn_" + col)
+        n = F.coalesce(F.sum(weight * cnt), F.lit(0).cast("long"))
+        aggs.append(n.alias(f"n{i}"))
+        if agg == "avg":
+            s = F.sum(weight * total)
+            aggs += [F.try_divide(s.cast("double"), n).alias(f"v{i}"),
+                     (s * 10000).cast("long").alias(f"s{i}")]
+    return joined.groupBy("complaint_theme", "group_key").agg(*aggs)
+
+
+def _diagnose_target(tables, target: str, plans: list[DiagnosticPlan], strategy: str) -> DataFrame:
+    metrics = _metric_index(plans)
+    if strategy == "pre_aggregate":
+        grouped = _grouped_preaggregated(tables, target, plans, metrics)
+    elif strategy in ("broadcast", "rows"):
+        grouped = _grouped_rows(tables, target, plans, metrics, broadcast_cohort=strategy == "broadcast")
+    else:
+        raise ValueError(f"unknown strategy {strategy!r}")
     entries = []
     for p in plans:
         for m in p.metrics:
-            i = names[(m.column, m.source, m.agg)]
+            i = metrics[(m.column, m.source, m.agg)]
             is_avg = m.agg == "avg"
             entries.append(F.when(F.col("complaint_theme") == p.theme, F.struct(
                 F.lit(m.alias).alias("metric"), F.lit(m.agg).alias("agg"),

@@ -98,3 +98,29 @@ def test_summarise_with_model_and_failure(spark, tables):
 
     assert "EXECUTION_SLIPPAGE" in IN.summarise(long, echo).first()["summary"]
     assert IN.summarise(long, broken).first()["summary"].startswith("Error generating insight: model down")
+
+
+def test_strategies_agree(spark, tables):
+    want = rows(D.diagnose_long(tables, strategy="rows"))
+    assert rows(D.diagnose_long(tables, strategy="pre_aggregate")) == want
+    assert rows(D.diagnose_long(tables, strategy="broadcast")) == want
+    assert rows(D.diagnose_long(tables)) == want
+
+
+def test_broadcast_bound_is_checked(spark, tables):
+    assert D.cohort_fits_broadcast(tables["customer_support"], ["GENERAL_INQUIRY"])
+    assert not D.cohort_fits_broadcast(tables["customer_support"], ["GENERAL_INQUIRY"], max_rows=3)
+
+
+def test_pre_aggregation_with_repeated_tickets_and_hot_user(spark):
+    users = [(u, "APPROVED", 1.5, 0.0, 0.0, "CLEARED") for u in range(1, 4)]
+    perf = [(i, 1 if i < 90 else 2, "iOS", 0, float(i % 13) + 0.25, float(i % 5), 1, float(i % 7) * 1.1, i % 3)
+            for i in range(100)]
+    support = [(1, 1, "SYSTEM_STABILITY", 1.5, 1), (2, 1, "SYSTEM_STABILITY", 2.5, 2),
+               (3, 2, "CHARTING_UI_GLITCH", 3.5, 1), (4, 3, "GENERAL_INQUIRY", 4.5, 3),
+               (5, 3, "GENERAL_INQUIRY", 0.5, 1), (6, 2, "LOGIN_AND_2FA_ISSUE", 1.0, 1)]
+    T = _tables(spark, users, perf=perf, support=support)
+    assert rows(D.diagnose_long(T, strategy="pre_aggregate")) == rows(D.diagnose_long(T, strategy="rows"))
+    r = D.diagnose(T, "SYSTEM_STABILITY").first()
+    long = {x["metric"]: x["value"] for x in D.diagnose_long(T, ["SYSTEM_STABILITY"]).collect()}
+    assert long["avg_api_5xx_error_rate_pct"] == r["avg_api_5xx_error_rate_pct"]
