@@ -29,24 +29,21 @@ def exact_avg(c) -> Column:
     return F.try_divide(F.sum(c.cast(SUM_TYPE)).cast("double"), F.count(c))
 
 
-def _idiv(a: Column, b: Column) -> Column:
-    """Exact floor division of a non-negative long by a positive long."""
-    r = a % b
-    return ((a - r).cast("decimal(38,0)") / b.cast("decimal(38,0)")).cast("long")
+def fmt_ratio_2dp_expr(sum_e4: str, n: str) -> str:
+    """Spark SQL text of ``fmt_ratio_2dp`` over two column names."""
+    h = f"((abs({sum_e4}) + {n} * 50) div ({n} * 100))"
+    return (f"CASE WHEN {n} > 0 THEN concat(CASE WHEN {sum_e4} < 0 AND {h} > 0 THEN '-' ELSE '' END, "
+            f"cast({h} div 100 AS STRING), '.', lpad(cast({h} % 100 AS STRING), 2, '0')) END")
 
 
-def fmt_ratio_2dp(sum_e4, n) -> Column:
+def fmt_ratio_2dp(sum_e4: str, n: str) -> Column:
     """Render sum_e4 / 1e4 / n with 2 decimals, half away from zero, exactly.
 
-    Integer arithmetic only, so every engine prints the same digits (rounding a
-    double is not portable: 1.005 becomes 1.01 in one engine, 1.00 in another).
+    Integer arithmetic only (``div`` is exact integer division), so every
+    engine prints the same digits; rounding a double is not portable (1.005
+    becomes 1.01 in one engine, 1.00 in another).
     """
-    s, n = _col(sum_e4), _col(n).cast("long")
-    hundredths = _idiv(F.abs(s) + n * 50, n * 100)
-    sign = F.when((s < 0) & (hundredths > 0), F.lit("-")).otherwise(F.lit(""))
-    whole = _idiv(hundredths, F.lit(100).cast("long"))
-    frac = F.lpad((hundredths % 100).cast("string"), 2, "0")
-    return F.when(n > 0, F.concat(sign, whole.cast("string"), F.lit("."), frac))
+    return F.expr(fmt_ratio_2dp_expr(sum_e4, n))
 
 
 def fmt_count(n) -> Column:

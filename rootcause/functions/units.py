@@ -20,22 +20,21 @@ UNIT_RULES = [
 ]
 
 
-def unit_suffix(name) -> Column:
-    """The unit suffix for a metric name column ('' when unitless)."""
-    name = F.col(name) if isinstance(name, str) else name
-    tokens = F.split(name, "_")
-    out = F.lit("")
-    for toks, suffix in reversed(UNIT_RULES):
-        cond = None
-        for t in toks:
-            c = F.array_contains(tokens, t)
-            cond = c if cond is None else (cond | c)
-        out = F.when(cond, F.lit(suffix)).otherwise(out)
-    return out
-
-
-def format_metric(name, number_text) -> Column:
-    """Attach the unit to an already rendered number."""
+def unit_suffix_expr(name: str) -> str:
+    """Spark SQL text: the unit suffix for a metric-name column ('' when unitless)."""
+    parts = []
+    for toks, suffix in UNIT_RULES:
+        cond = " OR ".join(f"array_contains(split({name}, '_'), '{t}')" for t in toks)
+        parts.append(f"WHEN {cond} THEN '{suffix}'")
+    return "CASE " + " ".join(parts) + " ELSE '' END"
+
+
+def unit_suffix(name: str) -> Column:
+    return F.expr(unit_suffix_expr(name))
+
+
+def format_metric(name: str, number_text) -> Column:
+    """Attach the unit (from the metric-name column ``name``) to a rendered number."""
     number_text = F.col(number_text) if isinstance(number_text, str) else number_text
     return F.concat(number_text, unit_suffix(name))
 

@@ -23,13 +23,24 @@ from rootcause.themes import DEFAULT_THEME
 _SPAN = re.compile(r"\{.*\}", re.DOTALL)
 
 
-def classify_by_rules(col, rules, default: str = DEFAULT_THEME) -> Column:
-    """First matching rule's label on lower(text), else ``default`` (op D4)."""
-    text = F.lower(F.col(col) if isinstance(col, str) else col)
-    out = F.lit(default)
-    for label, pattern in reversed(rules):
-        out = F.when(text.rlike(pattern), F.lit(label)).otherwise(out)
-    return F.when(text.isNotNull(), out)
+def _sql_str(s: str) -> str:
+    if "'" in s:
+        raise ValueError(f"quote in rule text: {s!r}")
+    return f"r'{s}'"
+
+
+def classify_by_rules_expr(col: str, rules, default: str = DEFAULT_THEME) -> str:
+    """Spark SQL text of ``classify_by_rules`` (raw literals keep regexes verbatim)."""
+    whens = " ".join(f"WHEN lower({col}) RLIKE {_sql_str(p)} THEN {_sql_str(label)}" for label, p in rules)
+    # The outer test keeps lower(text) in an always-evaluated position, so
+    # codegen computes it once per row and reuses it in every rule.
+    return f"CASE WHEN lower({col}) IS NOT NULL THEN (CASE {whens} ELSE {_sql_str(default)} END) END"
+
+
+def classify_by_rules(col: str, rules, default: str = DEFAULT_THEME) -> Column:
+    """First matching rule's label on lower(text), else ``default``; null text
+    stays null (op D4). ``rules`` is an ordered list of (label, regex)."""
+    return F.expr(classify_by_rules_expr(f"`{col}`", rules, default))
 
 
 def with_category(df: DataFrame, label: Column, out: str = CATEGORY_COL) -> DataFrame:

@@ -123,11 +123,9 @@ def _metric_index(plans):
 
 
 def _group_key(plans):
-    gkey = F.lit(None).cast("string")
-    for p in plans:
-        if p.group_by:
-            gkey = F.when(F.col("complaint_theme") == p.theme, F.col(p.group_by).cast("string")).otherwise(gkey)
-    return gkey
+    whens = " ".join(f"WHEN complaint_theme = '{p.theme}' THEN CAST({p.group_by} AS STRING)"
+                     for p in plans if p.group_by)
+    return F.expr(f"CASE {whens} END" if whens else "CAST(NULL AS STRING)")
 
 
 def _with_seeds(joined: DataFrame, plans) -> DataFrame:
@@ -158,10 +156,12 @@ def _grouped_rows(tables, target, plans, metrics, broadcast_cohort: bool = False
     joined = _with_seeds(joined.withColumn("group_key", _group_key(plans)), plans)
     aggs = []
     for (col, source, agg), i in metrics.items():
-        c = F.col("cs_" + col) if source == "support" else F.col(col)
-        aggs.append(F.count(c).alias(f"n{i}"))
+        c = "cs_" + col if source == "support" else col
+        aggs.append(F.expr(f"count({c})").alias(f"n{i}"))
         if agg == "avg":
-            aggs += [exact_avg(c).alias(f"v{i}"), exact_sum_e4(c).alias(f"s{i}")]
+            dec = f"sum(CAST({c} AS {SUM_TYPE}))"
+            aggs += [F.expr(f"try_divide(CAST({dec} AS DOUBLE), count({c}))").alias(f"v{i}"),
+                     F.expr(f"CAST({dec} * 10000 AS BIGINT)").alias(f"s{i}")]
     return joined.groupBy("complaint_theme", "group_key").agg(*aggs)
 
 
@@ -172,14 +172,14 @@ def _grouped_preaggregated(tables, target, plans, metrics) -> DataFrame:
     t_cols = sorted({c for (c, src, _) in metrics if src == "target"})
     s_cols = sorted({c for (c, src, _) in metrics if src == "support"})
 
-    t_aggs = [F.count(F.lit(1)).alias("_rows")]
+    t_aggs = [F.expr("count(1)").alias("_rows")]
     for c in t_cols:
-        t_aggs += [F.sum(F.col(c).cast(SUM_TYPE)).alias("ts_" + c), F.count(c).alias("tn_" + c)]
+        t_aggs += [F.expr(f"sum(CAST({c} AS {SUM_TYPE}))").alias("ts_" + c), F.expr(f"count({c})").alias("tn_" + c)]
     tpart = tables[target].groupBy("user_id", *group_cols).agg(*t_aggs)
 
-    s_aggs = [F.count(F.lit(1)).alias("_tickets")]
+    s_aggs = [F.expr("count(1)").alias("_tickets")]
     for c in s_cols:
-        s_aggs += [F.sum(F.col(c).cast(SUM_TYPE)).alias("ss_" + c), F.count(c).alias("sn_" + c)]
+        s_aggs += [F.expr(f"sum(CAST({c} AS {SUM_TYPE}))").alias("ss_" + c), F.expr(f"count({c})").alias("sn_" + c)]
     spart = (tables["customer_support"].where(F.col("complaint_theme").isin(themes))
              .groupBy("user_id", "complaint_theme").agg(*s_aggs))
 
@@ -187,16 +187,14 @@ def _grouped_preaggregated(tables, target, plans, metrics) -> DataFrame:
     joined = _with_seeds(joined.withColumn("group_key", _group_key(plans)), plans)
     aggs = []
     for (col, source, agg), i in metrics.items():
-        if source == "support":
-            weight, total, cnt = F.col("_rows"), F.col("ss_" + col), F.col("sn_" + col)
-        else:
-            weight, total, cnt = F.col("_tickets"), F.col("ts_" + col), F.col("tn_" + col)
-        n = F.coalesce(F.sum(weight * cnt), F.lit(0).cast("long"))
-        aggs.append(n.alias(f"n{i}"))
+        weight, total, cnt = (("_rows", "ss_" + col, "sn_" + col) if source == "support"
+                              else ("_tickets", "ts_" + col, "tn_" + col))
+        n = f"coalesce(sum({weight} * {cnt}), CAST(0 AS BIGINT))"
+        aggs.append(F.expr(n).alias(f"n{i}"))
         if agg == "avg":
-            s = F.sum(weight * total)
-            aggs += [F.try_divide(s.cast("double"), n).alias(f"v{i}"),
-                     (s * 10000).cast("long").alias(f"s{i}")]
+            total_sum = f"sum({weight} * {total})"
+            aggs += [F.expr(f"try_divide(CAST({total_sum} AS DOUBLE), {n})").alias(f"v{i}"),
+                     F.expr(f"CAST({total_sum} * 10000 AS BIGINT)").alias(f"s{i}")]
     return joined.groupBy("complaint_theme", "group_key").agg(*aggs)
 
 
@@ -212,15 +210,12 @@ def _diagnose_target(tables, target: str, plans: list[DiagnosticPlan], strategy:
     for p in plans:
         for m in p.metrics:
             i = metrics[(m.column, m.source, m.agg)]
-            is_avg = m.agg == "avg"
-            entries.append(F.when(F.col("complaint_theme") == p.theme, F.struct(
-                F.lit(m.alias).alias("metric"), F.lit(m.agg).alias("agg"),
-                (F.col(f"v{i}") if is_avg else F.col(f"n{i}").cast("double")).alias("value"),
-                (F.col(f"s{i}") if is_avg else F.lit(None).cast("long")).alias("sum_e4"),
-                F.col(f"n{i}").alias("n"))))
-    exploded = grouped.select("complaint_theme", "group_key",
-                              F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("m"))
-    return exploded.select("complaint_theme", "group_key", "m.metric", "m.agg", "m.value", "m.sum_e4", "m.n")
+            value, total = (f"v{i}", f"s{i}") if m.agg == "avg" else (f"CAST(n{i} AS DOUBLE)", "CAST(NULL AS BIGINT)")
+            entries.append(f"CASE WHEN complaint_theme = '{p.theme}' THEN named_struct('metric', '{m.alias}', "
+                           f"'agg', '{m.agg}', 'value', {value}, 'sum_e4', {total}, 'n', n{i}) END")
+    return grouped.selectExpr(
+        "complaint_theme", "group_key",
+        f"inline(filter(array({', '.join(entries)}), x -> x IS NOT NULL))")
 
 
 # ---------------------------------------------------------------- SQL access

@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rootcause.functions.numeric import fmt_count, fmt_ratio_2dp
-from rootcause.functions.units import format_metric
+from rootcause.functions.numeric import fmt_ratio_2dp_expr
+from rootcause.functions.units import unit_suffix_expr
 from rootcause.plans.diagnostics import PLANS
 from rootcause.themes import ACTIONS_HEADING, INSIGHT_ERROR_PREFIX, INSIGHT_HEADING
 
@@ -29,8 +29,8 @@ BPS_AS_PERCENT_PATTERN = r"(?m)^[^\n]*(bps[^\n]*%|%[^\n]*bps)"
 def with_display(long_df: DataFrame) -> DataFrame:
     """Add the unit-aware rendering of each value (op F3): counts as integers,
     averages with 2 decimals, then ' bps', ' ms', '%', ' hours' or ' days'."""
-    number = F.when(F.col("agg") == "count", fmt_count("n")).otherwise(fmt_ratio_2dp("sum_e4", "n"))
-    return long_df.withColumn("display", format_metric("metric", number))
+    number = f"CASE WHEN agg = 'count' THEN CAST(n AS STRING) ELSE {fmt_ratio_2dp_expr('sum_e4', 'n')} END"
+    return long_df.withColumn("display", F.expr(f"concat({number}, {unit_suffix_expr('metric')})"))
 
 
 def metrics_to_text(long_df: DataFrame) -> DataFrame:
@@ -47,15 +47,6 @@ def metrics_to_text(long_df: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_list("_line")), "\n").alias("metrics_text"))
 
 
-def _severity_spec() -> tuple[Column, Column]:
-    metric, high = F.lit(None).cast("string"), F.lit(None).cast("boolean")
-    for theme, p in PLANS.items():
-        is_t = F.col("complaint_theme") == theme
-        metric = F.when(is_t, F.lit(p.severity_metric)).otherwise(metric)
-        high = F.when(is_t, F.lit(p.severity_high_is_bad)).otherwise(high)
-    return metric, high
-
-
 def worst_row(long_df: DataFrame) -> DataFrame:
     """The most severe result row of each theme (op F2).
 
@@ -64,14 +55,16 @@ def worst_row(long_df: DataFrame) -> DataFrame:
     slippage), ties broken by the smaller group key. One partial+final
     aggregate per theme.
     """
-    metric, high = _severity_spec()
-    d = with_display(long_df).where(F.col("metric") == metric)
-    badness = F.when(high, -F.col("value")).otherwise(F.col("value"))
-    best = F.min(F.struct(badness.alias("b"), F.col("group_key").alias("g"), F.col("metric").alias("m"),
-                          F.col("value").alias("v"), F.col("display").alias("d")))
-    return d.groupBy("complaint_theme").agg(best.alias("_w")).select(
-        "complaint_theme", F.col("_w.g").alias("group_key"), F.col("_w.m").alias("severity_metric"),
-        F.col("_w.v").alias("severity_value"), F.col("_w.d").alias("severity_display"))
+    metric = "CASE complaint_theme " + " ".join(
+        f"WHEN '{t}' THEN '{p.severity_metric}'" for t, p in PLANS.items()) + " END"
+    high = "CASE complaint_theme " + " ".join(
+        f"WHEN '{t}' THEN {str(p.severity_high_is_bad).lower()}" for t, p in PLANS.items()) + " END"
+    d = with_display(long_df).where(F.expr(f"metric = {metric}"))
+    best = F.expr(f"min(named_struct('b', CASE WHEN {high} THEN -value ELSE value END, 'g', group_key, "
+                  f"'m', metric, 'v', value, 'd', display))")
+    return d.groupBy("complaint_theme").agg(best.alias("_w")).selectExpr(
+        "complaint_theme", "_w.g AS group_key", "_w.m AS severity_metric", "_w.v AS severity_value",
+        "_w.d AS severity_display")
 
 
 def insight_request(theme, text) -> Column:

@@ -9,6 +9,8 @@ rows; on real data these views are replaced by the real tables.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,8 +181,25 @@ def reviews(documents: DataFrame) -> DataFrame:
     )
 
 
+# Lazy view definitions per session and folder: a session defines its tables
+# once, as an application registers its views once. Only plans are kept here;
+# every query still reads the files.
+_VIEWS: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
+
+def _memo(spark: SparkSession, key, build):
+    views = _VIEWS.setdefault(spark, {})
+    if key not in views:
+        views[key] = build()
+    return views[key]
+
+
 def telemetry_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The five logical tables, lazily derived from the driver tables."""
+    return dict(_memo(spark, ("telemetry", sf_dir), lambda: _build_telemetry(spark, sf_dir)))
+
+
+def _build_telemetry(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     src = read_sources(spark, sf_dir, ("customer", "orders", "lineitem", "events"))
     u = users(src["customer"])
     return {
@@ -193,4 +212,5 @@ def telemetry_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def review_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reviews(read_sources(spark, sf_dir, ("documents",), spread=True)["documents"])
+    return _memo(spark, ("reviews", sf_dir),
+                 lambda: reviews(read_sources(spark, sf_dir, ("documents",), spread=True)["documents"]))
