@@ -16,6 +16,7 @@ one row per (task, group) crosses the shuffle.
 
 from __future__ import annotations
 
+import weakref
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,11 +74,19 @@ def diagnose(tables: dict[str, DataFrame], theme: str) -> DataFrame:
 BROADCAST_MAX_TICKETS = 1_000_000
 
 
+_FITS: "weakref.WeakKeyDictionary[DataFrame, dict]" = weakref.WeakKeyDictionary()
+
+
 def cohort_fits_broadcast(support: DataFrame, themes, max_rows: int = BROADCAST_MAX_TICKETS) -> bool:
     """True when the themes' tickets number at most ``max_rows``, proven by
-    counting at most ``max_rows + 1`` of them."""
-    cohort = support.where(F.col("complaint_theme").isin(list(themes))).select("user_id")
-    return cohort.limit(max_rows + 1).count() <= max_rows
+    counting at most ``max_rows + 1`` of them. The answer is kept per support
+    view (a view reads a fixed file listing), so the check runs once."""
+    key = (tuple(sorted(themes)), max_rows)
+    known = _FITS.setdefault(support, {})
+    if key not in known:
+        cohort = support.where(F.col("complaint_theme").isin(list(themes))).select("user_id")
+        known[key] = cohort.limit(max_rows + 1).count() <= max_rows
+    return known[key]
 
 
 def diagnose_long(tables: dict[str, DataFrame], themes=None, strategy: str = "auto") -> DataFrame:
