@@ -57,11 +57,18 @@ def union_batches(dfs: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, dfs)
 
 
-def score_batches(df: DataFrame, caps: dict[int, int] = FETCH_CAPS, seq: str = "seq") -> DataFrame:
-    """The per-rating batches of the acquisition step, appended (B8 + C1)."""
+def union_score_batches(df: DataFrame, caps: dict[int, int] = FETCH_CAPS, seq: str = "seq") -> DataFrame:
+    """The per-rating batches, each capped in arrival order, appended (B8 + C1).
+    One bounded top-k per rating, so the input is scanned once per rating."""
     return union_batches([score_filter(df, s, c, seq) for s, c in caps.items()])
 
 
+def score_batches(df: DataFrame, caps: dict[int, int] = FETCH_CAPS, seq: str = "seq") -> DataFrame:
+    """The same rows as ``union_score_batches`` from a single scan: the first
+    cap(score) rows of each listed rating, as a stratified head."""
+    return stratified_head(df, caps, "score", seq)
+
+
 def stratified_head(df: DataFrame, quotas: dict[int, int] = QUOTAS, by: str = "score",
                     seq: str = "seq") -> DataFrame:
     """First quota(s) rows of each stratum s in arrival order; other strata

@@ -115,6 +115,11 @@ def q_score_batches(spark, sf_dir):
     return K.score_batches(_reviews(spark, sf_dir)).select("seq", "score")
 
 
+@register("union_score_batches", O.with_adapters(f"SELECT seq, score FROM ({_BATCHES_SQL}) b"))
+def q_union_batches(spark, sf_dir):
+    return K.union_score_batches(_reviews(spark, sf_dir)).select("seq", "score")
+
+
 @register("curated_sample", O.with_adapters(_CURATED_SQL))
 def q_curated(spark, sf_dir):
     return K.curate(_reviews(spark, sf_dir))
