@@ -45,6 +45,3 @@ def fmt_ratio_2dp(sum_e4: str, n: str) -> Column:
     """
     return F.expr(fmt_ratio_2dp_expr(sum_e4, n))
 
-
-def fmt_count(n) -> Column:
-    return _col(n).cast("long").cast("string")

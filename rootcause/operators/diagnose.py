@@ -24,15 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 from pyspark.errors import PySparkException
 
-from rootcause.functions.numeric import SUM_TYPE, exact_avg, exact_sum_e4
+from rootcause.functions.numeric import SUM_TYPE, exact_avg
 from rootcause.plans.diagnostics import ID_COLUMNS, PLANS, UNIT_SUFFIXES, DiagnosticPlan
 from rootcause.schemas import TABLE_SCHEMAS
 from rootcause.session import reliable_checkpoint
 
-LONG_SCHEMA = ("complaint_theme string, group_key string, metric string, agg string, "
-               "value double, sum_e4 long, n long")
-
-
 def theme_filter(support: DataFrame, theme: str) -> DataFrame:
     """Tickets of one complaint theme (op B9)."""
     return support.where(F.col("complaint_theme") == F.lit(theme))

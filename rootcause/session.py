@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -72,14 +71,6 @@ def reliable_checkpoint(df):
     return df.checkpoint(eager=True)
 
 
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def exists(path: str) -> bool:
-    return os.path.exists(local_path(path))
-
-
 def ensure_parallelism(df, min_partitions: int | None = None):
     """Spread a scan that yields fewer partitions than the cluster has cores.
 
