@@ -22,6 +22,15 @@ from rootcause.themes import TIMEOUT_CODE, TIMEOUT_LATENCY_MS
 RULE_SCHEMA = "table_name string, rule string, violations long"
 
 
+def _per_table_counts(tagged: DataFrame, tables: list[str], rule: str) -> DataFrame:
+    """Rows per table_name of ``tagged``, 0 for tables without rows, as rule rows."""
+    names = tagged.sparkSession.createDataFrame([(t,) for t in tables], "table_name string")
+    counts = tagged.groupBy("table_name").agg(F.count(F.lit(1)).alias("violations"))
+    return names.join(counts, "table_name", "left").select(
+        "table_name", F.lit(rule).alias("rule"),
+        F.coalesce(F.col("violations"), F.lit(0).cast("long")).alias("violations"))
+
+
 def _row(df: DataFrame, table: str, rule: str, violations) -> DataFrame:
     return df.agg(violations.cast("long").alias("violations")) \
              .select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "violations")
@@ -39,11 +48,19 @@ def constraint_violations(tables: dict[str, DataFrame]) -> DataFrame:
         parts.append(_row(dup, t, f"pk_unique:{pk}",
                           F.coalesce(F.sum(F.when((F.col("_n") > 1) | F.col(pk).isNull(), 1).otherwise(0)),
                                      F.lit(0))))
-    for t, (fk, parent, pkey) in FOREIGN_KEYS.items():
-        child = tables[t].select(fk).where(F.col(fk).isNotNull())
-        keys = tables[parent].select(F.col(pkey).alias(fk))
-        dangling = child.join(keys, fk, "left_anti")
-        parts.append(_row(dangling, t, f"fk:{fk}->{parent}.{pkey}", F.count(F.lit(1))))
+    # Children that reference the same parent key are checked in one anti
+    # join: their keys are tagged with the table name and unioned, so the
+    # parent is read and shuffled once.
+    by_parent: dict[tuple, list[str]] = {}
+    for t, ref in FOREIGN_KEYS.items():
+        by_parent.setdefault(ref, []).append(t)
+    for (fk, parent, pkey), children in by_parent.items():
+        tagged = reduce(DataFrame.unionByName, [
+            tables[t].select(F.lit(t).alias("table_name"), F.col(fk).alias("_k")).where(F.col(fk).isNotNull())
+            for t in children])
+        keys = tables[parent].select(F.col(pkey).alias("_k"))
+        dangling = tagged.join(keys, "_k", "left_anti")
+        parts.append(_per_table_counts(dangling, children, f"fk:{fk}->{parent}.{pkey}"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -62,26 +79,28 @@ def telemetry_invariants(tables: dict[str, DataFrame], tolerance: float = 1e-6)
     users, trades, ledger = tables["users"], tables["trades"], tables["financial_ledger"]
     perf, support = tables["app_performance"], tables["customer_support"]
     defective = users.where(F.col("kyc_status") != "APPROVED").select("user_id")
-    parts = [
-        _row(t.select("user_id").join(defective, "user_id", "left_semi"), name, "kyc_user_has_activity",
-             F.count(F.lit(1)))
-        for name, t in (("trades", trades), ("financial_ledger", ledger), ("app_performance", perf))
-    ]
+    activity = {"trades": trades, "financial_ledger": ledger, "app_performance": perf}
+    tagged = reduce(DataFrame.unionByName, [t.select(F.lit(n).alias("table_name"), "user_id")
+                                            for n, t in activity.items()])
+    parts = [_per_table_counts(tagged.join(defective, "user_id", "left_semi"), list(activity),
+                               "kyc_user_has_activity")]
     kyc_ticket_users = support.where(F.col("complaint_theme") == "KYC_ONBOARDING_EFFICIENCY").select("user_id")
     other = support.where(F.col("complaint_theme") != "KYC_ONBOARDING_EFFICIENCY").select("user_id")
     parts.append(_row(other.join(kyc_ticket_users, "user_id", "left_semi"), "customer_support",
                       "kyc_cohort_overlaps_other_theme", F.count(F.lit(1))))
 
+    # The three trade rules share one pass over trades.
     market = F.col("order_type").endswith("MARKET")
     bps = F.col("price_slippage_bps")
-    parts.append(_row(trades, "trades", "slippage_sign",
-                      F.sum(F.when((market & (bps > 0)) | (~market & (bps < 0)), 1).otherwise(0))))
     recomputed = slippage_bps("order_type", "requested_price", "executed_price")
-    parts.append(_row(trades, "trades", "price_bps_agreement",
-                      F.sum(F.when(F.abs(recomputed - bps) > tolerance, 1).otherwise(0))))
-    parts.append(_row(trades, "trades", "timeout_code_override",
-                      F.sum(F.when((F.col("order_routing_latency_ms") > TIMEOUT_LATENCY_MS)
-                                   & (F.col("exchange_rejection_code") != TIMEOUT_CODE), 1).otherwise(0))))
+    trade_rules = trades.agg(
+        F.sum(F.when((market & (bps > 0)) | (~market & (bps < 0)), 1).otherwise(0)).cast("long").alias("a"),
+        F.sum(F.when(F.abs(recomputed - bps) > tolerance, 1).otherwise(0)).cast("long").alias("b"),
+        F.sum(F.when((F.col("order_routing_latency_ms") > TIMEOUT_LATENCY_MS)
+                     & (F.col("exchange_rejection_code") != TIMEOUT_CODE), 1).otherwise(0)).cast("long").alias("c"))
+    parts.append(trade_rules.selectExpr(
+        "'trades' AS table_name",
+        "stack(3, 'slippage_sign', a, 'price_bps_agreement', b, 'timeout_code_override', c) AS (rule, violations)"))
 
     matched = (ledger.select("user_id", "balance_after_txn")
                .join(users.select("user_id", "total_ledger_balance"), "user_id")
