@@ -49,8 +49,18 @@ def _agg(m, prefix=""):
     return F.count(c) if m.agg == "count" else exact_avg(c)
 
 
-def diagnose(tables: dict[str, DataFrame], theme: str) -> DataFrame:
-    """The diagnostic result of one theme (op E0 dispatch, E1-E7 bodies)."""
+def diagnose(tables: dict[str, DataFrame], theme: str, strategy: str = "auto") -> DataFrame:
+    """The diagnostic result of one theme (op E0 dispatch, E1-E7 bodies), with
+    the SQL result schema: the group column (if any) and one column per metric.
+
+    ``rows`` is the SQL-shaped plan (join every telemetry row to the cohort,
+    AQE picks the join). The other strategies (``auto``, ``broadcast``,
+    ``pre_aggregate``) run ``diagnose_long`` for this theme, which broadcasts
+    only a cohort proven small and otherwise pre-aggregates per user, then pivot
+    back to the same schema; results are identical.
+    """
+    if strategy != "rows":
+        return _wide(diagnose_long(tables, [theme], strategy), PLANS[theme])
     plan = PLANS[theme]
     cohort = theme_filter(tables["customer_support"], theme).select("user_id", *_support_cols(plan))
     target = tables[plan.target].select(*_target_cols(plan))
@@ -65,6 +75,15 @@ def diagnose(tables: dict[str, DataFrame], theme: str) -> DataFrame:
     return joined.agg(*aggs)
 
 
+def _wide(long_df: DataFrame, plan: DiagnosticPlan) -> DataFrame:
+    """Pivot one theme's tidy rows back to its result columns."""
+    cols = [F.expr(f"max(CASE WHEN metric = '{m.alias}' THEN "
+                   f"{'n' if m.agg == 'count' else 'value'} END)").alias(m.alias) for m in plan.metrics]
+    if plan.group_by:
+        return long_df.groupBy(F.col("group_key").alias(plan.group_by)).agg(*cols)
+    return long_df.agg(*cols)
+
+
 # Cohorts up to this many tickets are broadcast (user_id, theme and at most two
 # numeric ticket columns: a few tens of MB). Checked with a bounded count.
 BROADCAST_MAX_TICKETS = 1_000_000
