@@ -68,14 +68,20 @@ def batch_infer(df: DataFrame, col: str, infer: Callable[[pd.Series], pd.Series]
 
     ``infer`` maps a pandas Series of prompts to a Series of replies; replies
     are whitespace-stripped. With ``dedupe`` the distinct texts are inferred
-    (partial aggregation collapses copies before the shuffle) and joined back;
-    AQE splits a skewed join key. ``wrap`` sends '<review>' + text + '</review>'.
+    and joined back. Texts are keyed by their SHA-256: the distinct step
+    shuffles on the 64-character digest (partial aggregation collapses copies
+    of a text inside each map task first), and the join back moves only
+    (digest, reply) pairs, never a second copy of the text. AQE splits a
+    skewed digest on the review side. ``wrap`` sends '<review>' + text + '</review>'.
     """
     if dedupe:
-        texts = df.select(col).where(F.col(col).isNotNull()).distinct()
+        key = "_text_sha256"
+        keyed = df.withColumn(key, F.sha2(F.col(col), 256))
+        texts = (keyed.where(F.col(col).isNotNull()).groupBy(key)
+                 .agg(F.any_value(F.col(col)).alias(col)))
         replies = texts.mapInPandas(lambda it: _infer_frames(it, col, out, infer, wrap),
-                                    f"`{col}` string, `{out}` string")
-        return df.join(replies, col, "left")
+                                    f"`{key}` string, `{col}` string, `{out}` string").drop(col)
+        return keyed.join(replies, key, "left").drop(key)
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType())])
     return df.mapInPandas(lambda it: _infer_frames(it, col, out, infer, wrap), schema)
 

@@ -16,23 +16,25 @@ from pyspark.sql import functions as F
 from rootcause.functions.uniform import uniform
 from rootcause.session import reliable_checkpoint
 
-# Up to this many rows the ordered ``limit`` (per-task top-k, then a k-row
-# merge) is used; above it, the histogram threshold below.
-TOPK_IN_ONE_TASK = 100_000
+# The ordered ``limit`` keeps k rows per input partition and merges them in one
+# task, which therefore receives partitions x k rows. It is used only while that
+# product is at most TOPK_MERGE_ROWS; beyond it, the histogram threshold below.
+TOPK_MERGE_ROWS = 2_000_000
 HIST_BINS = 1 << 20
 
 
 def _smallest_k_flag(df: DataFrame, score: str, key: str, k: int, flag: str) -> DataFrame:
-    """Mark the k rows with the smallest (score, key); score is in [0, 1).
+    """Mark the k rows with the smallest (score, key); score is in [0, 1) and
+    ``key`` is unique.
 
-    Large k: count rows per score bin (at most HIST_BINS groups, partial
+    Small k x partitions: Spark's bounded top-k. Otherwise: count rows per score bin (at most HIST_BINS groups, partial
     aggregation before the shuffle), find the boundary bin on that small
     table, then rank only the rows of the boundary bin. Bins are uniform in
     the score, so the boundary bin holds about n / HIST_BINS rows.
     """
     if k <= 0:
         return df.withColumn(flag, F.lit(False))
-    if k <= TOPK_IN_ONE_TASK:
+    if k * df.rdd.getNumPartitions() <= TOPK_MERGE_ROWS:
         top = df.select(key, score).orderBy(score, key).limit(k).select(key, F.lit(True).alias(flag))
         return df.join(top, key, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 

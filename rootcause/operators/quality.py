@@ -22,13 +22,32 @@ from rootcause.themes import TIMEOUT_CODE, TIMEOUT_LATENCY_MS
 RULE_SCHEMA = "table_name string, rule string, violations long"
 
 
-def _per_table_counts(tagged: DataFrame, tables: list[str], rule: str) -> DataFrame:
-    """Rows per table_name of ``tagged``, 0 for tables without rows, as rule rows."""
-    names = tagged.sparkSession.createDataFrame([(t,) for t in tables], "table_name string")
-    counts = tagged.groupBy("table_name").agg(F.count(F.lit(1)).alias("violations"))
-    return names.join(counts, "table_name", "left").select(
-        "table_name", F.lit(rule).alias("rule"),
-        F.coalesce(F.col("violations"), F.lit(0).cast("long")).alias("violations"))
+def _counts_per_key(tagged: DataFrame, key: str, tables: list[str]) -> DataFrame:
+    """One row per key with the number of rows of each table (``_n0``...).
+
+    Partial aggregation collapses a hot key inside each map task, so the join
+    that follows meets one row per key, and the aggregate is already
+    partitioned on the join key (one shuffle). Written as an aggregate
+    followed by a join to the distinct keys on the other side (not a semi or
+    anti join, which the optimizer would push below the aggregate)."""
+    return tagged.groupBy(key).agg(*[F.count(F.when(F.col("table_name") == F.lit(t), 1)).alias(f"_n{i}")
+                                     for i, t in enumerate(tables)])
+
+
+def _matching(counts: DataFrame, keys: DataFrame, key: str, matched: bool) -> DataFrame:
+    """Rows of ``counts`` whose key is (``matched``) or is not in ``keys``."""
+    marked = keys.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_hit", F.lit(True))
+    j = counts.join(marked, key, "left")
+    return j.where(F.col("_hit").isNotNull() if matched else F.col("_hit").isNull()).drop("_hit")
+
+
+def _per_table_rows(counts: DataFrame, tables: list[str], rule: str) -> DataFrame:
+    """Sum the per-table counts into one (table_name, rule, violations) row each."""
+    sums = counts.agg(*[F.coalesce(F.sum(f"_n{i}"), F.lit(0)).cast("long").alias(f"_n{i}")
+                        for i in range(len(tables))])
+    pairs = ", ".join(f"'{t}', _n{i}" for i, t in enumerate(tables))
+    return sums.selectExpr(f"stack({len(tables)}, {pairs}) AS (table_name, violations)") \
+               .select("table_name", F.lit(rule).alias("rule"), "violations")
 
 
 def _row(df: DataFrame, table: str, rule: str, violations) -> DataFrame:
@@ -59,8 +78,8 @@ def constraint_violations(tables: dict[str, DataFrame]) -> DataFrame:
             tables[t].select(F.lit(t).alias("table_name"), F.col(fk).alias("_k")).where(F.col(fk).isNotNull())
             for t in children])
         keys = tables[parent].select(F.col(pkey).alias("_k"))
-        dangling = tagged.join(keys, "_k", "left_anti")
-        parts.append(_per_table_counts(dangling, children, f"fk:{fk}->{parent}.{pkey}"))
+        dangling = _matching(_counts_per_key(tagged, "_k", children), keys, "_k", matched=False)
+        parts.append(_per_table_rows(dangling, children, f"fk:{fk}->{parent}.{pkey}"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -82,12 +101,14 @@ def telemetry_invariants(tables: dict[str, DataFrame], tolerance: float = 1e-6)
     activity = {"trades": trades, "financial_ledger": ledger, "app_performance": perf}
     tagged = reduce(DataFrame.unionByName, [t.select(F.lit(n).alias("table_name"), "user_id")
                                             for n, t in activity.items()])
-    parts = [_per_table_counts(tagged.join(defective, "user_id", "left_semi"), list(activity),
-                               "kyc_user_has_activity")]
+    active = _matching(_counts_per_key(tagged, "user_id", list(activity)), defective, "user_id", matched=True)
+    parts = [_per_table_rows(active, list(activity), "kyc_user_has_activity")]
     kyc_ticket_users = support.where(F.col("complaint_theme") == "KYC_ONBOARDING_EFFICIENCY").select("user_id")
     other = support.where(F.col("complaint_theme") != "KYC_ONBOARDING_EFFICIENCY").select("user_id")
-    parts.append(_row(other.join(kyc_ticket_users, "user_id", "left_semi"), "customer_support",
-                      "kyc_cohort_overlaps_other_theme", F.count(F.lit(1))))
+    other = _counts_per_key(other.withColumn("table_name", F.lit("customer_support")), "user_id",
+                            ["customer_support"])
+    parts.append(_per_table_rows(_matching(other, kyc_ticket_users, "user_id", matched=True),
+                                 ["customer_support"], "kyc_cohort_overlaps_other_theme"))
 
     # The three trade rules share one pass over trades.
     market = F.col("order_type").endswith("MARKET")
@@ -102,11 +123,37 @@ def telemetry_invariants(tables: dict[str, DataFrame], tolerance: float = 1e-6)
         "'trades' AS table_name",
         "stack(3, 'slippage_sign', a, 'price_bps_agreement', b, 'timeout_code_override', c) AS (rule, violations)"))
 
-    matched = (ledger.select("user_id", "balance_after_txn")
-               .join(users.select("user_id", "total_ledger_balance"), "user_id")
-               .groupBy("user_id")
-               .agg(F.max(F.when(F.abs(F.col("balance_after_txn") - F.col("total_ledger_balance")) < 0.005, 1)
-                          .otherwise(0)).alias("_hit")))
-    parts.append(_row(matched, "users", "final_balance_in_ledger",
-                      F.coalesce(F.sum(1 - F.col("_hit")), F.lit(0))))
+    parts.append(_row(_users_without_final_balance(ledger, users, 0.005), "users", "final_balance_in_ledger",
+                      F.count(F.lit(1))))
     return reduce(DataFrame.unionByName, parts)
+
+
+# Width of the join buckets of the final-balance check, in currency units.
+_BUCKET = 0.01
+
+
+def _users_without_final_balance(ledger: DataFrame, users: DataFrame, tol: float) -> DataFrame:
+    """Users with ledger rows none of which lies within ``tol`` of their
+    total_ledger_balance (one row per such user).
+
+    Plan: instead of joining every ledger row to its user and grouping by
+    user (a hot user's rows would meet in one task, and AQE cannot split a
+    skewed join that feeds an aggregate on the same key), ledger balances are
+    reduced to distinct (user, cent bucket, balance), and each user is sent to
+    the few buckets its tolerance window can touch. The equi-join on (user,
+    bucket) spreads a hot user over as many reducers as it has buckets; the
+    exact |balance - total| < tol test runs after the join.
+    """
+    bal, tot = F.col("balance_after_txn"), F.col("total_ledger_balance")
+    bucket = lambda c: F.floor(c / F.lit(_BUCKET)).cast("long")
+    cand = (ledger.where(bal.isNotNull()).groupBy("user_id", bucket(bal).alias("_b"), bal.alias("_bal"))
+            .agg(F.count(F.lit(1)).alias("_rows")))
+    # One spare bucket on each side absorbs floating rounding of the edges.
+    span = F.sequence(bucket(tot - F.lit(tol)) - 1, bucket(tot + F.lit(tol)) + 1)
+    windows = users.where(tot.isNotNull()).select("user_id", "total_ledger_balance",
+                                                  F.explode(span).alias("_b"))
+    hits = (cand.join(windows, ["user_id", "_b"])
+            .where(F.abs(F.col("_bal") - tot) < F.lit(tol)).select("user_id").distinct())
+    with_rows = ledger.select("user_id").distinct().join(
+        users.select("user_id").distinct().withColumn("_known", F.lit(True)), "user_id")
+    return _matching(with_rows, hits, "user_id", matched=False).select("user_id")

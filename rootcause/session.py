@@ -48,6 +48,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            # A machine-local folder is not visible to other executors and is
+            # lost with its machine: refuse rather than checkpoint into it.
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder when running on a cluster")
         root = tempfile.mkdtemp(prefix="rootcause-ckpt-")
         sc.setCheckpointDir(root)
     elif not sc.getCheckpointDir():

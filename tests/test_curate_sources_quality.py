@@ -78,3 +78,38 @@ def test_constraint_violations_detects(spark):
 def test_invariants_on_adapter(spark, tables):
     got = {r["rule"]: r["violations"] for r in Q.telemetry_invariants(tables).collect()}
     assert got["price_bps_agreement"] == 0 and got["timeout_code_override"] == 0 and got["slippage_sign"] == 0
+
+
+def test_final_balance_banded_join_matches_brute_force(spark):
+    import random
+    rnd = random.Random(7)
+    users = [(u, None if u == 9 else round(rnd.uniform(-500, 500), 2)) for u in range(1, 12)]
+    ledger, txn = [], 0
+    for u, t in users:
+        n = 400 if u == 1 else rnd.randint(0, 6)  # user 1 is hot
+        for _ in range(n):
+            txn += 1
+            base = t if t is not None else 0.0
+            # values straddling the tolerance edge, exact hits, far misses, nulls
+            b = rnd.choice([base + 0.004999, base - 0.004999, base + 0.005, base - 0.0051,
+                            base + 3.0, None, base])
+            ledger.append((txn, u, b if rnd.random() < 0.9 or b is None else base + 7.5))
+    ledger.append((txn + 1, 99, 1.0))  # user without a users row
+    udf = spark.createDataFrame(users, "user_id long, total_ledger_balance double")
+    ldf = spark.createDataFrame(ledger, "txn_id long, user_id long, balance_after_txn double").repartition(5)
+    got = sorted(r.user_id for r in Q._users_without_final_balance(ldf, udf, 0.005).collect())
+    totals = dict(users)
+    want = sorted({u for _, u, _ in ledger if u in totals} - {
+        u for _, u, b in ledger if u in totals and b is not None and totals[u] is not None
+        and abs(b - totals[u]) < 0.005})
+    assert got == want
+
+
+def test_fk_check_preaggregates_before_anti_join(spark, tables):
+    for df in (Q.constraint_violations(tables), Q.telemetry_invariants(tables)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        # no semi/anti join the optimizer could push below the per-key counts
+        assert "LeftAnti" not in plan and "LeftSemi" not in plan
+    plan = Q.constraint_violations(tables)._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join LeftOuter")
+    assert "Aggregate [_k#" in plan[join:]
