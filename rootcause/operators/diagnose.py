@@ -17,8 +17,6 @@ one row per (task, group) crosses the shuffle.
 from __future__ import annotations
 
 import weakref
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -131,11 +129,17 @@ def diagnose_long(tables: dict[str, DataFrame], themes=None, strategy: str = "au
     if strategy == "auto":
         strategy = ("broadcast" if cohort_fits_broadcast(tables["customer_support"], themes)
                     else "pre_aggregate")
+    if strategy not in ("broadcast", "pre_aggregate", "rows"):
+        raise ValueError(f"unknown strategy {strategy!r}")
     by_target: dict[str, list[DiagnosticPlan]] = {}
     for t in themes:
         by_target.setdefault(PLANS[t].target, []).append(PLANS[t])
-    parts = [_diagnose_target(tables, target, plans, strategy) for target, plans in by_target.items()]
-    return reduce(DataFrame.unionByName, parts)
+    # One SQL text for all targets: the plan is the same as composing
+    # DataFrame calls, but it is built in a handful of driver round trips.
+    parts = [_target_sql(target, plans, strategy) for target, plans in by_target.items()]
+    frames = {"support": tables["customer_support"], **{f"t_{t}": tables[t] for t in by_target}}
+    spark = tables["customer_support"].sparkSession
+    return spark.sql("\nUNION ALL\n".join(parts), **frames)
 
 
 def _metric_index(plans):
@@ -146,90 +150,97 @@ def _metric_index(plans):
     return metrics
 
 
-def _group_key(plans):
+def _in_list(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def _group_key_sql(plans) -> str:
     whens = " ".join(f"WHEN complaint_theme = '{p.theme}' THEN CAST({p.group_by} AS STRING)"
                      for p in plans if p.group_by)
-    return F.expr(f"CASE {whens} END" if whens else "CAST(NULL AS STRING)")
+    return f"CASE {whens} END" if whens else "CAST(NULL AS STRING)"
 
 
-def _with_seeds(joined: DataFrame, plans) -> DataFrame:
+def _seeds_sql(plans, n_before: int, n_after: int) -> str:
     """A global aggregate over an empty cohort is still one row in SQL. One
     all-null seed row per global theme gives that row (counts 0, averages
-    null) without touching any count or average of a non-empty cohort."""
-    global_themes = [p.theme for p in plans if p.group_by is None]
-    if not global_themes:
-        return joined
-    seeds = joined.sparkSession.createDataFrame([(t,) for t in global_themes], "complaint_theme string")
-    seeds = seeds.select(*[F.col("complaint_theme") if f.name == "complaint_theme"
-                           else F.lit(None).cast(f.dataType).alias(f.name) for f in joined.schema.fields])
-    return joined.unionByName(seeds)
+    null) without touching any count or average of a non-empty cohort. The
+    seed has ``n_before`` nulls, the theme, then ``n_after`` nulls (plain
+    NULLs take the column types in the union)."""
+    rows = []
+    for p in plans:
+        if p.group_by is None:
+            cols = ["NULL"] * n_before + [f"'{p.theme}'"] + ["NULL"] * n_after
+            rows.append("SELECT " + ", ".join(cols))
+    return "".join(f"\n  UNION ALL {r}" for r in rows)
 
 
-def _grouped_rows(tables, target, plans, metrics, broadcast_cohort: bool = False) -> DataFrame:
+def _rows_sql(target, plans, metrics, broadcast_cohort: bool) -> str:
     """Row-level plan: join every telemetry row to the cohort, then aggregate."""
-    themes = [p.theme for p in plans]
     support_cols = sorted({c for p in plans for c in _support_cols(p)})
     target_cols = []
     for p in plans:
         target_cols += [c for c in _target_cols(p) if c not in target_cols]
-    cohort = (tables["customer_support"].where(F.col("complaint_theme").isin(themes))
-              .select("user_id", "complaint_theme", *[F.col(c).alias("cs_" + c) for c in support_cols]))
-    if broadcast_cohort:
-        cohort = F.broadcast(cohort)
-    joined = tables[target].select(*target_cols).join(cohort, "user_id", "inner")
-    joined = _with_seeds(joined.withColumn("group_key", _group_key(plans)), plans)
+    cohort = (f"SELECT user_id, complaint_theme{''.join(f', {c} AS cs_{c}' for c in support_cols)} "
+              f"FROM {{support}} WHERE complaint_theme IN ({_in_list(p.theme for p in plans)})")
+    hint = "/*+ BROADCAST(c) */ " if broadcast_cohort else ""
+    joined = (f"SELECT {hint}{', '.join('t.' + c for c in target_cols)}, c.complaint_theme"
+              f"{''.join(f', c.cs_{c}' for c in support_cols)}, {_group_key_sql(plans)} AS group_key "
+              f"FROM (SELECT {', '.join(target_cols)} FROM {{t_{target}}}) t JOIN ({cohort}) c "
+              f"ON t.user_id = c.user_id"
+              + _seeds_sql(plans, len(target_cols), len(support_cols) + 1))
     aggs = []
     for (col, source, agg), i in metrics.items():
         c = "cs_" + col if source == "support" else col
-        aggs.append(F.expr(f"count({c})").alias(f"n{i}"))
+        aggs.append(f"count({c}) AS n{i}")
         if agg == "avg":
             dec = f"sum(CAST({c} AS {SUM_TYPE}))"
-            aggs += [F.expr(f"try_divide(CAST({dec} AS DOUBLE), count({c}))").alias(f"v{i}"),
-                     F.expr(f"CAST({dec} * 10000 AS BIGINT)").alias(f"s{i}")]
-    return joined.groupBy("complaint_theme", "group_key").agg(*aggs)
+            aggs += [f"try_divide(CAST({dec} AS DOUBLE), count({c})) AS v{i}",
+                     f"CAST({dec} * 10000 AS BIGINT) AS s{i}"]
+    return (f"SELECT complaint_theme, group_key, {', '.join(aggs)} FROM ({joined}) j "
+            f"GROUP BY complaint_theme, group_key")
 
 
-def _grouped_preaggregated(tables, target, plans, metrics) -> DataFrame:
+def _preaggregated_sql(target, plans, metrics) -> str:
     """Eager-aggregation plan: reduce both sides per user, then join."""
-    themes = [p.theme for p in plans]
     group_cols = sorted({p.group_by for p in plans if p.group_by})
     t_cols = sorted({c for (c, src, _) in metrics if src == "target"})
     s_cols = sorted({c for (c, src, _) in metrics if src == "support"})
-
-    t_aggs = [F.expr("count(1)").alias("_rows")]
-    for c in t_cols:
-        t_aggs += [F.expr(f"sum(CAST({c} AS {SUM_TYPE}))").alias("ts_" + c), F.expr(f"count({c})").alias("tn_" + c)]
-    tpart = tables[target].groupBy("user_id", *group_cols).agg(*t_aggs)
-
-    s_aggs = [F.expr("count(1)").alias("_tickets")]
-    for c in s_cols:
-        s_aggs += [F.expr(f"sum(CAST({c} AS {SUM_TYPE}))").alias("ss_" + c), F.expr(f"count({c})").alias("sn_" + c)]
-    spart = (tables["customer_support"].where(F.col("complaint_theme").isin(themes))
-             .groupBy("user_id", "complaint_theme").agg(*s_aggs))
-
-    joined = tpart.join(spart, "user_id", "inner")
-    joined = _with_seeds(joined.withColumn("group_key", _group_key(plans)), plans)
+    t_aggs = ["count(1) AS _rows"] + [f"sum(CAST({c} AS {SUM_TYPE})) AS ts_{c}, count({c}) AS tn_{c}"
+                                      for c in t_cols]
+    t_keys = ", ".join(["user_id", *group_cols])
+    tpart = f"SELECT {t_keys}, {', '.join(t_aggs)} FROM {{t_{target}}} GROUP BY {t_keys}"
+    s_aggs = ["count(1) AS _tickets"] + [f"sum(CAST({c} AS {SUM_TYPE})) AS ss_{c}, count({c}) AS sn_{c}"
+                                         for c in s_cols]
+    spart = (f"SELECT user_id, complaint_theme, {', '.join(s_aggs)} FROM {{support}} "
+             f"WHERE complaint_theme IN ({_in_list(p.theme for p in plans)}) GROUP BY user_id, complaint_theme")
+    tp_cols = ["user_id", *group_cols, "_rows", *[f"{x}_{c}" for c in t_cols for x in ("ts", "tn")]]
+    sp_cols = ["_tickets", *[f"{x}_{c}" for c in s_cols for x in ("ss", "sn")]]
+    joined = (f"SELECT {', '.join('tp.' + c for c in tp_cols)}, sp.complaint_theme, "
+              f"{', '.join('sp.' + c for c in sp_cols)}, {_group_key_sql(plans)} AS group_key "
+              f"FROM ({tpart}) tp JOIN ({spart}) sp ON tp.user_id = sp.user_id"
+              + _seeds_sql(plans, len(tp_cols), len(sp_cols) + 1))
     aggs = []
     for (col, source, agg), i in metrics.items():
         weight, total, cnt = (("_rows", "ss_" + col, "sn_" + col) if source == "support"
                               else ("_tickets", "ts_" + col, "tn_" + col))
         n = f"coalesce(sum({weight} * {cnt}), CAST(0 AS BIGINT))"
-        aggs.append(F.expr(n).alias(f"n{i}"))
+        aggs.append(f"{n} AS n{i}")
         if agg == "avg":
             total_sum = f"sum({weight} * {total})"
-            aggs += [F.expr(f"try_divide(CAST({total_sum} AS DOUBLE), {n})").alias(f"v{i}"),
-                     F.expr(f"CAST({total_sum} * 10000 AS BIGINT)").alias(f"s{i}")]
-    return joined.groupBy("complaint_theme", "group_key").agg(*aggs)
+            aggs += [f"try_divide(CAST({total_sum} AS DOUBLE), {n}) AS v{i}",
+                     f"CAST({total_sum} * 10000 AS BIGINT) AS s{i}"]
+    return (f"SELECT complaint_theme, group_key, {', '.join(aggs)} FROM ({joined}) j "
+            f"GROUP BY complaint_theme, group_key")
 
 
-def _diagnose_target(tables, target: str, plans: list[DiagnosticPlan], strategy: str) -> DataFrame:
+def _target_sql(target: str, plans: list[DiagnosticPlan], strategy: str) -> str:
+    """Tidy rows (complaint_theme, group_key, metric, agg, value, sum_e4, n)
+    of the themes sharing one target table."""
     metrics = _metric_index(plans)
     if strategy == "pre_aggregate":
-        grouped = _grouped_preaggregated(tables, target, plans, metrics)
-    elif strategy in ("broadcast", "rows"):
-        grouped = _grouped_rows(tables, target, plans, metrics, broadcast_cohort=strategy == "broadcast")
+        grouped = _preaggregated_sql(target, plans, metrics)
     else:
-        raise ValueError(f"unknown strategy {strategy!r}")
+        grouped = _rows_sql(target, plans, metrics, broadcast_cohort=strategy == "broadcast")
     entries = []
     for p in plans:
         for m in p.metrics:
@@ -237,9 +248,8 @@ def _diagnose_target(tables, target: str, plans: list[DiagnosticPlan], strategy:
             value, total = (f"v{i}", f"s{i}") if m.agg == "avg" else (f"CAST(n{i} AS DOUBLE)", "CAST(NULL AS BIGINT)")
             entries.append(f"CASE WHEN complaint_theme = '{p.theme}' THEN named_struct('metric', '{m.alias}', "
                            f"'agg', '{m.agg}', 'value', {value}, 'sum_e4', {total}, 'n', n{i}) END")
-    return grouped.selectExpr(
-        "complaint_theme", "group_key",
-        f"inline(filter(array({', '.join(entries)}), x -> x IS NOT NULL))")
+    return (f"SELECT complaint_theme, group_key, inline(filter(array({', '.join(entries)}), x -> x IS NOT NULL)) "
+            f"FROM ({grouped}) g")
 
 
 # ---------------------------------------------------------------- SQL access
