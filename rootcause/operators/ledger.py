@@ -1,32 +1,49 @@
 """Ledger replay and per-user state (ops G5, G6, G9).
 
-The balance fold is sequential per user and not a running sum: a withdrawal
-takes at most the current balance and does nothing once the balance is at or
-below zero, so each step depends on the previous result.
-
-Plan: starting balances and transactions are unioned (no join), hash
-partitioned by user and sorted within partitions by (user, start-first,
-sequence). One Arrow-batched pass then folds each user's rows in order,
-carrying the running balance across batch boundaries. No user's history is
-ever held in memory as a group: a user with a huge history streams through
-the sort (which spills) and the fold one batch at a time.
+The balance fold is not a running sum: a withdrawal takes at most the
+current balance and does nothing once the balance is at or below zero, so
+each step depends on the previous result.
+
+Plan for ordinary users: starting balances and transactions are unioned (no
+join), hash partitioned by user and sorted within partitions by (user,
+start-first, sequence). One Arrow-batched pass then folds each user's rows in
+order, carrying the running balance across batch boundaries. No history is
+held in memory as a group; it streams through the sort (which spills) and the
+fold one batch at a time.
+
+Plan for hot users (more than ``hot_rows`` transactions): their histories are
+range partitioned by (user, sequence), so Spark cuts each into contiguous
+chunks on different tasks. Each (partition, user) segment is summarised as
+the composition of its steps, a function of the entry balance (see
+``StepSummary``); a per-user pass over at most one summary per partition
+gives every segment its entry balance and position; then all segments are
+folded in parallel from their entries. A segment whose summary would exceed
+``MAX_PIECES`` pieces is not summarised: that user is folded in order like an
+ordinary one, so results stay exact.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rootcause.functions.finance import margin_balance
+from rootcause.session import reliable_checkpoint
 
 DEPOSIT = "DEPOSIT"
 WITHDRAWAL = "WITHDRAWAL"
 
 REPLAY_SCHEMA = "txn_id long, user_id long, txn_seq long, balance_after_txn double"
 
+# Users with more transactions than this are split across tasks.
+HOT_USER_ROWS = 1_000_000
+# Segment summaries with more pieces than this are not carried (exact fallback).
+MAX_PIECES = 64
+
 
 def apply_txn(balance: float | None, txn_type: str | None, amount: float | None) -> float | None:
     """One step of the fold: deposits add; a withdrawal takes
@@ -75,33 +92,232 @@ def _fold(batches):
                                 "balance_after_txn": pd.array(out_bal, dtype="Float64")})
 
 
-def replay_ledger(starts: DataFrame, events: DataFrame, seq: list[str],
-                  partitions: int | None = None) -> DataFrame:
-    """Per-transaction balance after an ordered fold from each user's start (op G5).
-
-    Output: (txn_id, user_id, txn_seq = 1-based position in the user's order,
-    balance_after_txn).
+class StepSummary:
+    """The fold over a run of transactions as a function of the balance before
+    the run.
 
-    ``starts``: (user_id, start_balance); ``events``: (user_id, txn_id,
-    txn_type, amount, *seq). Transactions are applied in (seq..., txn_id)
-    order. Users without a start row are skipped.
+    Every step is monotone and piecewise either ``x + c`` or constant, and so
+    is any composition. Pieces cover (end[i-1], end[i]] (the first starts at
+    -inf, the last ends at +inf); kind 0 is ``x + param + off``, kind 1 the
+    constant ``param + off``. Deposits and debits only move ``off``; a
+    withdrawal splits pieces where the balance crosses 0 and the amount, so
+    a run has at most two pieces per withdrawal, usually far fewer once
+    equal neighbours merge. A missing amount makes the result unknown
+    (``dead``), as in the row-by-row fold.
     """
-    spark = events.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seq_cols = [F.col(c) for c in seq]
+
+    __slots__ = ("ends", "kinds", "params", "off", "dead")
+
+    def __init__(self, ends=None, kinds=None, params=None, off=0.0, dead=False):
+        self.ends = list(ends) if ends is not None else [math.inf]
+        self.kinds = list(kinds) if kinds is not None else [0]
+        self.params = list(params) if params is not None else [0.0]
+        self.off, self.dead = off, dead
+
+    def step(self, txn_type, amount) -> None:
+        if self.dead:
+            return
+        if amount is None:
+            self.dead = True
+        elif txn_type == DEPOSIT:
+            self.off += amount
+        elif txn_type == WITHDRAWAL:
+            self._withdraw(amount)
+        else:
+            self.off -= amount
+
+    def _withdraw(self, a: float) -> None:
+        ends, kinds, params = [], [], []
+
+        def emit(end, kind, param):
+            if kinds and kinds[-1] == kind and params[-1] == param:
+                ends[-1] = end
+            else:
+                ends.append(end)
+                kinds.append(kind)
+                params.append(param)
+
+        start = -math.inf
+        for end, kind, param in zip(self.ends, self.kinds, self.params):
+            p = param + self.off
+            if kind == 1:  # constant v: the step itself
+                emit(end, 1, p if p <= 0 else p - min(p, a))
+            else:          # x + p: unchanged while x + p <= 0, capped up to a, then x + p - a
+                t0, ta = -p, a - p
+                if min(end, t0) > start:
+                    emit(min(end, t0), 0, p)
+                if a > 0 and min(end, ta) > max(start, t0):
+                    emit(min(end, ta), 1, 0.0)
+                if end > max(start, ta if a > 0 else t0):
+                    emit(end, 0, p - a)
+            start = end
+        self.ends, self.kinds, self.params, self.off = ends, kinds, params, 0.0
+
+    def __call__(self, balance):
+        if self.dead or balance is None:
+            return None
+        i = bisect_left(self.ends, balance)
+        base = balance + self.params[i] if self.kinds[i] == 0 else self.params[i]
+        return base + self.off
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+
+SUMMARY_SCHEMA = ("_pid int, user_id long, n long, complex boolean, dead boolean, "
+                  "ends array<double>, kinds array<int>, params array<double>, off double")
+ENTRY_SCHEMA = "_pid int, user_id long, _entry double, _offset long"
+
+
+def _summarise(batches, max_pieces: int):
+    """Pass A: one summary row per (partition, user) segment."""
+    rows = []
+    key, summ, n, too_big = None, None, 0, False
+
+    def flush():
+        if key is None:
+            return
+        big = too_big or len(summ) > max_pieces
+        rows.append((key[0], key[1], n, big, summ.dead, [] if big else summ.ends,
+                     [] if big else summ.kinds, [] if big else summ.params, summ.off))
+
+    for b in batches:
+        for pid, uid, typ, amt in zip(b["_pid"].tolist(), b["user_id"].tolist(),
+                                      b["txn_type"].tolist(), b["amount"].tolist()):
+            if (pid, uid) != key:
+                flush()
+                key, summ, n, too_big = (pid, uid), StepSummary(), 0, False
+            n += 1
+            if not too_big:
+                summ.step(typ, _nz(amt))
+                too_big = len(summ) > max_pieces
+    flush()
+    if rows:
+        yield pd.DataFrame(rows, columns=["_pid", "user_id", "n", "complex", "dead", "ends", "kinds",
+                                          "params", "off"])
+
+
+def _chain(df: pd.DataFrame) -> pd.DataFrame:
+    """Per hot user: entry balance and position of each segment, in order.
+    At most one row per partition of the hot data reaches this group."""
+    df = df.sort_values("_pid")
+    if df["complex"].any() or not df["_started"].iloc[0]:
+        return pd.DataFrame({"_pid": [], "user_id": [], "_entry": [], "_offset": []})
+    bal, offset = _nz(df["start_balance"].iloc[0]), 0
+    pids, entries, offsets = [], [], []
+    for pid, n, dead, ends, kinds, params, off in zip(
+            df["_pid"].tolist(), df["n"].tolist(), df["dead"].tolist(), df["ends"], df["kinds"],
+            df["params"], df["off"].tolist()):
+        pids.append(pid)
+        entries.append(bal)
+        offsets.append(offset)
+        f = StepSummary(list(ends), [int(k) for k in kinds], list(params), off, bool(dead))
+        bal = _nz(f(bal))
+        offset += int(n)
+    uid = int(df["user_id"].iloc[0])
+    return pd.DataFrame({"_pid": pd.array(pids, dtype="Int32"), "user_id": pd.array([uid] * len(pids), dtype="Int64"),
+                         "_entry": pd.array(entries, dtype="Float64"), "_offset": pd.array(offsets, dtype="Int64")})
+
+
+def _fold_segments(batches):
+    """Pass B: fold every segment from its entry balance."""
+    key, bal, pos = None, None, 0
+    for b in batches:
+        out_txn, out_uid, out_pos, out_bal = [], [], [], []
+        for pid, uid, txn, typ, amt, entry, offset in zip(
+                b["_pid"].tolist(), b["user_id"].tolist(), b["txn_id"].tolist(), b["txn_type"].tolist(),
+                b["amount"].tolist(), b["_entry"].tolist(), b["_offset"].tolist()):
+            if (pid, uid) != key:
+                key, bal, pos = (pid, uid), _nz(entry), int(offset)
+            bal = apply_txn(bal, typ, _nz(amt))
+            pos += 1
+            out_txn.append(txn)
+            out_uid.append(uid)
+            out_pos.append(pos)
+            out_bal.append(bal)
+        if out_txn:
+            yield pd.DataFrame({"txn_id": pd.array(out_txn, dtype="Int64"),
+                                "user_id": pd.array(out_uid, dtype="Int64"),
+                                "txn_seq": pd.array(out_pos, dtype="Int64"),
+                                "balance_after_txn": pd.array(out_bal, dtype="Float64")})
+
+
+def _replay_in_order(starts: DataFrame, events: DataFrame, seq: list[str], n: int) -> DataFrame:
+    """Every user's rows folded in order by one task (hash partitioned by user)."""
     s = starts.select(
         F.col("user_id").cast("long"), F.lit(0).alias("_kind"),
         *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in seq],
         F.lit(None).cast("long").alias("txn_id"), F.lit(None).cast("string").alias("txn_type"),
         F.col("start_balance").cast("double").alias("amount"))
     e = events.select(
-        F.col("user_id").cast("long"), F.lit(1).alias("_kind"), *seq_cols,
+        F.col("user_id").cast("long"), F.lit(1).alias("_kind"), *[F.col(c) for c in seq],
         F.col("txn_id").cast("long"), F.col("txn_type"), F.col("amount").cast("double"))
     ordered = (s.unionByName(e).repartition(n, "user_id")
                .sortWithinPartitions("user_id", "_kind", *seq, "txn_id"))
     return ordered.select("user_id", "_kind", "txn_id", "txn_type", "amount").mapInPandas(_fold, REPLAY_SCHEMA)
 
 
+def _replay_split(starts: DataFrame, events: DataFrame, seq: list[str], parts: int) -> tuple[DataFrame, DataFrame]:
+    """Hot users' histories cut into range partitions and folded in parallel.
+    Returns (replayed rows, ids of users left to the in-order fold)."""
+    order = ["user_id", *seq, "txn_id"]
+    ev = events.select(F.col("user_id").cast("long"), *[F.col(c) for c in seq], F.col("txn_id").cast("long"),
+                       "txn_type", F.col("amount").cast("double"))
+    # Checkpointed so both passes see the same partitions in the same order.
+    chunks = reliable_checkpoint(ev.repartitionByRange(parts, *order).sortWithinPartitions(*order)) \
+        .withColumn("_pid", F.spark_partition_id())
+    max_pieces = MAX_PIECES
+    summaries = chunks.select("_pid", "user_id", "txn_type", "amount").mapInPandas(
+        lambda it: _summarise(it, max_pieces), SUMMARY_SCHEMA)
+    summaries = reliable_checkpoint(summaries)
+    first_start = starts.groupBy(F.col("user_id").cast("long").alias("user_id")).agg(
+        F.first(F.col("start_balance").cast("double")).alias("start_balance"))
+    entries = (summaries.join(first_start.withColumn("_started", F.lit(True)), "user_id", "left")
+               .withColumn("_started", F.coalesce(F.col("_started"), F.lit(False)))
+               .groupBy("user_id").applyInPandas(_chain, ENTRY_SCHEMA))
+    # One entry per (partition, user) segment: at most partitions + hot users
+    # rows, so the broadcast is bounded by the partition count.
+    replayed = (chunks.join(F.broadcast(entries), ["_pid", "user_id"])
+                .sortWithinPartitions("_pid", *order)
+                .select("_pid", "user_id", "txn_id", "txn_type", "amount", "_entry", "_offset")
+                .mapInPandas(_fold_segments, REPLAY_SCHEMA))
+    in_order = summaries.where("complex").select("user_id").distinct()
+    return replayed, in_order
+
+
+def replay_ledger(starts: DataFrame, events: DataFrame, seq: list[str],
+                  partitions: int | None = None, hot_rows: int = HOT_USER_ROWS) -> DataFrame:
+    """Per-transaction balance after an ordered fold from each user's start (op G5).
+
+    Output: (txn_id, user_id, txn_seq = 1-based position in the user's order,
+    balance_after_txn).
+
+    ``starts``: (user_id, start_balance); ``events``: (user_id, txn_id,
+    txn_type, amount, *seq). Transactions are applied in (seq..., txn_id)
+    order. Users without a start row are skipped. Users with more than
+    ``hot_rows`` transactions are split across tasks (module docstring).
+    """
+    spark = events.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = events.groupBy(F.col("user_id").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") > hot_rows)
+    stats = hot.agg(F.count(F.lit(1)).alias("users"), F.sum("_n").alias("rows")).first()
+    if not stats["users"]:
+        return _replay_in_order(starts, events, seq, n)
+    parts = max(n, -(-int(stats["rows"]) // hot_rows))
+    hot_ids = reliable_checkpoint(hot.select("user_id"))
+
+    def only(df, ids, how):
+        return df.join(ids, F.col("user_id").cast("long") == ids["_hid"], how)
+
+    ids = hot_ids.withColumnRenamed("user_id", "_hid")
+    split, in_order = _replay_split(only(starts, ids, "left_semi"), only(events, ids, "left_semi"), seq, parts)
+    in_order_ids = in_order.withColumnRenamed("user_id", "_hid")
+    cold_ids = hot_ids.join(in_order, "user_id", "left_anti").withColumnRenamed("user_id", "_hid")
+    rest = _replay_in_order(only(starts, cold_ids, "left_anti"), only(events, cold_ids, "left_anti"), seq, n)
+    return rest.unionByName(split)
+
+
 def latest_state(df: DataFrame, key: str, seq: list[str], cols: list[str]) -> DataFrame:
     """Each key's last row by ``seq`` (op G9), as a partial+final aggregate."""
     last = F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(*[F.col(c) for c in seq]))

@@ -111,3 +111,49 @@ def test_cohort_tickets_match_predicates(spark, tables):
             assert u["kyc_status"] != "APPROVED" and 4 <= r["support_interaction_count"] <= 6
         else:
             assert 1 <= r["support_interaction_count"] <= 3
+
+
+def _random_ledger(seed, users, rows):
+    import random
+    rnd = random.Random(seed)
+    types = ["DEPOSIT", "WITHDRAWAL", "WITHDRAWAL", "AMC_FEE", "MARGIN_PENALTY"]
+    events = []
+    for t in range(rows):
+        uid = 1 if rnd.random() < 0.4 else rnd.randint(2, users)   # user 1 holds ~40% of rows
+        amt = None if rnd.random() < 0.003 else rnd.choice([round(rnd.uniform(0, 300), 2), 0.0, 50.0])
+        events.append((uid, 10_000 + t, rnd.choice(types), amt, rnd.randint(0, rows // 3)))
+    starts = {u: (None if u == 3 else round(rnd.uniform(-200, 400), 2)) for u in range(1, users + 1) if u != 4}
+    return starts, events
+
+
+@pytest.mark.parametrize("max_pieces", [64, 10, 3])
+def test_split_replay_matches_brute_force(spark, max_pieces, monkeypatch):
+    monkeypatch.setattr(LG, "MAX_PIECES", max_pieces)
+    starts, events = _random_ledger(11, 12, 1500)
+    sdf = spark.createDataFrame(list(starts.items()), "user_id long, start_balance double")
+    edf = spark.createDataFrame(events, "user_id long, txn_id long, txn_type string, amount double, txn_ts long")
+    want = _brute_force(starts, [dict(user_id=u, txn_id=t, txn_type=k, amount=a, txn_ts=ts)
+                                 for u, t, k, a, ts in events])
+    got = {r["txn_id"]: (r["user_id"], r["txn_seq"], r["balance_after_txn"])
+           for r in LG.replay_ledger(sdf, edf.repartition(6), ["txn_ts"], partitions=4, hot_rows=40).collect()}
+    assert got.keys() == want.keys()
+    for k, (u, i, b) in want.items():
+        gu, gi, gb = got[k]
+        assert (gu, gi) == (u, i)
+        assert (b is None and gb is None) or abs(gb - b) <= 1e-6 * max(1.0, abs(b)), (k, b, gb)
+
+
+def test_step_summary_equals_fold():
+    import random
+    rnd = random.Random(5)
+    types = ["DEPOSIT", "WITHDRAWAL", "AMC_FEE"]
+    for _ in range(200):
+        steps = [(rnd.choice(types), rnd.choice([rnd.uniform(-20, 120), 0.0, 30.0])) for _ in range(rnd.randint(0, 12))]
+        f = LG.StepSummary()
+        for t, a in steps:
+            f.step(t, a)
+        for b in [-150.0, -30.0, -0.5, 0.0, 0.25, 10.0, 30.0, 45.5, 99.0, 500.0] + [rnd.uniform(-200, 200) for _ in range(5)]:
+            want = b
+            for t, a in steps:
+                want = LG.apply_txn(want, t, a)
+            assert abs(f(b) - want) <= 1e-9 * max(1.0, abs(want)), (steps, b, f(b), want)
