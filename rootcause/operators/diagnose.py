@@ -58,7 +58,7 @@ def diagnose(tables: dict[str, DataFrame], theme: str, strategy: str = "auto") -
     back to the same schema; results are identical.
     """
     if strategy != "rows":
-        return _wide(diagnose_long(tables, [theme], strategy), PLANS[theme])
+        return _wide(tables, PLANS[theme], strategy)
     plan = PLANS[theme]
     cohort = theme_filter(tables["customer_support"], theme).select("user_id", *_support_cols(plan))
     target = tables[plan.target].select(*_target_cols(plan))
@@ -73,13 +73,20 @@ def diagnose(tables: dict[str, DataFrame], theme: str, strategy: str = "auto") -
     return joined.agg(*aggs)
 
 
-def _wide(long_df: DataFrame, plan: DiagnosticPlan) -> DataFrame:
-    """Pivot one theme's tidy rows back to its result columns."""
-    cols = [F.expr(f"max(CASE WHEN metric = '{m.alias}' THEN "
-                   f"{'n' if m.agg == 'count' else 'value'} END)").alias(m.alias) for m in plan.metrics]
-    if plan.group_by:
-        return long_df.groupBy(F.col("group_key").alias(plan.group_by)).agg(*cols)
-    return long_df.agg(*cols)
+def _wide(tables: dict[str, DataFrame], plan: DiagnosticPlan, strategy: str) -> DataFrame:
+    """One theme's result columns straight from its grouped aggregate (the
+    grouped rows are already wide: one row per group key)."""
+    if strategy == "auto":
+        strategy = "broadcast" if cohort_fits_broadcast(tables["customer_support"], [plan.theme]) else "pre_aggregate"
+    if strategy not in ("broadcast", "pre_aggregate"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    metrics = _metric_index([plan])
+    cols = ([f"group_key AS {plan.group_by}"] if plan.group_by else []) + [
+        f"{'n' if m.agg == 'count' else 'v'}{metrics[(m.column, m.source, m.agg)]} AS {m.alias}"
+        for m in plan.metrics]
+    sql = f"SELECT {', '.join(cols)} FROM ({_grouped_sql(plan.target, [plan], metrics, strategy)}) g"
+    return tables["customer_support"].sparkSession.sql(
+        sql, support=tables["customer_support"], **{f"t_{plan.target}": tables[plan.target]})
 
 
 # Cohorts up to this many tickets are broadcast (user_id, theme and at most two
@@ -233,14 +240,18 @@ def _preaggregated_sql(target, plans, metrics) -> str:
             f"GROUP BY complaint_theme, group_key")
 
 
+def _grouped_sql(target: str, plans, metrics, strategy: str) -> str:
+    """(complaint_theme, group_key, n<i>, v<i>, s<i>) per theme and group key."""
+    if strategy == "pre_aggregate":
+        return _preaggregated_sql(target, plans, metrics)
+    return _rows_sql(target, plans, metrics, broadcast_cohort=strategy == "broadcast")
+
+
 def _target_sql(target: str, plans: list[DiagnosticPlan], strategy: str) -> str:
     """Tidy rows (complaint_theme, group_key, metric, agg, value, sum_e4, n)
     of the themes sharing one target table."""
     metrics = _metric_index(plans)
-    if strategy == "pre_aggregate":
-        grouped = _preaggregated_sql(target, plans, metrics)
-    else:
-        grouped = _rows_sql(target, plans, metrics, broadcast_cohort=strategy == "broadcast")
+    grouped = _grouped_sql(target, plans, metrics, strategy)
     entries = []
     for p in plans:
         for m in p.metrics:

@@ -124,3 +124,12 @@ def test_pre_aggregation_with_repeated_tickets_and_hot_user(spark):
     r = D.diagnose(T, "SYSTEM_STABILITY").first()
     long = {x["metric"]: x["value"] for x in D.diagnose_long(T, ["SYSTEM_STABILITY"]).collect()}
     assert long["avg_api_5xx_error_rate_pct"] == r["avg_api_5xx_error_rate_pct"]
+
+
+def test_single_theme_strategies_agree(spark, tables):
+    for theme in D.PLANS:
+        want = D.diagnose(tables, theme, strategy="rows")
+        for strategy in ("auto", "broadcast", "pre_aggregate"):
+            got = D.diagnose(tables, theme, strategy=strategy)
+            assert got.columns == want.columns, (theme, strategy)
+            assert rows(got) == rows(want), (theme, strategy)
