@@ -146,14 +146,14 @@ def _users_without_final_balance(ledger: DataFrame, users: DataFrame, tol: float
     """
     bal, tot = F.col("balance_after_txn"), F.col("total_ledger_balance")
     bucket = lambda c: F.floor(c / F.lit(_BUCKET)).cast("long")
-    cand = (ledger.where(bal.isNotNull()).groupBy("user_id", bucket(bal).alias("_b"), bal.alias("_bal"))
-            .agg(F.count(F.lit(1)).alias("_rows")))
+    # Null balances stay (bucket null: they match nothing but mark the user).
+    cand = ledger.groupBy("user_id", bucket(bal).alias("_b"), bal.alias("_bal")).agg(F.count(F.lit(1)).alias("_rows"))
     # One spare bucket on each side absorbs floating rounding of the edges.
     span = F.sequence(bucket(tot - F.lit(tol)) - 1, bucket(tot + F.lit(tol)) + 1)
     windows = users.where(tot.isNotNull()).select("user_id", "total_ledger_balance",
                                                   F.explode(span).alias("_b"))
     hits = (cand.join(windows, ["user_id", "_b"])
             .where(F.abs(F.col("_bal") - tot) < F.lit(tol)).select("user_id").distinct())
-    with_rows = ledger.select("user_id").distinct().join(
+    with_rows = cand.select("user_id").distinct().join(
         users.select("user_id").distinct().withColumn("_known", F.lit(True)), "user_id")
     return _matching(with_rows, hits, "user_id", matched=False).select("user_id")
