@@ -43,6 +43,9 @@ REPLAY_SCHEMA = "txn_id long, user_id long, txn_seq long, balance_after_txn doub
 HOT_USER_ROWS = 1_000_000
 # Segment summaries with more pieces than this are not carried (exact fallback).
 MAX_PIECES = 64
+# Hot-user id sets up to this size are broadcast to route rows map-side (the
+# exact count is known before the routing joins).
+MAX_BROADCAST_IDS = 2_000_000
 
 
 def apply_txn(balance: float | None, txn_type: str | None, amount: float | None) -> float | None:
@@ -307,8 +310,12 @@ def replay_ledger(starts: DataFrame, events: DataFrame, seq: list[str],
     parts = max(n, -(-int(stats["rows"]) // hot_rows))
     hot_ids = reliable_checkpoint(hot.select("user_id"))
 
+    # Routing rows by a known, counted id set: broadcast when the count allows,
+    # so a hot user's rows never meet in one reducer just to be routed.
+    small = stats["users"] <= MAX_BROADCAST_IDS
+
     def only(df, ids, how):
-        return df.join(ids, F.col("user_id").cast("long") == ids["_hid"], how)
+        return df.join(F.broadcast(ids) if small else ids, F.col("user_id").cast("long") == ids["_hid"], how)
 
     ids = hot_ids.withColumnRenamed("user_id", "_hid")
     split, in_order = _replay_split(only(starts, ids, "left_semi"), only(events, ids, "left_semi"), seq, parts)
