@@ -597,14 +597,16 @@ def _land_feed(spark, sf_dir, files: int = 3) -> str:
 def q_stream_categorise(spark, sf_dir):
     landing = _land_feed(spark, sf_dir)
     sink, ckpt = scratch_dir(spark, "labelled"), scratch_dir(spark, "ckpt-labelled")
-    ST.stream_categorise(spark, landing, sink, ckpt, _FEED_SCHEMA).awaitTermination()
+    # One file per micro-batch, so the sink is built over several batches.
+    ST.stream_categorise(spark, landing, sink, ckpt, _FEED_SCHEMA, max_files=1).awaitTermination()
     return spark.read.parquet(sink).select("seq", "score", CATEGORY_COL)
 
 
 @register("stream_distribution", O.with_adapters(_DIST_SQL))
 def q_stream_distribution(spark, sf_dir):
-    import uuid
     landing = _land_feed(spark, sf_dir)
-    name = "category_counts_" + uuid.uuid4().hex[:8]
-    ST.stream_distribution(spark, landing, scratch_dir(spark, "ckpt-counts"), _FEED_SCHEMA, name).awaitTermination()
-    return spark.table(name)
+    out = scratch_dir(spark, "category-counts")
+    # One file per micro-batch, so the counts carry state across batches.
+    ST.stream_distribution(spark, landing, scratch_dir(spark, "ckpt-counts"), _FEED_SCHEMA, out,
+                           max_files=1).awaitTermination()
+    return spark.read.parquet(out)

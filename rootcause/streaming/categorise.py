@@ -2,9 +2,10 @@
 
 H1 labels reviews as files land and appends them to a sink, exactly once per
 file thanks to the checkpoint. H2 keeps a running count per category
-(complete mode). Both run with ``availableNow`` so a backlog drains in
-micro-batches and the query stops; on a cluster the same code runs with a
-processing-time trigger.
+(complete mode) and rewrites it as a table after every micro-batch. Both run
+with ``availableNow`` so a backlog drains and the query stops; on a cluster
+the same code runs with a processing-time trigger. ``max_files`` caps the
+files per micro-batch (unset: Spark takes what is available).
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ from rootcause.plans.lexicons import CORPUS_RULES
 from rootcause.schemas import CATEGORY_COL
 
 
-def _source(spark: SparkSession, src: str, schema: T.StructType, fmt: str, max_files: int) -> DataFrame:
-    return (spark.readStream.schema(schema).format(fmt)
-            .option("maxFilesPerTrigger", max_files).load(src))
+def _source(spark: SparkSession, src: str, schema: T.StructType, fmt: str, max_files: int | None) -> DataFrame:
+    reader = spark.readStream.schema(schema).format(fmt)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.load(src)
 
 
 def stream_categorise(spark: SparkSession, src: str, sink: str, checkpoint: str, schema: T.StructType,
-                      rules=CORPUS_RULES, fmt: str = "parquet", max_files: int = 1,
+                      rules=CORPUS_RULES, fmt: str = "parquet", max_files: int | None = None,
                       text_col: str = "content"):
     """Label each landed review and append it to ``sink`` (op H1). Returns the
     started query; call ``awaitTermination()`` (availableNow stops by itself)."""
@@ -36,14 +39,22 @@ def stream_categorise(spark: SparkSession, src: str, sink: str, checkpoint: str,
 
 
 def stream_distribution(spark: SparkSession, src: str, checkpoint: str, schema: T.StructType,
-                        query_name: str, rules=CORPUS_RULES, fmt: str = "parquet", max_files: int = 1,
+                        out_path: str, rules=CORPUS_RULES, fmt: str = "parquet", max_files: int | None = None,
                         text_col: str = "content"):
-    """Running count per category over the landed reviews (op H2), kept in a
-    memory table named ``query_name`` (complete mode: each micro-batch
-    rewrites the whole, small, result)."""
+    """Running count per category over the landed reviews (op H2).
+
+    Complete mode: after each micro-batch the whole (small: one row per
+    category) result overwrites the table at ``out_path``. Rewriting the
+    complete result is idempotent, so a replayed batch after a failure leaves
+    the same table; the counts themselves live in the checkpointed state store.
+    """
     labelled = _source(spark, src, schema, fmt, max_files).withColumn(
         CATEGORY_COL, classify_by_rules(text_col, rules))
     counts = (labelled.where(F.col(CATEGORY_COL).isNotNull()).groupBy(CATEGORY_COL)
               .agg(F.count(F.lit(1)).alias("Count")).withColumnRenamed(CATEGORY_COL, "Category"))
-    return (counts.writeStream.format("memory").queryName(query_name).outputMode("complete")
+
+    def publish(batch: DataFrame, _epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(out_path)
+
+    return (counts.writeStream.outputMode("complete").foreachBatch(publish)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
