@@ -59,3 +59,18 @@ def test_small_k_uses_bounded_top_k(spark):
     df = spark.range(1000).withColumnRenamed("id", "user_id")
     first, _ = G.split_exact(df, "user_id", 10, "s")
     assert "TakeOrderedAndProject" in _plan(first)
+
+
+def test_hot_ledger_users_are_range_partitioned(spark):
+    from pyspark.sql import functions as F
+    from rootcause.operators import ledger as LG
+    events = spark.range(400).select(
+        F.when(F.col("id") < 300, 1).otherwise(F.col("id") % 7 + 2).cast("long").alias("user_id"),
+        F.col("id").alias("txn_id"), F.lit("DEPOSIT").alias("txn_type"), F.lit(1.0).alias("amount"),
+        F.col("id").alias("txn_ts"))
+    starts = spark.range(1, 10).select(F.col("id").alias("user_id"), F.lit(0.0).alias("start_balance"))
+    split, _ = LG._replay_split(starts, events.where("user_id = 1"), ["txn_ts"], 6)
+    plan = _plan(split)
+    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+    rows = LG.replay_ledger(starts, events, ["txn_ts"], partitions=4, hot_rows=100).where("user_id = 1")
+    assert sorted(r.txn_seq for r in rows.collect()) == list(range(1, 301))
