@@ -1,58 +1,60 @@
 """Data-quality checks (ops A6, G12).
 
 Declared keys are not enforced by the storage, so they are checked here: a
-primary-key check is a grouped count, a foreign-key check an anti join. The
-telemetry invariants of the generator (cohort isolation, slippage sign, price
-and bps agreement, rejection override, final balance) are checked the same
-way. Every check is one aggregate row (rule, violations); nothing is
-collected to the driver.
+primary-key check is a grouped count, a foreign-key check a match against the
+parent's keys. The telemetry invariants of the generator (cohort isolation,
+slippage sign, price and bps agreement, rejection override, final balance)
+are checked the same way. Every check is one aggregate row (rule,
+violations); nothing is collected to the driver.
+
+Plans: child rows are counted per key (one count column per child table,
+partial aggregation in the map tasks, so a hot key is one row at the join)
+and only then matched against the other side's distinct keys. The match is an
+aggregate followed by an outer join on purpose: written as a semi or anti
+join, the optimizer pushes the join back below the aggregate. Each check set
+is emitted as one SQL text over the bound tables, which builds the plan in a
+few driver round trips.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from rootcause.functions.finance import slippage_bps
 from rootcause.schemas import FOREIGN_KEYS, PRIMARY_KEYS
 from rootcause.themes import TIMEOUT_CODE, TIMEOUT_LATENCY_MS
 
 RULE_SCHEMA = "table_name string, rule string, violations long"
 
+# Width of the join buckets of the final-balance check, in currency units.
+_BUCKET = 0.01
+_KYC_THEME = "KYC_ONBOARDING_EFFICIENCY"
 
-def _counts_per_key(tagged: DataFrame, key: str, tables: list[str]) -> DataFrame:
-    """One row per key with the number of rows of each table (``_n0``...).
 
-    Partial aggregation collapses a hot key inside each map task, so the join
-    that follows meets one row per key, and the aggregate is already
-    partitioned on the join key (one shuffle). Written as an aggregate
-    followed by a join to the distinct keys on the other side (not a semi or
-    anti join, which the optimizer would push below the aggregate)."""
-    return tagged.groupBy(key).agg(*[F.count(F.when(F.col("table_name") == F.lit(t), 1)).alias(f"_n{i}")
-                                     for i, t in enumerate(tables)])
+def _run(tables: dict[str, DataFrame], parts: list[str]) -> DataFrame:
+    names = {n: df for n, df in tables.items() if "{" + n + "}" in "".join(parts)}
+    spark = next(iter(names.values())).sparkSession
+    return spark.sql("\nUNION ALL\n".join(parts), **names)
 
 
-def _matching(counts: DataFrame, keys: DataFrame, key: str, matched: bool) -> DataFrame:
-    """Rows of ``counts`` whose key is (``matched``) or is not in ``keys``."""
-    marked = keys.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_hit", F.lit(True))
-    j = counts.join(marked, key, "left")
-    return j.where(F.col("_hit").isNotNull() if matched else F.col("_hit").isNull()).drop("_hit")
+def _counts_sql(tagged: str, key: str, tables: list[str]) -> str:
+    """One row per key with the number of rows of each table (``_n0``...)."""
+    cols = ", ".join(f"count(CASE WHEN table_name = '{t}' THEN 1 END) AS _n{i}" for i, t in enumerate(tables))
+    return f"SELECT {key}, {cols} FROM ({tagged}) x GROUP BY {key}"
 
 
-def _per_table_rows(counts: DataFrame, tables: list[str], rule: str) -> DataFrame:
-    """Sum the per-table counts into one (table_name, rule, violations) row each."""
-    sums = counts.agg(*[F.coalesce(F.sum(f"_n{i}"), F.lit(0)).cast("long").alias(f"_n{i}")
-                        for i in range(len(tables))])
-    pairs = ", ".join(f"'{t}', _n{i}" for i, t in enumerate(tables))
-    return sums.selectExpr(f"stack({len(tables)}, {pairs}) AS (table_name, violations)") \
-               .select("table_name", F.lit(rule).alias("rule"), "violations")
+def _match_sql(counts: str, keys: str, key: str, matched: bool) -> str:
+    """Rows of ``counts`` whose key is (``matched``) or is not among ``keys``."""
+    return (f"SELECT c.* FROM ({counts}) c LEFT JOIN (SELECT DISTINCT {key}, true AS _hit FROM ({keys}) k "
+            f"WHERE {key} IS NOT NULL) p ON c.{key} = p.{key} "
+            f"WHERE p._hit IS {'NOT NULL' if matched else 'NULL'}")
 
 
-def _row(df: DataFrame, table: str, rule: str, violations) -> DataFrame:
-    return df.agg(violations.cast("long").alias("violations")) \
-             .select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "violations")
+def _per_table_sql(rows: str, tables: list[str], rule: str) -> str:
+    """Sum the per-table counts into one (table_name, rule, violations) row each."""
+    sums = ", ".join(f"CAST(coalesce(sum(_n{i}), 0) AS BIGINT) AS _n{i}" for i in range(len(tables)))
+    pairs = ", ".join(f"'{t}', _n{i}" for i, t in enumerate(tables))
+    return (f"SELECT table_name, '{rule}' AS rule, violations FROM (SELECT stack({len(tables)}, {pairs}) "
+            f"AS (table_name, violations) FROM (SELECT {sums} FROM ({rows}) r) s) st")
 
 
 def constraint_violations(tables: dict[str, DataFrame]) -> DataFrame:
@@ -60,27 +62,58 @@ def constraint_violations(tables: dict[str, DataFrame]) -> DataFrame:
 
     PK: number of key values held by more than one row (null keys count as
     violations too). FK: child rows with a non-null user_id absent from users.
+    Children that reference the same parent are checked together, so the
+    parent is read and shuffled once.
     """
-    parts = []
-    for t, pk in PRIMARY_KEYS.items():
-        dup = tables[t].groupBy(pk).agg(F.count(F.lit(1)).alias("_n"))
-        parts.append(_row(dup, t, f"pk_unique:{pk}",
-                          F.coalesce(F.sum(F.when((F.col("_n") > 1) | F.col(pk).isNull(), 1).otherwise(0)),
-                                     F.lit(0))))
-    # Children that reference the same parent key are checked in one anti
-    # join: their keys are tagged with the table name and unioned, so the
-    # parent is read and shuffled once.
+    parts = [f"SELECT '{t}' AS table_name, 'pk_unique:{pk}' AS rule, "
+             f"CAST(coalesce(sum(CASE WHEN _n > 1 OR _k IS NULL THEN 1 ELSE 0 END), 0) AS BIGINT) AS violations "
+             f"FROM (SELECT {pk} AS _k, count(1) AS _n FROM {{{t}}} GROUP BY {pk}) g"
+             for t, pk in PRIMARY_KEYS.items()]
     by_parent: dict[tuple, list[str]] = {}
     for t, ref in FOREIGN_KEYS.items():
         by_parent.setdefault(ref, []).append(t)
     for (fk, parent, pkey), children in by_parent.items():
-        tagged = reduce(DataFrame.unionByName, [
-            tables[t].select(F.lit(t).alias("table_name"), F.col(fk).alias("_k")).where(F.col(fk).isNotNull())
-            for t in children])
-        keys = tables[parent].select(F.col(pkey).alias("_k"))
-        dangling = _matching(_counts_per_key(tagged, "_k", children), keys, "_k", matched=False)
-        parts.append(_per_table_rows(dangling, children, f"fk:{fk}->{parent}.{pkey}"))
-    return reduce(DataFrame.unionByName, parts)
+        tagged = " UNION ALL ".join(f"SELECT '{t}' AS table_name, {fk} AS _k FROM {{{t}}} WHERE {fk} IS NOT NULL"
+                                    for t in children)
+        dangling = _match_sql(_counts_sql(tagged, "_k", children), f"SELECT {pkey} AS _k FROM {{{parent}}}",
+                              "_k", matched=False)
+        parts.append(_per_table_sql(dangling, children, f"fk:{fk}->{parent}.{pkey}"))
+    return _run(tables, parts)
+
+
+def _final_balance_sql(tol: float) -> str:
+    """Users with ledger rows none of which lies within ``tol`` of their
+    total_ledger_balance (one row per such user).
+
+    Instead of joining every ledger row to its user and grouping by user (a
+    hot user's rows would meet in one task, and AQE cannot split a skewed join
+    that feeds an aggregate on the same key), ledger balances are reduced to
+    distinct (user, cent bucket, balance), and each user is sent to the few
+    buckets its tolerance window can touch (one spare bucket on each side
+    absorbs rounding at the edges). The equi-join on (user, bucket) spreads a
+    hot user over as many reducers as it has buckets; the exact
+    |balance - total| < tol test runs after the join. Null balances keep a
+    null bucket: they match nothing but mark the user as having ledger rows.
+    """
+    t = f"CAST({tol!r} AS DOUBLE)"
+
+    def bucket(c):
+        return f"CAST(floor(({c}) / CAST({_BUCKET!r} AS DOUBLE)) AS BIGINT)"
+
+    cand = (f"SELECT user_id, {bucket('balance_after_txn')} AS _b, balance_after_txn AS _bal, count(1) AS _rows "
+            f"FROM {{financial_ledger}} GROUP BY user_id, {bucket('balance_after_txn')}, balance_after_txn")
+    windows = (f"SELECT user_id, total_ledger_balance, explode(sequence({bucket(f'total_ledger_balance - {t}')} - 1, "
+               f"{bucket(f'total_ledger_balance + {t}')} + 1)) AS _b FROM {{users}} "
+               f"WHERE total_ledger_balance IS NOT NULL")
+    hits = (f"SELECT c.user_id FROM ({cand}) c JOIN ({windows}) w ON c.user_id = w.user_id AND c._b = w._b "
+            f"WHERE abs(c._bal - w.total_ledger_balance) < {t}")
+    with_rows = (f"SELECT c.user_id FROM (SELECT DISTINCT user_id FROM ({cand}) c0) c "
+                 f"JOIN (SELECT DISTINCT user_id FROM {{users}}) u ON c.user_id = u.user_id")
+    return f"SELECT user_id FROM ({_match_sql(with_rows, hits, 'user_id', matched=False)}) m"
+
+
+def _users_without_final_balance(ledger: DataFrame, users: DataFrame, tol: float) -> DataFrame:
+    return ledger.sparkSession.sql(_final_balance_sql(tol), financial_ledger=ledger, users=users)
 
 
 def telemetry_invariants(tables: dict[str, DataFrame], tolerance: float = 1e-6) -> DataFrame:
@@ -95,65 +128,30 @@ def telemetry_invariants(tables: dict[str, DataFrame], tolerance: float = 1e-6)
       (the ledger's time order is not stored, so only membership is checked).
     Adapter data breaks some of these by construction: compare counts.
     """
-    users, trades, ledger = tables["users"], tables["trades"], tables["financial_ledger"]
-    perf, support = tables["app_performance"], tables["customer_support"]
-    defective = users.where(F.col("kyc_status") != "APPROVED").select("user_id")
-    activity = {"trades": trades, "financial_ledger": ledger, "app_performance": perf}
-    tagged = reduce(DataFrame.unionByName, [t.select(F.lit(n).alias("table_name"), "user_id")
-                                            for n, t in activity.items()])
-    active = _matching(_counts_per_key(tagged, "user_id", list(activity)), defective, "user_id", matched=True)
-    parts = [_per_table_rows(active, list(activity), "kyc_user_has_activity")]
-    kyc_ticket_users = support.where(F.col("complaint_theme") == "KYC_ONBOARDING_EFFICIENCY").select("user_id")
-    other = support.where(F.col("complaint_theme") != "KYC_ONBOARDING_EFFICIENCY").select("user_id")
-    other = _counts_per_key(other.withColumn("table_name", F.lit("customer_support")), "user_id",
-                            ["customer_support"])
-    parts.append(_per_table_rows(_matching(other, kyc_ticket_users, "user_id", matched=True),
-                                 ["customer_support"], "kyc_cohort_overlaps_other_theme"))
-
-    # The three trade rules share one pass over trades.
-    market = F.col("order_type").endswith("MARKET")
-    bps = F.col("price_slippage_bps")
-    recomputed = slippage_bps("order_type", "requested_price", "executed_price")
-    trade_rules = trades.agg(
-        F.sum(F.when((market & (bps > 0)) | (~market & (bps < 0)), 1).otherwise(0)).cast("long").alias("a"),
-        F.sum(F.when(F.abs(recomputed - bps) > tolerance, 1).otherwise(0)).cast("long").alias("b"),
-        F.sum(F.when((F.col("order_routing_latency_ms") > TIMEOUT_LATENCY_MS)
-                     & (F.col("exchange_rejection_code") != TIMEOUT_CODE), 1).otherwise(0)).cast("long").alias("c"))
-    parts.append(trade_rules.selectExpr(
-        "'trades' AS table_name",
-        "stack(3, 'slippage_sign', a, 'price_bps_agreement', b, 'timeout_code_override', c) AS (rule, violations)"))
-
-    parts.append(_row(_users_without_final_balance(ledger, users, 0.005), "users", "final_balance_in_ledger",
-                      F.count(F.lit(1))))
-    return reduce(DataFrame.unionByName, parts)
-
-
-# Width of the join buckets of the final-balance check, in currency units.
-_BUCKET = 0.01
-
-
-def _users_without_final_balance(ledger: DataFrame, users: DataFrame, tol: float) -> DataFrame:
-    """Users with ledger rows none of which lies within ``tol`` of their
-    total_ledger_balance (one row per such user).
-
-    Plan: instead of joining every ledger row to its user and grouping by
-    user (a hot user's rows would meet in one task, and AQE cannot split a
-    skewed join that feeds an aggregate on the same key), ledger balances are
-    reduced to distinct (user, cent bucket, balance), and each user is sent to
-    the few buckets its tolerance window can touch. The equi-join on (user,
-    bucket) spreads a hot user over as many reducers as it has buckets; the
-    exact |balance - total| < tol test runs after the join.
-    """
-    bal, tot = F.col("balance_after_txn"), F.col("total_ledger_balance")
-    bucket = lambda c: F.floor(c / F.lit(_BUCKET)).cast("long")
-    # Null balances stay (bucket null: they match nothing but mark the user).
-    cand = ledger.groupBy("user_id", bucket(bal).alias("_b"), bal.alias("_bal")).agg(F.count(F.lit(1)).alias("_rows"))
-    # One spare bucket on each side absorbs floating rounding of the edges.
-    span = F.sequence(bucket(tot - F.lit(tol)) - 1, bucket(tot + F.lit(tol)) + 1)
-    windows = users.where(tot.isNotNull()).select("user_id", "total_ledger_balance",
-                                                  F.explode(span).alias("_b"))
-    hits = (cand.join(windows, ["user_id", "_b"])
-            .where(F.abs(F.col("_bal") - tot) < F.lit(tol)).select("user_id").distinct())
-    with_rows = cand.select("user_id").distinct().join(
-        users.select("user_id").distinct().withColumn("_known", F.lit(True)), "user_id")
-    return _matching(with_rows, hits, "user_id", matched=False).select("user_id")
+    activity = ["trades", "financial_ledger", "app_performance"]
+    tagged = " UNION ALL ".join(f"SELECT '{n}' AS table_name, user_id FROM {{{n}}}" for n in activity)
+    defective = "SELECT user_id FROM {users} WHERE kyc_status <> 'APPROVED'"
+    parts = [_per_table_sql(_match_sql(_counts_sql(tagged, "user_id", activity), defective, "user_id", True),
+                            activity, "kyc_user_has_activity")]
+    other = (f"SELECT 'customer_support' AS table_name, user_id FROM {{customer_support}} "
+             f"WHERE complaint_theme <> '{_KYC_THEME}'")
+    kyc = f"SELECT user_id FROM {{customer_support}} WHERE complaint_theme = '{_KYC_THEME}'"
+    parts.append(_per_table_sql(_match_sql(_counts_sql(other, "user_id", ["customer_support"]), kyc, "user_id", True),
+                                ["customer_support"], "kyc_cohort_overlaps_other_theme"))
+    # The three trade rules share one pass over trades (slippage as in
+    # functions.finance.slippage_bps).
+    market = "endswith(order_type, 'MARKET')"
+    side = "(CASE WHEN contains(order_type, 'BUY') THEN 1 ELSE -1 END)"
+    recomputed = f"(-{side}) * (executed_price - requested_price) / requested_price * CAST(10000.0 AS DOUBLE)"
+    rules = (f"CAST(sum(CASE WHEN ({market} AND price_slippage_bps > 0) OR (NOT {market} AND price_slippage_bps < 0) "
+             f"THEN 1 ELSE 0 END) AS BIGINT) AS a, "
+             f"CAST(sum(CASE WHEN abs({recomputed} - price_slippage_bps) > CAST({tolerance!r} AS DOUBLE) "
+             f"THEN 1 ELSE 0 END) AS BIGINT) AS b, "
+             f"CAST(sum(CASE WHEN order_routing_latency_ms > {TIMEOUT_LATENCY_MS} AND "
+             f"exchange_rejection_code <> '{TIMEOUT_CODE}' THEN 1 ELSE 0 END) AS BIGINT) AS c")
+    parts.append("SELECT 'trades' AS table_name, rule, violations FROM (SELECT stack(3, 'slippage_sign', a, "
+                 "'price_bps_agreement', b, 'timeout_code_override', c) AS (rule, violations) "
+                 f"FROM (SELECT {rules} FROM {{trades}}) t) s")
+    parts.append(f"SELECT 'users' AS table_name, 'final_balance_in_ledger' AS rule, "
+                 f"CAST(count(1) AS BIGINT) AS violations FROM ({_final_balance_sql(0.005)}) f")
+    return _run(tables, parts)
