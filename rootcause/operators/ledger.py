@@ -255,8 +255,10 @@ def _replay_in_order(starts: DataFrame, events: DataFrame, seq: list[str], n: in
     e = events.select(
         F.col("user_id").cast("long"), F.lit(1).alias("_kind"), *[F.col(c) for c in seq],
         F.col("txn_id").cast("long"), F.col("txn_type"), F.col("amount").cast("double"))
+    # Start rows sort first; among duplicate starts the largest sorts last and
+    # wins, a rule that does not depend on arrival order (stable on retry).
     ordered = (s.unionByName(e).repartition(n, "user_id")
-               .sortWithinPartitions("user_id", "_kind", *seq, "txn_id"))
+               .sortWithinPartitions("user_id", "_kind", *seq, "txn_id", "amount"))
     return ordered.select("user_id", "_kind", "txn_id", "txn_type", "amount").mapInPandas(_fold, REPLAY_SCHEMA)
 
 
@@ -274,7 +276,7 @@ def _replay_split(starts: DataFrame, events: DataFrame, seq: list[str], parts: i
         lambda it: _summarise(it, max_pieces), SUMMARY_SCHEMA)
     summaries = reliable_checkpoint(summaries)
     first_start = starts.groupBy(F.col("user_id").cast("long").alias("user_id")).agg(
-        F.first(F.col("start_balance").cast("double")).alias("start_balance"))
+        F.max(F.col("start_balance").cast("double")).alias("start_balance"))
     entries = (summaries.join(first_start.withColumn("_started", F.lit(True)), "user_id", "left")
                .withColumn("_started", F.coalesce(F.col("_started"), F.lit(False)))
                .groupBy("user_id").applyInPandas(_chain, ENTRY_SCHEMA))

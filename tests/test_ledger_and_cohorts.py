@@ -157,3 +157,14 @@ def test_step_summary_equals_fold():
             for t, a in steps:
                 want = LG.apply_txn(want, t, a)
             assert abs(f(b) - want) <= 1e-9 * max(1.0, abs(want)), (steps, b, f(b), want)
+
+
+@pytest.mark.parametrize("hot_rows", [1_000_000, 2])
+def test_duplicate_starts_take_the_largest(spark, hot_rows):
+    starts = spark.createDataFrame([(1, 5.0), (1, 50.0), (1, None), (2, None)], "user_id long, start_balance double")
+    events = spark.createDataFrame([(1, 10, "WITHDRAWAL", 20.0, 1), (1, 11, "DEPOSIT", 1.0, 2), (1, 12, "AMC_FEE", 1.0, 3),
+                                    (2, 20, "DEPOSIT", 1.0, 1)],
+                                   "user_id long, txn_id long, txn_type string, amount double, txn_ts long")
+    got = {r.txn_id: r.balance_after_txn
+           for r in LG.replay_ledger(starts, events.repartition(3), ["txn_ts"], partitions=2, hot_rows=hot_rows).collect()}
+    assert got == {10: 30.0, 11: 31.0, 12: 30.0, 20: None}
