@@ -75,16 +75,17 @@ def reliable_checkpoint(df):
     return df.checkpoint(eager=True)
 
 
-def ensure_parallelism(df, min_partitions: int | None = None):
+def ensure_parallelism(df, min_partitions: int | None = None, keys: list[str] | None = None):
     """Spread a scan that yields fewer partitions than the cluster has cores.
 
     A large table arrives as many files / row groups and is left as is; a
     small one stored as a single row group would otherwise run every pre-
     shuffle step (regex classification, adapters, partial aggregates) in one
-    task. Round-robin repartitioning is deterministic on retry (rows are
-    sorted before being dealt out).
+    task. With ``keys`` rows are hash partitioned on them (deterministic on
+    retry, no sort); without, round-robin, which Spark makes deterministic by
+    sorting rows first (costly for long texts).
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+        return df.repartition(target, *keys) if keys else df.repartition(target)
     return df

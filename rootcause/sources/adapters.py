@@ -57,7 +57,8 @@ def read_sources(spark: SparkSession, sf_dir: str, names=SOURCE_TABLES, spread:
     out = {}
     for n in names:
         df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet")
-        out[n] = ensure_parallelism(df) if spread else df
+        # The first column is the table's key (doc_id, c_custkey, ...).
+        out[n] = ensure_parallelism(df, keys=[df.columns[0]]) if spread else df
     return out
 
 
