@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootcause.functions.text import preview as _preview
@@ -79,14 +79,11 @@ def stratified_head(df: DataFrame, quotas: dict[int, int] = QUOTAS, by: str = "s
     are exchanged however large a stratum is.
     """
     cap = max(quotas.values())
-    quota = F.lit(None).cast("int")
-    for s, q in quotas.items():
-        quota = F.when(F.col(by) == s, F.lit(q)).otherwise(quota)
-    w = Window.partitionBy(by).orderBy(F.col(seq).asc())
-    return (df.where(F.col(by).isin(list(quotas)))
-              .withColumn("_rn", F.row_number().over(w))
-              .where(F.col("_rn") <= cap)
-              .where(F.col("_rn") <= quota)
+    quota = "CASE " + " ".join(f"WHEN `{by}` = {s} THEN {q}" for s, q in quotas.items()) + " END"
+    strata = ", ".join(str(s) for s in quotas)
+    return (df.where(f"`{by}` IN ({strata})")
+              .selectExpr("*", f"row_number() OVER (PARTITION BY `{by}` ORDER BY `{seq}` ASC) AS _rn")
+              .where(f"_rn <= {cap} AND _rn <= {quota}")
               .drop("_rn"))
 
 
