@@ -321,9 +321,10 @@ def replay_ledger(starts: DataFrame, events: DataFrame, seq: list[str],
 
     ids = hot_ids.withColumnRenamed("user_id", "_hid")
     split, in_order = _replay_split(only(starts, ids, "left_semi"), only(events, ids, "left_semi"), seq, parts)
-    in_order_ids = in_order.withColumnRenamed("user_id", "_hid")
-    cold_ids = hot_ids.join(in_order, "user_id", "left_anti").withColumnRenamed("user_id", "_hid")
-    rest = _replay_in_order(only(starts, cold_ids, "left_anti"), only(events, cold_ids, "left_anti"), seq, n)
+    # Everyone but the hot users the split path folded: ordinary users and hot
+    # users whose summaries grew too large.
+    split_ids = hot_ids.join(in_order, "user_id", "left_anti").withColumnRenamed("user_id", "_hid")
+    rest = _replay_in_order(only(starts, split_ids, "left_anti"), only(events, split_ids, "left_anti"), seq, n)
     return rest.unionByName(split)
 
 
