@@ -113,3 +113,17 @@ def test_fk_check_preaggregates_before_anti_join(spark, tables):
     plan = Q.constraint_violations(tables)._jdf.queryExecution().optimizedPlan().toString()
     join = plan.index("Join LeftOuter")
     assert "Aggregate [_k#" in plan[join:]
+
+
+def test_checkpoint_root_refuses_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+    from rootcause.session import checkpoint_root
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    sc = SimpleNamespace(master="spark://cluster:7077", getCheckpointDir=lambda: None,
+                         setCheckpointDir=lambda d: pytest.fail("must not set a local folder"))
+    with pytest.raises(RuntimeError, match="shared folder"):
+        checkpoint_root(SimpleNamespace(sparkContext=sc, conf=Conf()))
