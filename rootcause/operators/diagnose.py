@@ -13,8 +13,8 @@ cohort is below the broadcast threshold, otherwise it stays a sort-merge join
 and skewed user partitions are split. Aggregates are partial + final, so only
 one row per (task, group) crosses the shuffle.
 
-The all-theme and cached single-theme plans are emitted as one SQL text over
-the bound frames (``spark.sql(text, support=df, t_<table>=df)``): Catalyst sees
+The all-theme plans and the single-theme plans (all but ``rows``) are one SQL
+text over the bound frames (``spark.sql(text, support=df, t_<table>=df)``): Catalyst sees
 the same plan as from composed DataFrame calls, built in a few driver round
 trips.
 """
