@@ -95,7 +95,7 @@ def _wide(tables: dict[str, DataFrame], plan: DiagnosticPlan, strategy: str) ->
 
 
 # Cohorts up to this many tickets are broadcast (user_id, theme and at most two
-# numeric ticket columns: a few tens of MB). Checked with a bounded count.
+# numeric ticket columns: a few tens of MB). Checked with an exact count.
 BROADCAST_MAX_TICKETS = 1_000_000
 
 
@@ -104,13 +104,15 @@ _FITS: "weakref.WeakKeyDictionary[DataFrame, dict]" = weakref.WeakKeyDictionary(
 
 def cohort_fits_broadcast(support: DataFrame, themes, max_rows: int = BROADCAST_MAX_TICKETS) -> bool:
     """True when the themes' tickets number at most ``max_rows``, proven by
-    counting at most ``max_rows + 1`` of them. The answer is kept per support
-    view (a view reads a fixed file listing), so the check runs once."""
+    an exact count (partial counts per task: one row per task reaches the
+    final count; ``limit(max_rows + 1)`` would instead send up to max_rows
+    rows per task into one task). The answer is kept per support view (a view
+    reads a fixed file listing), so the check runs once."""
     key = (tuple(sorted(themes)), max_rows)
     known = _FITS.setdefault(support, {})
     if key not in known:
         cohort = support.where(F.col("complaint_theme").isin(list(themes))).select("user_id")
-        known[key] = cohort.limit(max_rows + 1).count() <= max_rows
+        known[key] = cohort.count() <= max_rows
     return known[key]
 
 
