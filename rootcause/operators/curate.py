@@ -1,7 +1,14 @@
 """Review curation: projection, length filter, previews, head/tail, per-score
 batches and the stratified head (ops B1-B5, B8, C1, C2).
 
-Row order is explicit: every head/tail takes the arrival sequence column.
+Row order is explicit: every head/tail takes the arrival sequence column, which
+is unique.
+
+Selection runs on the narrow (stratum, sequence) columns; the chosen rows are
+then fetched with a broadcast semi join on their sequence numbers, a key set
+bounded by the requested counts. A top-k merge or a per-stratum window task
+therefore receives partitions x k narrow keys, never partitions x k review
+texts.
 """
 
 from __future__ import annotations
@@ -36,20 +43,28 @@ def with_preview(df: DataFrame, col: str = "content", n: int = 75, out: str = "p
     return df.withColumn(out, _preview(col, n))
 
 
+def _fetch(df: DataFrame, keys: DataFrame, seq: str) -> DataFrame:
+    """Rows of ``df`` whose ``seq`` is among ``keys`` (a set bounded by the
+    requested row counts), matched map-side: the wide columns stay in place."""
+    return df.join(F.broadcast(keys.select(seq)), seq, "left_semi")
+
+
 def head_n(df: DataFrame, n: int = 10, seq: str = "seq") -> DataFrame:
-    """First n rows of the arrival order (op B4); a bounded per-task top-n."""
-    return df.orderBy(F.col(seq).asc()).limit(n)
+    """First n rows of the arrival order (op B4)."""
+    return _fetch(df, df.select(seq).orderBy(F.col(seq).asc()).limit(n), seq).orderBy(F.col(seq).asc())
 
 
 def tail_n(df: DataFrame, n: int = 6, seq: str = "seq") -> DataFrame:
     """Last n rows of the arrival order (op B5)."""
-    return df.orderBy(F.col(seq).desc()).limit(n)
+    return _fetch(df, df.select(seq).orderBy(F.col(seq).desc()).limit(n), seq).orderBy(F.col(seq).desc())
 
 
 def score_filter(df: DataFrame, score: int, cap: int | None = None, seq: str = "seq") -> DataFrame:
     """Reviews with one star rating, at most ``cap`` of them in arrival order (op B8)."""
     out = df.where(F.col("score") == score)
-    return out.orderBy(seq).limit(cap) if cap is not None else out
+    if cap is None:
+        return out
+    return _fetch(out, out.select(seq).orderBy(seq).limit(cap), seq)
 
 
 def union_batches(dfs: list[DataFrame]) -> DataFrame:
@@ -69,15 +84,11 @@ def score_batches(df: DataFrame, caps: dict[int, int] = FETCH_CAPS, seq: str = "
     return stratified_head(df, caps, "score", seq)
 
 
-def stratified_head(df: DataFrame, quotas: dict[int, int] = QUOTAS, by: str = "score",
-                    seq: str = "seq") -> DataFrame:
-    """First quota(s) rows of each stratum s in arrival order; other strata
-    are dropped (op C2).
-
-    The literal bound ``rn <= max(quota)`` lets Spark insert a per-task group
-    limit before the shuffle, so at most max(quota) rows per stratum and task
-    are exchanged however large a stratum is.
-    """
+def _stratified_rows(df: DataFrame, quotas: dict[int, int], by: str, seq: str) -> DataFrame:
+    """Rows of ``df`` (meant to be narrow) among the first quota(s) of their
+    stratum s. The literal bound ``rn <= max(quota)`` lets Spark insert a
+    per-task group limit before the shuffle, so at most max(quota) rows per
+    stratum and task are exchanged however large a stratum is."""
     cap = max(quotas.values())
     quota = "CASE " + " ".join(f"WHEN `{by}` = {s} THEN {q}" for s, q in quotas.items()) + " END"
     strata = ", ".join(str(s) for s in quotas)
@@ -87,6 +98,22 @@ def stratified_head(df: DataFrame, quotas: dict[int, int] = QUOTAS, by: str = "s
               .drop("_rn"))
 
 
+def stratified_head(df: DataFrame, quotas: dict[int, int] = QUOTAS, by: str = "score",
+                    seq: str = "seq") -> DataFrame:
+    """First quota(s) rows of each stratum s in arrival order; other strata
+    are dropped (op C2). Ranked on (stratum, sequence) only, then fetched."""
+    return _fetch(df, _stratified_rows(df.select(by, seq), quotas, by, seq), seq)
+
+
 def curate(df: DataFrame, seq: str = "seq") -> DataFrame:
-    """The whole curation: batches -> projection -> length filter -> stratified head."""
-    return stratified_head(drop_short(project_reviews(score_batches(df, seq=seq), keep=(seq,))), seq=seq)
+    """The whole curation: per-rating batches -> projection -> length filter ->
+    stratified head.
+
+    Both rankings run on one narrow projection (rating, sequence, long-enough
+    flag) with the same window partitioning, so the second adds no exchange;
+    the chosen reviews are then fetched once.
+    """
+    narrow = df.select("score", seq, (F.length("content") > MIN_CONTENT_CHARS).alias("_long"))
+    batches = _stratified_rows(narrow, FETCH_CAPS, "score", seq)
+    keys = _stratified_rows(batches.where("_long"), QUOTAS, "score", seq)
+    return project_reviews(_fetch(df, keys, seq), keep=(seq,))
