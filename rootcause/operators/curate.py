@@ -74,8 +74,12 @@ def union_batches(dfs: list[DataFrame]) -> DataFrame:
 
 def union_score_batches(df: DataFrame, caps: dict[int, int] = FETCH_CAPS, seq: str = "seq") -> DataFrame:
     """The per-rating batches, each capped in arrival order, appended (B8 + C1).
-    One bounded top-k per rating, so the input is scanned once per rating."""
-    return union_batches([score_filter(df, s, c, seq) for s, c in caps.items()])
+
+    One bounded top-k per rating over the narrow keys; the batches (disjoint:
+    one rating each) are appended as key sets and the reviews fetched once.
+    """
+    keys = union_batches([df.where(F.col("score") == s).select(seq).orderBy(seq).limit(c) for s, c in caps.items()])
+    return _fetch(df, keys, seq)
 
 
 def score_batches(df: DataFrame, caps: dict[int, int] = FETCH_CAPS, seq: str = "seq") -> DataFrame:
