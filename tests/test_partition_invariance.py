@@ -13,7 +13,8 @@ QUERIES = ["diagnose_all_themes", "diagnose_ledger_dispute", "curated_sample", "
            "ledger_replay", "ledger_final_state", "split_kyc_cohort", "sample_cohorts",
            "draws_with_replacement", "session_surrogate_ids", "extract_labels", "metrics_text",
            "worst_rows", "triage_report", "constraint_violations", "telemetry_invariants",
-           "diagnose_general_inquiry", "diagnose_kyc_onboarding_efficiency", "executive_summaries"]
+           "diagnose_general_inquiry", "diagnose_kyc_onboarding_efficiency", "executive_summaries", "union_score_batches",
+           "head_reviews", "tail_reviews"]
 
 
 def _run(spark, monkeypatch, name, n):

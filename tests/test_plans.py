@@ -74,3 +74,14 @@ def test_hot_ledger_users_are_range_partitioned(spark):
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
     rows = LG.replay_ledger(starts, events, ["txn_ts"], partitions=4, hot_rows=100).where("user_id = 1")
     assert sorted(r.txn_seq for r in rows.collect()) == list(range(1, 301))
+
+
+def test_curation_ranks_narrow_keys_and_fetches_once(spark):
+    feed = A.review_feed(spark, SF_SMALL)
+    plan = _plan(K.curate(feed))
+    assert "LeftSemi" in plan and "BroadcastExchange" in plan
+    # the projection feeding the per-rating window exchange outputs no review
+    # text (the text is only read to compute its length)
+    proj = re.search(r"Exchange hashpartitioning\(score#\d+, \d+\).*?Project \[([^\n]*)\]", plan, re.S).group(1)
+    assert "content" not in proj and "text#" not in re.sub(r"length\(text#\d+\)", "", proj)
+    assert plan.count("Exchange hashpartitioning(score") == 1  # the second ranking reuses it
