@@ -104,16 +104,22 @@ _FITS: "weakref.WeakKeyDictionary[DataFrame, dict]" = weakref.WeakKeyDictionary(
 
 def cohort_fits_broadcast(support: DataFrame, themes, max_rows: int = BROADCAST_MAX_TICKETS) -> bool:
     """True when the themes' tickets number at most ``max_rows``, proven by
-    an exact count (partial counts per task: one row per task reaches the
-    final count; ``limit(max_rows + 1)`` would instead send up to max_rows
-    rows per task into one task). The answer is kept per support view (a view
-    reads a fixed file listing), so the check runs once."""
-    key = (tuple(sorted(themes)), max_rows)
-    known = _FITS.setdefault(support, {})
-    if key not in known:
-        cohort = support.where(F.col("complaint_theme").isin(list(themes))).select("user_id")
-        known[key] = cohort.count() <= max_rows
-    return known[key]
+    exact counts (partial counts per task, so one row per task and theme
+    reaches the final count; ``limit(max_rows + 1)`` would instead send up
+    to max_rows rows per task into one task). One grouped count over the
+    diagnosed themes (at most one row each) answers every subset; it is kept
+    per support view (a view reads a fixed file listing), so it runs once."""
+    counts = _FITS.get(support)
+    if counts is None:
+        rows = (support.where(F.col("complaint_theme").isin(list(PLANS)))
+                .groupBy("complaint_theme").count().collect())
+        counts = _FITS[support] = {r["complaint_theme"]: r["count"] for r in rows}
+    unknown = [t for t in themes if t not in PLANS]
+    if unknown:  # outside the plan table: count those directly
+        extra = support.where(F.col("complaint_theme").isin(unknown)).count()
+    else:
+        extra = 0
+    return sum(counts.get(t, 0) for t in themes if t in PLANS) + extra <= max_rows
 
 
 def diagnose_long(tables: dict[str, DataFrame], themes=None, strategy: str = "auto") -> DataFrame:
