@@ -168,3 +168,29 @@ def test_duplicate_starts_take_the_largest(spark, hot_rows):
     got = {r.txn_id: r.balance_after_txn
            for r in LG.replay_ledger(starts, events.repartition(3), ["txn_ts"], partitions=2, hot_rows=hot_rows).collect()}
     assert got == {10: 30.0, 11: 31.0, 12: 30.0, 20: None}
+
+
+def test_step_summary_property():
+    from hypothesis import given, settings, strategies as st
+    amounts = st.one_of(st.none(), st.floats(-500, 500, allow_nan=False).map(lambda x: round(x, 2)),
+                        st.sampled_from([0.0, 10.0, 50.0]))
+    steps = st.lists(st.tuples(st.sampled_from(["DEPOSIT", "WITHDRAWAL", "AMC_FEE", "MARGIN_PENALTY"]), amounts),
+                     max_size=25)
+    entries = st.one_of(st.none(), st.floats(-1000, 1000, allow_nan=False).map(lambda x: round(x, 2)),
+                        st.sampled_from([0.0, 10.0, 50.0, -10.0]))
+
+    @settings(max_examples=400, deadline=None)
+    @given(steps, entries)
+    def check(seq, b):
+        f = LG.StepSummary()
+        for t, a in seq:
+            f.step(t, a)
+        want = b
+        for t, a in seq:
+            want = LG.apply_txn(want, t, a)
+        got = f(b)
+        assert (want is None) == (got is None)
+        if want is not None:
+            assert abs(got - want) <= 1e-9 * max(1.0, abs(want)), (seq, b, got, want)
+
+    check()
