@@ -15,17 +15,35 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rootcause.llm.decontaminate import contamination_report
+    return contamination_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rootcause.llm.packing import pack
     return pack(load(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rootcause.llm.fm_dedup import repeated_words
+    return repeated_words(load(spark, sf_dir, "documents"))
+
+
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rootcause.llm.suffix_dedup import repeated_bytes
+    return repeated_bytes(load(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rootcause.llm.token_counts import token_counts
     return token_counts(load(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY))
 
 
 REGISTRY = {
+    "op1_benchmark_decontamination": (op1_benchmark_decontamination, None),
     "op2_best_fit_packing": (op2_best_fit_packing, None),
+    "op6_substring_dedup": (op6_substring_dedup, None),
+    "op9_suffix_array_dedup": (op9_suffix_array_dedup, None),
     "op10_token_counts": (op10_token_counts, None),
 }

@@ -23,6 +23,21 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Ids that may be broadcast to keep a join from shuffling texts: 8 bytes each.
+BROADCAST_IDS = 2_000_000
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi", key: str = "doc_id") -> DataFrame:
+    """``docs`` with (or, by left_anti, without) the keys in ``ids``.
+
+    The ids are counted: up to BROADCAST_IDS are broadcast, more are joined by
+    a shuffle. The rows are the same.
+    """
+    ids = ids.select(key).where(f"{key} IS NOT NULL").distinct()
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if small else ids, key, how)
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of every node that has an edge.
 
