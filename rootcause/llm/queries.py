@@ -25,6 +25,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rootcause.llm.jaccard_join import near_duplicates
+    return near_duplicates(load(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rootcause.llm.fm_dedup import repeated_words
     return repeated_words(load(spark, sf_dir, "documents"))
@@ -43,6 +48,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_benchmark_decontamination": (op1_benchmark_decontamination, None),
     "op2_best_fit_packing": (op2_best_fit_packing, None),
+    "op3_ngram_jaccard_join": (op3_ngram_jaccard_join, None),
     "op6_substring_dedup": (op6_substring_dedup, None),
     "op9_suffix_array_dedup": (op9_suffix_array_dedup, None),
     "op10_token_counts": (op10_token_counts, None),
