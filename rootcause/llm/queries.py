@@ -30,6 +30,11 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rootcause.llm.vector_neardup import near_duplicate_vectors
+    return near_duplicate_vectors(load(spark, sf_dir, "embeddings"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rootcause.llm.fm_dedup import repeated_words
     return repeated_words(load(spark, sf_dir, "documents"))
@@ -49,6 +54,7 @@ REGISTRY = {
     "op1_benchmark_decontamination": (op1_benchmark_decontamination, None),
     "op2_best_fit_packing": (op2_best_fit_packing, None),
     "op3_ngram_jaccard_join": (op3_ngram_jaccard_join, None),
+    "op4_embedding_near_dedup": (op4_embedding_near_dedup, None),
     "op6_substring_dedup": (op6_substring_dedup, None),
     "op9_suffix_array_dedup": (op9_suffix_array_dedup, None),
     "op10_token_counts": (op10_token_counts, None),

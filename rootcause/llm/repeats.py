@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,7 +194,7 @@ def _decide(kind: Kind, dtype):
             new[1:] = (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])
             if len(anchor) and last == (anchor[0], salt[0]):
                 new[0] = False
-            ends = np.cumsum(pa.compute.binary_length(b["units"]).to_numpy()) // np.dtype(dtype).itemsize
+            ends = np.cumsum(pc.binary_length(b["units"]).to_numpy()) // np.dtype(dtype).itemsize
             begin = 0
             for at in np.flatnonzero(new):
                 upto = int(ends[at - 1]) if at else 0
