@@ -15,8 +15,10 @@ so that no length, however common, meets in one task.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,43 +30,63 @@ from pyspark.sql import functions as F
 from rootcause.llm.tables import stage_table
 
 CAPACITY = 2048
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
+#: ASCII punctuation without the apostrophe, which can begin a contraction.
+_TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_STEM_END = frozenset(bytes([c]) for c in b"abcdefghijklmnopqrstuvwxyz0123456789")
 #: Pieces that one (length, bucket) group holds on average when one length
 #: has all of them.
-BUCKET_PIECES = 100_000
+BUCKET_PIECES = 10_000
 
 
 class WordIds:
     """Token ids of texts, little-endian, with a bounded cache of words.
 
-    The tokenizer drops white space before it splits, so its ids of a text are
-    those of the words between ASCII white space, one after another.
+    The tokenizer drops white space before it splits and lower-cases, so its
+    ids of a text are those of the lower-cased words between ASCII white space,
+    one after another. Punctuation after an ASCII letter or digit begins a
+    pre-token of its own, so a new word's stem and tail are looked up apart.
+    Texts with a special token's string, in any case, are encoded whole.
     """
 
     def __init__(self, path: str):
+        # Spark runs a worker for each core: no threads inside it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        spaced = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()
-                  if t.lstrip or t.rstrip or t.single_word or t.normalized or t.content.split() != [t.content]]
-        self.odd = re.compile(b"|".join(map(re.escape, spaced))) if spaced else None
+        special = [re.escape(t.content.encode()) for t in self.tok.get_added_tokens_decoder().values()]
+        self.odd = re.compile(b"|".join(special), re.I) if special else None
         self.cache: dict[bytes, bytes] = {}
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        seen = {w for ws in split for w in ws}
-        new = [w for w in seen if w not in self.cache]
+        split = [None if self.odd and self.odd.search(t) else t.lower().split() for t in texts]
+        new = set().union(*(ws for ws in split if ws)).difference(self.cache)
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
-            new = list(seen)
-        if new:
-            for w, e in zip(new, self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in new],
-                                                            add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+            new = set().union(*(ws for ws in split if ws))
+        self._learn(new)
         get = self.cache.__getitem__
-        return [self._whole(t) if self.odd and self.odd.search(t) else b"".join(map(get, ws))
-                for t, ws in zip(texts, split)]
+        return [self._whole(t) if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split)]
+
+    def _learn(self, new: set[bytes]) -> None:
+        joined = []
+        ask = set()
+        for w in new:
+            stem = w.rstrip(_TAIL)
+            if stem != w and stem[-1:] in _STEM_END:
+                tail = w[len(stem):]
+                joined.append((w, stem, tail))
+                ask.update((stem, tail))
+            else:
+                ask.add(w)
+        ask = [w for w in ask if w not in self.cache]
+        for w, e in zip(ask, self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in ask],
+                                                        add_special_tokens=False)):
+            self.cache[w] = array("I", e.ids).tobytes()
+        for w, stem, tail in joined:
+            self.cache[w] = self.cache[stem] + self.cache[tail]
 
     def _whole(self, text: bytes) -> bytes:
         return np.array(self.tok.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()

@@ -19,6 +19,7 @@ string; such texts go to the tokenizer as they are.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -43,6 +44,8 @@ class PieceCounter:
     """Token counts of texts, and of their pieces with offsets."""
 
     def __init__(self, path: str):
+        # Spark runs a worker for each core: no threads inside it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
