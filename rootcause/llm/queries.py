@@ -40,6 +40,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_words(load(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rootcause.llm.quality_lm import classify
+    return classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rootcause.llm.suffix_dedup import repeated_bytes
     return repeated_bytes(load(spark, sf_dir, "documents"))
@@ -56,6 +61,7 @@ REGISTRY = {
     "op3_ngram_jaccard_join": (op3_ngram_jaccard_join, None),
     "op4_embedding_near_dedup": (op4_embedding_near_dedup, None),
     "op6_substring_dedup": (op6_substring_dedup, None),
+    "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_suffix_array_dedup": (op9_suffix_array_dedup, None),
     "op10_token_counts": (op10_token_counts, None),
 }
