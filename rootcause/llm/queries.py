@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rootcause.llm import licenses
 from rootcause.llm.tables import load
 
 #: Vocabulary files by operator; a path for each is a parameter of its operator.
@@ -35,6 +36,10 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(load(spark, sf_dir, "embeddings"))
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(load(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rootcause.llm.fm_dedup import repeated_words
     return repeated_words(load(spark, sf_dir, "documents"))
@@ -60,6 +65,7 @@ REGISTRY = {
     "op2_best_fit_packing": (op2_best_fit_packing, None),
     "op3_ngram_jaccard_join": (op3_ngram_jaccard_join, None),
     "op4_embedding_near_dedup": (op4_embedding_near_dedup, None),
+    "op5_license_scans": (op5_license_scans, licenses.oracle_sql()),
     "op6_substring_dedup": (op6_substring_dedup, None),
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_suffix_array_dedup": (op9_suffix_array_dedup, None),
