@@ -45,6 +45,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_words(load(spark, sf_dir, "documents"))
 
 
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rootcause.llm.secret_scan import scan
+    return scan(load(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rootcause.llm.quality_lm import classify
     return classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
@@ -67,6 +72,7 @@ REGISTRY = {
     "op4_embedding_near_dedup": (op4_embedding_near_dedup, None),
     "op5_license_scans": (op5_license_scans, licenses.oracle_sql()),
     "op6_substring_dedup": (op6_substring_dedup, None),
+    "op7_secret_scans": (op7_secret_scans, None),
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_suffix_array_dedup": (op9_suffix_array_dedup, None),
     "op10_token_counts": (op10_token_counts, None),
