@@ -13,8 +13,9 @@ Neighbouring windows mostly share their anchor and form a run.
    anchor. A chunk's index (an FM-index or a radix sort, given by the caller)
    numbers the windows so that equal windows have equal numbers; the earliest
    of each number stays. An anchor with more runs than a chunk may hold is
-   dealt over several; its windows are then merged by digest, by a partially
-   aggregated min.
+   dealt over several by a second gram of its windows, so that equal windows
+   still meet. What is then still too much for a chunk is taken in parts, and
+   the parts' windows are merged by digest, by a partially aggregated min.
 4. Removed intervals are joined to the documents that have any.
 """
 
@@ -52,7 +53,8 @@ class Kind:
     #: (hashes of joined runs, start of every window in them, window) -> a number
     #: for every window, equal for equal windows.
     index: Callable
-    #: Units that one chunk's index holds, and runs of one anchor that go to one chunk.
+    #: Units that one chunk's index holds (up to four times as many in one
+    #: group), and runs of one anchor that go to one chunk.
     chunk_units: int = 400_000
     anchor_runs: int = 4_000
 
@@ -129,84 +131,130 @@ def _emit_runs(kind: Kind):
 
 
 def _emit_texts(kind: Kind):
-    """The units of the listed runs of each document."""
+    """The units of the listed runs of each document.
+
+    A run of an anchor that is dealt over several chunks is cut where the
+    greatest gram of its windows changes, and goes by that gram: equal windows
+    still meet.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = T.text_buffers(b["text"])
             for r in range(b.num_rows):
-                codes, _ = kind.units(data[offs[r]:offs[r + 1]], np.array([0, offs[r + 1] - offs[r]]))
-                raw = codes.tobytes()
-                size = codes.itemsize
+                units, _ = kind.units(data[offs[r]:offs[r + 1]], np.array([0, offs[r + 1] - offs[r]]))
+                raw, size = units.tobytes(), units.itemsize
                 runs = b["runs"][r].values
-                pack = runs.field("pack").to_numpy()
-                start, length = pack >> 16, ((pack >> 8) & 255) + kind.window - 1
-                for at in range(0, len(pack), 4096):
-                    s, n = start[at:at + 4096], length[at:at + 4096]
+                pack, dealt = runs.field("pack").to_numpy(), runs.field("dealt").to_numpy()
+                start, count = pack >> 16, (pack >> 8) & 255
+                at, piece, salt = _cut_runs(units, start, count, dealt, kind)
+                for lo in range(0, len(at), 4096):
+                    i, (from_, windows) = at[lo:lo + 4096], piece[:, lo:lo + 4096]
+                    begin = (start[i] + from_) * size
+                    end = begin + (windows + kind.window - 1) * size
                     yield pa.RecordBatch.from_arrays(
-                        [*(runs.field(c).slice(at, 4096) for c in ("anchor", "salt", "dealt", "digest", "pack")),
-                         pa.array(np.full(len(s), b["doc_id"][r].as_py(), np.int64)),
-                         pa.array([raw[x * size:(x + y) * size] for x, y in zip(s.tolist(), n.tolist())], pa.binary())],
-                        ["anchor", "salt", "dealt", "digest", "pack", "doc_id", "units"])
+                        [*(runs.field(c).take(pa.array(i)) for c in ("anchor", "digest", "pack")),
+                         pa.array(salt[lo:lo + 4096]), pa.array(from_.astype(np.int32)), pa.array(windows.astype(np.int32)),
+                         pa.array(np.full(len(i), b["doc_id"][r].as_py(), np.int64)),
+                         pa.array([raw[x:y] for x, y in zip(begin.tolist(), end.tolist())], pa.binary())],
+                        ["anchor", "digest", "pack", "salt", "from", "windows", "doc_id", "units"])
     return run
 
 
+def _cut_runs(units: np.ndarray, start: np.ndarray, count: np.ndarray, dealt: np.ndarray, kind: Kind):
+    """(run, its pieces as [first window, windows], chunk of the anchor) of every piece."""
+    hot = np.flatnonzero(dealt > 1)
+    if not len(hot):
+        return np.arange(len(start)), np.stack([np.zeros_like(count), count]), np.zeros(len(start), np.int64)
+    cold = np.flatnonzero(dealt <= 1)
+    at, first, windows, salt = [cold], [np.zeros_like(cold)], [count[cold]], [np.zeros_like(cold)]
+    for i in hot.tolist():
+        codes = _codes(units[start[i]:start[i] + count[i] + kind.window - 1])
+        gram = np.arange(len(codes) - kind.gram + 1)
+        most = T.range_hashes(codes, gram, gram + kind.gram, T.BYTE_BASE)
+        width, have = kind.window - kind.gram + 1, 1
+        while have < width:
+            step = min(have, width - have)
+            most = np.maximum(most[:-step], most[step:])
+            have += step
+        cut = np.append(0, np.flatnonzero(most[1:] != most[:-1]) + 1)
+        at.append(np.full(len(cut), i))
+        first.append(cut)
+        windows.append(np.diff(np.append(cut, count[i])))
+        salt.append((most[cut] % U64(dealt[i])).astype(np.int64))
+    return np.concatenate(at), np.stack([np.concatenate(first), np.concatenate(windows)]), np.concatenate(salt)
+
+
 _DECIDED = "anchor long, digest long, doc_id long, pack long, first long, last long, place long, window_hash long"
 
 
 def _decide(kind: Kind, dtype):
-    """Removed intervals of the runs of each chunk; windows of dealt anchors as rows."""
+    """Removed intervals of the runs of each chunk. A chunk is a number of
+    whole (anchor, salt) groups. One that outgrows four chunks by itself is
+    taken in parts, and its windows are returned to be merged."""
     schema = ["anchor", "digest", "doc_id", "pack", "first", "last", "place", "window_hash"]
+    item = np.dtype(dtype).itemsize
 
-    def chunk(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chunk(rows: list[pa.RecordBatch], part_of_group: bool) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(rows)
         data, offs = T.text_buffers(t["units"].cast(pa.large_binary()))
-        units = data.view(dtype) if dtype != np.uint8 else data
-        seg_at = offs[:-1] // np.dtype(dtype).itemsize
-        anchor, digest, doc, pack, dealt = (t[c].to_numpy() for c in ("anchor", "digest", "doc_id", "pack", "dealt"))
-        count = (pack >> 8) & 255
+        units = data.view(dtype) if item > 1 else data
+        seg_at = offs[:-1] // item
+        anchor, digest, doc, pack, from_, count = (
+            t[c].to_numpy().astype(np.int64) for c in ("anchor", "digest", "doc_id", "pack", "from", "windows"))
         seg = np.repeat(np.arange(len(pack)), count)
-        rel = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
-        number = kind.index(units, seg_at, seg_at[seg] + rel, kind.window)
+        inside = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
+        number = kind.index(units, seg_at, seg_at[seg] + inside, kind.window)
+        rel = inside + from_[seg]
         place = (pack >> 16)[seg] + rel
-        split = dealt[seg] > 1
-        removed = ~split & _repeats(number, doc[seg], place, kind.within)
+        if part_of_group:
+            # Of equal windows of one part the earliest stands for all but is
+            # not known to be the earliest of the group.
+            pos = seg_at[seg] + inside
+            hashes = T.range_hashes(_codes(units), pos, pos + kind.window, T.BYTE_BASE)
+            yield _batch(schema, anchor[seg], digest[seg], doc[seg], pack[seg], rel, rel + kind.window, place, hashes)
+            return
+        edge = np.flatnonzero(_repeats(number, doc[seg], place, kind.within))
         # Intervals of neighbouring removed windows, relative to the run.
-        edge = np.flatnonzero(removed)
         new = np.ones(len(edge), bool)
         new[1:] = (edge[1:] != edge[:-1] + 1) | (seg[edge[1:]] != seg[edge[:-1]])
         first = edge[new]
         last = edge[np.append(np.flatnonzero(new)[1:] - 1, len(edge) - 1)] if len(edge) else edge
         yield _batch(schema, anchor[seg[first]], digest[seg[first]], doc[seg[first]], pack[seg[first]],
                      rel[first], rel[last] + kind.window, None, None)
-        at = np.flatnonzero(split)
-        if len(at):
-            codes = _codes(units)
-            pos = seg_at[seg[at]] + rel[at]
-            hashes = T.range_hashes(codes, pos, pos + kind.window, T.BYTE_BASE).view(np.int64)
-            yield _batch(schema, anchor[seg[at]], digest[seg[at]], doc[seg[at]], pack[seg[at]], rel[at],
-                         rel[at] + kind.window, place[at], hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
+        held, size = [], 0  # whole groups
+        group, group_size, outgrown, last = [], 0, False, None
         for b in batches:
             anchor, salt = b["anchor"].to_numpy(), b["salt"].to_numpy()
+            lengths = pc.binary_length(b["units"]).to_numpy() // item
             new = np.ones(len(anchor), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])
-            if len(anchor) and last == (anchor[0], salt[0]):
-                new[0] = False
-            ends = np.cumsum(pc.binary_length(b["units"]).to_numpy()) // np.dtype(dtype).itemsize
-            begin = 0
-            for at in np.flatnonzero(new):
-                upto = int(ends[at - 1]) if at else 0
-                if size + upto - (int(ends[begin - 1]) if begin else 0) >= kind.chunk_units:
-                    yield from chunk([*held, b.slice(begin, at - begin)])
-                    held, size, begin = [], 0, at
-            held.append(b.slice(begin))
-            size += int(ends[-1]) - (int(ends[begin - 1]) if begin else 0) if len(ends) else 0
-            if len(anchor):
-                last = (anchor[-1], salt[-1])
+            cuts = [*np.flatnonzero(new).tolist(), len(anchor)]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if (anchor[s], salt[s]) != last:  # the group before is whole
+                    if outgrown:
+                        if group:
+                            yield from chunk(group, True)
+                    else:
+                        held, size = held + group, size + group_size
+                        if size >= kind.chunk_units:
+                            yield from chunk(held, False)
+                            held, size = [], 0
+                    group, group_size, outgrown, last = [], 0, False, (anchor[s], salt[s])
+                group.append(b.slice(s, e - s))
+                group_size += int(lengths[s:e].sum())
+                if group_size >= 4 * kind.chunk_units:
+                    outgrown = True
+                    yield from chunk(group, True)
+                    group, group_size = [], 0
+        if outgrown:
+            if group:
+                yield from chunk(group, True)
+        else:
+            held += group
         if held:
-            yield from chunk(held)
+            yield from chunk(held, False)
     return run
 
 
@@ -251,11 +299,10 @@ def removed_intervals(docs: DataFrame, kind: Kind, unit_type) -> DataFrame:
     held = stage_table(held, "runs")
 
     dealt = F.ceil(F.col("heads") / kind.anchor_runs).cast("int")
-    heads = (held.where("is_head").select("anchor", "digest", "doc_id", "pack", dealt.alias("dealt"))
-             .withColumn("salt", F.pmod("digest", F.col("dealt")).cast("int")).distinct())
-    by_doc = heads.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "salt", "dealt", "digest", "pack")).alias("runs"))
+    heads = held.where("is_head").select("anchor", "digest", "doc_id", "pack", dealt.alias("dealt")).distinct()
+    by_doc = heads.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "dealt", "digest", "pack")).alias("runs"))
     texts = (with_ids(docs, heads).join(by_doc, "doc_id")
-             .mapInArrow(_emit_texts(kind), "anchor long, salt int, dealt int, digest long, pack long, doc_id long, units binary"))
+             .mapInArrow(_emit_texts(kind), "anchor long, digest long, pack long, salt long, from int, windows int, doc_id long, units binary"))
     decided = (texts.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
                .mapInArrow(_decide(kind, unit_type), _DECIDED))
     decided = stage_table(decided, "decided")
