@@ -164,12 +164,16 @@ def _verify(percent: int):
 
 
 def _can_reach(percent: int, size_a: str, size_b: str, place_a: str, place_b: str):
-    """Length and positional filter of a pair that shares a gram at these places."""
+    """Length and positional filter of a pair that shares a gram at these places.
+
+    What precedes the first gram in common is not common: the place of that
+    gram leaves room for the overlap in both sets. A pair that links passes at
+    least there.
+    """
     a, b = F.col(size_a), F.col(size_b)
     need = F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent) - 1e-9)
     length = F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
-    most = F.least(F.col(place_a), F.col(place_b)) + 1 + F.least(a - F.col(place_a), b - F.col(place_b)) - 1
-    return length & (most >= need)
+    return length & (F.least(a - F.col(place_a), b - F.col(place_b)) >= need)
 
 
 def _links(pairs: DataFrame, docs: DataFrame, n: int, percent: int, name: str) -> DataFrame:
