@@ -299,7 +299,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, reach: floa
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
     model = stage_table(train(with_ids(docs, trusted.where(~fold)).select("text"), order), "language-model")
     scored = stage_table(score(docs, model, order, shard_entries)
-                         .withColumn("loss", -F.col("log_sum") / F.col("n_chars")), "scores")
+                         .withColumn("loss", F.when(F.col("n_chars") > 0, -F.col("log_sum") / F.nullif("n_chars", F.lit(0)))), "scores")
     held = (scored.where("n_chars > 0").join(trusted.where(fold), "doc_id", "left_semi")
             .withColumn("lang", F.coalesce("lang", F.lit(""))).select("lang", "loss"))
     own = fences(held, reach).where("n >= 20").select("lang", "median", "fence")

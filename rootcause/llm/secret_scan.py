@@ -107,7 +107,7 @@ def with_features(findings: DataFrame, corpus: DataFrame) -> DataFrame:
             .drop("covered", "finding"))
 
 
-def labelled_bank(spark: SparkSession, rows: int = BANK_ROWS) -> DataFrame:
+def labelled_bank(spark: SparkSession, rows: int = BANK_ROWS, start: int = 0) -> DataFrame:
     """value, before, after and label of findings made by rule, half of them secrets."""
     i = F.col("id")
     hexes = F.sha1(i.cast("string"))
@@ -139,7 +139,7 @@ def labelled_bank(spark: SparkSession, rows: int = BANK_ROWS) -> DataFrame:
         k[1][0].alias("value"), k[1][1].alias("before"), k[1][2].alias("after"), F.lit(float(k[1][3])).alias("label"))),
         enumerate(kinds[1:], 1), F.when(pick == 0, F.struct(
             kinds[0][0].alias("value"), kinds[0][1].alias("before"), kinds[0][2].alias("after"), F.lit(1.0).alias("label"))))
-    return spark.range(rows, numPartitions=1).select(struct.alias("f")).select("f.*")
+    return spark.range(start, start + rows, 1, 1).select(struct.alias("f")).select("f.*")
 
 
 def classified(findings: DataFrame, corpus: DataFrame, labelled: DataFrame | None, cut: float = CUT) -> DataFrame:
