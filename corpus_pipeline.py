@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rootcause.llm.decontaminate import decontaminate
 from rootcause.llm.jaccard_join import first_of_each
@@ -13,6 +14,11 @@ from rootcause.llm.secret_scan import redact
 from rootcause.llm.tables import load, stage_table
 
 
+def recounted(docs: DataFrame) -> DataFrame:
+    """``docs`` with n_chars as the text now is."""
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is under the fence of their language."""
     return trusted_documents(docs, load(spark, sf_dir, "labels"))
@@ -25,12 +31,12 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages; those that are mostly such passages go."""
-    return decontaminate(docs, load(spark, sf_dir, "benchmark"))
+    return recounted(decontaminate(docs, load(spark, sf_dir, "benchmark")))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets replaced by a placeholder."""
-    return redact(docs)
+    return recounted(redact(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
