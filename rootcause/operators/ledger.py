@@ -2,7 +2,8 @@
 
 The balance fold is not a running sum: a withdrawal takes at most the
 current balance and does nothing once the balance is at or below zero, so
-each step depends on the previous result.
+each step depends on the previous result. Amounts are counted in whole units
+of 1e-4, so every order of evaluation gives the same balance.
 
 Plan for ordinary users: starting balances and transactions are unioned (no
 join), hash partitioned by user and sorted within partitions by (user,
@@ -13,21 +14,18 @@ fold one batch at a time.
 
 Plan for hot users (more than ``hot_rows`` transactions): their histories are
 range partitioned by (user, sequence), so Spark cuts each into contiguous
-chunks on different tasks. Each (partition, user) segment is summarised as
-the composition of its steps, a function of the entry balance (see
-``StepSummary``); a per-user pass over at most one summary per partition
-gives every segment its entry balance and position; then all segments are
-folded in parallel from their entries. A segment whose summary would exceed
-``MAX_PIECES`` pieces is not summarised: that user is folded in order like an
-ordinary one, so results stay exact.
+segments of about ``segment_rows`` rows on different tasks. Each segment is
+summarised as a function of the entry balance (see ``StepSummary``), with at
+most one flat piece for each of its withdrawals. A pass per user reads the
+summaries in order, one at a time, and gives every segment its entry balance
+and position; then all segments are folded in parallel from their entries.
 """
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_left
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,83 +37,86 @@ WITHDRAWAL = "WITHDRAWAL"
 
 REPLAY_SCHEMA = "txn_id long, user_id long, txn_seq long, balance_after_txn double"
 
+# Units in one currency unit: amounts keep four decimals.
+UNITS = 10_000
 # Users with more transactions than this are split across tasks.
 HOT_USER_ROWS = 1_000_000
-# Segment summaries with more pieces than this are not carried (exact fallback).
-MAX_PIECES = 64
-# Hot-user id sets up to this size are broadcast to route rows map-side (the
-# exact count is known before the routing joins).
+# Rows of a hot user that one segment holds on average.
+SEGMENT_ROWS = 50_000
+# Hot-user id sets up to this size (8 bytes an id) are broadcast to route rows
+# map-side; the exact count is known before the routing joins.
 MAX_BROADCAST_IDS = 2_000_000
 
 
-def apply_txn(balance: float | None, txn_type: str | None, amount: float | None) -> float | None:
+def units(col: Column) -> Column:
+    """A currency column in whole units."""
+    return (col.cast("decimal(32,4)") * F.lit(UNITS)).cast("long")
+
+
+def apply_txn(balance, txn_type: str | None, amount):
     """One step of the fold: deposits add; a withdrawal takes
-    min(balance, amount) while the balance is positive and nothing otherwise;
-    every other type (fees, penalties, auto square-off) subtracts."""
+    min(balance, amount) while both are positive and nothing otherwise; every
+    other type (fees, penalties, auto square-off) subtracts."""
     if balance is None or amount is None:
         return None
     if txn_type == DEPOSIT:
         return balance + amount
     if txn_type == WITHDRAWAL:
-        return balance if balance <= 0 else balance - min(balance, amount)
+        return balance if balance <= 0 or amount <= 0 else balance - min(balance, amount)
     return balance - amount
 
 
-def _nz(x):
-    return None if x is None or (isinstance(x, float) and math.isnan(x)) else x
+def _replayed(txn, user, pos, bal) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(txn, pa.int64()), pa.array(user, pa.int64()), pa.array(pos, pa.int64()),
+         pa.array([None if b is None else b / UNITS for b in bal], pa.float64())],
+        ["txn_id", "user_id", "txn_seq", "balance_after_txn"])
+
+
+def _columns(batch: pa.RecordBatch, *names: str):
+    return zip(*(batch[n].to_pylist() for n in names))
 
 
 def _fold(batches):
     user, bal, started, pos = None, None, False, 0
     for b in batches:
-        uids = b["user_id"].tolist()
-        kinds = b["_kind"].tolist()
-        txns = b["txn_id"].tolist()
-        types = b["txn_type"].tolist()
-        amts = b["amount"].tolist()
-        out_txn, out_uid, out_pos, out_bal = [], [], [], []
-        for uid, kind, txn, typ, amt in zip(uids, kinds, txns, types, amts):
+        out = [], [], [], []
+        for uid, kind, txn, typ, amt in _columns(b, "user_id", "_kind", "txn_id", "txn_type", "amount"):
             if uid != user:
                 user, bal, started, pos = uid, None, False, 0
             if kind == 0:
-                bal, started = _nz(amt), True
+                bal, started = amt, True
                 continue
             if not started:
                 continue  # no starting state for this user: inner-join semantics
-            bal = apply_txn(bal, typ, _nz(amt))
+            bal = apply_txn(bal, typ, amt)
             pos += 1
-            out_txn.append(txn)
-            out_uid.append(uid)
-            out_pos.append(pos)
-            out_bal.append(bal)
-        if out_txn:
-            yield pd.DataFrame({"txn_id": pd.array(out_txn, dtype="Int64"),
-                                "user_id": pd.array(out_uid, dtype="Int64"),
-                                "txn_seq": pd.array(out_pos, dtype="Int64"),
-                                "balance_after_txn": pd.array(out_bal, dtype="Float64")})
+            for col, value in zip(out, (txn, uid, pos, bal)):
+                col.append(value)
+        yield _replayed(*out)
 
 
 class StepSummary:
     """The fold over a run of transactions as a function of the balance before
     the run.
 
-    Every step is monotone and piecewise either ``x + c`` or constant, and so
-    is any composition. Pieces cover (end[i-1], end[i]] (the first starts at
-    -inf, the last ends at +inf); kind 0 is ``x + param + off``, kind 1 the
-    constant ``param + off``. Deposits and debits only move ``off``; a
-    withdrawal splits pieces where the balance crosses 0 and the amount, so
-    a run has at most two pieces per withdrawal, usually far fewer once
-    equal neighbours merge. A missing amount makes the result unknown
-    (``dead``), as in the row-by-row fold.
+    Every step is monotone with slope 1 or 0, and so is any composition:
+    ``f(x) = x + shift - (length of the flat pieces below x)``. Deposits and
+    debits move ``shift`` only. A withdrawal makes everything flat from the
+    point where f is 0 on, until its amount is used up; flat pieces inside are
+    absorbed, so there is at most one for each withdrawal. Pieces below the
+    zero of f are kept on ``left`` and those above on ``right`` (next one
+    last), with ``zero`` the largest x that f maps to 0 or below. A missing
+    amount makes the result unknown (``dead``), as in the row-by-row fold. All
+    numbers are whole units.
     """
 
-    __slots__ = ("ends", "kinds", "params", "off", "dead")
+    __slots__ = ("left", "right", "shift", "zero", "dead")
 
-    def __init__(self, ends=None, kinds=None, params=None, off=0.0, dead=False):
-        self.ends = list(ends) if ends is not None else [math.inf]
-        self.kinds = list(kinds) if kinds is not None else [0]
-        self.params = list(params) if params is not None else [0.0]
-        self.off, self.dead = off, dead
+    def __init__(self):
+        self.left: list[tuple[int, int]] = []
+        self.right: list[tuple[int, int]] = []
+        self.shift, self.zero, self.dead = 0, 0, False
 
     def step(self, txn_type, amount) -> None:
         if self.dead:
@@ -123,175 +124,188 @@ class StepSummary:
         if amount is None:
             self.dead = True
         elif txn_type == DEPOSIT:
-            self.off += amount
+            self._move(amount)
         elif txn_type == WITHDRAWAL:
             self._withdraw(amount)
         else:
-            self.off -= amount
-
-    def _withdraw(self, a: float) -> None:
-        ends, kinds, params = [], [], []
-
-        def emit(end, kind, param):
-            if kinds and kinds[-1] == kind and params[-1] == param:
-                ends[-1] = end
-            else:
-                ends.append(end)
-                kinds.append(kind)
-                params.append(param)
-
-        start = -math.inf
-        for end, kind, param in zip(self.ends, self.kinds, self.params):
-            p = param + self.off
-            if kind == 1:  # constant v: the step itself
-                emit(end, 1, p if p <= 0 else p - min(p, a))
-            else:          # x + p: unchanged while x + p <= 0, capped up to a, then x + p - a
-                t0, ta = -p, a - p
-                if min(end, t0) > start:
-                    emit(min(end, t0), 0, p)
-                if a > 0 and min(end, ta) > max(start, t0):
-                    emit(min(end, ta), 1, 0.0)
-                if end > max(start, ta if a > 0 else t0):
-                    emit(end, 0, p - a)
-            start = end
-        self.ends, self.kinds, self.params, self.off = ends, kinds, params, 0.0
+            self._move(-amount)
+
+    def _move(self, c: int) -> None:
+        """f grows by c: its zero moves by c along the pieces with slope 1."""
+        self.shift += c
+        while c > 0:  # to the left
+            edge = self.left[-1][1] if self.left else None
+            if edge is None or self.zero - edge >= c:
+                self.zero -= c
+                # The end of a flat piece at 0 belongs to it.
+                return
+            c -= self.zero - edge
+            piece = self.left.pop()
+            self.right.append(piece)
+            self.zero = piece[0]
+        while c < 0:  # to the right
+            edge = self.right[-1][0] if self.right else None
+            if edge is None or edge - self.zero > -c:
+                self.zero -= c
+                return
+            c += edge - self.zero
+            piece = self.right.pop()
+            self.left.append(piece)
+            self.zero = piece[1]
+        # A flat piece that begins at the zero is part of what maps to 0.
+        while self.right and self.right[-1][0] == self.zero:
+            piece = self.right.pop()
+            self.left.append(piece)
+            self.zero = piece[1]
+
+    def _withdraw(self, a: int) -> None:
+        if a <= 0:
+            return
+        start, at = self.zero, self.zero
+        while self.right and self.right[-1][0] - at <= a:
+            piece = self.right.pop()
+            a -= piece[0] - at
+            at = piece[1]
+        end = at + a
+        if self.right and self.right[-1][0] == end:
+            end = self.right.pop()[1]
+        if self.left and self.left[-1][1] == start:
+            start = self.left.pop()[0]
+        self.left.append((start, end))
+        self.zero = end
+
+    def flats(self) -> list[tuple[int, int]]:
+        return self.left + self.right[::-1]
 
     def __call__(self, balance):
         if self.dead or balance is None:
             return None
-        i = bisect_left(self.ends, balance)
-        base = balance + self.params[i] if self.kinds[i] == 0 else self.params[i]
-        return base + self.off
+        return apply_flats(balance, self.shift, *zip(*self.flats())) if self else balance + self.shift
 
     def __len__(self) -> int:
-        return len(self.ends)
+        return len(self.left) + len(self.right)
+
 
+def apply_flats(x: int, shift: int, starts, ends) -> int:
+    """x + shift less the length of the flat pieces below x."""
+    k = bisect_left(ends, x)
+    flat = sum(ends[:k]) - sum(starts[:k])
+    if k < len(starts) and starts[k] < x:
+        flat += x - starts[k]
+    return x + shift - flat
 
-SUMMARY_SCHEMA = ("_pid int, user_id long, n long, complex boolean, dead boolean, "
-                  "ends array<double>, kinds array<int>, params array<double>, off double")
-ENTRY_SCHEMA = "_pid int, user_id long, _entry double, _offset long"
 
+SUMMARY_SCHEMA = "_pid int, user_id long, n long, dead boolean, starts array<long>, ends array<long>, shift long"
+ENTRY_SCHEMA = "_pid int, user_id long, _entry long, _offset long"
 
-def _summarise(batches, max_pieces: int):
+
+def _summarise(batches):
     """Pass A: one summary row per (partition, user) segment."""
-    rows = []
-    key, summ, n, too_big = None, None, 0, False
+    key, summ, n = None, None, 0
 
-    def flush():
-        if key is None:
-            return
-        big = too_big or len(summ) > max_pieces
-        rows.append((key[0], key[1], n, big, summ.dead, [] if big else summ.ends,
-                     [] if big else summ.kinds, [] if big else summ.params, summ.off))
+    def row():
+        starts, ends = zip(*summ.flats()) if len(summ) else ((), ())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([n], pa.int64()),
+             pa.array([summ.dead]), pa.array([list(starts)], pa.list_(pa.int64())),
+             pa.array([list(ends)], pa.list_(pa.int64())), pa.array([summ.shift], pa.int64())],
+            ["_pid", "user_id", "n", "dead", "starts", "ends", "shift"])
 
     for b in batches:
-        for pid, uid, typ, amt in zip(b["_pid"].tolist(), b["user_id"].tolist(),
-                                      b["txn_type"].tolist(), b["amount"].tolist()):
+        for pid, uid, typ, amt in _columns(b, "_pid", "user_id", "txn_type", "amount"):
             if (pid, uid) != key:
-                flush()
-                key, summ, n, too_big = (pid, uid), StepSummary(), 0, False
+                if key is not None:
+                    yield row()
+                key, summ, n = (pid, uid), StepSummary(), 0
             n += 1
-            if not too_big:
-                summ.step(typ, _nz(amt))
-                too_big = len(summ) > max_pieces
-    flush()
-    if rows:
-        yield pd.DataFrame(rows, columns=["_pid", "user_id", "n", "complex", "dead", "ends", "kinds",
-                                          "params", "off"])
-
-
-def _chain(df: pd.DataFrame) -> pd.DataFrame:
-    """Per hot user: entry balance and position of each segment, in order.
-    At most one row per partition of the hot data reaches this group."""
-    df = df.sort_values("_pid")
-    if df["complex"].any() or not df["_started"].iloc[0]:
-        return pd.DataFrame({"_pid": [], "user_id": [], "_entry": [], "_offset": []})
-    bal, offset = _nz(df["start_balance"].iloc[0]), 0
-    pids, entries, offsets = [], [], []
-    for pid, n, dead, ends, kinds, params, off in zip(
-            df["_pid"].tolist(), df["n"].tolist(), df["dead"].tolist(), df["ends"], df["kinds"],
-            df["params"], df["off"].tolist()):
-        pids.append(pid)
-        entries.append(bal)
-        offsets.append(offset)
-        f = StepSummary(list(ends), [int(k) for k in kinds], list(params), off, bool(dead))
-        bal = _nz(f(bal))
-        offset += int(n)
-    uid = int(df["user_id"].iloc[0])
-    return pd.DataFrame({"_pid": pd.array(pids, dtype="Int32"), "user_id": pd.array([uid] * len(pids), dtype="Int64"),
-                         "_entry": pd.array(entries, dtype="Float64"), "_offset": pd.array(offsets, dtype="Int64")})
+            summ.step(typ, amt)
+    if key is not None:
+        yield row()
+
+
+def _chain(batches):
+    """Entry balance and position of each segment, users and segments in order."""
+    user, bal, offset = None, None, 0
+    for b in batches:
+        out = [], [], [], []
+        for r in range(b.num_rows):
+            pid, uid, n, dead, shift, start = (b[c][r].as_py() for c in ("_pid", "user_id", "n", "dead", "shift", "start"))
+            if uid != user:
+                user, bal, offset = uid, start, 0
+            for col, value in zip(out, (pid, uid, bal, offset)):
+                col.append(value)
+            if dead or bal is None:
+                bal = None
+            else:
+                bal = apply_flats(bal, shift, b["starts"][r].values.to_pylist(), b["ends"][r].values.to_pylist())
+            offset += n
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.int64()) for c in out[1:])],
+                                         ["_pid", "user_id", "_entry", "_offset"])
 
 
 def _fold_segments(batches):
     """Pass B: fold every segment from its entry balance."""
     key, bal, pos = None, None, 0
     for b in batches:
-        out_txn, out_uid, out_pos, out_bal = [], [], [], []
-        for pid, uid, txn, typ, amt, entry, offset in zip(
-                b["_pid"].tolist(), b["user_id"].tolist(), b["txn_id"].tolist(), b["txn_type"].tolist(),
-                b["amount"].tolist(), b["_entry"].tolist(), b["_offset"].tolist()):
+        out = [], [], [], []
+        for pid, uid, txn, typ, amt, entry, offset in _columns(
+                b, "_pid", "user_id", "txn_id", "txn_type", "amount", "_entry", "_offset"):
             if (pid, uid) != key:
-                key, bal, pos = (pid, uid), _nz(entry), int(offset)
-            bal = apply_txn(bal, typ, _nz(amt))
+                key, bal, pos = (pid, uid), entry, offset
+            bal = apply_txn(bal, typ, amt)
             pos += 1
-            out_txn.append(txn)
-            out_uid.append(uid)
-            out_pos.append(pos)
-            out_bal.append(bal)
-        if out_txn:
-            yield pd.DataFrame({"txn_id": pd.array(out_txn, dtype="Int64"),
-                                "user_id": pd.array(out_uid, dtype="Int64"),
-                                "txn_seq": pd.array(out_pos, dtype="Int64"),
-                                "balance_after_txn": pd.array(out_bal, dtype="Float64")})
-
-
-def _replay_in_order(starts: DataFrame, events: DataFrame, seq: list[str], n: int) -> DataFrame:
+            for col, value in zip(out, (txn, uid, pos, bal)):
+                col.append(value)
+        yield _replayed(*out)
+
+
+def _start_units(starts: DataFrame) -> DataFrame:
+    return starts.select(F.col("user_id").cast("long").alias("user_id"), units(F.col("start_balance")).alias("start"))
+
+
+def _event_units(events: DataFrame, seq: list[str]) -> DataFrame:
+    return events.select(F.col("user_id").cast("long").alias("user_id"), *[F.col(c) for c in seq],
+                         F.col("txn_id").cast("long").alias("txn_id"), "txn_type", units(F.col("amount")).alias("amount"))
+
+
+def _replay_in_order(starts: DataFrame, events: DataFrame, seq: list[str]) -> DataFrame:
     """Every user's rows folded in order by one task (hash partitioned by user)."""
     s = starts.select(
-        F.col("user_id").cast("long"), F.lit(0).alias("_kind"),
+        "user_id", F.lit(0).alias("_kind"),
         *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in seq],
         F.lit(None).cast("long").alias("txn_id"), F.lit(None).cast("string").alias("txn_type"),
-        F.col("start_balance").cast("double").alias("amount"))
-    e = events.select(
-        F.col("user_id").cast("long"), F.lit(1).alias("_kind"), *[F.col(c) for c in seq],
-        F.col("txn_id").cast("long"), F.col("txn_type"), F.col("amount").cast("double"))
+        F.col("start").alias("amount"))
+    e = events.withColumn("_kind", F.lit(1))
     # Start rows sort first; among duplicate starts the largest sorts last and
     # wins, a rule that does not depend on arrival order (stable on retry).
-    ordered = (s.unionByName(e).repartition(n, "user_id")
+    ordered = (s.unionByName(e).repartition("user_id")
                .sortWithinPartitions("user_id", "_kind", *seq, "txn_id", "amount"))
-    return ordered.select("user_id", "_kind", "txn_id", "txn_type", "amount").mapInPandas(_fold, REPLAY_SCHEMA)
+    return ordered.select("user_id", "_kind", "txn_id", "txn_type", "amount").mapInArrow(_fold, REPLAY_SCHEMA)
 
 
-def _replay_split(starts: DataFrame, events: DataFrame, seq: list[str], parts: int) -> tuple[DataFrame, DataFrame]:
-    """Hot users' histories cut into range partitions and folded in parallel.
-    Returns (replayed rows, ids of users left to the in-order fold)."""
-    order = ["user_id", *seq, "txn_id"]
-    ev = events.select(F.col("user_id").cast("long"), *[F.col(c) for c in seq], F.col("txn_id").cast("long"),
-                       "txn_type", F.col("amount").cast("double"))
+def _segments(events: DataFrame, order: list[str], parts: int) -> DataFrame:
+    """Histories cut into range partitions, in order, with the partition as _pid."""
     # Checkpointed so both passes see the same partitions in the same order.
-    chunks = reliable_checkpoint(ev.repartitionByRange(parts, *order).sortWithinPartitions(*order)) \
+    return reliable_checkpoint(events.repartitionByRange(parts, *order).sortWithinPartitions(*order)) \
         .withColumn("_pid", F.spark_partition_id())
-    max_pieces = MAX_PIECES
-    summaries = chunks.select("_pid", "user_id", "txn_type", "amount").mapInPandas(
-        lambda it: _summarise(it, max_pieces), SUMMARY_SCHEMA)
-    summaries = reliable_checkpoint(summaries)
-    first_start = starts.groupBy(F.col("user_id").cast("long").alias("user_id")).agg(
-        F.max(F.col("start_balance").cast("double")).alias("start_balance"))
-    entries = (summaries.join(first_start.withColumn("_started", F.lit(True)), "user_id", "left")
-               .withColumn("_started", F.coalesce(F.col("_started"), F.lit(False)))
-               .groupBy("user_id").applyInPandas(_chain, ENTRY_SCHEMA))
-    # One entry per (partition, user) segment: at most partitions + hot users
-    # rows, so the broadcast is bounded by the partition count.
-    replayed = (chunks.join(F.broadcast(entries), ["_pid", "user_id"])
-                .sortWithinPartitions("_pid", *order)
-                .select("_pid", "user_id", "txn_id", "txn_type", "amount", "_entry", "_offset")
-                .mapInPandas(_fold_segments, REPLAY_SCHEMA))
-    in_order = summaries.where("complex").select("user_id").distinct()
-    return replayed, in_order
-
-
-def replay_ledger(starts: DataFrame, events: DataFrame, seq: list[str],
-                  partitions: int | None = None, hot_rows: int = HOT_USER_ROWS) -> DataFrame:
+
+
+def _replay_split(starts: DataFrame, events: DataFrame, seq: list[str], parts: int) -> DataFrame:
+    """Hot users' histories summarised and folded segment by segment."""
+    order = ["user_id", *seq, "txn_id"]
+    chunks = _segments(events, order, parts)
+    summaries = chunks.select("_pid", "user_id", "txn_type", "amount").mapInArrow(_summarise, SUMMARY_SCHEMA)
+    start = starts.groupBy("user_id").agg(F.max("start").alias("start"))
+    entries = (summaries.join(start, "user_id").repartition("user_id").sortWithinPartitions("user_id", "_pid")
+               .mapInArrow(_chain, ENTRY_SCHEMA))
+    return (chunks.join(reliable_checkpoint(entries), ["_pid", "user_id"])
+            .repartition("_pid", "user_id").sortWithinPartitions("_pid", *order)
+            .select("_pid", "user_id", "txn_id", "txn_type", "amount", "_entry", "_offset")
+            .mapInArrow(_fold_segments, REPLAY_SCHEMA))
+
+
+def replay_ledger(starts: DataFrame, events: DataFrame, seq: list[str], hot_rows: int = HOT_USER_ROWS,
+                  segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Per-transaction balance after an ordered fold from each user's start (op G5).
 
     Output: (txn_id, user_id, txn_seq = 1-based position in the user's order,
@@ -300,31 +314,26 @@ def replay_ledger(starts: DataFrame, events: DataFrame, seq: list[str],
     ``starts``: (user_id, start_balance); ``events``: (user_id, txn_id,
     txn_type, amount, *seq). Transactions are applied in (seq..., txn_id)
     order. Users without a start row are skipped. Users with more than
-    ``hot_rows`` transactions are split across tasks (module docstring).
+    ``hot_rows`` transactions are split across tasks (module docstring); the
+    balances are the same whether they are or not.
     """
-    spark = events.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = events.groupBy(F.col("user_id").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > hot_rows)
+    starts, events = _start_units(starts), _event_units(events, seq)
+    hot = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     stats = hot.agg(F.count(F.lit(1)).alias("users"), F.sum("_n").alias("rows")).first()
     if not stats["users"]:
-        return _replay_in_order(starts, events, seq, n)
-    parts = max(n, -(-int(stats["rows"]) // hot_rows))
-    hot_ids = reliable_checkpoint(hot.select("user_id"))
+        return _replay_in_order(starts, events, seq)
+    ids = reliable_checkpoint(hot.select(F.col("user_id").alias("_hid")))
 
     # Routing rows by a known, counted id set: broadcast when the count allows,
     # so a hot user's rows never meet in one reducer just to be routed.
     small = stats["users"] <= MAX_BROADCAST_IDS
 
-    def only(df, ids, how):
-        return df.join(F.broadcast(ids) if small else ids, F.col("user_id").cast("long") == ids["_hid"], how)
+    def only(df, how):
+        return df.join(F.broadcast(ids) if small else ids, F.col("user_id") == F.col("_hid"), how)
 
-    ids = hot_ids.withColumnRenamed("user_id", "_hid")
-    split, in_order = _replay_split(only(starts, ids, "left_semi"), only(events, ids, "left_semi"), seq, parts)
-    # Everyone but the hot users the split path folded: ordinary users and hot
-    # users whose summaries grew too large.
-    split_ids = hot_ids.join(in_order, "user_id", "left_anti").withColumnRenamed("user_id", "_hid")
-    rest = _replay_in_order(only(starts, split_ids, "left_anti"), only(events, split_ids, "left_anti"), seq, n)
+    split = _replay_split(only(starts, "left_semi"), only(events, "left_semi"), seq,
+                          -(-int(stats["rows"]) // segment_rows))
+    rest = _replay_in_order(only(starts, "left_anti"), only(events, "left_anti"), seq)
     return rest.unionByName(split)
 
 
@@ -337,11 +346,21 @@ def latest_state(df: DataFrame, key: str, seq: list[str], cols: list[str]) -> Da
 
 def final_balances(starts: DataFrame, events: DataFrame, seq: list[str], leverage: Column | None = None,
                    digits: int = 2) -> DataFrame:
-    """Users' balances after replay, rounded, with the levered margin balance
-    (ops G5 + G9 + G6). ``leverage`` is a column over ``user_id``."""
-    replayed = replay_ledger(starts, events, seq)
-    state = latest_state(replayed, "user_id", ["txn_seq"], ["balance_after_txn"])
-    out = state.select("user_id", F.round("balance_after_txn", digits).alias("total_ledger_balance"), "n_txns")
+    """Every user's balance after replay, rounded, with the levered margin
+    balance (ops G5 + G9 + G6). ``leverage`` is a column over ``user_id``.
+
+    A user without transactions keeps the starting balance (``n_txns`` 0).
+    The unrounded balance is levered and the result rounded once.
+    """
+    state = latest_state(replay_ledger(starts, events, seq), "user_id", ["txn_seq"], ["balance_after_txn"])
+    first = starts.groupBy(F.col("user_id").cast("long").alias("user_id")).agg(
+        F.max("start_balance").alias("start_balance"))
+    out = (first.join(state, "user_id", "left")
+           .withColumn("n_txns", F.coalesce("n_txns", F.lit(0)))
+           .withColumn("_balance", F.when(F.col("n_txns") > 0, F.col("balance_after_txn"))
+                       .otherwise(F.col("start_balance")).cast("decimal(24,4)")))
+    cols = ["user_id", F.round("_balance", digits).cast("double").alias("total_ledger_balance"), "n_txns"]
     if leverage is not None:
-        out = out.withColumn("margin_balance", F.round(margin_balance("total_ledger_balance", leverage), digits))
-    return out
+        levered = margin_balance("_balance", leverage.cast("decimal(10,4)")).cast("decimal(38,8)")
+        cols.append(F.round(levered, digits).cast("double").alias("margin_balance"))
+    return out.select(*cols)

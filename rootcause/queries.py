@@ -283,17 +283,17 @@ def q_invariants(spark, sf_dir):
 # ------------------------------------------------------------ ledger: G5, G6, G9
 
 _REPLAY_CTES = """ev AS (
-  SELECT txn_id, user_id, txn_type, amount,
+  SELECT txn_id, user_id, txn_type, CAST(amount AS DECIMAL(18,4)) AS amount,
     row_number() OVER (PARTITION BY user_id ORDER BY txn_ts, txn_id) AS rn
   FROM ledger_events WHERE user_id IN (SELECT c_custkey FROM customer)
 ),
 rep(user_id, rn, txn_id, bal) AS (
-  SELECT c_custkey, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), c_acctbal FROM customer
+  SELECT c_custkey, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(c_acctbal AS DECIMAL(18,4)) FROM customer
   UNION ALL
   SELECT e.user_id, e.rn, e.txn_id,
-    CASE WHEN e.txn_type = 'DEPOSIT' THEN r.bal + e.amount
+    CAST(CASE WHEN e.txn_type = 'DEPOSIT' THEN r.bal + e.amount
          WHEN e.txn_type = 'WITHDRAWAL' THEN (CASE WHEN r.bal <= 0 THEN r.bal ELSE r.bal - least(r.bal, e.amount) END)
-         ELSE r.bal - e.amount END
+         ELSE r.bal - e.amount END AS DECIMAL(18,4))
   FROM rep r JOIN ev e ON e.user_id = r.user_id AND e.rn = r.rn + 1
 )"""
 _LEVERAGE_SQL = "(CASE user_id % 4 WHEN 0 THEN 1.0e0 WHEN 1 THEN 2.0e0 WHEN 2 THEN 4.0e0 ELSE 5.0e0 END)"
@@ -313,7 +313,7 @@ def _leverage():
 
 
 @register("ledger_replay", O.with_adapters(
-    "SELECT txn_id, user_id, rn AS txn_seq, bal AS balance_after_txn FROM rep WHERE rn > 0",
+    "SELECT txn_id, user_id, rn AS txn_seq, CAST(bal AS DOUBLE) AS balance_after_txn FROM rep WHERE rn > 0",
     _REPLAY_CTES, recursive=True))
 def q_ledger_replay(spark, sf_dir):
     starts, events = _ledger_inputs(spark, sf_dir)
@@ -321,10 +321,11 @@ def q_ledger_replay(spark, sf_dir):
 
 
 @register("ledger_final_state", O.with_adapters(
-    "SELECT user_id, round(bal, 2) AS total_ledger_balance, rn AS n_txns, "
-    f"round(CASE WHEN round(bal, 2) > 0 THEN round(bal, 2) * {_LEVERAGE_SQL} ELSE round(bal, 2) END, 2) "
-    "AS margin_balance FROM (SELECT *, max(rn) OVER (PARTITION BY user_id) AS last_rn FROM rep WHERE rn > 0) s "
-    "WHERE rn = last_rn", _REPLAY_CTES, recursive=True))
+    "SELECT user_id, CAST(round(bal, 2) AS DOUBLE) AS total_ledger_balance, rn AS n_txns, "
+    "CAST(round(CASE WHEN bal > 0 THEN bal * CAST(CASE user_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 5 END "
+    "AS DECIMAL(2,0)) ELSE bal END, 2) AS DOUBLE) AS margin_balance "
+    "FROM (SELECT *, max(rn) OVER (PARTITION BY user_id) AS last_rn FROM rep) s WHERE rn = last_rn",
+    _REPLAY_CTES, recursive=True))
 def q_ledger_final(spark, sf_dir):
     starts, events = _ledger_inputs(spark, sf_dir)
     return LG.final_balances(starts, events, ["txn_ts"], leverage=_leverage())
