@@ -27,10 +27,11 @@ def slippage_bps(order_type, requested, executed) -> Column:
     """Signed slippage in basis points.
 
     A buy filled above the request, or a sell filled below it, is an adverse
-    move and is stored negative; an improvement is positive.
+    move and is stored negative; an improvement is positive. Null for a
+    requested price of 0.
     """
     req, exe = _col(requested), _col(executed)
-    return -order_side(order_type) * (exe - req) / req * F.lit(10000.0)
+    return F.try_divide(-order_side(order_type) * (exe - req), req) * F.lit(10000.0)
 
 
 def executed_price(order_type, requested, bps) -> Column:

@@ -1,9 +1,9 @@
-"""Order-independent averages and exact 2-dp rendering.
+"""Order-independent sums and averages and exact 2-dp rendering.
 
-A double ``avg`` depends on the order in which partitions are added, so results
+A double ``sum`` depends on the order in which partitions are added, so results
 would change with the partitioning. Summing a fixed-point decimal is exact and
-order free; the division happens once at the end. Telemetry values carry at
-most 2 decimals, so 4 decimal places lose nothing.
+order free. Six decimals are kept, and sums hold up to 1e32, far beyond what a
+64-bit count of units would.
 """
 
 from __future__ import annotations
@@ -11,37 +11,42 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SUM_TYPE = "decimal(18,4)"
+SUM_TYPE = "decimal(32,6)"
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def exact_sum_e4(c) -> Column:
-    """Aggregate: the exact sum in units of 1e-4, as a long."""
-    return (F.sum(_col(c).cast(SUM_TYPE)) * 10000).cast("long")
+def exact_sum(c) -> Column:
+    """Aggregate: the exact sum, as a decimal."""
+    return F.sum(_col(c).cast(SUM_TYPE))
 
 
 def exact_avg(c) -> Column:
     """Aggregate: AVG(c) computed as decimal sum / count (null for no rows)."""
-    c = _col(c)
-    return F.try_divide(F.sum(c.cast(SUM_TYPE)).cast("double"), F.count(c))
+    return F.try_divide(exact_sum(c).cast("double"), F.count(_col(c)))
 
 
-def fmt_ratio_2dp_expr(sum_e4: str, n: str) -> str:
+def fmt_ratio_2dp_expr(total: str, n: str) -> str:
     """Spark SQL text of ``fmt_ratio_2dp`` over two column names."""
-    h = f"((abs({sum_e4}) + {n} * 50) div ({n} * 100))"
-    return (f"CASE WHEN {n} > 0 THEN concat(CASE WHEN {sum_e4} < 0 AND {h} > 0 THEN '-' ELSE '' END, "
-            f"cast({h} div 100 AS STRING), '.', lpad(cast({h} % 100 AS STRING), 2, '0')) END")
+    units = f"(abs(CAST({total} * 1000000 AS DECIMAL(38,0))) + {n} * 5000L)"
+    cents = _quotient(units, f"({n} * 10000L)")
+    return (f"CASE WHEN {n} > 0 THEN concat(CASE WHEN {total} < 0 AND {cents} > 0 THEN '-' ELSE '' END, "
+            f"cast({_quotient(cents, '100L')} AS STRING), '.', "
+            f"lpad(cast(CAST({cents} % 100L AS INT) AS STRING), 2, '0')) END")
 
 
-def fmt_ratio_2dp(sum_e4: str, n: str) -> Column:
-    """Render sum_e4 / 1e4 / n with 2 decimals, half away from zero, exactly.
+def _quotient(a: str, b: str) -> str:
+    """a div b over decimals (``div`` itself gives a 64-bit number)."""
+    return f"CAST(({a} - {a} % {b}) / nullif({b}, 0L) AS DECIMAL(38,0))"
 
-    Integer arithmetic only (``div`` is exact integer division), so every
-    engine prints the same digits; rounding a double is not portable (1.005
-    becomes 1.01 in one engine, 1.00 in another).
-    """
-    return F.expr(fmt_ratio_2dp_expr(sum_e4, n))
 
+def fmt_ratio_2dp(total: str, n: str) -> Column:
+    """Render total / n with 2 decimals, half away from zero, exactly.
+
+    ``total`` is a decimal column with six decimals. Whole numbers only, so
+    every engine prints the same digits; rounding a double is not portable (1.005 becomes 1.01 in one
+    engine, 1.00 in another).
+    """
+    return F.expr(fmt_ratio_2dp_expr(total, n))

@@ -12,7 +12,7 @@ from rootcause.themes import DEFAULT_THEME, SQL_ERROR_SENTINEL
 # parsing (first SELECT up to the first ';' or the end; greedy first '{' to last '}').
 SQL_STATEMENT_PATTERN = r"(?is)\bSELECT\b.*?(?:;|$)"
 JSON_SPAN_PATTERN = r"(?s)\{.*\}"
-STRIP_PATTERN = r"^\s+|\s+$"
+STRIP_PATTERN = r"(?U)^\s+|\s+$"
 
 
 def _col(c) -> Column:
@@ -20,7 +20,8 @@ def _col(c) -> Column:
 
 
 def strip(c) -> Column:
-    """Whitespace strip on both ends (``trim`` only removes spaces)."""
+    """Whitespace strip on both ends, Unicode white space included (``trim``
+    only removes spaces)."""
     return F.regexp_replace(_col(c), STRIP_PATTERN, "")
 
 
@@ -49,10 +50,11 @@ def extract_sql(c) -> Column:
     """Isolate the SQL statement in a model reply (op E8).
 
     First case-insensitive SELECT word up to the first ';' (kept) or the end,
-    stripped; no match gives the sentinel, which fails later as an Error row.
+    stripped; no match, or no reply, gives the sentinel, which fails later as
+    an Error row.
     """
     stmt = strip(F.regexp_extract(_col(c), SQL_STATEMENT_PATTERN, 0))
-    return F.when(stmt == "", F.lit(SQL_ERROR_SENTINEL)).otherwise(stmt)
+    return F.coalesce(F.nullif(stmt, F.lit("")), F.lit(SQL_ERROR_SENTINEL))
 
 
 def extract_label_native(c) -> Column:

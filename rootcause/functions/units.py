@@ -38,11 +38,3 @@ def format_metric(name: str, number_text) -> Column:
     number_text = F.col(number_text) if isinstance(number_text, str) else number_text
     return F.concat(number_text, unit_suffix(name))
 
-
-def unit_suffix_sql(name_sql: str) -> str:
-    """DuckDB SQL text of ``unit_suffix``."""
-    parts = []
-    for toks, suffix in UNIT_RULES:
-        cond = " OR ".join(f"list_contains(string_split({name_sql}, '_'), '{t}')" for t in toks)
-        parts.append(f"WHEN {cond} THEN '{suffix}'")
-    return "(CASE " + " ".join(parts) + " ELSE '' END)"

@@ -52,18 +52,36 @@ def _strip_reply(r):
     return None if r is None else str(r).strip()
 
 
-def _infer_frames(batches, col, out, infer, wrap):
+def _replies(prompts: pd.Series, infer, on_error) -> pd.Series:
+    """One model call for the batch; where it fails, one for each prompt."""
+    if on_error is None:
+        return pd.Series(list(infer(prompts)), index=prompts.index)
+    try:
+        replies = pd.Series(list(infer(prompts)), index=prompts.index)
+        return replies
+    except Exception:  # noqa: BLE001 - which prompt failed is found below
+        out = []
+        for i in range(len(prompts)):
+            try:
+                out.append(list(infer(prompts.iloc[i:i + 1]))[0])
+            except Exception as e:  # noqa: BLE001
+                out.append(on_error(e))
+        return pd.Series(out, index=prompts.index)
+
+
+def _infer_frames(batches, col, out, infer, wrap, on_error=None):
     for b in batches:
         prompts = b[col]
         if wrap:
             prompts = prompts.map(lambda t: None if t is None else f"<review>{t}</review>")
-        replies = pd.Series(list(infer(prompts)), index=b.index)
+        replies = _replies(prompts, infer, on_error)
         b[out] = replies.map(_strip_reply)
         yield b
 
 
 def batch_infer(df: DataFrame, col: str, infer: Callable[[pd.Series], pd.Series],
-                out: str = "reply", wrap: bool = False, dedupe: bool = True) -> DataFrame:
+                out: str = "reply", wrap: bool = False, dedupe: bool = True,
+                on_error: Callable[[Exception], str | None] | None = None) -> DataFrame:
     """One model call per distinct text (op D2).
 
     ``infer`` maps a pandas Series of prompts to a Series of replies; replies
@@ -73,17 +91,20 @@ def batch_infer(df: DataFrame, col: str, infer: Callable[[pd.Series], pd.Series]
     of a text inside each map task first), and the join back moves only
     (digest, reply) pairs, never a second copy of the text. AQE splits a
     skewed digest on the review side. ``wrap`` sends '<review>' + text + '</review>'.
+    With ``on_error`` a failing call costs only its own prompt: the reply is
+    what ``on_error`` makes of the exception. Without it the exception ends the
+    job.
     """
     if dedupe:
         key = "_text_sha256"
         keyed = df.withColumn(key, F.sha2(F.col(col), 256))
         texts = (keyed.where(F.col(col).isNotNull()).groupBy(key)
                  .agg(F.any_value(F.col(col)).alias(col)))
-        replies = texts.mapInPandas(lambda it: _infer_frames(it, col, out, infer, wrap),
+        replies = texts.mapInPandas(lambda it: _infer_frames(it, col, out, infer, wrap, on_error),
                                     f"`{key}` string, `{col}` string, `{out}` string").drop(col)
         return keyed.join(replies, key, "left").drop(key)
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType())])
-    return df.mapInPandas(lambda it: _infer_frames(it, col, out, infer, wrap), schema)
+    return df.mapInPandas(lambda it: _infer_frames(it, col, out, infer, wrap, on_error), schema)
 
 
 def _label_of(reply):
@@ -116,6 +137,17 @@ def extract_label(col) -> Column:
     return _extract_label_udf(F.col(col) if isinstance(col, str) else col)
 
 
+def categorise(df: DataFrame, col: str, infer: Callable[[pd.Series], pd.Series], out: str = CATEGORY_COL) -> DataFrame:
+    """Every review with the model's label (ops D1 + D2 + D3 + B6).
+
+    A call that fails gives the default label for its review, as does a reply
+    without a label; a null text has none.
+    """
+    replied = batch_infer(df, col, infer, out="_reply", wrap=True, on_error=lambda e: None)
+    label = F.when(F.col(col).isNotNull(), extract_label("_reply"))
+    return with_category(replied, label, out).drop("_reply")
+
+
 def category_distribution(df: DataFrame, col: str = CATEGORY_COL) -> DataFrame:
     """Count per category, null categories ignored, renamed to
     (Category, Count) and ordered by count desc then name (ops C3, B7)."""
@@ -140,5 +172,5 @@ def ranked_categories(dist: DataFrame) -> DataFrame:
                .withColumn("is_default", F.col("idx") == 0)
 
 
-__all__ = ["classify_by_rules", "with_category", "batch_infer", "extract_label", "wrap_review",
+__all__ = ["classify_by_rules", "with_category", "batch_infer", "categorise", "extract_label", "wrap_review",
            "category_distribution", "top_category", "ranked_categories", "JSON_SPAN_PATTERN"]

@@ -56,14 +56,20 @@ def _smallest_k_flag(df: DataFrame, score: str, key: str, k: int, flag: str) ->
               .drop("_bin", "_edge")
 
 
+def split_flag(df: DataFrame, key: str, k: int, salt: str, flag: str) -> DataFrame:
+    """``df`` with a column that marks the first k rows of the shuffle by
+    ``uniform(key, salt)``: the split of op G1 in one pass."""
+    return _smallest_k_flag(df.withColumn("_u", uniform(key, salt)), "_u", key, k, flag).drop("_u")
+
+
 def split_exact(df: DataFrame, key: str, k: int, salt: str) -> tuple[DataFrame, DataFrame]:
     """Shuffle by ``uniform(key, salt)``; the first k rows vs the rest (op G1).
 
     The two parts are disjoint and together are the input.
     """
-    flagged = _smallest_k_flag(df.withColumn("_u", uniform(key, salt)), "_u", key, k, "_first")
-    first = flagged.where("_first").drop("_u", "_first")
-    rest = flagged.where(~F.col("_first")).drop("_u", "_first")
+    flagged = split_flag(df, key, k, salt, "_first")
+    first = flagged.where("_first").drop("_first")
+    rest = flagged.where(~F.col("_first")).drop("_first")
     return first, rest
 
 

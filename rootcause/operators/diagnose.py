@@ -6,12 +6,11 @@ plain inner join (all telemetry rows of cohort users count, healthy ones
 included), and tickets are not de-duplicated: repeated (user, theme) tickets
 multiply rows exactly as in SQL.
 
-Physical plan: no join strategy is forced. The cohort side is projected to
-``user_id`` (plus ticket columns when a metric needs them) and filtered by theme
-before the join; AQE turns the join into a broadcast only when the measured
-cohort is below the broadcast threshold, otherwise it stays a sort-merge join
-and skewed user partitions are split. Aggregates are partial + final, so only
-one row per (task, group) crosses the shuffle.
+Physical plan: the cohort side is projected to ``user_id`` (plus ticket columns
+when a metric needs them) and filtered by theme before the join. A cohort
+counted to be small is broadcast; a larger one is joined after both sides were
+reduced per user. Aggregates are partial + final, so only one row per (task,
+group) crosses the shuffle.
 
 The all-theme plans and the single-theme plans (all but ``rows``) are one SQL
 text over the bound frames (``spark.sql(text, support=df, t_<table>=df)``): Catalyst sees
@@ -22,12 +21,13 @@ trips.
 from __future__ import annotations
 
 import weakref
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
-from pyspark.errors import PySparkException
 
-from rootcause.functions.numeric import SUM_TYPE, exact_avg
+from rootcause.functions.numeric import SUM_TYPE, exact_avg, exact_sum
+from rootcause.functions.text import extract_sql
 from rootcause.plans.diagnostics import ID_COLUMNS, PLANS, UNIT_SUFFIXES, DiagnosticPlan
 from rootcause.schemas import TABLE_SCHEMAS
 from rootcause.session import reliable_checkpoint
@@ -49,7 +49,7 @@ def _target_cols(plan: DiagnosticPlan) -> list[str]:
 
 def _agg(m, prefix=""):
     c = F.col(prefix + m.column) if prefix else F.col(m.column)
-    return F.count(c) if m.agg == "count" else exact_avg(c)
+    return {"count": F.count, "avg": exact_avg, "sum": lambda x: exact_sum(x).cast("double")}[m.agg](c)
 
 
 def diagnose(tables: dict[str, DataFrame], theme: str, strategy: str = "auto") -> DataFrame:
@@ -127,8 +127,8 @@ def diagnose_long(tables: dict[str, DataFrame], themes=None, strategy: str = "au
 
     Themes that share a target table are computed in one pass and grouped by
     (theme, group key). Output rows: (complaint_theme, group_key, metric, agg,
-    value, sum_e4, n); ``sum_e4`` and ``n`` keep the exact sum and count behind
-    an average for exact rendering. A global aggregate over an empty cohort
+    value, total, n); ``total`` (a decimal) and ``n`` keep the exact sum and
+    count behind a sum or an average for exact rendering. A global aggregate over an empty cohort
     still yields its row (nulls), as in SQL; keyed aggregates yield no rows.
 
     Strategies (identical results, bit for bit):
@@ -194,6 +194,11 @@ def _seeds_sql(plans, n_before: int, n_after: int) -> str:
     return "".join(f"\n  UNION ALL {r}" for r in rows)
 
 
+def _value_sql(agg: str, total: str, n: str) -> str:
+    as_double = f"CAST({total} AS DOUBLE)"
+    return f"try_divide({as_double}, {n})" if agg == "avg" else as_double
+
+
 def _rows_sql(target, plans, metrics, broadcast_cohort: bool) -> str:
     """Row-level plan: join every telemetry row to the cohort, then aggregate."""
     support_cols = sorted({c for p in plans for c in _support_cols(p)})
@@ -212,10 +217,9 @@ def _rows_sql(target, plans, metrics, broadcast_cohort: bool) -> str:
     for (col, source, agg), i in metrics.items():
         c = "cs_" + col if source == "support" else col
         aggs.append(f"count({c}) AS n{i}")
-        if agg == "avg":
+        if agg != "count":
             dec = f"sum(CAST({c} AS {SUM_TYPE}))"
-            aggs += [f"try_divide(CAST({dec} AS DOUBLE), count({c})) AS v{i}",
-                     f"CAST({dec} * 10000 AS BIGINT) AS s{i}"]
+            aggs += [f"{_value_sql(agg, dec, f'count({c})')} AS v{i}", f"CAST({dec} AS DECIMAL(38,6)) AS s{i}"]
     return (f"SELECT complaint_theme, group_key, {', '.join(aggs)} FROM ({joined}) j "
             f"GROUP BY complaint_theme, group_key")
 
@@ -245,10 +249,9 @@ def _preaggregated_sql(target, plans, metrics) -> str:
                               else ("_tickets", "ts_" + col, "tn_" + col))
         n = f"coalesce(sum({weight} * {cnt}), CAST(0 AS BIGINT))"
         aggs.append(f"{n} AS n{i}")
-        if agg == "avg":
-            total_sum = f"sum({weight} * {total})"
-            aggs += [f"try_divide(CAST({total_sum} AS DOUBLE), {n}) AS v{i}",
-                     f"CAST({total_sum} * 10000 AS BIGINT) AS s{i}"]
+        if agg != "count":
+            total_sum = f"sum(CAST({weight} * {total} AS DECIMAL(38,6)))"
+            aggs += [f"{_value_sql(agg, total_sum, n)} AS v{i}", f"CAST({total_sum} AS DECIMAL(38,6)) AS s{i}"]
     return (f"SELECT complaint_theme, group_key, {', '.join(aggs)} FROM ({joined}) j "
             f"GROUP BY complaint_theme, group_key")
 
@@ -261,7 +264,7 @@ def _grouped_sql(target: str, plans, metrics, strategy: str) -> str:
 
 
 def _target_sql(target: str, plans: list[DiagnosticPlan], strategy: str) -> str:
-    """Tidy rows (complaint_theme, group_key, metric, agg, value, sum_e4, n)
+    """Tidy rows (complaint_theme, group_key, metric, agg, value, total, n)
     of the themes sharing one target table."""
     metrics = _metric_index(plans)
     grouped = _grouped_sql(target, plans, metrics, strategy)
@@ -269,9 +272,10 @@ def _target_sql(target: str, plans: list[DiagnosticPlan], strategy: str) -> str:
     for p in plans:
         for m in p.metrics:
             i = metrics[(m.column, m.source, m.agg)]
-            value, total = (f"v{i}", f"s{i}") if m.agg == "avg" else (f"CAST(n{i} AS DOUBLE)", "CAST(NULL AS BIGINT)")
+            value, total = ((f"CAST(n{i} AS DOUBLE)", "CAST(NULL AS DECIMAL(38,6))") if m.agg == "count"
+                            else (f"v{i}", f"s{i}"))
             entries.append(f"CASE WHEN complaint_theme = '{p.theme}' THEN named_struct('metric', '{m.alias}', "
-                           f"'agg', '{m.agg}', 'value', {value}, 'sum_e4', {total}, 'n', n{i}) END")
+                           f"'agg', '{m.agg}', 'value', {value}, 'total', {total}, 'n', n{i}) END")
     return (f"SELECT complaint_theme, group_key, inline(filter(array({', '.join(entries)}), x -> x IS NOT NULL)) "
             f"FROM ({grouped}) g")
 
@@ -297,7 +301,7 @@ def plan_sql(theme: str) -> str:
         if m.agg == "count":
             sel.append(f"COUNT({ref}) AS {m.alias}")
         else:
-            sel.append(f"try_divide(CAST(SUM(CAST({ref} AS DECIMAL(18,4))) AS DOUBLE), COUNT({ref})) AS {m.alias}")
+            sel.append(f"{_value_sql(m.agg, f'SUM(CAST({ref} AS {SUM_TYPE.upper()}))', f'COUNT({ref})')} AS {m.alias}")
     sql = (f"SELECT {', '.join(sel)} FROM {t} JOIN customer_support "
            f"ON customer_support.user_id = {t}.user_id "
            f"WHERE customer_support.complaint_theme = '{theme}'")
@@ -307,19 +311,31 @@ def plan_sql(theme: str) -> str:
 
 
 def run_sql(spark: SparkSession, sql: str) -> DataFrame:
-    """Run SQL over the registered tables; any failure becomes an Error row (op E9).
+    """Run one query over the registered tables; any failure becomes an Error row (op E9).
 
-    The result is materialised into the checkpoint folder so runtime errors
-    (not only analysis errors) surface here. Meant for aggregate-sized results.
+    The text stands in a subquery, so that nothing but a query can run: a
+    command, a second statement or the sentinel is a parse error. The result
+    is materialised into the checkpoint folder so that runtime errors surface
+    here as well; diagnostics are aggregates, a few rows each.
     """
     try:
-        return reliable_checkpoint(spark.sql(sql))
-    except (PySparkException, AnalysisException) as e:
-        msg = str(e).strip().splitlines()[0] if str(e).strip() else type(e).__name__
-        return spark.createDataFrame([(msg,)], "Error string")
-    except Exception as e:  # py4j / JVM runtime errors
-        msg = str(e).strip().splitlines()[0] if str(e).strip() else type(e).__name__
-        return spark.createDataFrame([(msg,)], "Error string")
+        return reliable_checkpoint(spark.sql(f"SELECT * FROM (\n{(sql or '').strip().rstrip(';')}\n) AS statement"))
+    except Exception as e:  # noqa: BLE001 - parse, analysis and runtime errors alike
+        lines = str(e).strip().splitlines()
+        return spark.createDataFrame([(lines[0] if lines else type(e).__name__,)], "Error string")
+
+
+def run_replies(spark: SparkSession, replies: DataFrame) -> DataFrame:
+    """(complaint_theme, keeps_contract, failed, result_rows) of each theme's
+    reply: statement extracted, checked and run (ops E8 + E10 + E9). One reply a
+    theme, so the loop is bounded by the taxonomy."""
+    statements = replies.select("complaint_theme", extract_sql("reply").alias("statement"))
+    checked = statement_contract(statements).select("complaint_theme", "statement", "ok").collect()
+    rows = []
+    for r in checked:
+        result = run_sql(spark, r["statement"])
+        rows.append((r["complaint_theme"], r["ok"], result.columns == ["Error"], result.count()))
+    return spark.createDataFrame(rows, "complaint_theme string, keeps_contract boolean, failed boolean, result_rows long")
 
 
 # ---------------------------------------------------------------- contracts
@@ -346,3 +362,36 @@ def result_contract_of_columns(columns, plan: DiagnosticPlan) -> list[tuple[str,
     if plan.group_by:
         out.append((plan.group_by, "no_id_grouping", plan.group_by not in ID_COLUMNS and plan.group_by in cols))
     return out
+
+
+# An aggregate call and its alias: function, DISTINCT, argument, alias.
+CALL_PATTERN = r"(?i)\b(\w+)\s*\(\s*(distinct\s+)?([\w.]+)\s*\)(?:\s+as\s+(\w+))?"
+
+
+def statement_contract(df: DataFrame, col: str = "statement") -> DataFrame:
+    """Checks on a model-written statement (op E10), added as columns.
+
+    It is a query; it has an aggregate; it uses AVG, SUM and COUNT only and never
+    COUNT(DISTINCT); the alias of a measure keeps its unit suffix; every
+    aggregated column names its table; no grouping by an id column.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.col(col), r"'[^']*'", "''"), r";\s*$", "")
+    calls = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(CALL_PATTERN), F.lit(i)).alias(name)
+                           for i, name in enumerate(("fn", "distinct", "arg", "alias"), 1)))
+    # An aggregate inside another call, such as a cast, is met by its own name.
+    calls = F.filter(calls, lambda c: ~F.lower(c["fn"]).isin("as", "on", "and", "in"))
+    suffix = r"(?i)_(ms|bps|pct|hours|days)$"
+    group = F.lower(F.regexp_extract(text, r"(?is)\bgroup\s+by\s+(.*?)(?:\border\s+by\b|\bhaving\b|\blimit\b|$)", 1))
+    grouped = F.transform(F.split(group, ","), lambda g: F.regexp_extract(g, r"(\w+)\s*$", 1))
+    checks = {
+        "is_query": text.rlike(r"(?i)^\s*(select|with)\b") & ~text.contains(";"),
+        "has_aggregate": F.size(calls) > 0,
+        "allowed_aggregates": F.forall(calls, lambda c: F.lower(c["fn"]).isin("avg", "sum", "count")),
+        "no_count_distinct": F.forall(calls, lambda c: c["distinct"] == ""),
+        "unit_suffix_kept": F.forall(calls, lambda c: (F.regexp_extract(c["arg"], suffix, 0) == "") | F.endswith(
+            F.lower(c["alias"]), F.lower(F.regexp_extract(c["arg"], suffix, 0)))),
+        "qualified_columns": F.forall(calls, lambda c: c["arg"].contains(".")),
+        "no_id_grouping": ~F.arrays_overlap(grouped, F.array(*map(F.lit, ID_COLUMNS))),
+    }
+    out = df.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in checks.items()})
+    return out.withColumn("ok", reduce(lambda a, b: a & b, (F.col(k) for k in checks)))

@@ -1,7 +1,7 @@
 """Result interpretation (ops F1-F6) over the tidy diagnostics frame.
 
 Input is ``diagnose_long`` output: (complaint_theme, group_key, metric, agg,
-value, sum_e4, n). Numbers are rendered from the exact sum and count, so the
+value, total, n). Numbers are rendered from the exact sum and count, so the
 text does not depend on floating rounding. Everything is a small aggregate
 per theme; the work that scales is the diagnostic join upstream.
 """
@@ -9,6 +9,7 @@ per theme; the work that scales is the diagnostic join upstream.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,19 +18,23 @@ from pyspark.sql import functions as F
 from rootcause.functions.numeric import fmt_ratio_2dp_expr
 from rootcause.functions.units import unit_suffix_expr
 from rootcause.plans.diagnostics import PLANS
-from rootcause.themes import ACTIONS_HEADING, INSIGHT_ERROR_PREFIX, INSIGHT_HEADING
+from rootcause.themes import ACTION_OWNERS, ACTIONS_HEADING, INSIGHT_ERROR_PREFIX, INSIGHT_HEADING
 
 # Fixed value: the request text handed to the summarising model.
 INSIGHT_REQUEST = "The top user complaint is '{theme}'. Exact metrics:\n{text}\n\nPlease generate the Executive Summary."
 
-BULLET_PATTERN = r"(?m)^\s*[-*] "
-BPS_AS_PERCENT_PATTERN = r"(?m)^[^\n]*(bps[^\n]*%|%[^\n]*bps)"
+BULLET_PATTERN = r"(?m)^[ \t]*[-*] "
+SENTENCE_END_PATTERN = r"[.!?](\s|$)"
+# A number of basis points written as a percentage: '%' right beside 'bps', or
+# in place of it after a metric named bps.
+BPS_AS_PERCENT_PATTERN = r"(?i)(\d\s*%\s*\(?bps|bps\s*\)?%|_bps[^\n.;,]{0,20}\d\s*%)"
 
 
 def with_display(long_df: DataFrame) -> DataFrame:
     """Add the unit-aware rendering of each value (op F3): counts as integers,
-    averages with 2 decimals, then ' bps', ' ms', '%', ' hours' or ' days'."""
-    number = f"CASE WHEN agg = 'count' THEN CAST(n AS STRING) ELSE {fmt_ratio_2dp_expr('sum_e4', 'n')} END"
+    sums and averages with 2 decimals, then ' bps', ' ms', '%', ' hours' or ' days'."""
+    number = (f"CASE agg WHEN 'count' THEN CAST(n AS STRING) WHEN 'sum' THEN {fmt_ratio_2dp_expr('total', '1L')} "
+              f"ELSE {fmt_ratio_2dp_expr('total', 'n')} END")
     return long_df.withColumn("display", F.expr(f"concat({number}, {unit_suffix_expr('metric')})"))
 
 
@@ -52,16 +57,19 @@ def worst_row(long_df: DataFrame) -> DataFrame:
 
     Multi-row results are not averaged: the row with the worst primary metric
     wins (high latency, drop or error rate, count, age; low balance or
-    slippage), ties broken by the smaller group key. One partial+final
-    aggregate per theme.
+    slippage), ties broken by the smaller group key. A row without a value, or
+    of the theme's healthy group, is chosen only where there is no other. One
+    partial+final aggregate per theme.
     """
     metric = "CASE complaint_theme " + " ".join(
         f"WHEN '{t}' THEN '{p.severity_metric}'" for t, p in PLANS.items()) + " END"
     high = "CASE complaint_theme " + " ".join(
         f"WHEN '{t}' THEN {str(p.severity_high_is_bad).lower()}" for t, p in PLANS.items()) + " END"
     d = with_display(long_df).where(F.expr(f"metric = {metric}"))
-    best = F.expr(f"min(named_struct('b', CASE WHEN {high} THEN -value ELSE value END, 'g', group_key, "
-                  f"'m', metric, 'v', value, 'd', display))")
+    healthy = "CASE complaint_theme " + " ".join(
+        f"WHEN '{t}' THEN group_key <=> '{p.healthy_key}'" for t, p in PLANS.items() if p.healthy_key) + " ELSE false END"
+    best = F.expr(f"min(named_struct('n', value IS NULL, 'h', {healthy}, 'b', CASE WHEN {high} THEN -value ELSE value END, "
+                  f"'g', group_key, 'm', metric, 'v', value, 'd', display))")
     return d.groupBy("complaint_theme").agg(best.alias("_w")).selectExpr(
         "complaint_theme", "_w.g AS group_key", "_w.m AS severity_metric", "_w.v AS severity_value",
         "_w.d AS severity_display")
@@ -99,31 +107,39 @@ def summarise(long_df: DataFrame, infer: Callable[[pd.Series], pd.Series] | None
 
     Without ``infer`` the template summariser runs on the JVM. With ``infer``
     (a model, Series of requests -> Series of replies) the F4 requests are sent
-    through ``batch_infer``; a failing call yields 'Error generating insight: ...'.
+    through ``batch_infer``; a failing call yields 'Error generating insight: ...'
+    for its theme only.
     """
     if infer is None:
         return template_summary(worst_row(long_df))
     from rootcause.operators.classify import batch_infer
 
-    def safe(requests: pd.Series) -> pd.Series:
-        try:
-            return infer(requests)
-        except Exception as e:  # noqa: BLE001 - surfaced as text, like the reference
-            return pd.Series([f"{INSIGHT_ERROR_PREFIX}{e}"] * len(requests), index=requests.index)
-
     req = metrics_to_text(long_df).select(
         "complaint_theme", insight_request("complaint_theme", "metrics_text").alias("request"))
-    return batch_infer(req, "request", safe, out="summary", dedupe=False).select("complaint_theme", "summary")
+    return batch_infer(req, "request", infer, out="summary", dedupe=False,
+                       on_error=lambda e: f"{INSIGHT_ERROR_PREFIX}{e}").select("complaint_theme", "summary")
 
 
 def summary_contract(df: DataFrame, col: str = "summary") -> DataFrame:
-    """Checks on produced summaries (op F5): starts exactly with the heading
-    (so no preamble), exactly three action bullets, never '%' on a bps line."""
+    """Checks on produced summaries (op F5).
+
+    The text starts exactly with the heading (no preamble); two sentences
+    stand between it and the actions heading; exactly three bullets follow, one
+    for each owner, and nothing after them; no basis points written as '%'.
+    """
     c = F.col(col)
-    has_heading = c.startswith(INSIGHT_HEADING)
+    has_heading = F.startswith(c, F.lit(INSIGHT_HEADING + "\n"))
+    body = F.substring_index(F.substring(c, len(INSIGHT_HEADING) + 1, 1_000_000), ACTIONS_HEADING, 1)
+    # A full stop inside a number or a name does not end a sentence.
+    sentences = F.regexp_count(body, F.lit(SENTENCE_END_PATTERN)).cast("long")
     bullets = F.regexp_count(c, F.lit(BULLET_PATTERN)).cast("long")
+    after = F.filter(F.split(F.trim(F.when(c.contains(ACTIONS_HEADING), F.substring_index(c, ACTIONS_HEADING, -1))
+                                    .otherwise(F.lit(""))), "\n"), lambda line: F.trim(line) != "")
+    owners = reduce(lambda acc, o: acc & F.exists(after, lambda line: line.rlike(rf"^\s*[-*] \*\*{o}\*\*")),
+                    ACTION_OWNERS, F.lit(True))
+    no_chatter = F.forall(after, lambda line: line.rlike(BULLET_PATTERN))
     bps_ok = ~c.rlike(BPS_AS_PERCENT_PATTERN)
-    has_actions = c.contains(ACTIONS_HEADING)
-    return df.select("complaint_theme", has_heading.alias("has_heading"), bullets.alias("bullet_count"),
+    return df.select("complaint_theme", has_heading.alias("has_heading"), sentences.alias("sentence_count"),
+                     bullets.alias("bullet_count"), owners.alias("has_owners"), no_chatter.alias("no_chatter"),
                      bps_ok.alias("bps_not_percent"),
-                     (has_heading & has_actions & (bullets == 3) & bps_ok).alias("ok"))
+                     (has_heading & (sentences == 2) & (bullets == 3) & owners & no_chatter & bps_ok).alias("ok"))

@@ -122,7 +122,8 @@ def telemetry_invariants(tables: dict[str, DataFrame], tolerance: float = 1e-6)
     - KYC-defective users (kyc_status <> APPROVED) have no trades, ledger or
       session rows, and hold no ticket of another theme;
     - market orders never show positive slippage, limit orders never negative;
-    - stored bps agrees with the requested/executed prices;
+    - stored bps agrees with the requested/executed prices (a requested price
+      of 0 has no slippage and counts as a violation);
     - latency above the timeout always carries the timeout code;
     - a user's total_ledger_balance equals one of their balance_after_txn
       (the ledger's time order is not stored, so only membership is checked).
@@ -142,13 +143,13 @@ def telemetry_invariants(tables: dict[str, DataFrame], tolerance: float = 1e-6)
     # functions.finance.slippage_bps).
     market = "endswith(order_type, 'MARKET')"
     side = "(CASE WHEN contains(order_type, 'BUY') THEN 1 ELSE -1 END)"
-    recomputed = f"(-{side}) * (executed_price - requested_price) / requested_price * CAST(10000.0 AS DOUBLE)"
-    rules = (f"CAST(sum(CASE WHEN ({market} AND price_slippage_bps > 0) OR (NOT {market} AND price_slippage_bps < 0) "
-             f"THEN 1 ELSE 0 END) AS BIGINT) AS a, "
-             f"CAST(sum(CASE WHEN abs({recomputed} - price_slippage_bps) > CAST({tolerance!r} AS DOUBLE) "
-             f"THEN 1 ELSE 0 END) AS BIGINT) AS b, "
-             f"CAST(sum(CASE WHEN order_routing_latency_ms > {TIMEOUT_LATENCY_MS} AND "
-             f"exchange_rejection_code <> '{TIMEOUT_CODE}' THEN 1 ELSE 0 END) AS BIGINT) AS c")
+    recomputed = f"try_divide((-{side}) * (executed_price - requested_price), requested_price) * CAST(10000.0 AS DOUBLE)"
+    rules = (f"CAST(coalesce(sum(CASE WHEN ({market} AND price_slippage_bps > 0) OR (NOT {market} AND price_slippage_bps < 0) "
+             f"THEN 1 ELSE 0 END), 0) AS BIGINT) AS a, "
+             f"CAST(coalesce(sum(CASE WHEN requested_price = 0 OR abs({recomputed} - price_slippage_bps) > "
+             f"CAST({tolerance!r} AS DOUBLE) THEN 1 ELSE 0 END), 0) AS BIGINT) AS b, "
+             f"CAST(coalesce(sum(CASE WHEN order_routing_latency_ms > {TIMEOUT_LATENCY_MS} AND "
+             f"exchange_rejection_code <> '{TIMEOUT_CODE}' THEN 1 ELSE 0 END), 0) AS BIGINT) AS c")
     parts.append("SELECT 'trades' AS table_name, rule, violations FROM (SELECT stack(3, 'slippage_sign', a, "
                  "'price_bps_agreement', b, 'timeout_code_override', c) AS (rule, violations) "
                  f"FROM (SELECT {rules} FROM {{trades}}) t) s")

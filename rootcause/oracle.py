@@ -1,27 +1,62 @@
 """DuckDB SQL equivalents of the registered queries (the correctness oracle).
 
-Written independently of the Spark code: the adapter views are restated as
-SQL CTEs over the driver tables, and every query body is plain SQL. Floating
+The derived tables, the diagnostics, the cohorts and the units are written out
+here as SQL over the driver tables; none of the engine's tables or code is used
+but for the rule lists and reply texts that queries pass to either side. Floating
 literals carry an ``e0`` exponent so DuckDB computes in double, like Spark.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
-
-from rootcause.functions.uniform import uniform_sql
-from rootcause.functions.units import unit_suffix_sql
-from rootcause.plans.diagnostics import PLANS
-from rootcause.sources.adapters import COHORTS, TICKET_ID_STRIDE
-from rootcause.themes import KYC_REASONS, KYC_REASON_WEIGHTS
-
+# The diagnostics by theme, written out here and not read from the
+# engine's plan table: (theme, table, group column, [(alias, aggregate, column)],
+# severity metric, high is bad, healthy group).
+DIAGNOSTICS = [
+    ("EXECUTION_SLIPPAGE", "trades", None,
+     [("avg_price_slippage_bps", "avg", "trades.price_slippage_bps"),
+      ("avg_order_routing_latency_ms", "avg", "trades.order_routing_latency_ms")],
+     "avg_price_slippage_bps", False, None),
+    ("SYSTEM_STABILITY", "app_performance", None,
+     [("avg_api_5xx_error_rate_pct", "avg", "app_performance.api_5xx_error_rate_pct"),
+      ("avg_crash_loop_count_per_session", "avg", "app_performance.crash_loop_count_per_session")],
+     "avg_api_5xx_error_rate_pct", True, None),
+    ("LEDGER_DISPUTE", "financial_ledger", "txn_type",
+     [("txn_count", "count", "financial_ledger.txn_id"),
+      ("avg_balance_after_txn", "avg", "financial_ledger.balance_after_txn"),
+      ("avg_withdrawal_processing_latency_hours", "avg", "financial_ledger.withdrawal_processing_latency_hours")],
+     "avg_balance_after_txn", False, None),
+    ("CHARTING_UI_GLITCH", "app_performance", None,
+     [("avg_chart_render_latency_ms", "avg", "app_performance.chart_render_latency_ms"),
+      ("avg_websocket_drop_rate_pct", "avg", "app_performance.websocket_drop_rate_pct")],
+     "avg_chart_render_latency_ms", True, None),
+    ("LOGIN_AND_2FA_ISSUE", "users", "auth_bottleneck",
+     [("user_count", "count", "users.user_id")],
+     "user_count", True, "CLEARED"),
+    ("KYC_ONBOARDING_EFFICIENCY", "users", "auth_bottleneck",
+     [("avg_kyc_processing_age_days", "avg", "users.kyc_processing_age_days"),
+      ("user_count", "count", "users.user_id")],
+     "avg_kyc_processing_age_days", True, "CLEARED"),
+    ("GENERAL_INQUIRY", "users", None,
+     [("avg_ticket_resolution_time_hours", "avg", "customer_support.ticket_resolution_time_hours"),
+      ("avg_support_interaction_count", "avg", "customer_support.support_interaction_count")],
+     "avg_ticket_resolution_time_hours", True, None),
+]
+
+# Which users hold a ticket of which theme in the derived tables.
 _COHORT_UNION = "\n  UNION ALL\n".join(
-    f"  SELECT CAST({i} AS BIGINT) * {TICKET_ID_STRIDE} + user_id AS ticket_id, user_id, "
+    f"  SELECT CAST({i} AS BIGINT) * 1000000000 + user_id AS ticket_id, user_id, "
     f"'{theme}' AS complaint_theme, "
     f"0.5e0 + ((user_id * 13) % 480) / 20.0e0 AS ticket_resolution_time_hours, "
     f"CAST({base} + user_id % 3 AS INTEGER) AS support_interaction_count "
     f"FROM users WHERE {pred}"
-    for i, (theme, pred, base) in enumerate(COHORTS))
+    for i, (theme, pred, base) in enumerate([
+        ("KYC_ONBOARDING_EFFICIENCY", "kyc_status IN ('PENDING', 'REJECTED')", 4),
+        ("LOGIN_AND_2FA_ISSUE", "auth_bottleneck = '2FA/OTP_NOT_RECEIVED'", 1),
+        ("CHARTING_UI_GLITCH", "kyc_status = 'APPROVED' AND user_id % 6 = 0", 1),
+        ("EXECUTION_SLIPPAGE", "kyc_status = 'APPROVED' AND user_id % 4 = 1", 1),
+        ("SYSTEM_STABILITY", "kyc_status = 'APPROVED' AND user_id % 8 = 3", 1),
+        ("LEDGER_DISPUTE", "kyc_status = 'APPROVED' AND user_id % 7 = 2", 1),
+        ("GENERAL_INQUIRY", "kyc_status = 'APPROVED' AND user_id % 5 = 4", 1)]))
 
 ADAPTER_CTES = f"""
 users AS (
@@ -103,65 +138,73 @@ def with_adapters(body: str, extra_ctes: str = "", recursive: bool = False) -> s
 
 
 def exact_avg_sql(ref: str) -> str:
-    return f"CAST(SUM(CAST({ref} AS DECIMAL(18,4))) AS DOUBLE) / NULLIF(COUNT({ref}), 0)"
+    return f"CAST(SUM(CAST({ref} AS DECIMAL(18,6))) AS DOUBLE) / NULLIF(COUNT({ref}), 0)"
 
 
-def exact_sum_e4_sql(ref: str) -> str:
-    return f"CAST(SUM(CAST({ref} AS DECIMAL(18,4))) * 10000 AS BIGINT)"
+def millionths_sql(ref: str) -> str:
+    return f"SUM(CAST(CAST({ref} AS DECIMAL(18,6)) * 1000000 AS HUGEINT))"
 
 
 def fmt_ratio_2dp_sql(s: str, n: str) -> str:
-    h = f"((abs({s}) + ({n}) * 50) // (({n}) * 100))"
+    """A sum of millionths over a count, to 2 decimals, half away from zero."""
+    h = f"((abs({s}) + ({n}) * 5000) // (({n}) * 10000))"
     return (f"(CASE WHEN ({n}) > 0 THEN (CASE WHEN ({s}) < 0 AND {h} > 0 THEN '-' ELSE '' END) || "
             f"CAST({h} // 100 AS VARCHAR) || '.' || lpad(CAST({h} % 100 AS VARCHAR), 2, '0') END)")
 
 
+def unit_suffix_sql(name: str) -> str:
+    """The unit printed after a metric, by the words of its name."""
+    return (f"(CASE WHEN regexp_matches({name}, '(^|_)bps(_|$)') THEN ' bps' "
+            f"WHEN regexp_matches({name}, '(^|_)ms(_|$)') THEN ' ms' "
+            f"WHEN regexp_matches({name}, '(^|_)(pct|rate)(_|$)') THEN '%' "
+            f"WHEN regexp_matches({name}, '(^|_)hours(_|$)') THEN ' hours' "
+            f"WHEN regexp_matches({name}, '(^|_)days(_|$)') THEN ' days' ELSE '' END)")
+
+
+def uniform_sql(key: str, salt: str) -> str:
+    """The draw in [0, 1) from 52 bits of md5('<key>:<salt>')."""
+    return f"(('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{salt}'), 1, 13))::BIGINT / 4503599627370496.0e0)"
+
+
 def diagnose_sql(theme: str) -> str:
-    p = PLANS[theme]
-    t = p.target
-    sel = [f"{t}.{p.group_by} AS {p.group_by}"] if p.group_by else []
-    for m in p.metrics:
-        ref = f"customer_support.{m.column}" if m.source == "support" else f"{t}.{m.column}"
-        sel.append(f"COUNT({ref}) AS {m.alias}" if m.agg == "count" else f"{exact_avg_sql(ref)} AS {m.alias}")
+    _, t, group, metrics, *_ = next(d for d in DIAGNOSTICS if d[0] == theme)
+    sel = [f"{t}.{group} AS {group}"] if group else []
+    sel += [f"COUNT({ref}) AS {alias}" if agg == "count" else f"{exact_avg_sql(ref)} AS {alias}"
+            for alias, agg, ref in metrics]
     body = (f"SELECT {', '.join(sel)} FROM {t} JOIN customer_support ON customer_support.user_id = {t}.user_id "
             f"WHERE customer_support.complaint_theme = '{theme}'")
-    if p.group_by:
-        body += f" GROUP BY {t}.{p.group_by}"
-    return body
+    return body + (f" GROUP BY {t}.{group}" if group else "")
 
 
 def diagnose_long_sql() -> str:
-    """Tidy rows of all seven diagnostics, as a SELECT (no WITH)."""
+    """Tidy rows of all seven diagnostics, as a SELECT (no WITH); sums as millionths."""
     parts = []
-    for theme, p in PLANS.items():
-        t = p.target
-        gk = f"CAST({t}.{p.group_by} AS VARCHAR)" if p.group_by else "CAST(NULL AS VARCHAR)"
-        for m in p.metrics:
-            ref = f"customer_support.{m.column}" if m.source == "support" else f"{t}.{m.column}"
-            if m.agg == "count":
-                v, s = f"CAST(COUNT({ref}) AS DOUBLE)", "CAST(NULL AS BIGINT)"
-            else:
-                v, s = exact_avg_sql(ref), exact_sum_e4_sql(ref)
-            q = (f"SELECT '{theme}' AS complaint_theme, {gk} AS group_key, '{m.alias}' AS metric, "
-                 f"'{m.agg}' AS agg, {v} AS value, {s} AS sum_e4, COUNT({ref}) AS n "
-                 f"FROM {t} JOIN customer_support ON customer_support.user_id = {t}.user_id "
-                 f"WHERE customer_support.complaint_theme = '{theme}'")
-            if p.group_by:
-                q += f" GROUP BY {t}.{p.group_by}"
-            parts.append(q)
+    for theme, t, group, metrics, *_ in DIAGNOSTICS:
+        gk = f"CAST({t}.{group} AS VARCHAR)" if group else "CAST(NULL AS VARCHAR)"
+        for alias, agg, ref in metrics:
+            v, s = ((f"CAST(COUNT({ref}) AS DOUBLE)", "CAST(NULL AS HUGEINT)") if agg == "count"
+                    else (exact_avg_sql(ref), millionths_sql(ref)))
+            parts.append(f"SELECT '{theme}' AS complaint_theme, {gk} AS group_key, '{alias}' AS metric, "
+                         f"'{agg}' AS agg, {v} AS value, {s} AS millionths, COUNT({ref}) AS n "
+                         f"FROM {t} JOIN customer_support ON customer_support.user_id = {t}.user_id "
+                         f"WHERE customer_support.complaint_theme = '{theme}'"
+                         + (f" GROUP BY {t}.{group}" if group else ""))
     return "\nUNION ALL\n".join(parts)
 
 
-def weighted_bucket_sql(u: str, labels, weights) -> str:
-    cuts = list(accumulate(weights))
-    whens = " ".join(f"WHEN {u} < {c!r}e0 THEN '{lab}'" if "e" not in repr(c) else
-                     f"WHEN {u} < {c!r} THEN '{lab}'" for lab, c in zip(labels[:-1], cuts[:-1]))
-    return f"(CASE {whens} ELSE '{labels[-1]}' END)"
+# The weighted reasons with the upper end of each one's share.
+KYC_REASON_CUTS = [
+    ("DOCUMENT_MISMATCH", "0.40e0"),
+    ("RE_KYC_REQUIRED", "0.60e0"),
+    ("SELFIE_VERIFICATION_FAILED", "0.75e0"),
+    ("BANK_VERIFICATION_ISSUE", "0.85e0"),
+    ("TECHNICAL_API_DELAY", "0.95e0"),
+]
 
 
-__all__ = ["ADAPTER_CTES", "with_adapters", "exact_avg_sql", "exact_sum_e4_sql", "fmt_ratio_2dp_sql",
-           "diagnose_sql", "diagnose_long_sql", "weighted_bucket_sql", "uniform_sql", "unit_suffix_sql",
-           "KYC_REASONS", "KYC_REASON_WEIGHTS"]
+def kyc_reason_sql(u: str) -> str:
+    whens = " ".join(f"WHEN {u} < {cut} THEN '{reason}'" for reason, cut in KYC_REASON_CUTS)
+    return f"(CASE {whens} ELSE 'COMPLIANCE_REVIEW' END)"
 
 
 def classify_sql(col: str, rules, default: str = "GENERAL_INQUIRY") -> str:
@@ -179,9 +222,10 @@ def preview_sql(x: str, n: int = 75) -> str:
 
 def label_reply_sql(prompt_len: str) -> str:
     from rootcause.plans.reply_models import LABEL_TEMPLATES, template_sql
-    from rootcause.themes import THEMES
     n = f"({prompt_len})"
-    theme = "(CASE " + " ".join(f"WHEN {n} % 7 = {i} THEN '{t}'" for i, t in enumerate(THEMES)) + " END)"
+    theme = (f"(CASE {n} % 7 WHEN 0 THEN 'EXECUTION_SLIPPAGE' WHEN 1 THEN 'LEDGER_DISPUTE' WHEN 2 THEN 'SYSTEM_STABILITY' "
+             f"WHEN 3 THEN 'LOGIN_AND_2FA_ISSUE' WHEN 4 THEN 'KYC_ONBOARDING_EFFICIENCY' WHEN 5 THEN 'CHARTING_UI_GLITCH' "
+             f"ELSE 'GENERAL_INQUIRY' END)")
     why = f"('review of ' || CAST({n} AS VARCHAR) || ' characters')"
     shape = f"(({n} // 7) % {len(LABEL_TEMPLATES)})"
     whens = " ".join(f"WHEN {shape} = {i} THEN {template_sql(t, W=why, T=theme)}"

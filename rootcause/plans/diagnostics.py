@@ -13,14 +13,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from rootcause.themes import AUTH_CLEARED
+
+
+AGGREGATES = ("avg", "sum", "count")
+
 
 @dataclass(frozen=True)
 class Metric:
     alias: str
-    agg: str          # "avg" or "count"
+    agg: str          # "avg", "sum" or "count"
     column: str       # column of the target table (or of customer_support)
     source: str = "target"   # "target" or "support"
 
+    def __post_init__(self):
+        if self.agg not in AGGREGATES or self.source not in ("target", "support"):
+            raise ValueError(f"unknown aggregate or source: {self}")
+
 
 @dataclass(frozen=True)
 class DiagnosticPlan:
@@ -30,6 +39,7 @@ class DiagnosticPlan:
     metrics: tuple[Metric, ...]
     severity_metric: str
     severity_high_is_bad: bool
+    healthy_key: str | None = None   # group key that is never the most severe
 
     @property
     def output_columns(self) -> list[str]:
@@ -63,12 +73,12 @@ PLANS: dict[str, DiagnosticPlan] = {p.theme: p for p in [
     DiagnosticPlan(
         "LOGIN_AND_2FA_ISSUE", "users", "auth_bottleneck",
         (Metric("user_count", "count", "user_id"),),
-        "user_count", True),
+        "user_count", True, AUTH_CLEARED),
     DiagnosticPlan(
         "KYC_ONBOARDING_EFFICIENCY", "users", "auth_bottleneck",
         (Metric("avg_kyc_processing_age_days", "avg", "kyc_processing_age_days"),
          Metric("user_count", "count", "user_id")),
-        "avg_kyc_processing_age_days", True),
+        "avg_kyc_processing_age_days", True, AUTH_CLEARED),
     DiagnosticPlan(
         "GENERAL_INQUIRY", "users", None,
         (Metric("avg_ticket_resolution_time_hours", "avg", "ticket_resolution_time_hours", "support"),

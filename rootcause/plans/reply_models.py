@@ -16,6 +16,7 @@ import re
 
 import pandas as pd
 
+from rootcause.plans.diagnostics import PLANS
 from rootcause.themes import THEMES
 
 LABEL_TEMPLATES = [
@@ -79,3 +80,31 @@ def template_sql(template: str, **exprs: str) -> str:
         elif part:
             out.append("'" + part.replace("'", "''") + "'")
     return " || ".join(out) if out else "''"
+
+
+def failing_label_model(prompts: pd.Series) -> pd.Series:
+    """``label_model`` that fails on every prompt of some lengths, as a call to a hosted model may."""
+    if any(p is not None and len(p) % 10 == 3 for p in prompts):
+        raise TimeoutError("no reply")
+    return label_model(prompts)
+
+
+def theme_sql_reply(theme: str) -> str:
+    """A reply to the request for a theme's statement: sound, chatty, against the rules, or none."""
+    plan = PLANS[theme]
+    joined = (f"FROM {plan.target} JOIN customer_support ON customer_support.user_id = {plan.target}.user_id "
+              f"WHERE customer_support.complaint_theme = '{theme}'")
+    if theme == "LEDGER_DISPUTE":
+        return ("Here is the query:\nSELECT financial_ledger.txn_type, COUNT(financial_ledger.txn_id) AS txn_count, "
+                "AVG(financial_ledger.withdrawal_processing_latency_hours) AS avg_withdrawal_processing_latency_hours "
+                f"{joined} GROUP BY financial_ledger.txn_type;\nIt groups by type.")
+    if theme == "CHARTING_UI_GLITCH":
+        return ("SELECT AVG(app_performance.chart_render_latency_ms) AS avg_latency, COUNT(DISTINCT "
+                f"app_performance.websocket_drop_rate_pct) AS drops_pct {joined};")
+    if theme == "LOGIN_AND_2FA_ISSUE":
+        return f"SELECT users.user_id, COUNT(users.user_id) AS user_count {joined} GROUP BY users.user_id;"
+    if theme == "KYC_ONBOARDING_EFFICIENCY":
+        return "I need more information about the schema."
+    if theme == "GENERAL_INQUIRY":
+        return "SELECT AVG(tickets.resolution_hours) AS avg_resolution_hours FROM tickets;"
+    return f"SELECT {', '.join(f'AVG({plan.target}.{m.column}) AS {m.alias}' for m in plan.metrics)} {joined};"

@@ -1,4 +1,4 @@
-"""End-to-end triage: curated reviews -> theme per review -> theme ranking ->
+"""End-to-end triage: reviews -> theme per review -> theme ranking ->
 cohort diagnostics of every theme, as one lazy plan.
 
 The ranking is a small aggregate (one row per label) and the diagnostics are
@@ -15,25 +15,42 @@ from pyspark.sql import functions as F
 from rootcause.operators.classify import category_distribution, classify_by_rules, ranked_categories, with_category
 from rootcause.operators.curate import curate
 from rootcause.operators.diagnose import diagnose_long
-from rootcause.operators.insight import with_display
-from rootcause.plans.lexicons import CORPUS_RULES
+from rootcause.operators.insight import summarise, with_display
+from rootcause.plans.lexicons import FINANCE_RULES
 from rootcause.schemas import CATEGORY_COL
 
 
-def label_reviews(reviews: DataFrame, rules=CORPUS_RULES, curated: bool = True) -> DataFrame:
+def label_reviews(reviews: DataFrame, rules=FINANCE_RULES, curated: bool = False) -> DataFrame:
+    """Every review with its theme; with ``curated``, only the stratified sample of them."""
     df = curate(reviews) if curated else reviews
     return with_category(df, classify_by_rules("content", rules))
 
 
-def triage_report(reviews: DataFrame, tables: dict[str, DataFrame], rules=CORPUS_RULES) -> DataFrame:
+def theme_ranking(reviews: DataFrame, rules=FINANCE_RULES, curated: bool = False) -> DataFrame:
+    """(complaint_theme, review_count, rank_idx), most frequent first."""
+    ranked = ranked_categories(category_distribution(label_reviews(reviews, rules, curated), CATEGORY_COL))
+    return ranked.select(F.col("Category").alias("complaint_theme"), F.col("Count").alias("review_count"),
+                         F.col("idx").alias("rank_idx"))
+
+
+def executive_report(reviews: DataFrame, tables: dict[str, DataFrame], rules=FINANCE_RULES, curated: bool = False,
+                     infer=None) -> DataFrame:
+    """(complaint_theme, review_count, rank_idx, summary): every diagnosed theme
+    with its rank and its executive summary."""
+    summaries = summarise(diagnose_long(tables), infer)
+    return (summaries.join(theme_ranking(reviews, rules, curated), "complaint_theme", "left")
+            .select("complaint_theme", F.coalesce(F.col("review_count"), F.lit(0).cast("long")).alias("review_count"),
+                    "rank_idx", "summary"))
+
+
+def triage_report(reviews: DataFrame, tables: dict[str, DataFrame], rules=FINANCE_RULES,
+                  curated: bool = False) -> DataFrame:
     """(complaint_theme, review_count, rank_idx, group_key, metric, value, display).
 
     Themes nobody complained about keep review_count 0; labels outside the
     diagnostic plans carry no metrics.
     """
-    ranked = ranked_categories(category_distribution(label_reviews(reviews, rules), CATEGORY_COL))
-    ranked = ranked.select(F.col("Category").alias("complaint_theme"), F.col("Count").alias("review_count"),
-                           F.col("idx").alias("rank_idx"))
+    ranked = theme_ranking(reviews, rules, curated)
     diag = with_display(diagnose_long(tables)).select("complaint_theme", "group_key", "metric", "value", "display")
     return (diag.join(ranked, "complaint_theme", "full_outer")
                 .withColumn("review_count", F.coalesce(F.col("review_count"), F.lit(0).cast("long")))

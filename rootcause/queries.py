@@ -43,9 +43,10 @@ for _theme in PLANS:
     register(f"diagnose_{_theme.lower()}", O.with_adapters(O.diagnose_sql(_theme)))(_diag_query(_theme))
 
 
-@register("diagnose_all_themes", O.with_adapters(O.diagnose_long_sql()))
+@register("diagnose_all_themes", O.with_adapters(
+    f"SELECT complaint_theme, group_key, metric, agg, value, n FROM ({O.diagnose_long_sql()}) d"))
 def q_diagnose_all(spark, sf_dir):
-    return D.diagnose_long(_tables(spark, sf_dir))
+    return D.diagnose_long(_tables(spark, sf_dir)).drop("total")
 
 
 # ------------------------------------------------------------ A3
@@ -75,7 +76,17 @@ def _reviews(spark, sf_dir):
 
 
 _REV = 'seq, "userName", score, "at", content'
-_CORPUS_CASE = O.classify_sql("content", L.CORPUS_RULES)
+# A lexicon that hits the synthetic test corpus (invented prose, where the
+# finance words almost never occur), so that every label is exercised.
+CORPUS_RULES = [
+    ("EXECUTION_SLIPPAGE", X.word_pattern("nicht")),
+    ("LEDGER_DISPUTE", X.word_pattern("que")),
+    ("SYSTEM_STABILITY", X.word_pattern("with")),
+    ("LOGIN_AND_2FA_ISSUE", "@"),
+    ("KYC_ONBOARDING_EFFICIENCY", X.word_pattern("licen[sc]e")),
+    ("CHARTING_UI_GLITCH", "[0-9]{3}"),
+]
+_CORPUS_CASE = O.classify_sql("content", CORPUS_RULES)
 _FIN_CASE = O.classify_sql("content", L.FINANCE_RULES)
 _BATCHES_SQL = " UNION ALL ".join(
     f"(SELECT {_REV} FROM reviews WHERE score = {s} ORDER BY seq LIMIT {c})" for s, c in K.FETCH_CAPS.items())
@@ -129,7 +140,7 @@ def q_curated(spark, sf_dir):
     f"SELECT seq, score, {_CORPUS_CASE} AS {CATEGORY_COL} FROM reviews"))
 def q_with_category(spark, sf_dir):
     df = _reviews(spark, sf_dir)
-    return C.with_category(df, C.classify_by_rules("content", L.CORPUS_RULES)).select("seq", "score", CATEGORY_COL)
+    return C.with_category(df, C.classify_by_rules("content", CORPUS_RULES)).select("seq", "score", CATEGORY_COL)
 
 
 @register("classify_finance_lexicon", O.with_adapters(
@@ -145,7 +156,7 @@ _DIST_SQL = (f"SELECT {_CORPUS_CASE} AS \"Category\", COUNT(*) AS \"Count\" FROM
 
 def _distribution(spark, sf_dir):
     df = _reviews(spark, sf_dir)
-    return C.category_distribution(C.with_category(df, C.classify_by_rules("content", L.CORPUS_RULES)))
+    return C.category_distribution(C.with_category(df, C.classify_by_rules("content", CORPUS_RULES)))
 
 
 @register("category_distribution", O.with_adapters(_DIST_SQL))
@@ -192,12 +203,20 @@ def q_extract_labels(spark, sf_dir):
     return df.select("seq", C.extract_label("reply").alias(CATEGORY_COL))
 
 
+@register("categorised_reviews", O.with_adapters(
+    f"SELECT seq, CASE WHEN content IS NULL THEN NULL WHEN (length(content) + 17) % 10 = 3 THEN 'GENERAL_INQUIRY' "
+    f"ELSE {O.extract_label_sql(_LABEL_REPLY)} END AS {CATEGORY_COL} FROM reviews"))
+def q_categorised(spark, sf_dir):
+    # The model fails on some reviews: those get the default label.
+    return C.categorise(_reviews(spark, sf_dir), "content", M.failing_label_model).select("seq", CATEGORY_COL)
+
+
 @register("extract_sql_statements", O.with_adapters(
     f"SELECT seq, {O.extract_sql_sql('reply')} AS sql_text FROM "
-    f"(SELECT seq, {O.sql_reply_sql('content')} AS reply FROM reviews WHERE content IS NOT NULL) r"))
+    f"(SELECT seq, {O.sql_reply_sql('content')} AS reply FROM reviews) r"))
 def q_extract_sql(spark, sf_dir):
     df = C.batch_infer(_reviews(spark, sf_dir), "content", M.sql_model, out="reply")
-    return df.where(F.col("content").isNotNull()).select("seq", X.extract_sql("reply").alias("sql_text"))
+    return df.select("seq", X.extract_sql("reply").alias("sql_text"))
 
 
 @register("theme_filter_tickets", O.with_adapters(
@@ -212,7 +231,7 @@ from rootcause.operators import cohorts as G  # noqa: E402
 from rootcause.operators import ledger as LG  # noqa: E402
 from rootcause.operators import quality as Q  # noqa: E402
 from rootcause.functions import finance as FN  # noqa: E402
-from rootcause.functions.uniform import uniform, uniform_sql  # noqa: E402
+from rootcause.functions.uniform import uniform  # noqa: E402
 from rootcause.session import scratch_dir  # noqa: E402
 from rootcause.sources import reviews as RV  # noqa: E402
 from rootcause.sources import tables as TB  # noqa: E402
@@ -226,6 +245,14 @@ def q_csv_roundtrip(spark, sf_dir):
     return RV.read_reviews(spark, path)
 
 
+@register("categorised_roundtrip", O.with_adapters(_DIST_SQL))
+def q_categorised_roundtrip(spark, sf_dir):
+    path = scratch_dir(spark, "categorised")
+    labelled = C.with_category(_reviews(spark, sf_dir), C.classify_by_rules("content", CORPUS_RULES))
+    RV.write_reviews(labelled.select(*K.REVIEW_COLS, CATEGORY_COL), path)
+    return C.category_distribution(RV.read_categorised(spark, path))
+
+
 _SUPPORT_COLS = "ticket_id, user_id, complaint_theme, ticket_resolution_time_hours, support_interaction_count"
 
 
@@ -366,7 +393,7 @@ def q_rejection(spark, sf_dir):
 # ------------------------------------------------------------ cohorts: G1-G4, G10, G11
 
 def _u_sql(key, salt):
-    return uniform_sql(key, salt)
+    return O.uniform_sql(key, salt)
 
 
 _APPROVED = "(SELECT user_id FROM users WHERE kyc_status = 'APPROVED')"
@@ -382,11 +409,12 @@ def _k_of(df, num, den):
     f"FROM users) r"))
 def q_split(spark, sf_dir):
     u = _tables(spark, sf_dir)["users"].select("user_id")
-    first, rest = G.split_exact(u, "user_id", _k_of(u, 650, 5000), "kyc_split")
-    return first.withColumn("part", F.lit("first")).unionByName(rest.withColumn("part", F.lit("rest")))
+    flagged = G.split_flag(u, "user_id", _k_of(u, 650, 5000), "kyc_split", "first")
+    return flagged.select("user_id", F.when(F.col("first"), "first").otherwise("rest").alias("part"))
 
 
-_SAMPLES = [("auth", 250), ("chart", 821)]
+# The cohorts and how many of 4350 approved users each has.
+_SAMPLES = [("auth", 250), ("chart", 821), ("stability", 517), ("slippage", 1135), ("ledger", 703), ("inquiry", 924)]
 
 
 @register("sample_cohorts", O.with_adapters(" UNION ALL ".join(
@@ -402,7 +430,7 @@ def q_samples(spark, sf_dir):
 
 
 @register("kyc_reason_assignment", O.with_adapters(
-    f"SELECT user_id, {O.weighted_bucket_sql(_u_sql('user_id', 'kyc_reason'), KYC_REASONS, KYC_REASON_WEIGHTS)} "
+    f"SELECT user_id, {O.kyc_reason_sql(_u_sql('user_id', 'kyc_reason'))} "
     f"AS reason FROM users WHERE kyc_status <> 'APPROVED'"))
 def q_weighted(spark, sf_dir):
     u = _tables(spark, sf_dir)["users"].where(F.col("kyc_status") != "APPROVED")
@@ -444,7 +472,7 @@ def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-_DISPLAY = (f"(CASE WHEN agg = 'count' THEN CAST(n AS VARCHAR) ELSE {O.fmt_ratio_2dp_sql('sum_e4', 'n')} END) "
+_DISPLAY = (f"(CASE WHEN agg = 'count' THEN CAST(n AS VARCHAR) ELSE {O.fmt_ratio_2dp_sql('millionths', 'n')} END) "
             f"|| {O.unit_suffix_sql('metric')}")
 _DL_CTES = f"dl AS ({O.diagnose_long_sql()}),\ndisp AS (SELECT *, {_DISPLAY} AS display FROM dl)"
 _CELL = "metric || '=' || coalesce(display, 'null')"
@@ -454,15 +482,16 @@ _TEXT_CTES = _DL_CTES + (
     f"mtext AS (SELECT complaint_theme, string_agg(line, chr(10) ORDER BY line) AS metrics_text "
     f"FROM rowlines GROUP BY complaint_theme)")
 _SEV_METRIC = "CASE complaint_theme " + " ".join(
-    f"WHEN '{t}' THEN '{p.severity_metric}'" for t, p in PLANS.items()) + " END"
+    f"WHEN '{d[0]}' THEN '{d[4]}'" for d in O.DIAGNOSTICS) + " END"
 _SEV_HIGH = "CASE complaint_theme " + " ".join(
-    f"WHEN '{t}' THEN {str(p.severity_high_is_bad).upper()}" for t, p in PLANS.items()) + " END"
+    f"WHEN '{d[0]}' THEN {str(d[5]).upper()}" for d in O.DIAGNOSTICS) + " END"
 _WORST_CTES = _DL_CTES + (
     f",\nsev AS (SELECT *, CASE WHEN {_SEV_HIGH} THEN -value ELSE value END AS b FROM disp "
     f"WHERE metric = {_SEV_METRIC}),\n"
     f"worst AS (SELECT complaint_theme, group_key, metric AS severity_metric, value AS severity_value, "
     f"display AS severity_display FROM (SELECT *, row_number() OVER (PARTITION BY complaint_theme "
-    f"ORDER BY b, group_key) AS rn FROM sev) s WHERE rn = 1)")
+    f"ORDER BY value IS NULL, complaint_theme IN ('LOGIN_AND_2FA_ISSUE', 'KYC_ONBOARDING_EFFICIENCY') "
+    f"AND coalesce(group_key, '') = 'CLEARED', b, group_key) AS rn FROM sev) s WHERE rn = 1)")
 _S1 = ("complaint_theme || ' complaints trace to ' || severity_metric || ' at ' || "
        "coalesce(severity_display, 'no data') || coalesce(' for ' || group_key, '') || '.'")
 _SUMMARY = (f"concat_ws(chr(10), {_lit(INSIGHT_HEADING)}, {_S1} || ' ' || "
@@ -510,13 +539,22 @@ def q_summaries(spark, sf_dir):
     return IN.summarise(_long(spark, sf_dir))
 
 
+_ACTIONS_LINES = (f"list_filter(string_split(split_part(summary, {_lit(ACTIONS_HEADING)}, 2), chr(10)), "
+                  f"lambda x: trim(x) <> '')")
+_CONTRACT_CTES = _SUMMARY_CTES + f""",
+checked AS (SELECT complaint_theme, starts_with(summary, {_lit(INSIGHT_HEADING)} || chr(10)) AS has_heading,
+  CAST(len(regexp_extract_all(split_part(substr(summary, {len(INSIGHT_HEADING) + 1}), {_lit(ACTIONS_HEADING)}, 1),
+    '[.!?](\\s|$)')) AS BIGINT) AS sentence_count,
+  CAST(len(list_filter(string_split(summary, chr(10)), lambda x: regexp_matches(x, '^[ \\t]*[-*] '))) AS BIGINT) AS bullet_count,
+  contains(summary, '- **Engineering**') AND contains(summary, '- **Infrastructure**')
+    AND contains(summary, '- **Product**') AS has_owners,
+  len(list_filter({_ACTIONS_LINES}, lambda x: NOT regexp_matches(x, '^[ \\t]*[-*] '))) = 0 AS no_chatter,
+  NOT regexp_matches(summary, '[0-9]% *bps|bps *%') AS bps_not_percent FROM summaries)"""
+
+
 @register("summary_contract", O.with_adapters(
-    f"SELECT complaint_theme, starts_with(summary, {_lit(INSIGHT_HEADING)}) AS has_heading, "
-    f"CAST(len(regexp_extract_all(summary, '{IN.BULLET_PATTERN}')) AS BIGINT) AS bullet_count, "
-    f"NOT regexp_matches(summary, '{IN.BPS_AS_PERCENT_PATTERN}') AS bps_not_percent, "
-    f"starts_with(summary, {_lit(INSIGHT_HEADING)}) AND contains(summary, {_lit(ACTIONS_HEADING)}) AND "
-    f"len(regexp_extract_all(summary, '{IN.BULLET_PATTERN}')) = 3 AND "
-    f"NOT regexp_matches(summary, '{IN.BPS_AS_PERCENT_PATTERN}') AS ok FROM summaries", _SUMMARY_CTES))
+    "SELECT *, has_heading AND sentence_count = 2 AND bullet_count = 3 AND has_owners AND no_chatter "
+    "AND bps_not_percent AS ok FROM checked", _CONTRACT_CTES))
 def q_summary_contract(spark, sf_dir):
     return IN.summary_contract(IN.summarise(_long(spark, sf_dir)))
 
@@ -527,17 +565,11 @@ def q_run_sql(spark, sf_dir):
     return D.run_sql(spark, D.plan_sql("LEDGER_DISPUTE"))
 
 
-def _contract_rows():
-    rows = []
-    for theme, plan in PLANS.items():
-        cols = plan.output_columns
-        for column, rule, ok in D.result_contract_of_columns(cols, plan):
-            rows.append((theme, column, rule, ok))
-    return rows
-
-
+# What the contract asks of each column, all of which the diagnostics keep.
 _CONTRACT_VALUES = ", ".join(
-    f"({_lit(t)}, {_lit(c)}, {_lit(r)}, {str(ok).upper()})" for t, c, r, ok in _contract_rows())
+    f"('{theme}', '{column}', '{rule}', TRUE)" for theme, _, group, metrics, *_ in O.DIAGNOSTICS
+    for column, rule in [*((alias, r) for alias, _, _ in metrics for r in ("unit_suffix_kept", "allowed_aggregate")),
+                         *([(group, "no_id_grouping")] if group else [])])
 
 
 @register("result_contract", O.with_adapters(
@@ -558,17 +590,36 @@ def q_result_contract(spark, sf_dir):
         "result_rows", F.coalesce(F.col("result_rows"), F.lit(0).cast("long")))
 
 
+# Replies of the stand-in model by theme: (statement keeps the contract, statement fails).
+_REPLY_FATES = {
+    "EXECUTION_SLIPPAGE": (True, False), "SYSTEM_STABILITY": (True, False), "LEDGER_DISPUTE": (True, False),
+    "CHARTING_UI_GLITCH": (False, False), "LOGIN_AND_2FA_ISSUE": (False, False),
+    "KYC_ONBOARDING_EFFICIENCY": (False, True), "GENERAL_INQUIRY": (True, True)}
+_FATE_ROWS = {
+    "CHARTING_UI_GLITCH": "SELECT 1", "KYC_ONBOARDING_EFFICIENCY": "SELECT 1", "GENERAL_INQUIRY": "SELECT 1",
+    "LOGIN_AND_2FA_ISSUE": "SELECT users.user_id FROM users JOIN customer_support ON customer_support.user_id = "
+                           "users.user_id WHERE customer_support.complaint_theme = 'LOGIN_AND_2FA_ISSUE' GROUP BY users.user_id"}
+
+
+@register("theme_statements", O.with_adapters(" UNION ALL ".join(
+    f"SELECT '{t}' AS complaint_theme, {str(kept).upper()} AS keeps_contract, {str(fails).upper()} AS failed, "
+    f"COUNT(*) AS result_rows FROM ({_FATE_ROWS[t] if t in _FATE_ROWS else O.diagnose_sql(t)}) r"
+    for t, (kept, fails) in _REPLY_FATES.items())))
+def q_theme_statements(spark, sf_dir):
+    D.load_tables(spark, _tables(spark, sf_dir))
+    replies = spark.createDataFrame([(t, M.theme_sql_reply(t)) for t in PLANS], "complaint_theme string, reply string")
+    return D.run_replies(spark, replies)
+
+
 # ------------------------------------------------------------ flagship and streaming: H1, H2
 
-from rootcause.plans.triage import triage_report  # noqa: E402
+from rootcause.plans.triage import executive_report, triage_report  # noqa: E402
 from rootcause.streaming import categorise as ST  # noqa: E402
 from pyspark.sql import types as _T  # noqa: E402
 
 _RANKED_SQL = (
     f"SELECT \"Category\" AS complaint_theme, \"Count\" AS review_count, "
-    f"CAST(row_number() OVER (ORDER BY \"Count\" DESC, \"Category\") - 1 AS INTEGER) AS rank_idx FROM "
-    f"(SELECT {_CORPUS_CASE} AS \"Category\", COUNT(*) AS \"Count\" FROM ({_CURATED_SQL}) c "
-    f"GROUP BY 1) d")
+    f"CAST(row_number() OVER (ORDER BY \"Count\" DESC, \"Category\") - 1 AS INTEGER) AS rank_idx FROM ({_DIST_SQL}) d")
 
 
 @register("triage_report", O.with_adapters(
@@ -577,7 +628,15 @@ _RANKED_SQL = (
     "FROM disp d FULL OUTER JOIN ranked r ON d.complaint_theme = r.complaint_theme",
     _DL_CTES + f",\nranked AS ({_RANKED_SQL})"))
 def q_triage(spark, sf_dir):
-    return triage_report(_reviews(spark, sf_dir), _tables(spark, sf_dir))
+    return triage_report(_reviews(spark, sf_dir), _tables(spark, sf_dir), CORPUS_RULES)
+
+
+@register("executive_report", O.with_adapters(
+    "SELECT s.complaint_theme, coalesce(r.review_count, 0) AS review_count, r.rank_idx, s.summary "
+    "FROM summaries s LEFT JOIN ranked r ON s.complaint_theme = r.complaint_theme",
+    _SUMMARY_CTES + f",\nranked AS ({_RANKED_SQL})"))
+def q_executive_report(spark, sf_dir):
+    return executive_report(_reviews(spark, sf_dir), _tables(spark, sf_dir), CORPUS_RULES)
 
 
 _FEED_SCHEMA = _T.StructType([
@@ -586,10 +645,10 @@ _FEED_SCHEMA = _T.StructType([
     _T.StructField("content", _T.StringType())])
 
 
-def _land_feed(spark, sf_dir, files: int = 3) -> str:
-    """Land the review feed as several files, the way an acquisition job would."""
+def _land_feed(spark, sf_dir) -> str:
+    """Land the review feed at its own parallelism, the way an acquisition job would."""
     landing = scratch_dir(spark, "landing")
-    _reviews(spark, sf_dir).repartitionByRange(files, "seq").write.parquet(landing)
+    _reviews(spark, sf_dir).write.parquet(landing)
     return landing
 
 
@@ -598,8 +657,7 @@ def _land_feed(spark, sf_dir, files: int = 3) -> str:
 def q_stream_categorise(spark, sf_dir):
     landing = _land_feed(spark, sf_dir)
     sink, ckpt = scratch_dir(spark, "labelled"), scratch_dir(spark, "ckpt-labelled")
-    # One file per micro-batch, so the sink is built over several batches.
-    ST.stream_categorise(spark, landing, sink, ckpt, _FEED_SCHEMA, max_files=1).awaitTermination()
+    ST.stream_categorise(spark, landing, sink, ckpt, _FEED_SCHEMA, CORPUS_RULES).awaitTermination()
     return spark.read.parquet(sink).select("seq", "score", CATEGORY_COL)
 
 
@@ -607,7 +665,6 @@ def q_stream_categorise(spark, sf_dir):
 def q_stream_distribution(spark, sf_dir):
     landing = _land_feed(spark, sf_dir)
     out = scratch_dir(spark, "category-counts")
-    # One file per micro-batch, so the counts carry state across batches.
     ST.stream_distribution(spark, landing, scratch_dir(spark, "ckpt-counts"), _FEED_SCHEMA, out,
-                           max_files=1).awaitTermination()
+                           CORPUS_RULES).awaitTermination()
     return spark.read.parquet(out)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rootcause.operators.classify import classify_by_rules
-from rootcause.plans.lexicons import CORPUS_RULES
+from rootcause.plans.lexicons import FINANCE_RULES
 from rootcause.schemas import CATEGORY_COL
 
 
@@ -27,7 +27,7 @@ def _source(spark: SparkSession, src: str, schema: T.StructType, fmt: str, max_f
 
 
 def stream_categorise(spark: SparkSession, src: str, sink: str, checkpoint: str, schema: T.StructType,
-                      rules=CORPUS_RULES, fmt: str = "parquet", max_files: int | None = None,
+                      rules=FINANCE_RULES, fmt: str = "parquet", max_files: int | None = None,
                       text_col: str = "content"):
     """Label each landed review and append it to ``sink`` (op H1). Returns the
     started query; call ``awaitTermination()`` (availableNow stops by itself)."""
@@ -39,7 +39,7 @@ def stream_categorise(spark: SparkSession, src: str, sink: str, checkpoint: str,
 
 
 def stream_distribution(spark: SparkSession, src: str, checkpoint: str, schema: T.StructType,
-                        out_path: str, rules=CORPUS_RULES, fmt: str = "parquet", max_files: int | None = None,
+                        out_path: str, rules=FINANCE_RULES, fmt: str = "parquet", max_files: int | None = None,
                         text_col: str = "content"):
     """Running count per category over the landed reviews (op H2).
 

@@ -60,7 +60,8 @@ def test_run_sql_success_and_errors(spark, tables):
     D.load_tables(spark, tables)
     ok = D.run_sql(spark, D.plan_sql("LEDGER_DISPUTE"))
     assert rows(ok) == rows(D.diagnose(tables, "LEDGER_DISPUTE"))
-    for bad in ["ERROR_GENERATING_SQL", "SELECT * FROM no_such_table", "SELECT 1/0 AS x"]:
+    for bad in ["ERROR_GENERATING_SQL", "SELECT * FROM no_such_table", "SELECT 1/0 AS x", None, "",
+                "CREATE TEMP VIEW made AS SELECT 1 AS x", "DROP VIEW users", "SELECT 1; SELECT 2", "SHOW TABLES"]:
         err = D.run_sql(spark, bad)
         assert err.columns == ["Error"] and err.count() == 1
 
@@ -80,6 +81,13 @@ def test_worst_row_and_summary_contract(spark, tables):
     assert worst["LEDGER_DISPUTE"]["group_key"] == ledger["txn_type"]
     summaries = IN.summarise(long)
     assert all(r["ok"] for r in IN.summary_contract(summaries).collect())
+    good = summaries.first()["summary"]
+    cases = [("chatter", good + "\nHope this helps!"), ("no owner", good.replace("**Product**", "**Sales**")),
+             ("four", good.replace("Act on", "More. And more. Act on")), ("percent", good.replace("Act on", "A 14% bps move, act on")),
+             ("fine", good.replace("Act on this cohort", "With 14 bps and 3% lost, act on this cohort"))]
+    got = {r["complaint_theme"]: r["ok"] for r in IN.summary_contract(
+        spark.createDataFrame(cases, "complaint_theme string, summary string")).collect()}
+    assert got == {"chatter": False, "no owner": False, "four": False, "percent": False, "fine": True}
     bad = spark.createDataFrame([("X", "Preamble\n### 📊 AI Product Recommendation\n- a\n- b\nslip 14% bps")],
                                 "complaint_theme string, summary string")
     r = IN.summary_contract(bad).first()
@@ -133,3 +141,74 @@ def test_single_theme_strategies_agree(spark, tables):
             got = D.diagnose(tables, theme, strategy=strategy)
             assert got.columns == want.columns, (theme, strategy)
             assert rows(got) == rows(want), (theme, strategy)
+
+
+def test_worst_row_skips_missing_values_and_the_healthy_group(spark):
+    users = [(1, "APPROVED", 1.0, 0.0, 0.0, "CLEARED"), (2, "APPROVED", 1.0, 0.0, 0.0, "CLEARED"),
+             (3, "APPROVED", 1.0, 0.0, 0.0, "2FA/OTP_NOT_RECEIVED")]
+    ledger = [(1, 1, "DEPOSIT", 1.0, None, 1.0, 1.0, 1), (2, 2, "WITHDRAWAL", 1.0, -20000.0, 1.0, 1.0, 1)]
+    support = [(i, i, "LOGIN_AND_2FA_ISSUE", 1.0, 1) for i in (1, 2, 3)] + [(10 + i, i, "LEDGER_DISPUTE", 1.0, 1) for i in (1, 2)]
+    worst = {r["complaint_theme"]: r for r in IN.worst_row(D.diagnose_long(_tables(spark, users, support=support, ledger=ledger))).collect()}
+    assert worst["LEDGER_DISPUTE"]["group_key"] == "WITHDRAWAL" and worst["LEDGER_DISPUTE"]["severity_display"] == "-20000.00"
+    assert worst["LOGIN_AND_2FA_ISSUE"]["group_key"] == "2FA/OTP_NOT_RECEIVED"
+
+
+def test_sums_on_all_strategies_and_beyond_64_bits(spark, monkeypatch):
+    import pytest
+    from rootcause.plans.diagnostics import DiagnosticPlan, Metric
+    plan = DiagnosticPlan("EXECUTION_SLIPPAGE", "trades", None,
+                          (Metric("sum_price_slippage_bps", "sum", "price_slippage_bps"),
+                           Metric("avg_price_slippage_bps", "avg", "price_slippage_bps")), "avg_price_slippage_bps", False)
+    monkeypatch.setitem(PLANS, "EXECUTION_SLIPPAGE", plan)
+    users = [(1, "APPROVED", 1.0, 0.0, 0.0, "CLEARED")]
+    trades = [(i, 1, "BUY_MARKET", 1.0, 1.0, 3e16, 1.0, "NONE") for i in range(40)]
+    T = _tables(spark, users, trades, [(1, 1, "EXECUTION_SLIPPAGE", 1.0, 1)])
+    for strategy in ("rows", "broadcast", "pre_aggregate"):
+        assert tuple(D.diagnose(T, "EXECUTION_SLIPPAGE", strategy).first()) == (1.2e18, 3e16)
+        long = D.diagnose_long(T, ["EXECUTION_SLIPPAGE"], strategy)
+        assert {r["metric"]: r["value"] for r in long.collect()} == {"sum_price_slippage_bps": 1.2e18, "avg_price_slippage_bps": 3e16}
+        assert {r["metric"]: r["display"] for r in IN.with_display(long).collect()} == {
+            "sum_price_slippage_bps": "1200000000000000000.00 bps", "avg_price_slippage_bps": "30000000000000000.00 bps"}
+    with pytest.raises(ValueError):
+        Metric("x", "median", "price_slippage_bps")
+
+
+def test_statement_contract(spark):
+    ok = "SELECT users.auth_bottleneck, AVG(users.kyc_processing_age_days) AS avg_age_days FROM users GROUP BY users.auth_bottleneck;"
+    cases = {
+        ok: set(),
+        ok.replace("avg_age_days", "avg_age"): {"unit_suffix_kept"},
+        ok.replace("GROUP BY users.auth_bottleneck", "GROUP BY users.user_id"): {"no_id_grouping"},
+        ok.replace("AVG(users", "COUNT(DISTINCT users"): {"no_count_distinct"},
+        ok.replace("AVG(", "MEDIAN("): {"allowed_aggregates"},
+        ok.replace("AVG(users.", "AVG("): {"qualified_columns"},
+        "SELECT 1 AS x": {"has_aggregate"},
+        "DROP TABLE users": {"is_query", "has_aggregate"},
+        "SELECT COUNT(users.user_id) AS n FROM users; DROP TABLE users": {"is_query"},
+    }
+    df = spark.createDataFrame([(s,) for s in cases], "statement string")
+    for r in D.statement_contract(df).collect():
+        failed = {k for k, v in r.asDict().items() if v is False and k != "ok"}
+        assert failed == cases[r["statement"]] and r["ok"] == (not failed), (r["statement"], failed)
+
+
+def test_zero_prices_are_counted_and_empty_trades_are_zero(spark):
+    from rootcause.operators import quality as Q
+    users = [(1, "APPROVED", 1.0, 0.0, 0.0, "CLEARED")]
+    trades = [(1, 1, "BUY_MARKET", 0.0, 1.0, 0.0, 1.0, "NONE"), (2, 1, "BUY_MARKET", 1.0, 1.0, 0.0, 1.0, "NONE")]
+    got = {r["rule"]: r["violations"] for r in Q.telemetry_invariants(_tables(spark, users, trades)).collect()}
+    assert got["price_bps_agreement"] == 1
+    none = {r["rule"]: r["violations"] for r in Q.telemetry_invariants(_tables(spark, users)).collect()}
+    assert none["slippage_sign"] == none["price_bps_agreement"] == none["timeout_code_override"] == 0
+
+
+def test_one_failing_request_costs_one_summary(spark, tables):
+    import pandas as pd
+
+    def model(req: pd.Series) -> pd.Series:
+        if req.str.contains("LEDGER_DISPUTE").any():
+            raise RuntimeError("model down")
+        return req.map(lambda s: "fine")
+
+    got = {r["complaint_theme"]: r["summary"] for r in IN.summarise(D.diagnose_long(tables).coalesce(1), model).collect()}
+    assert got.pop("LEDGER_DISPUTE").startswith("Error generating insight: model down") and set(got.values()) == {"fine"}

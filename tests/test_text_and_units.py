@@ -44,8 +44,8 @@ def test_fmt_ratio_2dp_exact(spark):
     cases = [(5, 1), (-5, 1), (50, 1), (-50, 1), (12345, 2), (-12345, 2), (0, 3), (1, 3), (10050, 1),
              (-10050, 1), (None, 2), (7, 0)]
     cases += [(rnd.randint(-10**12, 10**12), rnd.randint(1, 10**6)) for _ in range(300)]
-    df = spark.createDataFrame(cases, "s long, n long")
-    got = df.select("s", "n", N.fmt_ratio_2dp("s", "n").alias("f")).collect()
+    df = spark.createDataFrame(cases, "s long, n long").withColumn("t", F.expr("CAST(s AS DECIMAL(20,0)) / 10000").cast("decimal(38,6)"))
+    got = df.select("s", "n", N.fmt_ratio_2dp("t", "n").alias("f")).collect()
     for r in got:
         if r["s"] is None or r["n"] == 0:
             assert r["f"] is None
