@@ -8,8 +8,8 @@ keeps the prefix filter exact. Documents with equal n-gram sets form one
 class. Two classes that reach the threshold share a gram of their prefixes.
 
 Not all pairs that share one are made. First every class of a prefix gram is
-paired with the two ends of the gram's classes in a random order, which is one
-or two pairs a class and ties most groups of copies together. Only grams whose
+paired with the gram's class that has the fewest rarer grams, and with a random
+one, which is at most two pairs a class and ties most groups of copies together. Only grams whose
 classes are then still in several components make the pairs that could still
 join them: each class outside the gram's commonest component with those of
 other components. A link between two classes of one component changes nothing
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootcause.llm import textblocks as T
@@ -31,8 +31,8 @@ from rootcause.llm.tables import connected_components, stage_table, with_ids
 
 ORDER_BITS = 20
 CHUNKS = 64
-#: Parts that the grams after a prefix are dealt into for the suffix filter.
-SUFFIX_PARTS = 16
+#: Parts that a document's grams are dealt into by hash for the suffix filter.
+SUFFIX_PARTS = 64
 
 
 def document_sets(data: np.ndarray, offs: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -59,9 +59,10 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int | Non
 
 
 def _profile(n: int):
-    """Size and digest of every document's set; then the task's bucket counts."""
-    names = ["doc_id", "n_shingles", "digest", "chunk", "counts"]
-    types = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary())
+    """Size, digest and part sizes of every document's set; then the task's bucket counts."""
+    names = ["doc_id", "n_shingles", "digest", "parts", "chunk", "counts"]
+    types = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.int32(), pa.binary())
+    shift = np.uint64(64 - (SUFFIX_PARTS.bit_length() - 1))
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
@@ -70,7 +71,8 @@ def _profile(n: int):
         counts, rows = np.zeros(1 << ORDER_BITS, np.uint32), []
         for doc_id, s in _sets(batches, n):
             np.add.at(counts, s >> np.uint64(64 - ORDER_BITS), np.uint32(1))
-            rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), None, None))
+            parts = np.bincount((s >> shift).astype(np.int64), minlength=SUFFIX_PARTS).astype(np.int32)
+            rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), parts, None, None))
             if len(rows) == 4096:
                 yield batch(rows)
                 rows = []
@@ -78,7 +80,7 @@ def _profile(n: int):
             yield batch(rows)
         if counts.any():
             for k, part in enumerate(np.split(counts, CHUNKS)):
-                yield batch([(None, None, None, k, part.tobytes())])
+                yield batch([(None, None, None, None, k, part.tobytes())])
     return run
 
 
@@ -92,11 +94,6 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                       pa.array([v.tobytes() for v in total.values()], pa.binary())], ["chunk", "counts"])
 
 
-def _least_overlap(percent: int, size_a, size_b):
-    """Common grams that sets of these sizes need for percent / 100."""
-    return -((-percent * (size_a + size_b)) // (100 + percent))
-
-
 def _ranked(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return s[np.argsort(counts[s >> np.uint64(64 - ORDER_BITS)], kind="stable")]  # s is sorted by hash
 
@@ -128,7 +125,7 @@ def _prefix_batch(cols) -> pa.RecordBatch:
 
 
 def _set_rows(n: int):
-    """Each document's set, with the sizes of its parts by hash for the suffix filter."""
+    """Each document's set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc_id, s in _sets(batches, n):
@@ -144,25 +141,30 @@ def _set_rows(n: int):
 
 
 def _verify(percent: int):
-    """Pairs that reach the threshold. The suffix filter comes first: grams
-    dealt into parts by hash differ in at least the parts' size differences."""
+    """Pairs that reach the threshold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b["grams_a"], b["grams_b"]):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                need = _least_overlap(percent, len(x), len(y))
-                shift = np.uint64(64 - (SUFFIX_PARTS.bit_length() - 1))
-                px, py = (np.bincount((s >> shift).astype(np.int64), minlength=SUFFIX_PARTS) for s in (x, y))
-                if np.minimum(px, py).sum() < need:
-                    keep.append(False)
-                    continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b["a"], b["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
+def _needed(percent: int, a, b):
+    """Common grams that sets of these sizes need."""
+    return F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent) - 1e-9)
+
+
+def _parts_allow(percent: int, size_a: str, size_b: str, parts_a: str, parts_b: str):
+    """Suffix filter: two sets differ in at least the size differences of their parts."""
+    a, b = F.col(size_a), F.col(size_b)
+    apart = F.aggregate(F.zip_with(parts_a, parts_b, lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, x: acc + x)
+    return apart <= a + b - 2 * _needed(percent, a, b)
+
+
 def _can_reach(percent: int, size_a: str, size_b: str, place_a: str, place_b: str):
     """Length and positional filter of a pair that shares a gram at these places.
 
@@ -171,7 +173,7 @@ def _can_reach(percent: int, size_a: str, size_b: str, place_a: str, place_b: st
     least there.
     """
     a, b = F.col(size_a), F.col(size_b)
-    need = F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent) - 1e-9)
+    need = _needed(percent, a, b)
     length = F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
     return length & (F.least(a - F.col(place_a), b - F.col(place_b)) >= need)
 
@@ -197,7 +199,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    profile = stage_table(docs.mapInArrow(_profile(n), "doc_id long, n_shingles long, digest string, chunk int, counts binary"),
+    profile = stage_table(docs.mapInArrow(_profile(n), "doc_id long, n_shingles long, digest string, parts array<int>, chunk int, counts binary"),
                           "shingles")
     chunks = (profile.where("chunk IS NOT NULL").select("chunk", "counts")
               .repartition(CHUNKS, "chunk").mapInArrow(_add_counts, "chunk int, counts binary").collect())
@@ -218,9 +220,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     shared = grams.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("gram")
     grams = stage_table(grams.join(shared, "gram"), "shared")
 
-    # Round 1: pairs with the two ends of the gram's classes in a random order.
-    member = F.struct(F.xxhash64("id").alias("k"), "id", "size", "place")
-    ends = grams.groupBy("gram").agg(F.min(member).alias("lo"), F.max(member).alias("hi"))
+    # Round 1: pairs with the gram's class that has the fewest rarer grams, which
+    # is near the middle of a group of copies, and with a random one.
+    member = ["id", "size", "place"]
+    ends = grams.groupBy("gram").agg(F.min(F.struct(F.col("place").alias("p"), F.xxhash64("id").alias("k"), *member)).alias("lo"),
+                                     F.min(F.struct(F.xxhash64("id").alias("k"), *member)).alias("hi"))
+    ends = ends.select("gram", *(F.struct(*(F.col(f"{e}.{c}") for c in member)).alias(e) for e in ("lo", "hi")))
     ends = ends.select("gram", F.explode(F.array("lo", "hi")).alias("hub"))
     first = (grams.join(ends, "gram").select("id", "size", "place", F.col("hub.id").alias("id2"),
                                              F.col("hub.size").alias("size2"), F.col("hub.place").alias("place2"))
@@ -235,13 +240,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         "component", F.coalesce("component", "id"))
     open_grams = (labelled.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                   .where("lo < hi").select("gram"))
-    labelled = stage_table(labelled.join(open_grams, "gram"), "open")
+    parts = profile.where("n_shingles > 0").select(F.col("doc_id").alias("id"), "parts")
+    labelled = stage_table(labelled.join(open_grams, "gram").join(parts, "id"), "open")
     common = (labelled.groupBy("gram", "component").count().groupBy("gram")
               .agg(F.max(F.struct("count", "component")).alias("m")).select("gram", F.col("m.component").alias("common")))
     minor = (labelled.join(common, "gram").where("component != common")
-             .select("gram", *(F.col(c).alias(f"{c}2") for c in ("id", "size", "place", "component"))))
+             .select("gram", *(F.col(c).alias(f"{c}2") for c in ("id", "size", "place", "component", "parts"))))
     second = (labelled.join(minor, "gram").where("component != component2")
               .where(_can_reach(percent, "size", "size2", "place", "place2"))
+              .where(_parts_allow(percent, "size", "size2", "parts", "parts2"))
               .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
               .join(first, ["a", "b"], "left_anti"))
     second = stage_table(second, "more-pairs")
