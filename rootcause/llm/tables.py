@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootcause.session import scratch_dir
 
 
+#: Rows that Spark hands to Python at a time while a stage table is written:
+#: rows with whole texts make its default of 10000 too much for a small executor.
+BATCH_ROWS = 1024
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    before = spark.conf.get(_BATCH_CONF)
+    spark.conf.set(_BATCH_CONF, str(BATCH_ROWS if int(before) <= 0 else min(BATCH_ROWS, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_CONF, before)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back.
 
@@ -15,7 +33,8 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     not the work that led to the table.
     """
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
