@@ -21,16 +21,18 @@ DEFAULT_CONF = {
 }
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
+def build_session(master: str = "local[*]", shuffle_partitions: int | None = None,
                   app_name: str = "rootcause", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the defaults above.
 
     On a cluster, call with the cluster master and leave
-    ``spark.checkpoint.dir`` to the cluster configuration.
+    ``spark.checkpoint.dir`` and the number of shuffle partitions to the
+    cluster configuration.
     """
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -62,7 +64,23 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path under the shared checkpoint folder."""
     root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+_SCRATCH: list[str] = []
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders handed out so far; frames that read them are
+    of no use afterwards. Returns how many there were."""
+    fs_conf = spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [_SCRATCH.pop() for _ in range(len(_SCRATCH))]
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(fs_conf).delete(folder, True)
+    return len(paths)
 
 
 def reliable_checkpoint(df):

@@ -2,8 +2,9 @@
 
 Review text holds newlines, quotes and backslashes, so CSV needs both
 ``multiLine`` and ``escape='"'`` (RFC 4180 doubling) to read back exactly.
-An empty text is written as ``""`` but, like missing values, reads back as
-null. A multi-line CSV file is read by one task, so at scale the feed should land
+An empty text is written as ``""`` and a missing one as nothing, and both read
+back as they were. A header that does not name the schema's columns in order, or
+a row that does not parse, is an error rather than a silent null. A multi-line CSV file is read by one task, so at scale the feed should land
 as many files, or as parquet (``fmt='parquet'``), which splits freely.
 """
 
@@ -14,7 +15,10 @@ from pyspark.sql import types as T
 
 from rootcause.schemas import CATEGORISED_REVIEW_SCHEMA, REVIEW_SCHEMA
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+# nullValue is a text that no review holds: with the default, an empty text
+# would be null.
+CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "enforceSchema": "false",
+               "mode": "FAILFAST", "nullValue": "\\N"}
 
 
 def read_reviews(spark: SparkSession, path: str, schema: T.StructType | None = None,

@@ -44,10 +44,7 @@ def test_csv_roundtrip_tricky_text(spark):
     path = scratch_dir(spark, "csv-test")
     RV.write_reviews(df, path)
     back = RV.read_reviews(spark, path)
-    # An empty text reads back as null, as with any CSV reader that maps empty
-    # fields to missing values; everything else survives exactly.
-    want = df.withColumn("content", F.when(F.col("content") != "", F.col("content")))
-    assert sorted(back.collect(), key=str) == sorted(want.collect(), key=str)
+    assert sorted(back.collect(), key=str) == sorted(df.collect(), key=str)
 
 
 def test_save_table_refuses_second_load(spark, tables):
@@ -127,3 +124,25 @@ def test_checkpoint_root_refuses_local_folder_on_a_cluster():
                          setCheckpointDir=lambda d: pytest.fail("must not set a local folder"))
     with pytest.raises(RuntimeError, match="shared folder"):
         checkpoint_root(SimpleNamespace(sparkContext=sc, conf=Conf()))
+
+
+def test_head_keeps_its_size_with_repeated_and_missing_sequence_numbers(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "d"), (None, "e")], "seq long, content string").repartition(3)
+    assert [tuple(r) for r in K.head_n(df, 2).collect()] == [(1, "a"), (1, "b")]
+    assert [r["seq"] for r in K.tail_n(df, 2).collect()] == [2, 1]
+    assert K.head_n(df, 10).count() == 4
+
+
+def test_csv_with_columns_in_another_order_is_refused(spark, tmp_path):
+    import pytest
+    path = tmp_path / "reviews.csv"
+    path.write_text('userName,content,score,at\nann,"fine",5,2026-01-01 00:00:00\n')
+    with pytest.raises(Exception):
+        RV.read_reviews(spark, str(path)).collect()
+
+
+def test_csv_keeps_empty_and_missing_texts_apart(spark):
+    path = scratch_dir(spark, "csv-empty")
+    df = spark.createDataFrame([("ann", 5, None, ""), ("bob", 1, None, None)], RV.REVIEW_SCHEMA)
+    RV.write_reviews(df, path)
+    assert {r["userName"]: r["content"] for r in RV.read_reviews(spark, path).collect()} == {"ann": "", "bob": None}

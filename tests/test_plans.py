@@ -83,4 +83,12 @@ def test_curation_ranks_narrow_keys_and_fetches_once(spark):
     # text (the text is only read to compute its length)
     proj = re.search(r"Exchange hashpartitioning\(score#\d+, \d+\).*?Project \[([^\n]*)\]", plan, re.S).group(1)
     assert "content" not in proj and "text#" not in re.sub(r"length\(text#\d+\)", "", proj)
-    assert plan.count("Exchange hashpartitioning(score") == 1  # the second ranking reuses it
+    # a first level by group of partitions, so no task merges all partitions' candidates
+    assert re.search(r"Exchange hashpartitioning\(score#\d+, _group#\d+", plan)
+
+
+def test_no_task_merges_the_heads_of_all_partitions(spark):
+    feed = A.review_feed(spark, SF_SMALL)
+    for df in (K.head_n(feed, 10), K.score_filter(feed, 1, 5), K.union_score_batches(feed)):
+        plan = _plan(df)
+        assert "hashpartitioning(_group#" in plan and "WindowGroupLimit" in plan
