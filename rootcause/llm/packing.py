@@ -33,6 +33,7 @@ CAPACITY = 2048
 CACHE_WORDS = 1_000_000
 #: ASCII punctuation without the apostrophe, which can begin a contraction.
 _TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_TOGETHER = 400
 _STEM_END = frozenset(bytes([c]) for c in b"abcdefghijklmnopqrstuvwxyz0123456789")
 #: Pieces that one (length, bucket) group holds on average when one length
 #: has all of them.
@@ -58,6 +59,11 @@ class WordIds:
         self.tok.no_padding()
         special = [re.escape(t.content.encode()) for t in self.tok.get_added_tokens_decoder().values()]
         self.odd = re.compile(b"|".join(special), re.I) if special else None
+        # Every pre-token ends with an id of this kind.
+        suffix = self.tok.model.end_of_word_suffix
+        self.is_end = np.zeros(self.tok.get_vocab_size(), bool)
+        if suffix:
+            self.is_end[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
         self.cache: dict[bytes, bytes] = {}
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
@@ -81,13 +87,30 @@ class WordIds:
                 ask.update((stem, tail))
             else:
                 ask.add(w)
-        ask = [w for w in ask if w not in self.cache]
-        for w, e in zip(ask, self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in ask],
-                                                        add_special_tokens=False)):
-            self.cache[w] = array("I", e.ids).tobytes()
+        self._encode([w for w in ask if w not in self.cache])
         for w, stem, tail in joined:
             self.cache[w] = self.cache[stem] + self.cache[tail]
 
+    def _encode(self, words: list[bytes]) -> None:
+        """Words of letters alone are one pre-token each and go to the tokenizer
+        many at a time; their ids are told apart by those that end a word."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        letters = [i for i, t in enumerate(texts) if t.isalpha()]
+        rest = [i for i, t in enumerate(texts) if not t.isalpha()]
+        groups = [letters[k:k + _TOGETHER] for k in range(0, len(letters), _TOGETHER)]
+        encoded = self.tok.encode_batch_fast([" ".join(texts[i] for i in g) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, encoded):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist()
+            if len(ends) != len(group):  # lower-casing made a letter into more than letters
+                rest += group
+                continue
+            raw = ids.tobytes()
+            for i, start, end in zip(group, [0, *ends], ends):
+                self.cache[words[i]] = raw[start:end]
+        for i, e in zip(rest, self.tok.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+            self.cache[words[i]] = array("I", e.ids).tobytes()
+
     def _whole(self, text: bytes) -> bytes:
         return np.array(self.tok.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
