@@ -2,8 +2,9 @@
 ids and ticket generation (ops G1-G4, G10, G11).
 
 Random draws are replaced by ``uniform(key, salt)`` so results do not depend
-on partitioning or retries. Exact-k selection never funnels k rows through one
-task: small k uses Spark's bounded top-k, large k a histogram threshold.
+on partitioning or retries. Exact-k selection never funnels the candidates of
+all partitions through one task: small k is merged in two levels, large k uses a
+histogram threshold.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from pyspark.sql import functions as F
 from rootcause.functions.uniform import uniform
 from rootcause.session import reliable_checkpoint
 
-# The ordered ``limit`` keeps k rows per input partition and merges them in one
-# task, which therefore receives partitions x k rows. It is used only while that
-# product is at most TOPK_MERGE_ROWS; beyond it, the histogram threshold below.
-TOPK_MERGE_ROWS = 2_000_000
+# Up to this k the first k rows are merged in two levels (groups of partitions,
+# then the groups); beyond it, the histogram threshold below.
+TOPK_ROWS = 10_000
+MERGE_GROUPS = 256
 HIST_BINS = 1 << 20
 
 
@@ -27,15 +28,20 @@ def _smallest_k_flag(df: DataFrame, score: str, key: str, k: int, flag: str) ->
     """Mark the k rows with the smallest (score, key); score is in [0, 1) and
     ``key`` is unique.
 
-    Small k x partitions: Spark's bounded top-k. Otherwise: count rows per score bin (at most HIST_BINS groups, partial
-    aggregation before the shuffle), find the boundary bin on that small
-    table, then rank only the rows of the boundary bin. Bins are uniform in
-    the score, so the boundary bin holds about n / HIST_BINS rows.
+    Small k: a bounded top-k in two levels, so that no task receives the
+    candidates of all partitions. Otherwise: count rows per score bin (at most
+    HIST_BINS groups, partial aggregation before the shuffle), find the
+    boundary bin on that small table, then rank only the rows of the boundary
+    bin. Bins are uniform in the score, so the boundary bin holds about
+    n / HIST_BINS rows.
     """
     if k <= 0:
         return df.withColumn(flag, F.lit(False))
-    if k * df.rdd.getNumPartitions() <= TOPK_MERGE_ROWS:
-        top = df.select(key, score).orderBy(score, key).limit(k).select(key, F.lit(True).alias(flag))
+    if k <= TOPK_ROWS:
+        of_group = Window.partitionBy("_group").orderBy(score, key)
+        top = (df.select(key, score).withColumn("_group", F.spark_partition_id() % MERGE_GROUPS)
+               .withColumn("_r", F.row_number().over(of_group)).where(F.col("_r") <= k)
+               .orderBy(score, key).limit(k).select(key, F.lit(True).alias(flag)))
         return df.join(top, key, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
     binned = df.withColumn("_bin", F.floor(F.col(score) * HIST_BINS).cast("long"))

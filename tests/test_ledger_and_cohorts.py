@@ -76,7 +76,7 @@ def test_replay_hot_user_across_batches(spark):
 @pytest.mark.parametrize("force_hist", [False, True])
 def test_split_exact_matches_sort(spark, k, force_hist, monkeypatch):
     if force_hist:
-        monkeypatch.setattr(G, "TOPK_MERGE_ROWS", 0)
+        monkeypatch.setattr(G, "TOPK_ROWS", 0)
         monkeypatch.setattr(G, "HIST_BINS", 16)
     df = spark.range(150).withColumnRenamed("id", "user_id")
     first, rest = G.split_exact(df, "user_id", k, "s")

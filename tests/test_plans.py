@@ -55,10 +55,10 @@ def test_group_limits_bound_strata(spark):
     assert "WindowGroupLimit" in _plan(K.curate(feed))
 
 
-def test_small_k_uses_bounded_top_k(spark):
+def test_small_k_is_merged_in_two_levels(spark):
     df = spark.range(1000).withColumnRenamed("id", "user_id")
-    first, _ = G.split_exact(df, "user_id", 10, "s")
-    assert "TakeOrderedAndProject" in _plan(first)
+    plan = _plan(G.split_exact(df, "user_id", 10, "s")[0])
+    assert "TakeOrderedAndProject" in plan and "WindowGroupLimit" in plan and "hashpartitioning(_group#" in plan
 
 
 def test_hot_ledger_users_are_range_partitioned(spark):
