@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rootcause.llm import licenses
+from rootcause.llm import licenses, oracle
 from rootcause.llm.tables import load
 
 #: Vocabulary files by operator; a path for each is a parameter of its operator.
@@ -18,7 +18,7 @@ def vocabulary(name: str) -> str:
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rootcause.llm.decontaminate import contamination_report
-    return contamination_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return contamination_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("longest")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,14 +66,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
-    "op1_benchmark_decontamination": (op1_benchmark_decontamination, None),
+    "op1_benchmark_decontamination": (op1_benchmark_decontamination, oracle.OP1),
     "op2_best_fit_packing": (op2_best_fit_packing, None),
-    "op3_ngram_jaccard_join": (op3_ngram_jaccard_join, None),
-    "op4_embedding_near_dedup": (op4_embedding_near_dedup, None),
+    "op3_ngram_jaccard_join": (op3_ngram_jaccard_join, oracle.OP3),
+    "op4_embedding_near_dedup": (op4_embedding_near_dedup, oracle.OP4),
     "op5_license_scans": (op5_license_scans, licenses.oracle_sql()),
-    "op6_substring_dedup": (op6_substring_dedup, None),
+    "op6_substring_dedup": (op6_substring_dedup, oracle.OP6),
     "op7_secret_scans": (op7_secret_scans, None),
     "op8_quality_classifier": (op8_quality_classifier, None),
-    "op9_suffix_array_dedup": (op9_suffix_array_dedup, None),
+    "op9_suffix_array_dedup": (op9_suffix_array_dedup, oracle.OP9),
     "op10_token_counts": (op10_token_counts, None),
 }

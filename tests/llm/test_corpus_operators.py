@@ -409,6 +409,21 @@ def test_queries_are_registered():
     assert "pipeline" in names and "op5_license_scans" in entry.oracle_sql()
 
 
+@pytest.mark.parametrize("n", [1, 3, 4, 5, 6, 9])
+def test_queries_match_their_sql(spark, n):
+    import duckdb
+    from rootcause.llm.queries import REGISTRY
+    query, sql = next(v for k, v in REGISTRY.items() if k.startswith(f"op{n}_"))
+    con = duckdb.connect()
+    for table in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF_SMALL}/{table}.parquet')")
+    found = query(spark, SF_SMALL)
+    wanted = con.execute(sql)
+    order = [d[0] for d in wanted.description]
+    assert sorted(order) == sorted(found.columns)
+    same(found.select(order), wanted.fetchall())
+
+
 def test_pipeline(spark, tmp_path):
     """Every stage against a plain version of what it decides."""
     import corpus_pipeline
