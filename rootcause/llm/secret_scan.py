@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootcause.llm.licenses import LOWER, UPPER, lowered
-from rootcause.llm.tables import stage_table
+from rootcause.llm.tables import stage_table, with_ids
 
 CANDIDATE = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]{0,128}[0-9])[A-Za-z0-9_+/\-]{12,}={0,2}"
 CREDENTIAL = r"(?i)(password|passwd|pwd|secret|token|credential|api.?key|access.?key|private.?key|auth)"
@@ -35,6 +35,8 @@ NEAR = 40
 #: Documents that must hold a word on its own for it to be in the dictionary.
 WORD_DOCS = 3
 BANK_ROWS = 4000
+#: Words of candidates that may be broadcast, a few tens of bytes each.
+BROADCAST_WORDS = 500_000
 TREES, DEPTH, SEED = 40, 7, 7
 CUT = 0.5
 
@@ -75,9 +77,10 @@ def with_features(findings: DataFrame, corpus: DataFrame) -> DataFrame:
     """
     findings = stage_table(findings.withColumn("finding", F.monotonically_increasing_id()), "findings")
     parts = findings.select("finding", F.explode(_parts()).alias("part"))
-    asked = parts.select("part").distinct()
-    words = (corpus.select(F.explode(F.array_distinct(F.split(lowered(), "[^a-z0-9]+"))).alias("part"))
-             .join(asked, "part", "left_semi").groupBy("part").count().where(F.col("count") >= WORD_DOCS).select("part"))
+    # The corpus's words meet the few that are asked for before any shuffle.
+    words = with_ids(corpus.select(F.explode(F.array_distinct(F.split(lowered(), "[^a-z0-9]+"))).alias("part")),
+                     parts, key="part", at_most=BROADCAST_WORDS)
+    words = words.groupBy("part").count().where(F.col("count") >= WORD_DOCS).select("part")
     covered = (parts.join(words, "part").groupBy("finding").agg(F.sum(F.length("part")).alias("covered")))
     n = F.length("value")
     classes = F.translate(F.translate(F.translate("value", "0123456789", "0" * 10), UPPER, "A" * 26), LOWER, "a" * 26)

@@ -46,14 +46,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 BROADCAST_IDS = 2_000_000
 
 
-def with_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi", key: str = "doc_id") -> DataFrame:
+def with_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi", key: str = "doc_id",
+             at_most: int = BROADCAST_IDS) -> DataFrame:
     """``docs`` with (or, by left_anti, without) the keys in ``ids``.
 
-    The ids are counted: up to BROADCAST_IDS are broadcast, more are joined by
-    a shuffle. The rows are the same.
+    The ids are counted: up to ``at_most`` are broadcast, more are joined by a
+    shuffle. The rows are the same.
     """
     ids = ids.select(key).where(f"{key} IS NOT NULL").distinct()
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    small = ids.count() <= at_most
     return docs.join(F.broadcast(ids) if small else ids, key, how)
 
 
