@@ -222,7 +222,13 @@ class Scorer:
 
 
 def char_shard(codes: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(codes.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    """The shard of a code point; ``_shard_of`` is the same as a column."""
+    return ((codes.astype(np.int64) * 2654435761 % (1 << 32)) >> 12) % shards
+
+
+def _shard_of(char, shards: int):
+    spread = F.pmod(F.ascii(char).cast("long") * F.lit(2654435761), F.lit(1 << 32))
+    return F.pmod(F.shiftright(spread, 12), F.lit(shards))
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -258,7 +264,11 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_entries:
     for s in range(shards):
         grams, weights, unseen = {}, {}, 0.0
         for k in range(order + 1):
-            rows = model.where(F.col("order") == k).select("gram", "logp", "logb").toArrow()
+            rows = model.where(F.col("order") == k)
+            if shards > 1 and k > 1:  # only this shard's entries come to the driver
+                rows = rows.where((_shard_of(F.substring("gram", k - 1, 1), shards) == s)
+                                  | (_shard_of(F.substring("gram", k, 1), shards) == s))
+            rows = rows.select("gram", "logp", "logb").toArrow()
             if k == 0:
                 unseen = rows["logp"][0].as_py() if len(rows) else -math.log(2.0)
                 continue

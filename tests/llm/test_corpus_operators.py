@@ -353,6 +353,10 @@ def test_quality_model_against_plain_kneser_ney(spark):
             padded = "\x02" * (order - 1) + t
             want = sum(math.log(p(padded[j:j + order - 1], t[j], order)) for j in range(len(t)))
             assert got[i]["n_chars"] == len(t) and got[i]["log_sum"] == pytest.approx(want, abs=1e-3)
+    from rootcause.llm.quality_lm import _shard_of, char_shard
+    chars = ["a", "ñ", "\x02", "語", "😀"]
+    row = spark.createDataFrame([(c,) for c in chars], "c string").select("c", _shard_of("c", 7).alias("s")).collect()
+    assert {r["c"]: r["s"] for r in row} == dict(zip(chars, char_shard(np.array([ord(c) for c in chars]), 7).tolist()))
     for context in ("a", "b ", ""):
         assert sum(p("\x02\x02" + context, ch, order) for ch in "ab .ñ") < 1 + 1e-9
 
