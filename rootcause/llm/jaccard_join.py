@@ -226,9 +226,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
               .where("doc_id > id").select("doc_id"))
     firsts = with_ids(docs.where("doc_id IS NOT NULL"), stage_table(copies, "copies"), "left_anti")
 
-    grams = stage_table(firsts.mapInArrow(_prefixes(n, percent, order), "gram long, id long, size int, place int"), "prefixes")
-    shared = grams.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("gram")
-    grams = stage_table(grams.join(shared, "gram"), "shared")
+    # Most prefix grams are in one class. The counts alone are shuffled to find
+    # the others; the prefixes are made again to be filtered by them, which is
+    # cheaper than to keep them.
+    prefixes = firsts.mapInArrow(_prefixes(n, percent, order), "gram long, id long, size int, place int")
+    shared = stage_table(prefixes.groupBy("gram").count().where("count > 1").select("gram"), "shared-grams")
+    grams = stage_table(with_ids(prefixes, shared, key="gram"), "shared")
 
     # Round 1: pairs with the gram's class that has the fewest rarer grams, which
     # is near the middle of a group of copies, and with a random one.
