@@ -6,9 +6,12 @@ short grams inside it: equal windows have equal anchors at equal places.
 Neighbouring windows mostly share their anchor and form a run.
 
 1. Exact copies of a whole document are settled by digest.
-2. Runs of all other documents are shuffled once by anchor, as four numbers.
-   Runs whose anchor occurs once hold no repeat and end here. Runs with equal
-   content are represented by the first of them.
+2. Runs of all other documents are shuffled once by anchor, as a few numbers;
+   equal runs of one document (a line said a hundred times) are one row with
+   all its places. Runs whose anchor occurs once hold no repeat and end here.
+   Runs with equal content are represented by the first of them. Anchors of
+   very many runs are found by a count beforehand; theirs are not brought
+   together but aggregated and joined, which Spark can split.
 3. The texts of the runs that are left go to chunks of bounded size, by
    anchor. A chunk's index (an FM-index or a radix sort, given by the caller)
    numbers the windows so that equal windows have equal numbers; the earliest
@@ -57,6 +60,8 @@ class Kind:
     #: group), and runs of one anchor that go to one chunk.
     chunk_units: int = 400_000
     anchor_runs: int = 4_000
+    #: Rows of one anchor that may meet in one task.
+    hot_runs: int = 200_000
 
 
 def find_runs(codes: np.ndarray, index: np.ndarray, window: int, gram: int):
@@ -124,12 +129,28 @@ def _emit_runs(kind: Kind):
                 codes, index = kind.units(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
                 doc, start, count, place, anchor, digest = find_runs(codes, index, kind.window, kind.gram)
                 if len(doc):
+                    first, more = _once_a_document(doc, start, anchor, digest)
+                    pack = (start << 16) | (count << 8) | place
                     yield pa.RecordBatch.from_arrays(
-                        [_long(anchor), _long(digest), _long(ids[i:j][doc]), _long((start << 16) | (count << 8) | place)],
-                        ["anchor", "digest", "doc_id", "pack"])
+                        [_long(anchor[first]), _long(digest[first]), _long(ids[i:j][doc[first]]), _long(pack[first]), more],
+                        ["anchor", "digest", "doc_id", "pack", "more"])
     return run
 
 
+def _once_a_document(doc, start, anchor, digest) -> tuple[np.ndarray, pa.Array]:
+    """The first of equal runs of one document, and the starts of the others."""
+    order = np.argsort(digest ^ T.mix(doc.astype(U64)), kind="stable")  # places stay in order
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for key in (doc, anchor, digest):
+        new[1:] |= key[order[1:]] != key[order[:-1]]
+    first = np.flatnonzero(new)
+    rest = order[~new]
+    ends = np.append(first[1:], len(order)) - np.arange(1, len(first) + 1)
+    more = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), _long(start[rest]))
+    return order[first], more
+
+
 def _emit_texts(kind: Kind):
     """The units of the listed runs of each document.
 
@@ -285,17 +306,15 @@ def removed_intervals(docs: DataFrame, kind: Kind, unit_type) -> DataFrame:
     ``docs`` has doc_id and text, whole copies already taken out.
     """
     runs = docs.where("doc_id IS NOT NULL").mapInArrow(
-        _emit_runs(kind), "anchor long, digest long, doc_id long, pack long")
-    same = Window.partitionBy("anchor")
-    order = Window.partitionBy("anchor", "digest").orderBy("doc_id", "pack")
-    held = (runs.repartition("anchor")
-            .withColumn("total", F.count("*").over(same))
-            .where("total > 1")
-            .withColumn("head_doc", F.first("doc_id").over(order))
-            .withColumn("head_pack", F.first("pack").over(order))
-            .withColumn("is_head", (F.col("doc_id") == F.col("head_doc")) & (F.col("pack") == F.col("head_pack")))
-            .withColumn("heads", F.count(F.when(F.col("is_head"), 1)).over(same))
-            .drop("total", "head_pack"))
+        _emit_runs(kind), "anchor long, digest long, doc_id long, pack long, more array<long>")
+    # The counts are aggregated before their shuffle; hot anchors are at most
+    # one for every `hot_runs` rows.
+    hot = stage_table(runs.groupBy("anchor").count().where(F.col("count") > kind.hot_runs).select("anchor"), "hot-anchors")
+    if hot.isEmpty():
+        held = _held_together(runs, kind)
+    else:
+        held = _held_together(with_ids(runs, hot, "left_anti", "anchor"), kind).union(
+            _held_apart(stage_table(with_ids(runs, hot, key="anchor"), "hot-runs")))
     held = stage_table(held, "runs")
 
     dealt = F.ceil(F.col("heads") / kind.anchor_runs).cast("int")
@@ -318,18 +337,51 @@ def removed_intervals(docs: DataFrame, kind: Kind, unit_type) -> DataFrame:
     settled = settled.union(merged.select(*settled.columns))
 
     start, count = F.shiftright("pack", 16), F.shiftright("pack", 8).bitwiseAND(255)
-    whole = F.struct(start.alias("first"), (start + count + kind.window - 1).alias("last"))
-    part = F.struct((start + F.col("first")).alias("first"), (start + F.col("last")).alias("last"))
+
+    def places(starts, first, last):
+        return F.transform(starts, lambda s: F.struct((s + first).alias("first"), (s + last).alias("last"))).alias("i")
+
+    everywhere = F.concat(F.array(start), "more")
+    nothing, whole = F.lit(0), count + kind.window - 1
     if kind.within:
-        copies = held.where("NOT is_head")
-        parts = settled.select("doc_id", part.alias("i"))
+        # Every place but the first one of all repeats it.
+        copies = held.select("doc_id", places(F.when(F.col("is_head"), F.col("more")).otherwise(everywhere), nothing, whole))
+        parts = settled.select("doc_id", places(F.array(start), F.col("first"), F.col("last")))
     else:
         # Other places of a run in its own first document share its decisions.
-        copies = held.where("doc_id > head_doc")
-        peers = held.where("doc_id = head_doc").select("anchor", "digest", "doc_id", "pack")
-        parts = (settled.drop("doc_id", "pack").join(peers, ["anchor", "digest"]).select("doc_id", part.alias("i")))
-    return (copies.select("doc_id", whole.alias("i")).union(parts)
-            .groupBy("doc_id").agg(F.collect_set("i").alias("intervals")))
+        copies = held.where("doc_id > head_doc").select("doc_id", places(everywhere, nothing, whole))
+        peers = held.where("doc_id = head_doc").select("anchor", "digest", "doc_id", "pack", "more")
+        parts = (settled.drop("doc_id", "pack").join(peers, ["anchor", "digest"])
+                 .select("doc_id", places(everywhere, F.col("first"), F.col("last"))))
+    return (copies.where(F.size("i") > 0).union(parts)
+            .groupBy("doc_id").agg(F.flatten(F.collect_list("i")).alias("intervals")))
+
+
+def _weight(kind: Kind):
+    """Places that count towards a repeat: those of the same document only if they can be one."""
+    return 1 + F.size("more") if kind.within else F.lit(1)
+
+
+def _held_together(runs: DataFrame, kind: Kind) -> DataFrame:
+    """Runs of anchors with several places, each with the first run of its
+    content and the anchor's number of contents; an anchor's rows in one task."""
+    same = Window.partitionBy("anchor")
+    order = Window.partitionBy("anchor", "digest").orderBy("doc_id", "pack")
+    return (runs.repartition("anchor").withColumn("total", F.sum(_weight(kind)).over(same)).where("total > 1")
+            .withColumn("head_doc", F.first("doc_id").over(order))
+            .withColumn("head_pack", F.first("pack").over(order))
+            .withColumn("is_head", (F.col("doc_id") == F.col("head_doc")) & (F.col("pack") == F.col("head_pack")))
+            .withColumn("heads", F.count(F.when(F.col("is_head"), 1)).over(same))
+            .drop("total", "head_pack"))
+
+
+def _held_apart(runs: DataFrame) -> DataFrame:
+    """The same for hot anchors, with partial aggregates and joins."""
+    first = runs.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "pack")).alias("h"))
+    heads = first.groupBy("anchor").agg(F.count("*").alias("heads"))
+    return (runs.join(first, ["anchor", "digest"]).join(heads, "anchor")
+            .select("anchor", "digest", "doc_id", "pack", "more", F.col("h.doc_id").alias("head_doc"),
+                    ((F.col("doc_id") == F.col("h.doc_id")) & (F.col("pack") == F.col("h.pack"))).alias("is_head"), "heads"))
 
 
 def drop_copies(profile: DataFrame, at_least: int) -> DataFrame:

@@ -247,7 +247,7 @@ def check_repeats(df, rows, op, plain, n):
 def test_repeated_words(awkward, empty, small):
     from rootcause.llm.fm_dedup import KIND, repeated_words
     check_repeats(awkward, awkward_texts(), repeated_words, brute.repeated_words, 50)
-    for tight in (replace(KIND, chunk_units=2000, anchor_runs=1), replace(KIND, chunk_units=20, anchor_runs=3)):
+    for tight in (replace(KIND, chunk_units=2000, anchor_runs=1), replace(KIND, chunk_units=20, anchor_runs=3, hot_runs=3)):
         check_repeats(awkward, awkward_texts(), lambda d: repeated_words(d, tight), brute.repeated_words, 50)
     check_repeats(*small, repeated_words, brute.repeated_words, 50)
     assert repeated_words(empty).count() == 0
@@ -256,7 +256,7 @@ def test_repeated_words(awkward, empty, small):
 def test_repeated_bytes(awkward, empty, small):
     from rootcause.llm.suffix_dedup import KIND, repeated_bytes
     check_repeats(awkward, awkward_texts(), repeated_bytes, brute.repeated_bytes, 100)
-    for tight in (replace(KIND, chunk_units=2000, anchor_runs=1), replace(KIND, chunk_units=40, anchor_runs=3)):
+    for tight in (replace(KIND, chunk_units=2000, anchor_runs=1), replace(KIND, chunk_units=40, anchor_runs=3, hot_runs=3)):
         check_repeats(awkward, awkward_texts(), lambda d: repeated_bytes(d, tight), brute.repeated_bytes, 100)
     check_repeats(*small, repeated_bytes, brute.repeated_bytes, 100)
     assert repeated_bytes(empty).count() == 0
