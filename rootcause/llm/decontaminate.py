@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rootcause.llm.tables import map_batches
+
 WINDOW = 10
 SHARD_BYTES = 2 << 20
 
@@ -205,7 +207,7 @@ def match_items(docs: DataFrame, items: DataFrame, n: int = WINDOW, shard_bytes:
     """
     docs = docs.select("doc_id", "text")
     shards = _shards(items, n, shard_bytes)
-    parts = [docs.mapInArrow(_match(s), _MATCHES) for s in shards]
+    parts = [docs.transform(map_batches, _match(s), _MATCHES) for s in shards]
     if len(parts) == 1:
         return parts[0]
     whole = parts[0]
@@ -288,7 +290,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = WINDOW, max_covera
     share of hit words is then judged by shard.
     """
     for shard in _shards(items, n, shard_bytes):
-        docs = docs.mapInArrow(_clean([shard], docs.columns, max_coverage), docs.schema)
+        docs = docs.transform(map_batches, _clean([shard], docs.columns, max_coverage), docs.schema)
     return docs
 
 

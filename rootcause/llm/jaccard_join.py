@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootcause.llm import textblocks as T
-from rootcause.llm.tables import connected_components, stage_table, with_ids
+from rootcause.llm.tables import connected_components, map_batches, stage_table, with_ids
 
 ORDER_BITS = 20
 CHUNKS = 64
@@ -191,10 +191,10 @@ def _can_reach(percent: int, size_a: str, size_b: str, place_a: str, place_b: st
 def _links(pairs: DataFrame, docs: DataFrame, n: int, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) that verify."""
     sets = stage_table(with_ids(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
-                       .mapInArrow(_set_rows(n), "id long, grams binary"), f"{name}-sets")
+                       .transform(map_batches, _set_rows(n), "id long, grams binary"), f"{name}-sets")
     full = (pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("grams").alias("grams_b")), "b"))
-    return stage_table(full.mapInArrow(_verify(percent), "a long, b long"), f"{name}-links")
+    return stage_table(full.transform(map_batches, _verify(percent), "a long, b long"), f"{name}-links")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -209,10 +209,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    profile = stage_table(docs.mapInArrow(_profile(n), "doc_id long, n_shingles long, digest string, parts array<int>, chunk int, counts binary"),
+    profile = stage_table(docs.transform(map_batches, _profile(n), "doc_id long, n_shingles long, digest string, parts array<int>, chunk int, counts binary"),
                           "shingles")
     chunks = (profile.where("chunk IS NOT NULL").select("chunk", "counts")
-              .repartition(CHUNKS, "chunk").mapInArrow(_add_counts, "chunk int, counts binary").collect())
+              .repartition(CHUNKS, "chunk").transform(map_batches, _add_counts, "chunk int, counts binary").collect())
     counts = np.zeros(1 << ORDER_BITS, np.uint64)
     for r in chunks:
         counts.reshape(CHUNKS, -1)[r["chunk"]] = np.frombuffer(bytes(r["counts"]), np.uint64)
@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     # Most prefix grams are in one class. The counts alone are shuffled to find
     # the others; the prefixes are made again to be filtered by them, which is
     # cheaper than to keep them.
-    prefixes = firsts.mapInArrow(_prefixes(n, percent, order), "gram long, id long, size int, place int")
+    prefixes = firsts.transform(map_batches, _prefixes(n, percent, order), "gram long, id long, size int, place int")
     shared = stage_table(prefixes.groupBy("gram").count().where("count > 1").select("gram"), "shared-grams")
     grams = stage_table(with_ids(prefixes, shared, key="gram"), "shared")
 

@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rootcause.llm.tables import stage_table
+from rootcause.llm.tables import map_batches, stage_table
 
 CAPACITY = 2048
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 #: ASCII punctuation without the apostrophe, which can begin a contraction.
 _TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _TOGETHER = 400
@@ -273,7 +273,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pieces = stage_table(docs.mapInArrow(_pieces(tokenizer_path, capacity, end_id), _PIECES), "pieces")
+    pieces = stage_table(docs.transform(map_batches, _pieces(tokenizer_path, capacity, end_id), _PIECES), "pieces")
     by_length = pieces.groupBy("length").count().collect()  # at most `capacity` rows
     counts = np.zeros(capacity + 1, np.int64)
     for r in by_length:
@@ -287,4 +287,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start")
     ranked = (pieces.withColumn("rank", F.row_number().over(within) - 1).join(ahead, ["length", "bucket"])
               .withColumn("rank", F.col("rank") + F.col("ahead")))
-    return ranked.mapInArrow(_place(places), _PIECES + ", sequence_id long, offset long")
+    return ranked.transform(map_batches, _place(places), _PIECES + ", sequence_id long, offset long")

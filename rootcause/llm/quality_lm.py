@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rootcause.llm.tables import stage_table, with_ids
+from rootcause.llm.tables import map_batches, stage_table, with_ids
 from rootcause.llm.textblocks import mix
 
 ORDER = 4
@@ -121,7 +121,7 @@ def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
     """
     # Base-level counts cover all trusted text; lower orders count distinct
     # continuations.
-    counts = {order: stage_table(trusted.mapInArrow(_count_grams(order), "gram string, count long")
+    counts = {order: stage_table(trusted.transform(map_batches, _count_grams(order), "gram string, count long")
                                  .groupBy("gram").agg(F.sum("count").alias("count")), "grams")}
     for k in range(order - 1, 0, -1):
         counts[k] = stage_table(counts[k + 1].groupBy(F.substring("gram", 2, k).alias("gram"))
@@ -281,7 +281,7 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_entries:
             mine = ~np.isnan(logb) & ((char_shard(last, shards) == s) if shards > 1 else True)
             weights[k] = keys[mine], logb[mine]
         sent = spark.sparkContext.broadcast((order, unseen, grams, weights))
-        parts.append(docs.mapInArrow(_score(sent, uuid.uuid4().hex, s, shards),
+        parts.append(docs.transform(map_batches, _score(sent, uuid.uuid4().hex, s, shards),
                                      "doc_id long, lang string, digest string, n_chars long, log_sum double"))
     whole = parts[0]
     for p in parts[1:]:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rootcause.llm import textblocks as T
-from rootcause.llm.tables import stage_table, with_ids
+from rootcause.llm.tables import map_batches, stage_table, with_ids
 
 U64 = np.uint64
 _LOW = U64((1 << 24) - 1)
@@ -305,7 +305,7 @@ def removed_intervals(docs: DataFrame, kind: Kind, unit_type) -> DataFrame:
 
     ``docs`` has doc_id and text, whole copies already taken out.
     """
-    runs = docs.where("doc_id IS NOT NULL").mapInArrow(
+    runs = docs.where("doc_id IS NOT NULL").transform(map_batches, 
         _emit_runs(kind), "anchor long, digest long, doc_id long, pack long, more array<long>")
     # The counts are aggregated before their shuffle; hot anchors are at most
     # one for every `hot_runs` rows.
@@ -321,9 +321,9 @@ def removed_intervals(docs: DataFrame, kind: Kind, unit_type) -> DataFrame:
     heads = held.where("is_head").select("anchor", "digest", "doc_id", "pack", dealt.alias("dealt")).distinct()
     by_doc = heads.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "dealt", "digest", "pack")).alias("runs"))
     texts = (with_ids(docs, heads).join(by_doc, "doc_id")
-             .mapInArrow(_emit_texts(kind), "anchor long, digest long, pack long, salt long, from int, windows int, doc_id long, units binary"))
+             .transform(map_batches, _emit_texts(kind), "anchor long, digest long, pack long, salt long, from int, windows int, doc_id long, units binary"))
     decided = (texts.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
-               .mapInArrow(_decide(kind, unit_type), _DECIDED))
+               .transform(map_batches, _decide(kind, unit_type), _DECIDED))
     decided = stage_table(decided, "decided")
 
     settled = decided.where("window_hash IS NULL").select("anchor", "digest", "doc_id", "pack", "first", "last")
@@ -414,10 +414,10 @@ def settle(docs: DataFrame, kind: Kind, unit_type, profile_fn, cut_fn, schema: s
     """
     docs = docs.select("doc_id", "text")
     cols = [c.split()[0] for c in schema.split(", ")]
-    profile = stage_table(docs.mapInArrow(profile_fn, f"size long, digest string, {schema}"), "profile")
+    profile = stage_table(docs.transform(map_batches, profile_fn, f"size long, digest string, {schema}"), "profile")
     copies = stage_table(drop_copies(profile, kind.window), "copies")
     intervals = stage_table(removed_intervals(with_ids(docs, copies, "left_anti"), kind, unit_type), "intervals")
-    cut = with_ids(docs, intervals).join(intervals, "doc_id").mapInArrow(cut_fn, schema)
+    cut = with_ids(docs, intervals).join(intervals, "doc_id").transform(map_batches, cut_fn, schema)
     rest = profile.join(intervals.select("doc_id"), "doc_id", "left_anti").join(
         copies.distinct().withColumn("copy", F.lit(True)), "doc_id", "left")
     return rest, cut.select(cols)

@@ -2,28 +2,48 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootcause.session import scratch_dir
 
 
-#: Rows that Spark hands to Python at a time while a stage table is written:
-#: rows with whole texts make its default of 10000 too much for a small executor.
+#: Rows that Spark hands to Python at a time: rows with whole texts make its
+#: default of 10000 too much for a small executor.
 BATCH_ROWS = 1024
 _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-@contextmanager
-def small_batches(spark: SparkSession):
-    before = spark.conf.get(_BATCH_CONF)
-    spark.conf.set(_BATCH_CONF, str(BATCH_ROWS if int(before) <= 0 else min(BATCH_ROWS, int(before))))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH_CONF, before)
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches to BATCH_ROWS. The setting is read
+    when a plan runs, so it stays for the frames that are returned unread."""
+    before = int(spark.conf.get(_BATCH_CONF))
+    if before <= 0 or before > BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow(fn, schema)`` in small batches, with what the worker no
+    longer needs given back at the end of a partition: workers live on."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            _give_back()
+    return df.mapInArrow(run, schema)
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
@@ -33,8 +53,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     not the work that led to the table.
     """
     path = scratch_dir(df.sparkSession, name)
-    with small_batches(df.sparkSession):
-        df.write.parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rootcause.llm.tables import stage_table
+from rootcause.llm.tables import map_batches, stage_table
 
 CHUNK_BYTES = 1 << 16
 OVERLAP_BYTES = 1 << 11
@@ -184,7 +184,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, chunk_b
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = F.octet_length("text")
-    out = docs.where(size <= chunk_bytes).mapInArrow(_whole(tokenizer_path), "doc_id long, n_bytes long, n_tokens long")
+    out = docs.where(size <= chunk_bytes).transform(map_batches, _whole(tokenizer_path), "doc_id long, n_bytes long, n_tokens long")
     left = docs.where(size > chunk_bytes)
     chunk, overlap = chunk_bytes, overlap_bytes
     while True:
@@ -195,7 +195,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, chunk_b
                         F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk"))
                 .select("doc_id", "n_bytes", "chunk", (F.col("chunk").cast("long") * step).alias("base"),
                         F.substring("text", F.col("chunk") * step + 1, F.lit(chunk)).alias("piece")))
-        counted = (rows.repartition("doc_id", "chunk").mapInArrow(_encode_chunks(tokenizer_path, overlap), _CHUNK)
+        counted = (rows.repartition("doc_id", "chunk").transform(map_batches, _encode_chunks(tokenizer_path, overlap), _CHUNK)
                    .groupBy("doc_id").applyInPandas(_splice, "doc_id long, n_bytes long, n_tokens long"))
         counted = stage_table(counted, "token-splices")
         out = out.union(counted.where("n_tokens IS NOT NULL"))

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rootcause.llm.tables import connected_components, stage_table
+from rootcause.llm.tables import connected_components, map_batches, stage_table
 
 PASSES, NEIGHBOURS, BLOCK = 10, 64, 4096
 #: Vectors on either side of a block of comparisons within a component.
@@ -180,7 +180,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, passes: i
     Other columns are ignored.
     """
     ids = vectors.select("vec_id", "embedding")
-    unit = stage_table(ids.where("vec_id IS NOT NULL").mapInArrow(_normalise, "vec_id long, unit binary")
+    unit = stage_table(ids.where("vec_id IS NOT NULL").transform(map_batches, _normalise, "vec_id long, unit binary")
                        .withColumn("digest", F.md5("unit")), "units")
     classes = unit.groupBy("digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("rows"))
     classes = stage_table(classes, "classes")
@@ -188,7 +188,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, passes: i
                          .select(F.col("vec_id").alias("id"), "rows", "unit").dropDuplicates(["id", "unit"]), "firsts")
 
     order = ["pass", "dim", "key", "tie", "id"]
-    ranked = (firsts.mapInArrow(_keys(passes), "pass int, dim int, key long, id long")
+    ranked = (firsts.transform(map_batches, _keys(passes), "pass int, dim int, key long, id long")
               .withColumn("tie", F.xxhash64("id", "pass")).orderBy(*order)
               .withColumn("at", F.monotonically_increasing_id()))
     ranked = stage_table(ranked.withColumn("part", F.shiftright("at", 33))
@@ -203,12 +203,12 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, passes: i
                   .otherwise(F.array(F.floor(F.col("rank") / block)))))
               .select("pass", "dim", "block", "rank", "id"))
     edges = (blocks.join(firsts.select("id", "unit"), "id").repartition("pass", "dim", "block")
-             .sortWithinPartitions("pass", "dim", "block", "rank").mapInArrow(_neighbours(threshold, neighbours), "a long, b long"))
+             .sortWithinPartitions("pass", "dim", "block", "rank").transform(map_batches, _neighbours(threshold, neighbours), "a long, b long"))
     component = stage_table(connected_components(edges, "vector-components"), "labels")
 
     members = component.withColumnRenamed("node", "id").join(firsts, "id")
     pivot = firsts.select(F.col("id").alias("component"), F.col("unit").alias("pivot"))
-    members = stage_table(members.join(pivot, "component").mapInArrow(
+    members = stage_table(members.join(pivot, "component").transform(map_batches, 
         _near_pivot(threshold), "component long, id long, rows long, inner boolean, unit binary"), "members")
     sizes = (members.groupBy("component").agg(F.sum(F.when(F.col("inner"), F.col("rows")).otherwise(0)).alias("inner_rows"),
                                               F.count("*").alias("size"),
@@ -222,7 +222,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, passes: i
     all_side = (sized.withColumn("block", F.pmod(own, n_all).cast("int"))
                 .withColumn("outer_block", F.explode(F.sequence(F.lit(0), n_outer - 1))).withColumn("side", F.lit(1)))
     counted = (outer_side.select(columns).union(all_side.select(columns)).repartition("component", "outer_block", "block")
-               .sortWithinPartitions("component", "outer_block", "block").mapInArrow(_count_links(threshold), "id long, links long")
+               .sortWithinPartitions("component", "outer_block", "block").transform(map_batches, _count_links(threshold), "id long, links long")
                .groupBy("id").agg(F.sum("links").alias("links")))
     links = (members.select("id", "component", "inner", "rows").join(sizes.select("component", "inner_rows"), "component")
              .join(counted, "id", "left")
