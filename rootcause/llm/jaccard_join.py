@@ -8,8 +8,8 @@ keeps the prefix filter exact. Documents with equal n-gram sets form one
 class. Two classes that reach the threshold share a gram of their prefixes.
 
 Not all pairs that share one are made. First every class of a prefix gram is
-paired with the gram's class that has the fewest rarer grams, and with a random
-one, which is at most two pairs a class and ties most groups of copies together. Only grams whose
+paired with the gram's class that has the fewest rarer grams, which is one pair a
+class and ties most groups of copies together. Only grams whose
 classes are then still in several components make the pairs that could still
 join them: each class outside the gram's commonest component with those of
 other components. A link between two classes of one component changes nothing
@@ -234,16 +234,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     grams = stage_table(with_ids(prefixes, shared, key="gram"), "shared")
 
     # Round 1: pairs with the gram's class that has the fewest rarer grams, which
-    # is near the middle of a group of copies, and with a random one.
-    member = ["id", "size", "place"]
-    ends = grams.groupBy("gram").agg(F.min(F.struct(F.col("place").alias("p"), F.xxhash64("id").alias("k"), *member)).alias("lo"),
-                                     F.min(F.struct(F.xxhash64("id").alias("k"), *member)).alias("hi"))
-    ends = ends.select("gram", *(F.struct(*(F.col(f"{e}.{c}") for c in member)).alias(e) for e in ("lo", "hi")))
-    ends = ends.select("gram", F.explode(F.array("lo", "hi")).alias("hub"))
-    first = (grams.join(ends, "gram").select("id", "size", "place", F.col("hub.id").alias("id2"),
+    # is near the middle of a group of copies.
+    hubs = grams.groupBy("gram").agg(F.min(F.struct(F.col("place").alias("p"), F.xxhash64("id").alias("k"), "id", "size", "place"))
+                                     .alias("hub"))
+    parts = profile.where("n_shingles > 0").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "parts")
+    first = (grams.join(hubs, "gram").select("id", "size", "place", F.col("hub.id").alias("id2"),
                                              F.col("hub.size").alias("size2"), F.col("hub.place").alias("place2"))
              .where("id != id2").where(_can_reach(percent, "size", "size2", "place", "place2"))
-             .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
+             .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+             .join(parts.toDF("a", "size", "parts"), "a").join(parts.toDF("b", "size2", "parts2"), "b")
+             .where(_parts_allow(percent, "size", "size2", "parts", "parts2")).select("a", "b"))
     first = stage_table(first, "pairs")
     links = _links(first, docs, n, percent, "first")
     component = stage_table(connected_components(links), "labels")
@@ -253,8 +253,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         "component", F.coalesce("component", "id"))
     open_grams = (labelled.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                   .where("lo < hi").select("gram"))
-    parts = profile.where("n_shingles > 0").select(F.col("doc_id").alias("id"), "parts")
-    labelled = stage_table(labelled.join(open_grams, "gram").join(parts, "id"), "open")
+    labelled = stage_table(labelled.join(open_grams, "gram").join(parts.select("id", "parts"), "id"), "open")
     common = (labelled.groupBy("gram", "component").count().groupBy("gram")
               .agg(F.max(F.struct("count", "component")).alias("m")).select("gram", F.col("m.component").alias("common")))
     minor = (labelled.join(common, "gram").where("component != common")
