@@ -11,13 +11,22 @@ scored by exactly one shard and the partial sums are added by document.
 A document goes when its perplexity is above the fence of its language: the
 median of held-out trusted documents, plus ``reach`` times the distance from
 there to their 95 % quantile, in logarithms. The held-out tenth is in no count.
+
+Documents labelled toxic are in no count and no fence. Toxic text is mostly
+ordinary text with a few telling words, which a perplexity over the whole
+document averages away; it is told by words and pairs of words that documents
+labelled toxic hold far more often than trusted ones. A document's toxicity is
+the sum of their log odds, and it is toxic above the 99 % quantile of held-out
+trusted documents.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +47,13 @@ PRIOR_CHARS = 60
 REACH = 3.0
 HELD_OUT = 10
 BLOCK_CHARS = 1 << 20
+#: Documents labelled toxic that must hold a word for it to count, and that
+#: there must be at all; how much more often they must hold it than trusted ones.
+TOXIC_DOCS, TOXIC_LEAST, TOXIC_RATIO = 5, 20, 20.0
+TOXIC_QUANTILE = 0.99
 _START = "\x02"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_WORD = re.compile(r"[^\W_]+")
 
 
 def _codes(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,7 +248,50 @@ def _shard_of(char, shards: int):
 _SCORERS: dict[str, Scorer] = {}
 
 
-def _score(model, key: str, shard: int, shards: int):
+def _word_grams(text: str) -> set[str]:
+    found = _WORD.findall(text.lower())
+    return {*found, *map(" ".join, zip(found, found[1:]))}
+
+
+def _document_counts(known=None):
+    """Documents of each batch that hold each word or pair (of ``known``)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = Counter()
+            for t in b["text"].to_pylist():
+                grams = _word_grams(t or "")
+                held.update(grams if known is None else grams & known.value)
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())],
+                                             ["gram", "docs"])
+    return run
+
+
+def toxic_words(toxic: DataFrame, trusted: DataFrame) -> dict[str, float]:
+    """The log odds of words and pairs of words that tell toxic documents.
+
+    Only those that TOXIC_DOCS toxic documents hold are looked for in the
+    trusted ones.
+    """
+    n_toxic, n_trusted = toxic.count(), trusted.count()
+    if n_toxic < TOXIC_LEAST:
+        return {}
+    schema, spark = "gram string, docs long", toxic.sparkSession
+
+    def counts(docs: DataFrame, known=None) -> DataFrame:
+        return docs.transform(map_batches, _document_counts(known), schema).groupBy("gram").agg(F.sum("docs").alias("docs"))
+    found = counts(toxic).where(F.col("docs") >= TOXIC_DOCS).toArrow()
+    held = dict(zip(found["gram"].to_pylist(), found["docs"].to_pylist()))
+    found = counts(trusted, spark.sparkContext.broadcast(set(held))).toArrow()
+    clean = dict(zip(found["gram"].to_pylist(), found["docs"].to_pylist()))
+    odds = {g: math.log((n + 0.5) / (n_toxic + 1) * (n_trusted + 1) / (clean.get(g, 0) + 0.5)) for g, n in held.items()}
+    return {g: w for g, w in odds.items() if w >= math.log(TOXIC_RATIO)}
+
+
+def _toxicity(texts: list[str], weights: dict[str, float]) -> list[float]:
+    return [math.fsum(map(weights.__getitem__, _word_grams(t) & weights.keys())) for t in texts] if weights else [0.0] * len(texts)
+
+
+def _score(model, key: str, shard: int, shards: int, toxic):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _SCORERS:
             _SCORERS.clear()
@@ -246,17 +303,22 @@ def _score(model, key: str, shard: int, shards: int):
                 part = texts[i:j]
                 # Only a model in several shards needs to bring rows together.
                 digest = [hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in part] if shards > 1 else [""] * (j - i)
+                weights = toxic.value if shard == 0 else {}  # the first shard's pass tells it
                 yield pa.RecordBatch.from_arrays(
                     [b["doc_id"].slice(i, j - i), b["lang"].slice(i, j - i), pa.array(digest, pa.string()),
-                     pa.array([len(t) for t in part], pa.int64()), pa.array(scorer.log_sums(part, shard, shards))],
-                    ["doc_id", "lang", "digest", "n_chars", "log_sum"])
+                     pa.array([len(t) for t in part], pa.int64()), pa.array(scorer.log_sums(part, shard, shards)),
+                     pa.array(_toxicity(part, weights), pa.float64())],
+                    ["doc_id", "lang", "digest", "n_chars", "log_sum", "toxicity"])
     return run
 
 
-def score(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """doc_id, lang, n_chars and log_sum (of all its characters' log
-    probabilities) of every row of ``docs``."""
+def score(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_entries: int = SHARD_ENTRIES,
+          toxic: dict[str, float] | None = None) -> DataFrame:
+    """doc_id, lang, n_chars, log_sum (of all its characters' log
+    probabilities) and toxicity (the sum of the weights in ``toxic`` of words
+    and pairs it holds) of every row of ``docs``."""
     spark = docs.sparkSession
+    telling = spark.sparkContext.broadcast(toxic or {})
     docs = docs.select("doc_id", "lang", "text")
     entries = model.count()
     shards = max(1, -(-entries // shard_entries))
@@ -281,37 +343,45 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_entries:
             mine = ~np.isnan(logb) & ((char_shard(last, shards) == s) if shards > 1 else True)
             weights[k] = keys[mine], logb[mine]
         sent = spark.sparkContext.broadcast((order, unseen, grams, weights))
-        parts.append(docs.transform(map_batches, _score(sent, uuid.uuid4().hex, s, shards),
-                                     "doc_id long, lang string, digest string, n_chars long, log_sum double"))
+        parts.append(docs.transform(map_batches, _score(sent, uuid.uuid4().hex, s, shards, telling),
+                                     "doc_id long, lang string, digest string, n_chars long, log_sum double, toxicity double"))
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.union(p)
     if shards > 1:
         whole = (whole.groupBy("doc_id", "lang", "digest", "n_chars")
-                 .agg(F.sum("log_sum").alias("log_sum"), (F.count("*") / shards).cast("int").alias("rows"))
+                 .agg(F.sum("log_sum").alias("log_sum"), F.max("toxicity").alias("toxicity"), (F.count("*") / shards).cast("int").alias("rows"))
                  .withColumn("log_sum", F.col("log_sum") / F.col("rows"))
                  .withColumn("rows", F.explode(F.sequence(F.lit(1), "rows"))))
-    return whole.select("doc_id", "lang", "n_chars", "log_sum")
+    return whole.select("doc_id", "lang", "n_chars", "log_sum", "toxicity")
 
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, reach: float = REACH,
              prior_chars: int = PRIOR_CHARS, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """doc_id, lang, n_chars, perplexity, threshold and kept of every row of ``docs``.
+    """doc_id, lang, n_chars, perplexity, threshold, kept, toxicity and toxic of every row of ``docs``.
 
-    ``labels`` has doc_id and quality; documents of quality 1 are trusted. A
-    null or empty text has no perplexity and is kept, as are all documents when
+    ``labels`` has doc_id, quality and, where known, toxic; documents of
+    quality 1 that are not toxic are trusted. ``kept`` judges the perplexity
+    alone, ``toxic`` the words; nothing is toxic where fewer than TOXIC_LEAST
+    documents outside the held-out tenth are labelled so. A null or empty text has no perplexity and is kept, as are all documents when
     there is no trusted text. A null language is a language of its own; one
     with fewer than 20 held-out trusted documents has the fence of all
     languages. Rows that repeat a doc_id are scored each on its own; other
     columns are ignored.
     """
-    trusted = labels.where("quality = 1").select("doc_id").distinct()
+    harm = F.col("toxic") == 1 if "toxic" in labels.columns else F.lit(False)
+    told = labels.groupBy("doc_id").agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"),
+                                        F.max(F.coalesce(harm, F.lit(False))).alias("harm"))
+    trusted = told.where("good AND NOT harm").select("doc_id")
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
-    model = stage_table(train(with_ids(docs, trusted.where(~fold)).select("text"), order), "language-model")
-    scored = stage_table(score(docs, model, order, shard_entries)
+    counted = with_ids(docs, trusted.where(~fold)).select("text")
+    model = stage_table(train(counted, order), "language-model")
+    toxic = toxic_words(with_ids(docs, told.where("harm").where(~fold)).select("text"), counted)
+    scored = stage_table(score(docs, model, order, shard_entries, toxic)
                          .withColumn("loss", F.when(F.col("n_chars") > 0, -F.col("log_sum") / F.nullif("n_chars", F.lit(0)))), "scores")
-    held = (scored.where("n_chars > 0").join(trusted.where(fold), "doc_id", "left_semi")
-            .withColumn("lang", F.coalesce("lang", F.lit(""))).select("lang", "loss"))
+    held = scored.where("n_chars > 0").join(trusted.where(fold), "doc_id", "left_semi")
+    limit = held.agg(F.percentile_approx("toxicity", TOXIC_QUANTILE)).first()[0] or 0.0
+    held = (held.withColumn("lang", F.coalesce("lang", F.lit(""))).select("lang", "loss"))
     own = fences(held, reach).where("n >= 20").select("lang", "median", "fence")
     whole = fences(held.withColumn("lang", F.lit("")), reach).select(
         F.col("median").alias("all_median"), F.col("fence").alias("all_fence"))
@@ -323,7 +393,8 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, reach: floa
     return (scored.withColumn("key", F.coalesce("lang", F.lit("")))
             .join(F.broadcast(own.withColumnRenamed("lang", "key")), "key", "left")  # a row a language
             .select("doc_id", "lang", "n_chars", F.exp("loss").alias("perplexity"), F.exp(fence).alias("threshold"),
-                    F.coalesce(shrunk <= fence, F.lit(True)).alias("kept")))
+                    F.coalesce(shrunk <= fence, F.lit(True)).alias("kept"),
+                    "toxicity", (F.col("toxicity") > limit).alias("toxic")))
 
 
 def fences(held: DataFrame, reach: float) -> DataFrame:
@@ -342,6 +413,6 @@ def fences(held: DataFrame, reach: float) -> DataFrame:
 
 
 def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those that :func:`classify` rejects; columns stay as they are."""
-    rejected = classify(docs, labels).where("NOT kept").select("doc_id")
+    """``docs`` without those that :func:`classify` rejects or finds toxic; columns stay as they are."""
+    rejected = classify(docs, labels).where("NOT kept OR toxic").select("doc_id")
     return with_ids(docs, stage_table(rejected, "rejected"), "left_anti")

@@ -1,0 +1,25 @@
+"""Rows and findings that a quick version of an operator would lose."""
+
+import random
+
+import numpy as np
+import pytest
+
+from tests.conftest import SF_SMALL
+from tests.llm.test_corpus_operators import awkward_texts, frame, key, prose, same
+
+
+def test_toxic_documents_are_told(spark):
+    from rootcause.llm.quality_lm import HELD_OUT, classify, trusted_documents
+    larger = SF_SMALL.replace("0.001", "0.1")
+    docs, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.selectExpr("*", f"pmod(xxhash64(doc_id), {HELD_OUT}) = 0 AS held")
+    rows = classify(docs, labels).join(held.withColumnRenamed("toxic", "label"), "doc_id").collect()
+    harm = [r["toxic"] for r in rows if r["held"] and r["label"] == 1]
+    clean = [r["toxic"] for r in rows if r["held"] and r["label"] == 0 and r["quality"] == 1]
+    print(f"held out: {sum(harm)} of {len(harm)} toxic and {sum(clean)} of {len(clean)} clean documents are told toxic")
+    print("all:", [(q, t, sum(r["toxic"] for r in g), sum(not r["kept"] for r in g), len(g)) for q in (0, 1) for t in (0, 1)
+                   for g in [[r for r in rows if (r["quality"], r["label"]) == (q, t)]]])
+    assert len(harm) >= 20 and sum(harm) >= 0.9 * len(harm) and sum(clean) <= 0.02 * len(clean)
+    left = {r["doc_id"] for r in trusted_documents(docs, labels).select("doc_id").collect()}
+    assert not left & {r["doc_id"] for r in rows if r["toxic"] or not r["kept"]}
