@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from rootcause.llm.tables import connected_components, map_batches, stage_table
 
-PASSES, NEIGHBOURS, BLOCK = 10, 64, 4096
+#: PASSES at least; more where RECALL of the pairs at the threshold needs them.
+PASSES, NEIGHBOURS, BLOCK, RECALL = 10, 64, 4096, 0.99
 #: Vectors on either side of a block of comparisons within a component.
 SIDE = 1024
 
@@ -169,7 +170,19 @@ def _count_links(threshold: float):
     return run
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, passes: int = PASSES,
+def passes_for(n: int, threshold: float, neighbours: int, recall: float = RECALL) -> int:
+    """Passes in which a pair at the threshold is met with probability ``recall``.
+
+    One bit is the same for both with probability 1 - angle / pi. A pass
+    compares two vectors that share their first log2(n / neighbours) bits: so
+    many leave about ``neighbours`` of n evenly spread vectors together.
+    """
+    bits = math.log2(max(1.0, n / neighbours))
+    met = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return max(PASSES, math.ceil(math.log(1 - recall) / math.log1p(-met))) if met < 1 else PASSES
+
+
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, passes: int | None = None,
                            neighbours: int = NEIGHBOURS, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors``.
 
@@ -177,7 +190,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, passes: i
     and rows without vec_id, link with nothing; so do vectors of different
     dimension. Equal vectors are one class, whose rows are linked to each
     other. Rows that repeat a vec_id share its component and are counted each.
-    Other columns are ignored.
+    Other columns are ignored. ``passes`` follow the number of different
+    vectors unless they are given.
     """
     ids = vectors.select("vec_id", "embedding")
     unit = stage_table(ids.where("vec_id IS NOT NULL").transform(map_batches, _normalise, "vec_id long, unit binary")
@@ -187,6 +201,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, passes: i
     firsts = stage_table(unit.join(classes.withColumnRenamed("id", "vec_id"), ["digest", "vec_id"])
                          .select(F.col("vec_id").alias("id"), "rows", "unit").dropDuplicates(["id", "unit"]), "firsts")
 
+    if passes is None:
+        passes = passes_for(firsts.count(), threshold, neighbours)
     order = ["pass", "dim", "key", "tie", "id"]
     ranked = (firsts.transform(map_batches, _keys(passes), "pass int, dim int, key long, id long")
               .withColumn("tie", F.xxhash64("id", "pass")).orderBy(*order)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tests.conftest import SF_SMALL
-from tests.llm.test_corpus_operators import awkward_texts, frame, key, prose, same
+from tests.llm.test_corpus_operators import frame, prose, same
 
 
 def test_toxic_documents_are_told(spark):
@@ -23,3 +23,24 @@ def test_toxic_documents_are_told(spark):
     assert len(harm) >= 20 and sum(harm) >= 0.9 * len(harm) and sum(clean) <= 0.02 * len(clean)
     left = {r["doc_id"] for r in trusted_documents(docs, labels).select("doc_id").collect()}
     assert not left & {r["doc_id"] for r in rows if r["toxic"] or not r["kept"]}
+
+
+def test_pairs_are_met_in_large_tables(spark):
+    from rootcause.llm.vector_neardup import near_duplicate_vectors, passes_for
+    assert passes_for(100, 0.9, 64) == passes_for(2000, 0.9, 64) == 10 < passes_for(20_000, 0.9, 64) < passes_for(10 ** 6, 0.9, 64)
+    recall, _ = planted_recall(spark, near_duplicate_vectors, 20_000)
+    assert recall >= 0.985
+
+
+def planted_recall(spark, op, n, cosine=0.905, dim=64):
+    """The share found of n / 2 pairs of random vectors at one cosine."""
+    rng = np.random.default_rng(9)
+    a = rng.standard_normal((n // 2, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal(a.shape)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = cosine * a + np.sqrt(1 - cosine ** 2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    import pandas as pd
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(2 * len(a)), "embedding": [*a, *b]})).repartition(8)
+    found = op(df).where(f"n_links = 1 AND component_id = vec_id % {len(a)}").count()
+    return found / (2 * len(a)), 2 * len(a)
