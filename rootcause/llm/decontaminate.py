@@ -17,8 +17,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from rootcause.llm.tables import map_batches
+from rootcause.llm.tables import map_batches, stage_table, with_ids
 
 WINDOW = 10
 SHARD_BYTES = 2 << 20
@@ -271,27 +272,65 @@ def clean_text(text: bytes | None, automata: list[ItemAutomaton], max_coverage:
         if first and len(hit) > max_coverage * len(words):
             return text, False
         first = False
-        out, at = [], 0
-        for s, e in spans:
-            start, end = found[s].start(), found[e - 1].end()
-            if start > at:
-                out.append(text[at:start])
-            at = max(at, end)
-        text = b"".join([*out, text[at:]])
+        text = _cut(text, found, spans)
     return text, True
 
 
+def _cut(text: bytes, found: list[re.Match], spans: list) -> bytes:
+    """The text without its words from first to past last of each sorted span."""
+    out, at = [], 0
+    for s, e in spans:
+        start, end = found[s].start(), found[e - 1].end()
+        if start > at:
+            out.append(text[at:start])
+        at = max(at, end)
+    return b"".join([*out, text[at:]])
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = WINDOW, max_coverage: float = 0.5,
                   shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` without the text of hit spans, and without documents of which
     more than ``max_coverage`` of the words are hit. Columns stay as they are.
 
-    Shards of the items are taken one after another when there are several; the
-    share of hit words is then judged by shard.
+    With several shards of the items, the spans of all are merged by row before
+    the share of hit words is judged and anything is cut; rows that were cut go
+    through all shards again until none is hit. The result is that of one shard.
     """
-    for shard in _shards(items, n, shard_bytes):
-        docs = docs.transform(map_batches, _clean([shard], docs.columns, max_coverage), docs.schema)
-    return docs
+    shards = _shards(items, n, shard_bytes)
+    if len(shards) == 1:
+        return docs.transform(map_batches, _clean(shards, docs.columns, max_coverage), docs.schema)
+    columns, schema = docs.columns, docs.schema
+    row = "row_" + uuid.uuid4().hex
+    left = stage_table(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
+    out, first = None, True
+    while True:
+        found = None
+        for s in shards:
+            part = left.select(F.col(row).alias("doc_id"), "text").transform(map_batches, _match(s), _MATCHES).where(F.size("spans") > 0)
+            found = part if found is None else found.union(part)
+        found = stage_table(found.groupBy(F.col("doc_id").alias(row))
+                            .agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
+                            .withColumn("spans", merge_spans("spans")), "spans")
+        clean = with_ids(left, found, "left_anti", row).select(columns)
+        out = clean if out is None else out.union(clean)
+        if first:
+            found, first = found.where(n_hit() <= max_coverage * F.col("n_words")), False
+        if found.isEmpty():
+            return out
+        hit = with_ids(left, found, "left_semi", row).join(found.select(row, "spans"), row)
+        left = stage_table(hit.transform(map_batches, _cut_rows([*columns, row]),
+                                         StructType([*schema.fields, StructField(row, LongType())])), "decontaminate")
+
+
+def _cut_rows(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for text, spans in zip(b["text"].cast(pa.large_binary()).to_pylist(), b["spans"].to_pylist()):
+                texts.append(_cut(text, list(_WORD.finditer(text.lower())), spans))
+            cut = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(b.schema.field("text").type)
+            yield pa.RecordBatch.from_arrays([cut if c == "text" else b[c] for c in names], names)
+    return run
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:

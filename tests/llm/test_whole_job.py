@@ -44,3 +44,23 @@ def planted_recall(spark, op, n, cosine=0.905, dim=64):
     df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(2 * len(a)), "embedding": [*a, *b]})).repartition(8)
     found = op(df).where(f"n_links = 1 AND component_id = vec_id % {len(a)}").count()
     return found / (2 * len(a)), 2 * len(a)
+
+
+@pytest.mark.parametrize("limit", [0.5, 0.8])
+def test_shards_of_items_clean_as_one(spark, limit):
+    from rootcause.llm.decontaminate import contamination_report, decontaminate
+    rng = random.Random(4)
+    passages = [prose(rng, 12, 5000) for _ in range(12)]
+    # Half covered by no single item, words brought together by a cut, null and repeated ids.
+    docs = [(1, " ".join(passages[:6]) + " " + prose(rng, 45, 5000)), (2, prose(rng, 200, 5000)), (None, passages[3] + " x y"),
+            (3, None), (4, "")]
+    for k, p in enumerate(passages):
+        w = p.split()
+        inside = passages[(k + 1) % 12]
+        docs.append((10 + k // 2, prose(rng, 60, 5000) + " " + " ".join([*w[:6], inside, *w[6:]]) + " " + prose(rng, 60, 5000)))
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    one = decontaminate(frame(spark, docs), items, max_coverage=limit).collect()
+    many = decontaminate(frame(spark, docs), items, max_coverage=limit, shard_bytes=150)
+    assert many.columns == frame(spark, docs).columns and contamination_report(many, items).where("contaminated").count() == 0
+    same(many, [tuple(r) for r in one])
+    assert {r["doc_id"] for r in one} >= {2, 3, 4, 10} and (1 in {r["doc_id"] for r in one}) == (limit == 0.8)
