@@ -117,7 +117,7 @@ def _whole(path: str):
 
 #: Of a chunk: its tokens, and the boundaries in the overlaps with the chunk
 #: before and after it, each as (byte in the document, tokens before it).
-_CHUNK = "doc_id long, chunk int, n_bytes long, tokens long, head array<array<long>>, tail array<array<long>>"
+_CHUNK = "row long, chunk int, n_bytes long, tokens long, head array<array<long>>, tail array<array<long>>"
 
 
 def _encode_chunks(path: str, overlap: int):
@@ -126,7 +126,7 @@ def _encode_chunks(path: str, overlap: int):
         pairs = pa.list_(pa.list_(pa.int64()))
         for b in batches:
             for r in range(b.num_rows):
-                row = {k: b[k][r].as_py() for k in ("doc_id", "chunk", "base", "n_bytes", "piece")}
+                row = {k: b[k][r].as_py() for k in ("row", "chunk", "base", "n_bytes", "piece")}
                 text, base = row["piece"], row["base"]
                 # A chunk may begin or end inside a character: those bytes are
                 # within the margin that no splice uses.
@@ -140,10 +140,10 @@ def _encode_chunks(path: str, overlap: int):
                 head = [x for x in bounds if base and x[0] < base + overlap]
                 tail = [x for x in bounds if end < row["n_bytes"] and end - overlap <= x[0] <= end - MARGIN]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["doc_id"]], pa.int64()), pa.array([row["chunk"]], pa.int32()),
+                    [pa.array([row["row"]], pa.int64()), pa.array([row["chunk"]], pa.int32()),
                      pa.array([row["n_bytes"]], pa.int64()), pa.array([total], pa.int64()),
                      pa.array([head], pairs), pa.array([tail], pairs)],
-                    ["doc_id", "chunk", "n_bytes", "tokens", "head", "tail"])
+                    ["row", "chunk", "n_bytes", "tokens", "head", "tail"])
     return run
 
 
@@ -169,7 +169,7 @@ def _splice(chunks):
             begin = nxt[p]
         else:
             total += until - begin
-    return pd.DataFrame({"doc_id": [chunks["doc_id"].iloc[0]], "n_bytes": [chunks["n_bytes"].iloc[0]],
+    return pd.DataFrame({"row": [chunks["row"].iloc[0]], "n_bytes": [chunks["n_bytes"].iloc[0]],
                          "n_tokens": pd.array([total], dtype="Int64")})
 
 
@@ -177,30 +177,31 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, chunk_b
                  overlap_bytes: int = OVERLAP_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row of ``docs``.
 
-    A null text counts as empty (0 bytes, 0 tokens). doc_id must be unique
-    among documents longer than ``chunk_bytes``; shorter rows are counted each
-    on its own, repeated ids included. Other columns are ignored; an empty
-    table gives no rows.
+    A null text counts as empty (0 bytes, 0 tokens). Rows that repeat a doc_id,
+    or have none, are counted each on its own. Other columns are ignored; an
+    empty table gives no rows.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = F.octet_length("text")
     out = docs.where(size <= chunk_bytes).transform(map_batches, _whole(tokenizer_path), "doc_id long, n_bytes long, n_tokens long")
-    left = docs.where(size > chunk_bytes)
+    # Chunks are told apart by their row: written once, its number stays.
+    left = stage_table(docs.where(size > chunk_bytes).withColumn("row", F.monotonically_increasing_id()), "long-documents")
+    ids = left.select("row", "doc_id")
     chunk, overlap = chunk_bytes, overlap_bytes
     while True:
         step = chunk - overlap
         n_chunks = F.greatest(F.lit(1), F.ceil((F.col("n_bytes") - overlap) / F.lit(step))).cast("int")
         rows = (left.withColumn("n_bytes", F.octet_length("text").cast("long"))
-                .select("doc_id", "n_bytes", F.col("text").cast("binary").alias("text"),
+                .select("row", "n_bytes", F.col("text").cast("binary").alias("text"),
                         F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk"))
-                .select("doc_id", "n_bytes", "chunk", (F.col("chunk").cast("long") * step).alias("base"),
+                .select("row", "n_bytes", "chunk", (F.col("chunk").cast("long") * step).alias("base"),
                         F.substring("text", F.col("chunk") * step + 1, F.lit(chunk)).alias("piece")))
-        counted = (rows.repartition("doc_id", "chunk").transform(map_batches, _encode_chunks(tokenizer_path, overlap), _CHUNK)
-                   .groupBy("doc_id").applyInPandas(_splice, "doc_id long, n_bytes long, n_tokens long"))
+        counted = (rows.repartition("row", "chunk").transform(map_batches, _encode_chunks(tokenizer_path, overlap), _CHUNK)
+                   .groupBy("row").applyInPandas(_splice, "row long, n_bytes long, n_tokens long"))
         counted = stage_table(counted, "token-splices")
-        out = out.union(counted.where("n_tokens IS NOT NULL"))
-        failed = counted.where("n_tokens IS NULL").select("doc_id")
+        out = out.union(counted.where("n_tokens IS NOT NULL").join(ids, "row").select("doc_id", "n_bytes", "n_tokens"))
+        failed = counted.where("n_tokens IS NULL").select("row")
         if failed.isEmpty():
             return out.withColumn("over_limit", F.col("n_tokens") > limit)
-        left = left.join(failed, "doc_id", "left_semi")
+        left = left.join(failed, "row", "left_semi")
         chunk, overlap = chunk * 8, overlap * 8

@@ -64,3 +64,14 @@ def test_shards_of_items_clean_as_one(spark, limit):
     assert many.columns == frame(spark, docs).columns and contamination_report(many, items).where("contaminated").count() == 0
     same(many, [tuple(r) for r in one])
     assert {r["doc_id"] for r in one} >= {2, 3, 4, 10} and (1 in {r["doc_id"] for r in one}) == (limit == 0.8)
+
+
+def test_long_rows_that_share_an_id_are_counted_each(spark):
+    import public_tokenizers
+    from rootcause.llm.token_counts import token_counts
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, rng = Tokenizer.from_file(path), random.Random(6)
+    rows = [(7, prose(rng, 300)), (7, prose(rng, 450)), (None, prose(rng, 350)), (None, prose(rng, 500)), (None, "z" * 900), (8, "s")]
+    want = [(i, len(t.encode()), len(e), len(e) > 512) for i, t in rows for e in [tok.encode(t, add_special_tokens=False)]]
+    same(token_counts(frame(spark, rows), path, chunk_bytes=400, overlap_bytes=100), want)
