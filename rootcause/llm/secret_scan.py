@@ -2,7 +2,8 @@
 functions only.
 
 A candidate is a run of at least 12 letters, digits and ``_ + / -`` that holds
-a digit. Its features are its length, shares of character classes and
+a digit, any value that a credential word and ``:`` or ``=`` stand before, or a
+key in a provider's format. Its features are its length, shares of character classes and
 transitions between them, the share of its letters that dictionary words
 cover, signs of a path, and the words beside it. The dictionary are the words
 of the scanned corpus: a part of a candidate is a word when enough documents
@@ -25,8 +26,16 @@ from pyspark.sql import functions as F
 from rootcause.llm.licenses import LOWER, UPPER, lowered
 from rootcause.llm.tables import stage_table, with_ids
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]{0,128}[0-9])[A-Za-z0-9_+/\-]{12,}={0,2}"
-CREDENTIAL = r"(?i)(password|passwd|pwd|secret|token|credential|api.?key|access.?key|private.?key|auth)"
+_CREDENTIAL = "password|passwd|pwd|secret|token|credential|api.?key|access.?key|private.?key|auth"
+CREDENTIAL = rf"(?i)({_CREDENTIAL})"
+#: The cheap look back at the sign goes before the long one at the word.
+_ASSIGNED = (r"(?<=[:=]|[:=]\s|[:=][\"']|[:=]\s[\"'])"
+             rf"(?<=(?i:{_CREDENTIAL})\w{{0,16}}[\"']?\s{{0,2}}[:=]\s{{0,1}}[\"']?)"
+             r"(?![:=])[^\s\"']*[^\s\"'.,;:)\]}]")
+_PROVIDER = (r"(?<![A-Za-z0-9_+/\-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9_+/\-])|gh[pousr]_[A-Za-z0-9]{20,}|sk_live_[A-Za-z0-9]{10,}"
+             r"|xox[abps]-[A-Za-z0-9\-]{10,})")
+_RUN = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9])[A-Za-z0-9_+/\-]{12,}={0,2}"
+CANDIDATE = f"{_ASSIGNED}|{_PROVIDER}|{_RUN}"
 #: Words beside identifiers that are no secrets.
 HARMLESS = r"(?i)(commit|sha.?1|sha.?256|md5|checksum|digest|revision|uuid|guid|order|invoice|card|phone|version|file|path|example)"
 PLACEHOLDER = "<SECRET>"
@@ -42,7 +51,7 @@ CUT = 0.5
 
 FEATURES = ("length", "digit_share", "upper_share", "lower_share", "transitions", "transition_share", "distinct_share",
             "hex_only", "digits_only", "uuid_like", "vowel_share", "coverage", "slashes", "after_path", "assigned",
-            "quoted", "credential_near", "credential_next", "harmless_near", "provider")
+            "quoted", "symbols", "reference", "credential_near", "credential_next", "harmless_near", "provider")
 
 
 def find(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -103,6 +112,8 @@ def with_features(findings: DataFrame, corpus: DataFrame) -> DataFrame:
             .withColumn("after_path", _flag(F.col("before").rlike(r"[./~\\:]$") | F.col("after").rlike(r"^[./\\][A-Za-z]")))
             .withColumn("assigned", _flag(F.col("before").rlike(r"[:=]\s*[\"']?$")))
             .withColumn("quoted", _flag(F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")))
+            .withColumn("symbols", share("[A-Za-z0-9_+/-]"))
+            .withColumn("reference", _flag(F.col("value").rlike(r"^[$<{%\[(]|[()\[\]{}<>]|^[a-z_]+(\.[a-z_]+)+$")))
             .withColumn("credential_near", _flag(F.col("before").rlike(CREDENTIAL) | F.col("after").rlike(CREDENTIAL)))
             .withColumn("credential_next", _flag(F.col("before").rlike(CREDENTIAL + r"\w*[\"']?\s*(:|=|is)?\s*[\"']?$")))
             .withColumn("harmless_near", _flag(F.col("before").rlike(HARMLESS + r"\W*\w{0,12}\W*$")))
@@ -117,20 +128,46 @@ def labelled_bank(spark: SparkSession, rows: int = BANK_ROWS, start: int = 0) ->
     more = F.sha2(i.cast("string"), 256)
     mixed = F.regexp_replace(F.base64(F.unhex(more)), "[+/=]", "x")
     number = F.conv(F.substring(more, 1, 13), 16, 10)
-    pick = F.pmod(F.xxhash64(i, F.lit("kind")), F.lit(8))
+    pick = F.pmod(F.xxhash64(i, F.lit("kind")), F.lit(16))
     prose = F.element_at(F.array(*map(F.lit, ("this and ", "with the ", "of them. ", "y en la ", "und der "))),
                          (F.pmod(F.xxhash64(i), F.lit(5)) + 1).cast("int"))
     word = F.element_at(F.array(*map(F.lit, ("password=", "token = \"", "secret: ", "api_key=", "auth_token='", "passwd: "))),
                         (F.pmod(F.xxhash64(i, F.lit("w")), F.lit(6)) + 1).cast("int"))
     size = (12 + F.pmod(F.xxhash64(i, F.lit("n")), F.lit(28))).cast("int")
     key = F.concat(F.lit("AKIA"), F.substring(F.upper(mixed), 1, 16))
+    letters = F.translate(mixed, "0123456789", "ghjkmnpqrs")
+    unquoted = F.element_at(F.array(*map(F.lit, ("password=", "secret: ", "api_key=", "passwd: ", "token = "))),
+                            (F.pmod(F.xxhash64(i, F.lit("u")), F.lit(5)) + 1).cast("int"))
+
+    def one_of(salt: str, *words: str) -> Column:
+        return F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
+
+    def plain(salt: str) -> Column:
+        return one_of(salt, "hunter", "monkey", "dragon", "summer", "winter", "tiger", "letmein", "river", "orange", "maria")
+
+    def title(salt: str) -> Column:
+        return F.initcap(one_of(salt, "correct", "horse", "battery", "staple", "purple", "window", "castle", "garden", "silver"))
+    # What stands after a credential word and is no secret: words, references and places to fill in.
+    ordinary = one_of("o", "required", "none", "null", "true", "false", "must", "the", "this", "optional", "changed", "string", "they",
+                      "your", "is", "expired", "invalid", "missing", "undefined", "not", "rotated", "weekly", "unknown", "empty")
+    reference = one_of("r", "${TOKEN}", "$PASSWORD", "<password>", "{{secret}}", "os.environ", "getpass()", "self.token", "config.secret",
+                       "get_token()", "<your-key-here>", "%(password)s", "settings.api_key", "[hidden]", "<SECRET>")
     # Fixed kinds: (value, before, after, label), chosen by `pick`.
     kinds = [
         (F.left(hexes, size), F.concat(prose, word), F.lit(" "), 1),
         (F.left(F.concat(mixed, F.lit("7")), size), F.concat(prose, word), F.lit("\" "), 1),
         (key, prose, F.lit(" "), 1),
         (F.concat(F.lit("ghp_"), F.left(mixed, F.lit(36))), F.concat(prose, F.lit("key ")), F.lit(" "), 1),
+        (F.concat(plain("a"), (i % 1000).cast("string")), F.concat(prose, word), F.lit(" "), 1),
+        (F.concat(title("a"), title("b"), title("c")), F.concat(prose, unquoted), F.lit(" "), 1),
+        (F.concat(plain("a"), one_of("s", "@", "!", "#", "&", "*", "^"), F.left(letters, (size / 4).cast("int")),
+                  one_of("t", "!", "#", "%", "?", "~")), F.concat(prose, word), F.lit(" "), 1),
+        (F.concat(F.lit("AKIA"), F.left(F.upper(letters), F.lit(16))), prose, F.lit(" "), 1),
         (F.rpad(number, 16, "4"), prose, F.lit(" "), 0),
+        (ordinary, F.concat(prose, unquoted), F.lit(" "), 0),
+        (reference, F.concat(prose, unquoted), F.lit(" "), 0),
+        (ordinary, F.concat(prose, F.lit("The "), one_of("p", "password: ", "secret: ", "token: ", "auth: ")), F.lit(" "), 0),
+        (F.when(i % 2 == 0, ordinary).otherwise(F.initcap(ordinary)), F.concat(prose, word), F.lit(" "), 0),
         (F.concat_ws("-", F.substring(more, 1, 8), F.substring(more, 9, 4), F.substring(more, 13, 4), F.substring(more, 17, 4),
                      F.substring(more, 21, 12)), F.concat(prose, F.lit("uuid ")), F.lit(" "), 0),
         (F.when(i % 2 == 0, hexes).otherwise(F.md5(i.cast("string"))),
