@@ -1,6 +1,8 @@
 """License scans as an exact set-similarity join, in DataFrame functions only.
 
-Text blocks (sentences, or lines) and license templates are sets of words. A
+Text blocks and license templates are sets of words. A block is a sentence, or
+up to SPAN_LINES neighbouring lines of one: a line break ends no sentence, so
+that wrapped notices are whole, a blank line (comment marks aside) does. A
 block matches a template when it contains at least ``threshold`` of the
 template's words. Template words are ordered by their frequency in the whole
 corpus, rare first; a matching block must hold one of a template's first
@@ -42,6 +44,11 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
 THRESHOLD = 0.8
+#: Lines over which a notice may be wrapped.
+SPAN_LINES = 6
+#: Ends of sentences: their mark and white space, lines without a word, and the
+#: breaks on either side of a line too long to be a wrapped one.
+_ENDS = r"(?<=[^\n]{121})\n|\n(?=[^\n]{121})|(?<=[.!?])[ \t\r\n]+|\n(?:[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]*\n)+"
 
 
 def lowered(text: str = "text") -> Column:
@@ -122,8 +129,12 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
                                              lambda x: x.isNotNull())).alias("base"))
 
     vocabulary = F.array(*map(F.lit, sorted({w for r in ranked for w in r["words"]})))
-    sentences = F.split(F.regexp_replace("text", r"([.!?])[ \t]+", "$1\n"), "\n")
-    blocks = (rows.select("row", F.posexplode(sentences).alias("block", "sentence"))
+    # Windows of lines, so that a long list without a stop is not one block.
+    lines = F.split("sentence", "\n")
+    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.size("lines") - SPAN_LINES, F.lit(0))),
+                          lambda i: F.array_join(F.slice("lines", i + 1, F.lit(SPAN_LINES)), " "))
+    blocks = (rows.select("row", F.explode(F.split("text", _ENDS)).alias("sentence")).withColumn("lines", lines)
+              .select("row", F.explode(windows).alias("sentence")).withColumn("block", F.monotonically_increasing_id())
               .select("row", "block", F.array_intersect(words(F.col("sentence")), vocabulary).alias("tokens"))
               .where(F.size("tokens") > 0))
     index = (table.select("template", "label", "need", F.col("words").alias("wanted"),

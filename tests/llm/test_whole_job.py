@@ -89,3 +89,20 @@ def test_secrets_without_digits_short_or_with_symbols(spark, tmp_path):
     assert {i: left[i] for i, _ in plain} == dict(plain)
     assert [i for i, _ in rows if PLACEHOLDER not in left[i]] == []
     assert left[-1] == f"we set password={PLACEHOLDER} there" and left[-12] == f"db secret: {PLACEHOLDER}"
+
+
+def test_wrapped_license_notices(spark):
+    from rootcause.llm.licenses import scan
+    gpl = ("/* tool.c\n *\n * This program is free software: you can redistribute it and/or modify\n"
+           " * it under the terms of the GNU General Public License as published by\n"
+           " * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */")
+    mit = ("# Copyright (c) someone\n#\n# Permission is hereby granted, free of charge, to any person obtaining a copy\n"
+           "# of this software and associated documentation files (the \"Software\"), to deal\n# in the Software")
+    bsd = ("Redistribution and use in source and binary forms,\r\nwith or without modification, are permitted\r\n"
+           "provided that the following conditions\r\nare met:\r\n")
+    words = "\n".join(x + f" w{k}\nv{k}\nu{k}" for k, x in enumerate("released under the mit license".split()))
+    apart = "Released under. The MIT\n\nLicense"
+    rows = [(1, gpl), (2, mit), (3, bsd), (4, words), (5, apart), (6, "Released under the\nMIT License")]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in scan(frame(spark, rows)).collect()}
+    assert got[1][0] == "gpl,gpl-3.0" and got[2] == ("mit", 1.0) and got[3] == ("bsd", 1.0) and got[6] == ("mit", 1.0)
+    assert got[4] == got[5] == ("", 0.0)
