@@ -77,3 +77,44 @@ SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_s
        sha256(unhex(coalesce(t, ''))) AS kept_sha256
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
+
+OP11 = r"""
+WITH l AS (SELECT doc_id, p, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+           FROM (SELECT doc_id, unnest(s) AS line, unnest(range(len(s))) AS p
+                 FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))),
+gone AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT l.doc_id, p, line, keeper IS NOT NULL AND l.doc_id <> keeper AS dropped FROM l LEFT JOIN gone ON gone.k = l.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+OP12 = """
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+               lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+ids AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT conv_id, base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+               lambda s: CAST(ascii(s) AS BIGINT))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 9 AS h FROM ids, crc),
+own AS (SELECT conv_id, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d,
+          strlen(coalesce(text, '')) AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+            md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+        FROM conversations WHERE conv_id IS NOT NULL),
+both_parts AS (SELECT h.conv_id, 0 AS part, k, d, b FROM h JOIN own ON own.conv_id = h.base AND k <= h
+          UNION ALL SELECT h.conv_id, 1, k, d, b FROM h JOIN own ON own.conv_id = h.conv_id AND k > h),
+turns AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(d, '') OVER w AS path, b
+          FROM both_parts WINDOW w AS (PARTITION BY conv_id ORDER BY part, k ROWS UNBOUNDED PRECEDING)),
+members AS (SELECT conv_id, depth, path, b FROM turns UNION ALL SELECT conv_id, 0, '', 0 FROM ids),
+ends AS (SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends
+         FROM (SELECT conv_id, max(path) AS path FROM members GROUP BY conv_id) GROUP BY path),
+nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b,
+            substr(path, 1, 32 * (CAST(depth AS INT) - 1)) AS above FROM members GROUP BY path, depth),
+kids AS (SELECT above, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY above),
+under AS (SELECT substr(path, 1, 32 * CAST(d AS INT)) AS path, count(*) FILTER (leaf) AS n_leaves, sum((n_convs - 1) * b) AS saved
+          FROM (SELECT nodes.path, n_convs, b, kids.n IS NULL AS leaf, unnest(range(0, depth + 1)) AS d
+                FROM nodes LEFT JOIN kids ON kids.above = nodes.path) GROUP BY 1)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children,
+       n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM nodes n JOIN under ON under.path = n.path LEFT JOIN kids ON kids.above = n.path LEFT JOIN ends ON ends.path = n.path
+LEFT JOIN nodes p ON p.path = n.above AND n.depth > 0
+"""

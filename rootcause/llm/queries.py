@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rootcause.llm import licenses, oracle
 from rootcause.llm.tables import load
@@ -65,6 +66,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rootcause.llm.line_dedup import dedup_lines
+    return dedup_lines(load(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rootcause.llm.prefix_trie import prefix_trie
+    return prefix_trie(load(spark, sf_dir, "conversations"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rootcause.llm.whitening import whiten
+    return whiten(load(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long")).drop("eigenvalue")
+
+
 REGISTRY = {
     "op1_benchmark_decontamination": (op1_benchmark_decontamination, oracle.OP1),
     "op2_best_fit_packing": (op2_best_fit_packing, None),
@@ -76,4 +93,7 @@ REGISTRY = {
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_suffix_array_dedup": (op9_suffix_array_dedup, oracle.OP9),
     "op10_token_counts": (op10_token_counts, None),
+    "op11_line_dedup": (op11_line_dedup, oracle.OP11),
+    "op12_conversation_prefix_trie": (op12_conversation_prefix_trie, oracle.OP12),
+    "op13_embedding_whitening": (op13_embedding_whitening, None),
 }
