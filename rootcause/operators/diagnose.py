@@ -21,13 +21,13 @@ trips.
 from __future__ import annotations
 
 import weakref
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootcause.functions.numeric import SUM_TYPE, exact_avg, exact_sum
 from rootcause.functions.text import extract_sql
+from rootcause.operators.statements import CHECKS, joins_without_equality, parse_query, plan_tree, statement_contract, wrapped
 from rootcause.plans.diagnostics import ID_COLUMNS, PLANS, UNIT_SUFFIXES, DiagnosticPlan
 from rootcause.schemas import TABLE_SCHEMAS
 from rootcause.session import reliable_checkpoint
@@ -310,32 +310,54 @@ def plan_sql(theme: str) -> str:
     return sql + ";"
 
 
-def run_sql(spark: SparkSession, sql: str) -> DataFrame:
+#: Rows that a statement's result may have: diagnostics are aggregates of a few.
+MAX_RESULT_ROWS = 10_000
+
+
+def _error_row(spark: SparkSession, message: str) -> DataFrame:
+    return spark.createDataFrame([(message,)], "Error string")
+
+
+def run_sql(spark: SparkSession, sql: str, max_rows: int = MAX_RESULT_ROWS) -> DataFrame:
     """Run one query over the registered tables; any failure becomes an Error row (op E9).
 
     The text stands in a subquery, so that nothing but a query can run: a
-    command, a second statement or the sentinel is a parse error. The result
-    is materialised into the checkpoint folder so that runtime errors surface
-    here as well; diagnostics are aggregates, a few rows each.
+    command, a second statement or the sentinel is a parse error. A join
+    without an equality between its sides is refused before anything runs, and
+    a result of more than ``max_rows`` rows is an Error row, not a part of it.
+    The result is materialised into the checkpoint folder so that runtime
+    errors surface here as well.
     """
     try:
-        return reliable_checkpoint(spark.sql(f"SELECT * FROM (\n{(sql or '').strip().rstrip(';')}\n) AS statement"))
+        parse_query(spark, sql or "")
+        result = spark.sql(wrapped(sql))
+        if joins_without_equality(plan_tree(result._jdf.queryExecution().optimizedPlan())):
+            return _error_row(spark, "refused: a join without an equality between its sides")
+        result = reliable_checkpoint(result.limit(max_rows + 1))
+        if result.count() > max_rows:
+            return _error_row(spark, f"refused: more than {max_rows} result rows")
+        return result
     except Exception as e:  # noqa: BLE001 - parse, analysis and runtime errors alike
         lines = str(e).strip().splitlines()
-        return spark.createDataFrame([(lines[0] if lines else type(e).__name__,)], "Error string")
+        return _error_row(spark, lines[0] if lines else type(e).__name__)
 
 
 def run_replies(spark: SparkSession, replies: DataFrame) -> DataFrame:
-    """(complaint_theme, keeps_contract, failed, result_rows) of each theme's
-    reply: statement extracted, checked and run (ops E8 + E10 + E9). One reply a
-    theme, so the loop is bounded by the taxonomy."""
+    """(complaint_theme, keeps_contract, broken_rules, failed, result_rows) of
+    each theme's reply: statement extracted, checked and, if it keeps the
+    contract, run (ops E8 + E10 + E9).
+
+    A statement that breaks a rule is not run: it failed, with one Error row.
+    One reply a theme, so the loop is bounded by the taxonomy.
+    """
     statements = replies.select("complaint_theme", extract_sql("reply").alias("statement"))
-    checked = statement_contract(statements).select("complaint_theme", "statement", "ok").collect()
     rows = []
-    for r in checked:
-        result = run_sql(spark, r["statement"])
-        rows.append((r["complaint_theme"], r["ok"], result.columns == ["Error"], result.count()))
-    return spark.createDataFrame(rows, "complaint_theme string, keeps_contract boolean, failed boolean, result_rows long")
+    for r in statement_contract(statements).collect():
+        broken = ",".join(c for c in CHECKS if not r[c])
+        result = run_sql(spark, r["statement"]) if r["ok"] else _error_row(spark, f"breaks the contract: {broken}")
+        rows.append((r["complaint_theme"], r["ok"], broken, result.columns == ["Error"], result.count()))
+    return spark.createDataFrame(rows, "complaint_theme string, keeps_contract boolean, broken_rules string, failed boolean, "
+                                       "result_rows long")
 
 
 # ---------------------------------------------------------------- contracts
@@ -362,36 +384,3 @@ def result_contract_of_columns(columns, plan: DiagnosticPlan) -> list[tuple[str,
     if plan.group_by:
         out.append((plan.group_by, "no_id_grouping", plan.group_by not in ID_COLUMNS and plan.group_by in cols))
     return out
-
-
-# An aggregate call and its alias: function, DISTINCT, argument, alias.
-CALL_PATTERN = r"(?i)\b(\w+)\s*\(\s*(distinct\s+)?([\w.]+)\s*\)(?:\s+as\s+(\w+))?"
-
-
-def statement_contract(df: DataFrame, col: str = "statement") -> DataFrame:
-    """Checks on a model-written statement (op E10), added as columns.
-
-    It is a query; it has an aggregate; it uses AVG, SUM and COUNT only and never
-    COUNT(DISTINCT); the alias of a measure keeps its unit suffix; every
-    aggregated column names its table; no grouping by an id column.
-    """
-    text = F.regexp_replace(F.regexp_replace(F.col(col), r"'[^']*'", "''"), r";\s*$", "")
-    calls = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(CALL_PATTERN), F.lit(i)).alias(name)
-                           for i, name in enumerate(("fn", "distinct", "arg", "alias"), 1)))
-    # An aggregate inside another call, such as a cast, is met by its own name.
-    calls = F.filter(calls, lambda c: ~F.lower(c["fn"]).isin("as", "on", "and", "in"))
-    suffix = r"(?i)_(ms|bps|pct|hours|days)$"
-    group = F.lower(F.regexp_extract(text, r"(?is)\bgroup\s+by\s+(.*?)(?:\border\s+by\b|\bhaving\b|\blimit\b|$)", 1))
-    grouped = F.transform(F.split(group, ","), lambda g: F.regexp_extract(g, r"(\w+)\s*$", 1))
-    checks = {
-        "is_query": text.rlike(r"(?i)^\s*(select|with)\b") & ~text.contains(";"),
-        "has_aggregate": F.size(calls) > 0,
-        "allowed_aggregates": F.forall(calls, lambda c: F.lower(c["fn"]).isin("avg", "sum", "count")),
-        "no_count_distinct": F.forall(calls, lambda c: c["distinct"] == ""),
-        "unit_suffix_kept": F.forall(calls, lambda c: (F.regexp_extract(c["arg"], suffix, 0) == "") | F.endswith(
-            F.lower(c["alias"]), F.lower(F.regexp_extract(c["arg"], suffix, 0)))),
-        "qualified_columns": F.forall(calls, lambda c: c["arg"].contains(".")),
-        "no_id_grouping": ~F.arrays_overlap(grouped, F.array(*map(F.lit, ID_COLUMNS))),
-    }
-    out = df.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in checks.items()})
-    return out.withColumn("ok", reduce(lambda a, b: a & b, (F.col(k) for k in checks)))

@@ -590,21 +590,18 @@ def q_result_contract(spark, sf_dir):
         "result_rows", F.coalesce(F.col("result_rows"), F.lit(0).cast("long")))
 
 
-# Replies of the stand-in model by theme: (statement keeps the contract, statement fails).
+# Replies of the stand-in model by theme: (rules that the statement breaks, statement fails). One
+# that breaks a rule is not run, one over an unknown table fails when it runs: an Error row either way.
 _REPLY_FATES = {
-    "EXECUTION_SLIPPAGE": (True, False), "SYSTEM_STABILITY": (True, False), "LEDGER_DISPUTE": (True, False),
-    "CHARTING_UI_GLITCH": (False, False), "LOGIN_AND_2FA_ISSUE": (False, False),
-    "KYC_ONBOARDING_EFFICIENCY": (False, True), "GENERAL_INQUIRY": (True, True)}
-_FATE_ROWS = {
-    "CHARTING_UI_GLITCH": "SELECT 1", "KYC_ONBOARDING_EFFICIENCY": "SELECT 1", "GENERAL_INQUIRY": "SELECT 1",
-    "LOGIN_AND_2FA_ISSUE": "SELECT users.user_id FROM users JOIN customer_support ON customer_support.user_id = "
-                           "users.user_id WHERE customer_support.complaint_theme = 'LOGIN_AND_2FA_ISSUE' GROUP BY users.user_id"}
+    "EXECUTION_SLIPPAGE": ("", False), "SYSTEM_STABILITY": ("", False), "LEDGER_DISPUTE": ("", False),
+    "CHARTING_UI_GLITCH": ("no_count_distinct,unit_suffix_kept", True), "LOGIN_AND_2FA_ISSUE": ("no_id_grouping", True),
+    "KYC_ONBOARDING_EFFICIENCY": ("is_query,has_aggregate", True), "GENERAL_INQUIRY": ("", True)}
 
 
 @register("theme_statements", O.with_adapters(" UNION ALL ".join(
-    f"SELECT '{t}' AS complaint_theme, {str(kept).upper()} AS keeps_contract, {str(fails).upper()} AS failed, "
-    f"COUNT(*) AS result_rows FROM ({_FATE_ROWS[t] if t in _FATE_ROWS else O.diagnose_sql(t)}) r"
-    for t, (kept, fails) in _REPLY_FATES.items())))
+    f"SELECT '{t}' AS complaint_theme, {str(not broken).upper()} AS keeps_contract, '{broken}' AS broken_rules, "
+    f"{str(fails).upper()} AS failed, COUNT(*) AS result_rows FROM ({'SELECT 1' if fails else O.diagnose_sql(t)}) r"
+    for t, (broken, fails) in _REPLY_FATES.items())))
 def q_theme_statements(spark, sf_dir):
     D.load_tables(spark, _tables(spark, sf_dir))
     replies = spark.createDataFrame([(t, M.theme_sql_reply(t)) for t in PLANS], "complaint_theme string, reply string")
