@@ -137,13 +137,19 @@ def extract_label(col) -> Column:
     return _extract_label_udf(F.col(col) if isinstance(col, str) else col)
 
 
-def categorise(df: DataFrame, col: str, infer: Callable[[pd.Series], pd.Series], out: str = CATEGORY_COL) -> DataFrame:
+def categorise(df: DataFrame, col: str, infer: Callable[[pd.Series], pd.Series], out: str = CATEGORY_COL, store=None,
+               calls=None) -> DataFrame:
     """Every review with the model's label (ops D1 + D2 + D3 + B6).
 
     A call that fails gives the default label for its review, as does a reply
-    without a label; a null text has none.
+    without a label; a null text has none. With ``store`` (a ``ReplyStore``)
+    replies are kept and only texts without one are sent, as ``calls`` says.
     """
-    replied = batch_infer(df, col, infer, out="_reply", wrap=True, on_error=lambda e: None)
+    if store is None:
+        replied = batch_infer(df, col, infer, out="_reply", wrap=True, on_error=lambda e: None)
+    else:
+        from rootcause.operators.replies import Calls, infer_stored
+        replied = infer_stored(df, col, infer, store, out="_reply", wrap=True, calls=calls or Calls())
     label = F.when(F.col(col).isNotNull(), extract_label("_reply"))
     return with_category(replied, label, out).drop("_reply")
 

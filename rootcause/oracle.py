@@ -220,13 +220,22 @@ def preview_sql(x: str, n: int = 75) -> str:
     return f"(CASE WHEN length({x}) > {n} THEN substr({x}, 1, {n}) || '...' ELSE {x} END)"
 
 
+def read_label_reply_sql(prompt: str) -> str:
+    """The reply that depends on the prompt's MD5."""
+    k = f"(('0x' || substr(md5({prompt}), 1, 8))::BIGINT)"
+    return _label_reply_sql(k, f"('review ' || CAST({k} AS VARCHAR))")
+
+
 def label_reply_sql(prompt_len: str) -> str:
-    from rootcause.plans.reply_models import LABEL_TEMPLATES, template_sql
     n = f"({prompt_len})"
+    return _label_reply_sql(n, f"('review of ' || CAST({n} AS VARCHAR) || ' characters')")
+
+
+def _label_reply_sql(n: str, why: str) -> str:
+    from rootcause.plans.reply_models import LABEL_TEMPLATES, template_sql
     theme = (f"(CASE {n} % 7 WHEN 0 THEN 'EXECUTION_SLIPPAGE' WHEN 1 THEN 'LEDGER_DISPUTE' WHEN 2 THEN 'SYSTEM_STABILITY' "
              f"WHEN 3 THEN 'LOGIN_AND_2FA_ISSUE' WHEN 4 THEN 'KYC_ONBOARDING_EFFICIENCY' WHEN 5 THEN 'CHARTING_UI_GLITCH' "
              f"ELSE 'GENERAL_INQUIRY' END)")
-    why = f"('review of ' || CAST({n} AS VARCHAR) || ' characters')"
     shape = f"(({n} // 7) % {len(LABEL_TEMPLATES)})"
     whens = " ".join(f"WHEN {shape} = {i} THEN {template_sql(t, W=why, T=theme)}"
                      for i, t in enumerate(LABEL_TEMPLATES))

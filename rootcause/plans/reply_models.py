@@ -12,6 +12,7 @@ and a statement running to the end of the reply.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pandas as pd
@@ -67,6 +68,18 @@ def label_model(prompts: pd.Series) -> pd.Series:
     return prompts.map(label_reply)
 
 
+def read_label_reply(prompt: str | None) -> str | None:
+    """A reply that depends on what the prompt says: the theme by its MD5."""
+    if prompt is None:
+        return None
+    k = int(hashlib.md5(prompt.encode()).hexdigest()[:8], 16)
+    return render(LABEL_TEMPLATES[k // len(THEMES) % len(LABEL_TEMPLATES)], W=f"review {k}", T=THEMES[k % len(THEMES)])
+
+
+def reading_model(prompts: pd.Series) -> pd.Series:
+    return prompts.map(read_label_reply)
+
+
 def sql_model(prompts: pd.Series) -> pd.Series:
     return prompts.map(sql_reply)
 

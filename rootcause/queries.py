@@ -65,10 +65,12 @@ def q_table_row_counts(spark, sf_dir):
 
 from rootcause.operators import classify as C  # noqa: E402
 from rootcause.operators import curate as K  # noqa: E402
+from rootcause.operators import replies as RP  # noqa: E402
 from rootcause.functions import text as X  # noqa: E402
 from rootcause.plans import lexicons as L  # noqa: E402
 from rootcause.plans import reply_models as M  # noqa: E402
 from rootcause.schemas import CATEGORY_COL  # noqa: E402
+from rootcause.session import scratch_dir  # noqa: E402
 
 
 def _reviews(spark, sf_dir):
@@ -211,6 +213,25 @@ def q_categorised(spark, sf_dir):
     return C.categorise(_reviews(spark, sf_dir), "content", M.failing_label_model).select("seq", CATEGORY_COL)
 
 
+_READ_REPLY = O.read_label_reply_sql("'<review>' || content || '</review>'")
+
+
+@register("stored_replies", O.with_adapters(
+    f"SELECT seq, {O.extract_label_sql('reply')} AS {CATEGORY_COL}, times_answered FROM "
+    f"(SELECT seq, content, {_READ_REPLY} AS reply, CAST(1 AS BIGINT) AS times_answered FROM reviews WHERE content IS NOT NULL) r"))
+def q_stored_replies(spark, sf_dir):
+    # Two runs over one store: the second one meets texts that the first one asked about.
+    reviews = _reviews(spark, sf_dir).where(F.col("content").isNotNull())
+    store = RP.ReplyStore(spark, scratch_dir(spark, "replies"))
+    calls = RP.Calls(batch=256)
+    RP.infer_stored(reviews.where("score <= 3"), "content", M.reading_model, store, wrap=True, calls=calls)
+    replied = RP.infer_stored(reviews, "content", M.reading_model, store, wrap=True, calls=calls)
+    times = store.rows().groupBy("digest").agg(F.count("reply").alias("times_answered"))
+    digest = F.sha2(X.wrap_review("content"), 256)
+    return (replied.withColumn("digest", digest).join(times, "digest")
+            .select("seq", C.extract_label("reply").alias(CATEGORY_COL), "times_answered"))
+
+
 @register("extract_sql_statements", O.with_adapters(
     f"SELECT seq, {O.extract_sql_sql('reply')} AS sql_text FROM "
     f"(SELECT seq, {O.sql_reply_sql('content')} AS reply FROM reviews) r"))
@@ -232,7 +253,6 @@ from rootcause.operators import ledger as LG  # noqa: E402
 from rootcause.operators import quality as Q  # noqa: E402
 from rootcause.functions import finance as FN  # noqa: E402
 from rootcause.functions.uniform import uniform  # noqa: E402
-from rootcause.session import scratch_dir  # noqa: E402
 from rootcause.sources import reviews as RV  # noqa: E402
 from rootcause.sources import tables as TB  # noqa: E402
 from rootcause.themes import KYC_REASONS, KYC_REASON_WEIGHTS  # noqa: E402
