@@ -61,21 +61,27 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
+# Windows are cut from pieces of 256 starts, so that no step walks a whole text for each of them,
+# and are compared by 128 bits of MD5; what is removed is kept as spans, never as a row for a byte.
 OP9 = """
-WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, CAST(len(hex(coalesce(text, ''))) // 2 AS BIGINT) AS n FROM documents),
-win AS (SELECT doc_id, k, substr(h, 2 * k + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS k FROM d WHERE n >= 100)),
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, CAST(strlen(hex(coalesce(text, ''))) // 2 AS BIGINT) AS n FROM documents),
+piece AS (SELECT doc_id, base, substr(h, 2 * base + 1, 2 * (256 + 99)) AS p
+          FROM (SELECT doc_id, h, unnest(range(0, n - 99, 256)) AS base FROM d WHERE n >= 100)),
+win AS (SELECT doc_id, base + j AS k, md5_number(substr(p, 2 * j + 1, 200)) AS s
+        FROM (SELECT doc_id, base, p, unnest(range(0, least(256, strlen(p) // 2 - 99))) AS j FROM piece)),
 first AS (SELECT s, min({'doc': doc_id, 'at': k}) AS f FROM win GROUP BY s HAVING count(*) > 1),
-starts AS (SELECT doc_id, k FROM win JOIN first ON first.s = win.s WHERE f < {'doc': doc_id, 'at': k}),
-placed AS (SELECT doc_id, h, unnest(range(0, n)) AS p FROM d),
-marked AS (SELECT placed.doc_id, p, substr(h, 2 * p + 1, 2) AS x,
-             max(k) OVER (PARTITION BY placed.doc_id ORDER BY p ROWS 99 PRECEDING) IS NOT NULL AS gone
-           FROM placed LEFT JOIN starts ON starts.doc_id = placed.doc_id AND starts.k = placed.p),
-edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), FALSE) AS opens FROM marked),
-kept AS (SELECT doc_id, string_agg(x, '' ORDER BY p) FILTER (NOT gone) AS t, count(*) FILTER (gone) AS n_removed,
-           count(*) FILTER (opens) AS n_spans FROM edges GROUP BY doc_id)
-SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-       sha256(unhex(coalesce(t, ''))) AS kept_sha256
-FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+starts AS (SELECT doc_id, k, k > lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 100 AS apart
+           FROM win JOIN first ON first.s = win.s WHERE f < {'doc': doc_id, 'at': k}),
+span AS (SELECT doc_id, min(k) AS a, max(k) + 100 AS b
+         FROM (SELECT doc_id, k, count(*) FILTER (apart) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM starts) GROUP BY doc_id, run),
+edge AS (SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM span WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+         UNION ALL SELECT span.doc_id, max(b), any_value(n) FROM span JOIN d ON d.doc_id = span.doc_id GROUP BY span.doc_id),
+cut AS (SELECT e.doc_id, string_agg(substr(h, 2 * e.a + 1, 2 * (e.b - e.a)), '' ORDER BY e.a) AS t
+        FROM edge e JOIN d ON d.doc_id = e.doc_id GROUP BY e.doc_id),
+gone AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(t, h))) AS kept_sha256
+FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id LEFT JOIN cut ON cut.doc_id = d.doc_id
 """
 
 OP11 = r"""
