@@ -222,8 +222,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     classes = (rows.where("n_shingles > 0").groupBy("digest", "n_shingles")
                .agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("top")))
     classes = stage_table(classes, "classes")
+    # A doc_id with several texts is one document: its classes are linked, and
+    # it is no copy, since it may stand for the class of another of its texts.
+    mixed = stage_table(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id")
+                        .agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low != high").select("doc_id"), "mixed")
     copies = (rows.where("n_shingles > 0").join(classes.where("top > id"), ["digest", "n_shingles"])
               .where("doc_id > id").select("doc_id"))
+    alike = None
+    if not mixed.isEmpty():
+        copies = with_ids(copies, mixed, "left_anti")
+        held = (with_ids(rows.where("n_shingles > 0"), mixed).join(classes, ["digest", "n_shingles"]).select("doc_id", "id").distinct())
+        alike = held.join(held.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b")).where("a != b")
     firsts = with_ids(docs.where("doc_id IS NOT NULL"), stage_table(copies, "copies"), "left_anti")
 
     # Most prefix grams are in one class. The counts alone are shuffled to find
@@ -246,6 +255,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
              .where(_parts_allow(percent, "size", "size2", "parts", "parts2")).select("a", "b"))
     first = stage_table(first, "pairs")
     links = _links(first, docs, n, percent, "first")
+    if alike is not None:
+        links = stage_table(links.union(alike), "links")
     component = stage_table(connected_components(links), "labels")
 
     # Round 2: what could still join two components.

@@ -171,6 +171,24 @@ def test_jaccard_joins_chains_and_near_copies(spark):
     same(near_duplicates(frame(spark, docs), 3, 90), brute.jaccard_components(docs, 3, 90))
 
 
+def test_jaccard_of_ids_that_repeat(spark):
+    """A doc_id with several texts is one document, whichever of them is a copy."""
+    from rootcause.llm.jaccard_join import near_duplicates
+    rng = random.Random(8)
+    texts = {k: prose(rng, 80, 5000) for k in "ABCDE"}
+
+    def near(t):
+        return " ".join([*t.split()[:-1], "changed"])
+
+    docs = [(3, texts["A"]), (5, texts["A"]), (5, texts["B"]), (7, near(texts["B"])), (8, texts["B"]),
+            (20, texts["C"]), (21, texts["D"]), (30, texts["C"]), (30, texts["D"]), (31, near(texts["D"])),
+            (40, texts["E"]), (40, "short"), (41, near(texts["E"])), (42, None), (42, "other words")]
+    got = {}
+    for r in near_duplicates(frame(spark, docs), 3, 90).collect():
+        got.setdefault(r["doc_id"], set()).add(r["component_id"])
+    assert got == {i: {3} for i in (3, 5, 7, 8)} | {i: {20} for i in (20, 21, 30, 31)} | {40: {40}, 41: {40}, 42: {42}}
+
+
 def vectors_brute(rows, threshold=0.9):
     unit = []
     for _, v in rows:
