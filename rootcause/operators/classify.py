@@ -1,6 +1,7 @@
 """Complaint labelling and ranking (ops B6, B7, C3-C5, D1-D4).
 
-The rule classifier (D4) is a chain of JVM regex predicates. Model inference
+The rule classifier (D4) is a chain of JVM regex predicates, the scope classifier
+reads a text once and decides on a string of tags. Model inference
 (D2) goes through ``mapInPandas`` on the distinct texts only, so repeated texts
 are sent once, and label extraction (D3) parses the replies in Arrow batches.
 """
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rootcause.functions.text import JSON_SPAN_PATTERN, wrap_review
+from rootcause.plans.scoped import FINANCE_WORDS, label_sql, parted, tags_sql
 from rootcause.schemas import CATEGORY_COL
 from rootcause.themes import DEFAULT_THEME
 
@@ -43,6 +45,28 @@ def classify_by_rules(col: str, rules, default: str = DEFAULT_THEME) -> Column:
     return F.expr(classify_by_rules_expr(f"`{col}`", rules, default))
 
 
+def tag_string(col: str, words: dict[str, str] = FINANCE_WORDS) -> Column:
+    """One character for each token of the text (see ``plans/scoped.py``); null for a null text."""
+    return F.expr(parted(tags_sql(f"`{col}`", words)))
+
+
+def classify_by_scope(col: str, words: dict[str, str] = FINANCE_WORDS, default: str = DEFAULT_THEME) -> Column:
+    """The complaint's theme, each failure word judged with the noun of its
+    clause (op D4); null text stays null.
+
+    The text is read once, natively; the decisions are patterns over its tags.
+    """
+    # Two nested lambdas of SQL would compute the tags for each pattern again:
+    # as the argument of a transform they are computed once a row.
+    label = label_sql("t", lambda s, p: f"{s} RLIKE r'{p}'", lambda s, p, by: f"regexp_replace({s}, r'{p}', '$1')", default)
+    return F.expr(f"CASE WHEN `{col}` IS NOT NULL THEN element_at(transform(array({parted(tags_sql(f'`{col}`', words))}), t -> {label}), 1) END")
+
+
+def label_column(col: str, rules=None) -> Column:
+    """The scope classifier, or the given rule list."""
+    return classify_by_scope(col) if rules is None else classify_by_rules(col, rules)
+
+
 def with_category(df: DataFrame, label: Column, out: str = CATEGORY_COL) -> DataFrame:
     """Append the label column (op B6)."""
     return df.withColumn(out, label)
@@ -178,5 +202,5 @@ def ranked_categories(dist: DataFrame) -> DataFrame:
                .withColumn("is_default", F.col("idx") == 0)
 
 
-__all__ = ["classify_by_rules", "with_category", "batch_infer", "categorise", "extract_label", "wrap_review",
+__all__ = ["classify_by_rules", "classify_by_scope", "label_column", "tag_string", "with_category", "batch_infer", "categorise", "extract_label", "wrap_review",
            "category_distribution", "top_category", "ranked_categories", "JSON_SPAN_PATTERN"]

@@ -212,6 +212,21 @@ def classify_sql(col: str, rules, default: str = "GENERAL_INQUIRY") -> str:
     return f"(CASE WHEN {col} IS NULL THEN NULL {whens} ELSE '{default}' END)"
 
 
+def scope_sql(col: str, words: dict[str, str]) -> str:
+    """The scope classifier: tokens to tags by a map, then the patterns."""
+    from rootcause.plans.scoped import TOKEN_PATTERN, label_sql
+
+    def lit(s: str) -> str:
+        return "'" + s.replace("'", "''") + "'"
+    table = "MAP {" + ", ".join(f"{lit(w)}: '{t}'" for w, t in words.items()) + "}"
+    mark = "CASE WHEN substr(w, 1, 1) IN ('.', '!', '?', chr(10)) THEN '.' WHEN substr(w, 1, 1) IN (';', ',', ':') THEN '|' "
+    tags = (f"array_to_string(list_transform(regexp_extract_all(lower({col}), {lit(TOKEN_PATTERN)}), "
+            f"lambda w: {mark} ELSE coalesce({table}[w], '_') END), '')")
+    label = label_sql("t", lambda s, p: f"regexp_matches({s}, {lit(p)})", lambda s, p, by: f"regexp_replace({s}, {lit(p)}, {lit(by)}, 'g')")
+    tags = f"replace(replace({tags}, 'Ny', 'Nd'), 'y', '|')"
+    return f"(CASE WHEN {col} IS NOT NULL THEN list_transform([{tags}], lambda t: {label})[1] END)"
+
+
 def strip_sql(x: str) -> str:
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 

@@ -12,28 +12,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rootcause.operators.classify import category_distribution, classify_by_rules, ranked_categories, with_category
+from rootcause.operators.classify import category_distribution, label_column, ranked_categories, with_category
 from rootcause.operators.curate import curate
 from rootcause.operators.diagnose import diagnose_long
 from rootcause.operators.insight import summarise, with_display
-from rootcause.plans.lexicons import FINANCE_RULES
 from rootcause.schemas import CATEGORY_COL
 
 
-def label_reviews(reviews: DataFrame, rules=FINANCE_RULES, curated: bool = False) -> DataFrame:
-    """Every review with its theme; with ``curated``, only the stratified sample of them."""
+def label_reviews(reviews: DataFrame, rules=None, curated: bool = False) -> DataFrame:
+    """Every review with its theme, by the scope classifier or a rule list; with
+    ``curated``, only the stratified sample of them."""
     df = curate(reviews) if curated else reviews
-    return with_category(df, classify_by_rules("content", rules))
+    return with_category(df, label_column("content", rules))
 
 
-def theme_ranking(reviews: DataFrame, rules=FINANCE_RULES, curated: bool = False) -> DataFrame:
+def theme_ranking(reviews: DataFrame, rules=None, curated: bool = False) -> DataFrame:
     """(complaint_theme, review_count, rank_idx), most frequent first."""
     ranked = ranked_categories(category_distribution(label_reviews(reviews, rules, curated), CATEGORY_COL))
     return ranked.select(F.col("Category").alias("complaint_theme"), F.col("Count").alias("review_count"),
                          F.col("idx").alias("rank_idx"))
 
 
-def executive_report(reviews: DataFrame, tables: dict[str, DataFrame], rules=FINANCE_RULES, curated: bool = False,
+def executive_report(reviews: DataFrame, tables: dict[str, DataFrame], rules=None, curated: bool = False,
                      infer=None) -> DataFrame:
     """(complaint_theme, review_count, rank_idx, summary): every diagnosed theme
     with its rank and its executive summary."""
@@ -43,7 +43,7 @@ def executive_report(reviews: DataFrame, tables: dict[str, DataFrame], rules=FIN
                     "rank_idx", "summary"))
 
 
-def triage_report(reviews: DataFrame, tables: dict[str, DataFrame], rules=FINANCE_RULES,
+def triage_report(reviews: DataFrame, tables: dict[str, DataFrame], rules=None,
                   curated: bool = False) -> DataFrame:
     """(complaint_theme, review_count, rank_idx, group_key, metric, value, display).
 

@@ -69,6 +69,7 @@ from rootcause.operators import replies as RP  # noqa: E402
 from rootcause.functions import text as X  # noqa: E402
 from rootcause.plans import lexicons as L  # noqa: E402
 from rootcause.plans import reply_models as M  # noqa: E402
+from rootcause.plans import scoped as SC  # noqa: E402
 from rootcause.schemas import CATEGORY_COL  # noqa: E402
 from rootcause.session import scratch_dir  # noqa: E402
 
@@ -152,6 +153,19 @@ def q_finance(spark, sf_dir):
     return C.with_category(df, C.classify_by_rules("content", L.FINANCE_RULES)).select("seq", CATEGORY_COL)
 
 
+# Word tags that hit the corpus, so that every rule of the scope classifier fires.
+CORPUS_WORDS = {"que": "C", "nicht": "N", "the": "T", "la": "L", "und": "S", "de": "F", "en": "V", "with": "U", "that": "K", "der": "k",
+                "die": "D", "of": "O", "to": "d", "from": "J", "ist": "c", "was": "Q", "le": "Y", "les": "h", "and": "|", "oder": "|"}
+
+
+@register("classify_by_scope", O.with_adapters(
+    f"SELECT seq, {O.scope_sql('content', SC.FINANCE_WORDS)} AS {CATEGORY_COL}, "
+    f"{O.scope_sql('content', CORPUS_WORDS)} AS corpus_category FROM reviews"))
+def q_scope(spark, sf_dir):
+    return _reviews(spark, sf_dir).select("seq", C.classify_by_scope("content").alias(CATEGORY_COL),
+                                          C.classify_by_scope("content", CORPUS_WORDS).alias("corpus_category"))
+
+
 _DIST_SQL = (f"SELECT {_CORPUS_CASE} AS \"Category\", COUNT(*) AS \"Count\" FROM reviews "
              f"WHERE content IS NOT NULL GROUP BY 1")
 
