@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from rootcause.functions.numeric import SUM_TYPE, exact_avg, exact_sum
 from rootcause.functions.text import extract_sql
+from rootcause.operators.keyfilter import might_match
 from rootcause.operators.statements import CHECKS, joins_without_equality, parse_query, plan_tree, statement_contract, wrapped
 from rootcause.plans.diagnostics import ID_COLUMNS, PLANS, UNIT_SUFFIXES, DiagnosticPlan
 from rootcause.schemas import TABLE_SCHEMAS
@@ -91,7 +92,7 @@ def _wide(tables: dict[str, DataFrame], plan: DiagnosticPlan, strategy: str) ->
         for m in plan.metrics]
     sql = f"SELECT {', '.join(cols)} FROM ({_grouped_sql(plan.target, [plan], metrics, strategy)}) g"
     return tables["customer_support"].sparkSession.sql(
-        sql, support=tables["customer_support"], **{f"t_{plan.target}": tables[plan.target]})
+        sql, support=tables["customer_support"], **{f"t_{plan.target}": _telemetry(tables, plan.target, [plan], strategy)})
 
 
 # Cohorts up to this many tickets are broadcast (user_id, theme and at most two
@@ -103,8 +104,12 @@ _FITS: "weakref.WeakKeyDictionary[DataFrame, dict]" = weakref.WeakKeyDictionary(
 
 
 def cohort_fits_broadcast(support: DataFrame, themes, max_rows: int = BROADCAST_MAX_TICKETS) -> bool:
-    """True when the themes' tickets number at most ``max_rows``, proven by
-    exact counts (partial counts per task, so one row per task and theme
+    """True when the themes' tickets number at most ``max_rows``."""
+    return ticket_count(support, themes) <= max_rows
+
+
+def ticket_count(support: DataFrame, themes) -> int:
+    """Tickets of the themes, by exact counts (partial counts per task, so one row per task and theme
     reaches the final count; ``limit(max_rows + 1)`` would instead send up
     to max_rows rows per task into one task). One grouped count over the
     diagnosed themes (at most one row each) answers every subset; it is kept
@@ -119,7 +124,18 @@ def cohort_fits_broadcast(support: DataFrame, themes, max_rows: int = BROADCAST_
         extra = support.where(F.col("complaint_theme").isin(unknown)).count()
     else:
         extra = 0
-    return sum(counts.get(t, 0) for t in themes if t in PLANS) + extra <= max_rows
+    return sum(counts.get(t, 0) for t in themes if t in PLANS) + extra
+
+
+def _telemetry(tables: dict[str, DataFrame], target: str, plans: list[DiagnosticPlan], strategy: str) -> DataFrame:
+    """The target table of a strategy: with ``pre_aggregate`` only the rows whose
+    user may be in a cohort, so that no others are grouped and shuffled."""
+    if strategy != "pre_aggregate":
+        return tables[target]
+    themes = [p.theme for p in plans]
+    support = tables["customer_support"]
+    cohort = support.where(F.col("complaint_theme").isin(themes)).select("user_id")
+    return might_match(tables[target], "user_id", cohort, ticket_count(support, themes))
 
 
 def diagnose_long(tables: dict[str, DataFrame], themes=None, strategy: str = "auto") -> DataFrame:
@@ -137,8 +153,10 @@ def diagnose_long(tables: dict[str, DataFrame], themes=None, strategy: str = "au
       is joined map-side, then aggregated. Telemetry is never shuffled and a
       hot user costs nothing extra. Chosen by ``auto`` only when the cohort is
       proven small (``cohort_fits_broadcast``).
-    - ``pre_aggregate``: both sides are reduced per user before the join:
-      telemetry to (user, group column) partial sums and counts, tickets to
+    - ``pre_aggregate``: telemetry rows of users outside every cohort are
+      dropped in the scan by a Bloom filter of the cohorts' users, then both
+      sides are reduced per user before the join: telemetry to (user, group
+      column) partial sums and counts, tickets to
       (user, theme) counts. Partial aggregation collapses a hot user inside
       each map task, the join meets one row per user on each side, and totals
       are sums of ticket count x partial. Decimal sums keep this exact,
@@ -157,7 +175,8 @@ def diagnose_long(tables: dict[str, DataFrame], themes=None, strategy: str = "au
     # One SQL text for all targets: the plan is the same as composing
     # DataFrame calls, but it is built in a handful of driver round trips.
     parts = [_target_sql(target, plans, strategy) for target, plans in by_target.items()]
-    frames = {"support": tables["customer_support"], **{f"t_{t}": tables[t] for t in by_target}}
+    frames = {"support": tables["customer_support"],
+              **{f"t_{t}": _telemetry(tables, t, plans, strategy) for t, plans in by_target.items()}}
     spark = tables["customer_support"].sparkSession
     return spark.sql("\nUNION ALL\n".join(parts), **frames)
 

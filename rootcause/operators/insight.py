@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from rootcause.functions.numeric import fmt_ratio_2dp_expr
 from rootcause.functions.units import unit_suffix_expr
+from rootcause.operators.severity import with_severity
 from rootcause.plans.diagnostics import PLANS
 from rootcause.themes import ACTION_OWNERS, ACTIONS_HEADING, INSIGHT_ERROR_PREFIX, INSIGHT_HEADING
 
@@ -52,27 +53,35 @@ def metrics_to_text(long_df: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_list("_line")), "\n").alias("metrics_text"))
 
 
-def worst_row(long_df: DataFrame) -> DataFrame:
+def worst_row(long_df: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """The most severe result row of each theme (op F2).
 
-    Multi-row results are not averaged: the row with the worst primary metric
-    wins (high latency, drop or error rate, count, age; low balance or
-    slippage), ties broken by the smaller group key. A row without a value, or
-    of the theme's healthy group, is chosen only where there is no other. One
+    Multi-row results are not averaged. With ``base`` (``severity.baseline``)
+    the row and metric that lie farthest, in the bad direction, from the users
+    outside the cohort win, over all metrics of the theme, and the distance is
+    column ``severity``. Without it the row with the worst primary metric wins
+    (high latency, drop or error rate, count, age; low balance or slippage).
+    Ties are broken by the smaller group key and metric. A row without a value,
+    or of the theme's healthy group, is chosen only where there is no other. One
     partial+final aggregate per theme.
     """
-    metric = "CASE complaint_theme " + " ".join(
-        f"WHEN '{t}' THEN '{p.severity_metric}'" for t, p in PLANS.items()) + " END"
-    high = "CASE complaint_theme " + " ".join(
-        f"WHEN '{t}' THEN {str(p.severity_high_is_bad).lower()}" for t, p in PLANS.items()) + " END"
-    d = with_display(long_df).where(F.expr(f"metric = {metric}"))
     healthy = "CASE complaint_theme " + " ".join(
         f"WHEN '{t}' THEN group_key <=> '{p.healthy_key}'" for t, p in PLANS.items() if p.healthy_key) + " ELSE false END"
-    best = F.expr(f"min(named_struct('n', value IS NULL, 'h', {healthy}, 'b', CASE WHEN {high} THEN -value ELSE value END, "
-                  f"'g', group_key, 'm', metric, 'v', value, 'd', display))")
+    if base is None:
+        metric = "CASE complaint_theme " + " ".join(
+            f"WHEN '{t}' THEN '{p.severity_metric}'" for t, p in PLANS.items()) + " END"
+        high = "CASE complaint_theme " + " ".join(
+            f"WHEN '{t}' THEN {str(p.severity_high_is_bad).lower()}" for t, p in PLANS.items()) + " END"
+        d = with_display(long_df).where(F.expr(f"metric = {metric}"))
+        order, severity = f"CASE WHEN {high} THEN -value ELSE value END", []
+    else:
+        d = with_display(with_severity(long_df, base))
+        order, severity = "-severity", ["_w.s AS severity"]
+    best = F.expr(f"min(named_struct('n', value IS NULL, 'h', {healthy}, 'u', {order} IS NULL, 'b', {order}, "
+                  f"'g', group_key, 'm', metric, 'v', value, 'd', display{', ' + chr(39) + 's' + chr(39) + ', severity' if severity else ''}))")
     return d.groupBy("complaint_theme").agg(best.alias("_w")).selectExpr(
         "complaint_theme", "_w.g AS group_key", "_w.m AS severity_metric", "_w.v AS severity_value",
-        "_w.d AS severity_display")
+        "_w.d AS severity_display", *severity)
 
 
 def insight_request(theme, text) -> Column:
@@ -102,8 +111,9 @@ def template_summary(worst: DataFrame) -> DataFrame:
     return worst.select("complaint_theme", body.alias("summary"))
 
 
-def summarise(long_df: DataFrame, infer: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
-    """Executive summary per theme (op F6).
+def summarise(long_df: DataFrame, infer: Callable[[pd.Series], pd.Series] | None = None,
+              base: DataFrame | None = None) -> DataFrame:
+    """Executive summary per theme (op F6), of the row that ``worst_row`` picks.
 
     Without ``infer`` the template summariser runs on the JVM. With ``infer``
     (a model, Series of requests -> Series of replies) the F4 requests are sent
@@ -111,7 +121,7 @@ def summarise(long_df: DataFrame, infer: Callable[[pd.Series], pd.Series] | None
     for its theme only.
     """
     if infer is None:
-        return template_summary(worst_row(long_df))
+        return template_summary(worst_row(long_df, base))
     from rootcause.operators.classify import batch_infer
 
     req = metrics_to_text(long_df).select(

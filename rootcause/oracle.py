@@ -141,6 +141,47 @@ def exact_avg_sql(ref: str) -> str:
     return f"CAST(SUM(CAST({ref} AS DECIMAL(18,6))) AS DOUBLE) / NULLIF(COUNT({ref}), 0)"
 
 
+# The metrics of which a low value is the bad one.
+LOW_IS_BAD = ("avg_price_slippage_bps", "avg_balance_after_txn")
+
+
+def severity_ctes() -> str:
+    """CTEs over ``dl`` and ``disp``: exact quantiles, group shares and the worst row by its distance from them."""
+    measured, counted = [], []
+    for theme, t, group, metrics, *_ in DIAGNOSTICS:
+        outside = f"(SELECT user_id FROM customer_support WHERE complaint_theme = '{theme}' AND user_id IS NOT NULL)"
+        for alias, agg, ref in metrics:
+            table, col = ref.split(".")
+            rows = f"FROM {table} WHERE user_id IS NULL OR user_id NOT IN {outside}"
+            if agg == "count":
+                counted.append(f"SELECT '{theme}' AS complaint_theme, '{alias}' AS metric, coalesce({group}, '') AS g, COUNT({col}) AS c "
+                               f"{rows} GROUP BY 3")
+            else:
+                measured.append(f"SELECT '{theme}' AS complaint_theme, '{alias}' AS metric, list_sort(list(CAST({col} AS DOUBLE)) "
+                                f"FILTER ({col} IS NOT NULL)) AS x {rows}")
+    q = {p: f"x[CAST(ceil({p}e0 * len(x)) AS BIGINT)]" for p in ("0.05", "0.25", "0.5", "0.75", "0.95")}
+    low = ", ".join(f"'{m}'" for m in LOW_IS_BAD)
+    return (f"""outs AS ({' UNION ALL '.join(measured)}),
+base AS (SELECT complaint_theme, metric, {q['0.5']} AS med, nullif(greatest(({q['0.75']} - {q['0.25']}) / 1.349e0,
+  ({q['0.95']} - {q['0.05']}) / 3.29e0), 0.0e0) AS scale FROM outs),
+shares AS ({' UNION ALL '.join(counted)}),
+totals AS (SELECT complaint_theme, metric, SUM(c) AS c FROM shares GROUP BY ALL),
+whole AS (SELECT complaint_theme, metric, SUM(n) AS n FROM dl WHERE agg = 'count' GROUP BY ALL),
+far AS (SELECT d.*, CASE WHEN d.agg = 'count' THEN CAST(d.n AS DOUBLE) / CAST(w.n AS DOUBLE) END AS p,
+  (coalesce(s.c, 0) + 0.5e0) / (CAST(t.c AS DOUBLE) + 1.0e0) AS u,
+  (d.value - b.med) / coalesce(b.scale, 1.0e0) AS apart
+  FROM disp d LEFT JOIN base b ON b.complaint_theme = d.complaint_theme AND b.metric = d.metric
+  LEFT JOIN totals t ON t.complaint_theme = d.complaint_theme AND t.metric = d.metric
+  LEFT JOIN whole w ON w.complaint_theme = d.complaint_theme AND w.metric = d.metric
+  LEFT JOIN shares s ON s.complaint_theme = d.complaint_theme AND s.metric = d.metric AND s.g = coalesce(d.group_key, '')),
+severe AS (SELECT *, CASE WHEN agg = 'count' THEN (p - u) / sqrt(u * (1.0e0 - u)) WHEN metric IN ({low}) THEN -apart ELSE apart END AS severity
+  FROM far),
+worst AS (SELECT complaint_theme, group_key, metric AS severity_metric, value AS severity_value, display AS severity_display, severity
+  FROM (SELECT *, row_number() OVER (PARTITION BY complaint_theme ORDER BY value IS NULL,
+    complaint_theme IN ('LOGIN_AND_2FA_ISSUE', 'KYC_ONBOARDING_EFFICIENCY') AND coalesce(group_key, '') = 'CLEARED',
+    severity IS NULL, severity DESC, group_key, metric) AS rn FROM severe) s WHERE rn = 1)""")
+
+
 def millionths_sql(ref: str) -> str:
     return f"SUM(CAST(CAST({ref} AS DECIMAL(18,6)) * 1000000 AS HUGEINT))"
 

@@ -5,8 +5,9 @@ support-ticket cohort on ``user_id``, an optional categorical grouping column,
 and the metrics to aggregate. Output aliases keep the unit suffix of the source
 column (``_ms``, ``_bps``, ``_pct``, ``_hours``, ``_days``).
 
-The severity rule (op F2) picks one row per theme: the primary metric and
-whether a high or a low value is the bad one.
+The severity rule (op F2) picks one row per theme: by the distance of every
+metric from the users outside the cohort, in the direction that is bad for it
+(``operators/severity.py``), or, without those, by the primary metric alone.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ class Metric:
     agg: str          # "avg", "sum" or "count"
     column: str       # column of the target table (or of customer_support)
     source: str = "target"   # "target" or "support"
+    high_is_bad: bool = True
 
     def __post_init__(self):
         if self.agg not in AGGREGATES or self.source not in ("target", "support"):
@@ -51,7 +53,7 @@ class DiagnosticPlan:
 PLANS: dict[str, DiagnosticPlan] = {p.theme: p for p in [
     DiagnosticPlan(
         "EXECUTION_SLIPPAGE", "trades", None,
-        (Metric("avg_price_slippage_bps", "avg", "price_slippage_bps"),
+        (Metric("avg_price_slippage_bps", "avg", "price_slippage_bps", high_is_bad=False),
          Metric("avg_order_routing_latency_ms", "avg", "order_routing_latency_ms")),
         "avg_price_slippage_bps", False),
     DiagnosticPlan(
@@ -62,7 +64,7 @@ PLANS: dict[str, DiagnosticPlan] = {p.theme: p for p in [
     DiagnosticPlan(
         "LEDGER_DISPUTE", "financial_ledger", "txn_type",
         (Metric("txn_count", "count", "txn_id"),
-         Metric("avg_balance_after_txn", "avg", "balance_after_txn"),
+         Metric("avg_balance_after_txn", "avg", "balance_after_txn", high_is_bad=False),
          Metric("avg_withdrawal_processing_latency_hours", "avg", "withdrawal_processing_latency_hours")),
         "avg_balance_after_txn", False),
     DiagnosticPlan(

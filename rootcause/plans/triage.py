@@ -16,6 +16,7 @@ from rootcause.operators.classify import category_distribution, label_column, ra
 from rootcause.operators.curate import curate
 from rootcause.operators.diagnose import diagnose_long
 from rootcause.operators.insight import summarise, with_display
+from rootcause.operators.severity import baseline
 from rootcause.schemas import CATEGORY_COL
 
 
@@ -37,7 +38,7 @@ def executive_report(reviews: DataFrame, tables: dict[str, DataFrame], rules=Non
                      infer=None) -> DataFrame:
     """(complaint_theme, review_count, rank_idx, summary): every diagnosed theme
     with its rank and its executive summary."""
-    summaries = summarise(diagnose_long(tables), infer)
+    summaries = summarise(diagnose_long(tables), infer, baseline(tables))
     return (summaries.join(theme_ranking(reviews, rules, curated), "complaint_theme", "left")
             .select("complaint_theme", F.coalesce(F.col("review_count"), F.lit(0).cast("long")).alias("review_count"),
                     "rank_idx", "summary"))

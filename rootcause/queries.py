@@ -499,6 +499,7 @@ def q_cohort_tickets(spark, sf_dir):
 # ------------------------------------------------------------ interpretation: F1-F6, E9, E10
 
 from rootcause.operators import insight as IN  # noqa: E402
+from rootcause.operators import severity as SV  # noqa: E402
 from rootcause.themes import ACTIONS_HEADING, INSIGHT_HEADING  # noqa: E402
 
 
@@ -515,17 +516,7 @@ _TEXT_CTES = _DL_CTES + (
     f"string_agg({_CELL}, ' | ' ORDER BY {_CELL}) AS line FROM disp GROUP BY complaint_theme, group_key),\n"
     f"mtext AS (SELECT complaint_theme, string_agg(line, chr(10) ORDER BY line) AS metrics_text "
     f"FROM rowlines GROUP BY complaint_theme)")
-_SEV_METRIC = "CASE complaint_theme " + " ".join(
-    f"WHEN '{d[0]}' THEN '{d[4]}'" for d in O.DIAGNOSTICS) + " END"
-_SEV_HIGH = "CASE complaint_theme " + " ".join(
-    f"WHEN '{d[0]}' THEN {str(d[5]).upper()}" for d in O.DIAGNOSTICS) + " END"
-_WORST_CTES = _DL_CTES + (
-    f",\nsev AS (SELECT *, CASE WHEN {_SEV_HIGH} THEN -value ELSE value END AS b FROM disp "
-    f"WHERE metric = {_SEV_METRIC}),\n"
-    f"worst AS (SELECT complaint_theme, group_key, metric AS severity_metric, value AS severity_value, "
-    f"display AS severity_display FROM (SELECT *, row_number() OVER (PARTITION BY complaint_theme "
-    f"ORDER BY value IS NULL, complaint_theme IN ('LOGIN_AND_2FA_ISSUE', 'KYC_ONBOARDING_EFFICIENCY') "
-    f"AND coalesce(group_key, '') = 'CLEARED', b, group_key) AS rn FROM sev) s WHERE rn = 1)")
+_WORST_CTES = _DL_CTES + ",\n" + O.severity_ctes()
 _S1 = ("complaint_theme || ' complaints trace to ' || severity_metric || ' at ' || "
        "coalesce(severity_display, 'no data') || coalesce(' for ' || group_key, '') || '.'")
 _SUMMARY = (f"concat_ws(chr(10), {_lit(INSIGHT_HEADING)}, {_S1} || ' ' || "
@@ -540,6 +531,11 @@ def _long(spark, sf_dir):
     return D.diagnose_long(_tables(spark, sf_dir))
 
 
+def _summaries(spark, sf_dir):
+    T = _tables(spark, sf_dir)
+    return IN.summarise(D.diagnose_long(T), base=SV.baseline(T))
+
+
 @register("formatted_metrics", O.with_adapters(
     "SELECT complaint_theme, group_key, metric, display FROM disp", _DL_CTES))
 def q_formatted(spark, sf_dir):
@@ -553,7 +549,8 @@ def q_metrics_text(spark, sf_dir):
 
 @register("worst_rows", O.with_adapters("SELECT * FROM worst", _WORST_CTES))
 def q_worst(spark, sf_dir):
-    return IN.worst_row(_long(spark, sf_dir))
+    T = _tables(spark, sf_dir)
+    return IN.worst_row(D.diagnose_long(T), SV.baseline(T))
 
 
 _REQ_HEAD, _REQ_REST = IN.INSIGHT_REQUEST.split("{theme}")
@@ -570,7 +567,7 @@ def q_requests(spark, sf_dir):
 
 @register("executive_summaries", O.with_adapters("SELECT * FROM summaries", _SUMMARY_CTES))
 def q_summaries(spark, sf_dir):
-    return IN.summarise(_long(spark, sf_dir))
+    return _summaries(spark, sf_dir)
 
 
 _ACTIONS_LINES = (f"list_filter(string_split(split_part(summary, {_lit(ACTIONS_HEADING)}, 2), chr(10)), "
@@ -590,7 +587,7 @@ checked AS (SELECT complaint_theme, starts_with(summary, {_lit(INSIGHT_HEADING)}
     "SELECT *, has_heading AND sentence_count = 2 AND bullet_count = 3 AND has_owners AND no_chatter "
     "AND bps_not_percent AS ok FROM checked", _CONTRACT_CTES))
 def q_summary_contract(spark, sf_dir):
-    return IN.summary_contract(IN.summarise(_long(spark, sf_dir)))
+    return IN.summary_contract(_summaries(spark, sf_dir))
 
 
 @register("run_sql_ledger_dispute", O.with_adapters(O.diagnose_sql("LEDGER_DISPUTE")))
