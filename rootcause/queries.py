@@ -695,4 +695,41 @@ def q_stream_distribution(spark, sf_dir):
     out = scratch_dir(spark, "category-counts")
     ST.stream_distribution(spark, landing, scratch_dir(spark, "ckpt-counts"), _FEED_SCHEMA, out,
                            CORPUS_RULES).awaitTermination()
-    return spark.read.parquet(out)
+    return ST.current_distribution(spark, out)
+
+
+def _land_again(spark, sf_dir, landing: str, part: str) -> None:
+    _reviews(spark, sf_dir).where(part).write.mode("append").parquet(landing)
+
+
+@register("stream_relanded", O.with_adapters(
+    f"SELECT seq, score, {_CORPUS_CASE} AS {CATEGORY_COL} FROM reviews"))
+def q_stream_relanded(spark, sf_dir):
+    # The first half lands, then everything: the first half is there twice.
+    landing, sink, ckpt = (scratch_dir(spark, n) for n in ("landing", "labelled", "ckpt-relanded"))
+    for part in ("seq % 2 = 0", "true"):
+        _land_again(spark, sf_dir, landing, part)
+        ST.stream_categorise(spark, landing, sink, ckpt, _FEED_SCHEMA, CORPUS_RULES, dedupe_within="3650 days").awaitTermination()
+    return spark.read.parquet(sink).select("seq", "score", CATEGORY_COL)
+
+
+_WINDOW_SECONDS = 600
+
+
+# Reviews land in three loads, latest event times last but for a rest of every 97th review, which comes
+# after the watermark (half an hour behind the latest) has passed most of its windows.
+@register("stream_windows", O.with_adapters(
+    f"SELECT w AS window_start, w + to_seconds({_WINDOW_SECONDS}) AS window_end, \"Category\", COUNT(*) AS \"Count\", "
+    f"COUNT(*) FILTER (late) AS late_count, any_value(w + to_seconds({_WINDOW_SECONDS}) <= top - to_seconds(1800)) AS final FROM ("
+    f"SELECT time_bucket(to_seconds({_WINDOW_SECONDS}), \"at\", TIMESTAMP '1970-01-01') AS w, \"Category\", "
+    f"max(\"at\") OVER () AS top, seq % 97 = 0 AND time_bucket(to_seconds({_WINDOW_SECONDS}), \"at\", TIMESTAMP '1970-01-01') + "
+    f"to_seconds({_WINDOW_SECONDS}) <= (max(\"at\") FILTER (seq % 97 <> 0) OVER ()) - to_seconds(1800) AS late FROM "
+    f"(SELECT seq, \"at\", {_CORPUS_CASE} AS \"Category\" FROM reviews) r WHERE \"Category\" IS NOT NULL) x "
+    f"GROUP BY w, \"Category\""))
+def q_stream_windows(spark, sf_dir):
+    landing, out, ckpt = (scratch_dir(spark, n) for n in ("landing", "windows", "ckpt-windows"))
+    middle = _reviews(spark, sf_dir).agg(F.expr("percentile_approx(seq, 0.5, 100)")).first()[0] or 0
+    for part in (f"seq % 97 <> 0 AND seq < {middle}", f"seq % 97 <> 0 AND seq >= {middle}", "seq % 97 = 0"):
+        _land_again(spark, sf_dir, landing, part)
+        ST.stream_windows(spark, landing, ckpt, _FEED_SCHEMA, out, f"{_WINDOW_SECONDS} seconds", "30 minutes", CORPUS_RULES).awaitTermination()
+    return ST.current_windows(spark, out, "30 minutes")
