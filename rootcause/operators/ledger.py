@@ -19,18 +19,26 @@ summarised as a function of the entry balance (see ``StepSummary``), with at
 most one flat piece for each of its withdrawals. A pass per user reads the
 summaries in order, one at a time, and gives every segment its entry balance
 and position; then all segments are folded in parallel from their entries.
+
+Summaries compose, and composition is associative, so a ledger that arrives in
+loads keeps one summary a user and load (``LedgerLoads``): a new load continues
+from the composed ones and gives the bits of one replay.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import uuid
+from bisect import bisect_left, bisect_right
+from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootcause.functions.finance import margin_balance
 from rootcause.session import reliable_checkpoint
+from rootcause.sources.versioned import publish, read_current
 
 DEPOSIT = "DEPOSIT"
 WITHDRAWAL = "WITHDRAWAL"
@@ -85,7 +93,8 @@ def _fold(batches):
             if uid != user:
                 user, bal, started, pos = uid, None, False, 0
             if kind == 0:
-                bal, started = amt, True
+                # A start row's number is the position that its user has reached.
+                bal, started, pos = amt, True, txn or 0
                 continue
             if not started:
                 continue  # no starting state for this user: inner-join semantics
@@ -195,8 +204,39 @@ def apply_flats(x: int, shift: int, starts, ends) -> int:
     return x + shift - flat
 
 
+def compose(f: StepSummary, g: StepSummary) -> StepSummary:
+    """The summary of f's transactions followed by g's.
+
+    f is continuous and onto, so what g is flat on comes back as the interval
+    of all balances that f takes there. Composition is associative: segments
+    may be summarised anywhere and joined in any grouping, as long as their
+    order is kept.
+    """
+    out = StepSummary()
+    out.shift, out.dead = f.shift + g.shift, f.dead or g.dead
+    flats = f.flats()
+    starts, ends = [a for a, _ in flats], [b for _, b in flats]
+    gone = list(accumulate((b - a for a, b in flats), initial=0))  # flat length before each piece
+    values = [a + f.shift - before for a, before in zip(starts, gone)]
+    pieces = list(flats)
+    for a, b in g.flats():
+        # Smallest balance that f maps to a, and largest that it maps to b.
+        i, j = bisect_left(values, a), bisect_right(values, b)
+        low = starts[i] if i < len(values) and values[i] == a else a - f.shift + gone[i]
+        high = ends[j - 1] if j and values[j - 1] == b else b - f.shift + gone[j]
+        pieces.append((low, high))
+    for a, b in sorted(pieces):
+        if out.left and a <= out.left[-1][1]:
+            out.left[-1] = (out.left[-1][0], max(b, out.left[-1][1]))
+        else:
+            out.left.append((a, b))
+    return out
+
+
 SUMMARY_SCHEMA = "_pid int, user_id long, n long, dead boolean, starts array<long>, ends array<long>, shift long"
 ENTRY_SCHEMA = "_pid int, user_id long, _entry long, _offset long"
+LOAD_SCHEMA = "user_id long, n long, dead boolean, starts array<long>, ends array<long>, shift long"
+STATE_SCHEMA = "user_id long, balance_units long, n_txns long"
 
 
 def _summarise(batches):
@@ -229,9 +269,10 @@ def _chain(batches):
     for b in batches:
         out = [], [], [], []
         for r in range(b.num_rows):
-            pid, uid, n, dead, shift, start = (b[c][r].as_py() for c in ("_pid", "user_id", "n", "dead", "shift", "start"))
+            pid, uid, n, dead, shift, start, reached = (
+                b[c][r].as_py() for c in ("_pid", "user_id", "n", "dead", "shift", "start", "reached"))
             if uid != user:
-                user, bal, offset = uid, start, 0
+                user, bal, offset = uid, start, reached
             for col, value in zip(out, (pid, uid, bal, offset)):
                 col.append(value)
             if dead or bal is None:
@@ -259,6 +300,73 @@ def _fold_segments(batches):
         yield _replayed(*out)
 
 
+def _summary_of(r: dict) -> StepSummary:
+    summ = StepSummary()
+    summ.left, summ.shift, summ.dead = list(zip(r["starts"], r["ends"])), r["shift"], r["dead"]
+    return summ
+
+
+def _compose_users(batches):
+    """One summary a user; rows come sorted by user and order."""
+    user, summ, n = None, None, 0
+
+    def row():
+        flats = summ.flats()
+        return {"user_id": user, "n": n, "dead": summ.dead, "starts": [a for a, _ in flats], "ends": [b for _, b in flats], "shift": summ.shift}
+
+    for b in batches:
+        out = []
+        for r in b.to_pylist():
+            if r["user_id"] != user:
+                if summ is not None:
+                    out.append(row())
+                user, summ, n = r["user_id"], _summary_of(r), r["n"]
+            else:
+                summ, n = compose(summ, _summary_of(r)), n + r["n"]
+        yield pa.RecordBatch.from_pylist(out, _LOAD_ARROW)
+    if summ is not None:
+        yield pa.RecordBatch.from_pylist([row()], _LOAD_ARROW)
+
+
+_LOAD_ARROW = pa.schema([("user_id", pa.int64()), ("n", pa.int64()), ("dead", pa.bool_()), ("starts", pa.list_(pa.int64())),
+                         ("ends", pa.list_(pa.int64())), ("shift", pa.int64())])
+
+
+def compose_summaries(summaries: DataFrame, order: str) -> DataFrame:
+    """One summary a user of LOAD_SCHEMA rows that follow one another by column ``order``."""
+    return (summaries.repartition("user_id").sortWithinPartitions("user_id", order)
+            .select("user_id", "n", "dead", "starts", "ends", "shift").mapInArrow(_compose_users, LOAD_SCHEMA))
+
+
+def summarise_load(events: DataFrame, seq: list[str], hot_rows: int = HOT_USER_ROWS, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """A summary of each user's transactions of one load (LOAD_SCHEMA).
+
+    Users with more than ``hot_rows`` transactions are summarised segment by
+    segment on different tasks and composed.
+    """
+    events = _event_units(events, seq)
+    order = ["user_id", *seq, "txn_id"]
+    rest, hot, rows = _hot_and_rest(events, hot_rows)
+    plain = (rest.repartition("user_id").sortWithinPartitions(*order).withColumn("_pid", F.lit(0))
+             .select("_pid", "user_id", "txn_type", "amount").mapInArrow(_summarise, SUMMARY_SCHEMA).drop("_pid"))
+    if hot is None:
+        return plain
+    chunks = _segments(hot, order, -(-rows // segment_rows))
+    parts = chunks.select("_pid", "user_id", "txn_type", "amount").mapInArrow(_summarise, SUMMARY_SCHEMA)
+    return plain.unionByName(compose_summaries(parts, "_pid"))
+
+
+def _hot_and_rest(events: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """(events of ordinary users, events of hot ones, how many those are)."""
+    hot = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    stats = hot.agg(F.count(F.lit(1)).alias("users"), F.sum("_n").alias("rows")).first()
+    if not stats["users"]:
+        return events, None, 0
+    ids = reliable_checkpoint(hot.select("user_id"))
+    ids = F.broadcast(ids) if stats["users"] <= MAX_BROADCAST_IDS else ids
+    return events.join(ids, "user_id", "left_anti"), events.join(ids, "user_id", "left_semi"), int(stats["rows"])
+
+
 def _start_units(starts: DataFrame) -> DataFrame:
     return starts.select(F.col("user_id").cast("long").alias("user_id"), units(F.col("start_balance")).alias("start"))
 
@@ -273,7 +381,8 @@ def _replay_in_order(starts: DataFrame, events: DataFrame, seq: list[str]) -> Da
     s = starts.select(
         "user_id", F.lit(0).alias("_kind"),
         *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in seq],
-        F.lit(None).cast("long").alias("txn_id"), F.lit(None).cast("string").alias("txn_type"),
+        (F.col("reached") if "reached" in starts.columns else F.lit(None).cast("long")).alias("txn_id"),
+        F.lit(None).cast("string").alias("txn_type"),
         F.col("start").alias("amount"))
     e = events.withColumn("_kind", F.lit(1))
     # Start rows sort first; among duplicate starts the largest sorts last and
@@ -295,7 +404,8 @@ def _replay_split(starts: DataFrame, events: DataFrame, seq: list[str], parts: i
     order = ["user_id", *seq, "txn_id"]
     chunks = _segments(events, order, parts)
     summaries = chunks.select("_pid", "user_id", "txn_type", "amount").mapInArrow(_summarise, SUMMARY_SCHEMA)
-    start = starts.groupBy("user_id").agg(F.max("start").alias("start"))
+    reached = F.max("reached") if "reached" in starts.columns else F.lit(0).cast("long")
+    start = starts.groupBy("user_id").agg(F.max("start").alias("start"), reached.alias("reached"))
     entries = (summaries.join(start, "user_id").repartition("user_id").sortWithinPartitions("user_id", "_pid")
                .mapInArrow(_chain, ENTRY_SCHEMA))
     return (chunks.join(reliable_checkpoint(entries), ["_pid", "user_id"])
@@ -317,7 +427,11 @@ def replay_ledger(starts: DataFrame, events: DataFrame, seq: list[str], hot_rows
     ``hot_rows`` transactions are split across tasks (module docstring); the
     balances are the same whether they are or not.
     """
-    starts, events = _start_units(starts), _event_units(events, seq)
+    return _replay(_start_units(starts), _event_units(events, seq), seq, hot_rows, segment_rows)
+
+
+def _replay(starts: DataFrame, events: DataFrame, seq: list[str], hot_rows: int, segment_rows: int) -> DataFrame:
+    """``replay_ledger`` over whole units; a start row may carry the position ``reached``."""
     hot = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     stats = hot.agg(F.count(F.lit(1)).alias("users"), F.sum("_n").alias("rows")).first()
     if not stats["users"]:
@@ -337,6 +451,99 @@ def replay_ledger(starts: DataFrame, events: DataFrame, seq: list[str], hot_rows
     return rest.unionByName(split)
 
 
+def _reach(batches):
+    """Each user's balance and position after the start and the summaries that follow it."""
+    user, bal, n, started = None, None, 0, False
+
+    def row():
+        return {"user_id": user, "balance_units": bal, "n_txns": n}
+
+    for b in batches:
+        out = []
+        for r in b.to_pylist():
+            if r["user_id"] != user:
+                if started:
+                    out.append(row())
+                user, bal, n, started = r["user_id"], None, 0, False
+            if r["_kind"] == 0:
+                bal, started = r["start"], True
+            elif started:
+                bal = None if r["dead"] or bal is None else apply_flats(bal, r["shift"], r["starts"], r["ends"])
+                n += r["n"]
+        yield pa.RecordBatch.from_pylist(out, _STATE_ARROW)
+    if started:
+        yield pa.RecordBatch.from_pylist([row()], _STATE_ARROW)
+
+
+_STATE_ARROW = pa.schema([("user_id", pa.int64()), ("balance_units", pa.int64()), ("n_txns", pa.int64())])
+
+
+class LedgerLoads:
+    """Replay of a ledger that arrives in loads (op G5, incremental).
+
+    A load holds the transactions of one span of the replay order (a day, say)
+    and has a number in that order. What is kept of it is one summary a user,
+    the load's effect on any balance, so loads may be added in any order and
+    added again: a day that comes late changes what later days start from, and
+    nothing is read again but summaries. Transactions of one load must not
+    reach into the span of another.
+
+    ``<path>/parts`` has the summaries and ``<path>/index``, a versioned table,
+    says which of them hold which load, so that every change appears at once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, starts: DataFrame, seq: list[str]):
+        self.spark, self.path, self.seq = spark, path.rstrip("/"), seq
+        self.starts = _start_units(starts).groupBy("user_id").agg(F.max("start").alias("start"))
+
+    def _index(self) -> dict[int, str]:
+        """Folder of each load (one row a load)."""
+        rows = read_current(self.spark, f"{self.path}/index", "load int, folder string").collect()
+        return {r["load"]: r["folder"] for r in sorted(rows)}
+
+    def _keep(self, summaries: DataFrame, load: int, instead_of) -> None:
+        """Write summaries as ``load``; they replace the loads ``instead_of``."""
+        folder = f"parts/{load}-{uuid.uuid4().hex[:12]}"
+        summaries.write.parquet(f"{self.path}/{folder}")
+        index = {n: f for n, f in self._index().items() if n not in instead_of} | {load: folder}
+        publish(self.spark.createDataFrame(sorted(index.items()), "load int, folder string").coalesce(1), f"{self.path}/index")
+
+    def loads(self) -> list[int]:
+        return list(self._index())
+
+    def add(self, load: int, events: DataFrame, **hot) -> None:
+        """Keep the summaries of a load, or replace those it had."""
+        self._keep(summarise_load(events, self.seq, **hot), load, [load])
+
+    def compact(self, upto: int) -> None:
+        """Compose the loads up to ``upto`` into one, kept under its number; they
+        can then no longer be replaced one by one."""
+        old = {n: f for n, f in self._index().items() if n <= upto}
+        if old:
+            rows = reduce(DataFrame.unionByName, [self._part(f).withColumn("_load", F.lit(n)) for n, f in old.items()])
+            self._keep(compose_summaries(rows, "_load"), upto, old)
+
+    def _part(self, folder: str) -> DataFrame:
+        return self.spark.read.schema(LOAD_SCHEMA).parquet(f"{self.path}/{folder}")
+
+    def state(self, before: int | None = None) -> DataFrame:
+        """(user_id, balance_units, n_txns) of every user with a start, after
+        all loads (those numbered below ``before``)."""
+        rows = self.starts.select("user_id", F.lit(0).alias("_kind"), F.lit(-1).alias("_load"), "start", F.lit(0).cast("long").alias("n"),
+                                  F.lit(False).alias("dead"), F.array().cast("array<long>").alias("starts"),
+                                  F.array().cast("array<long>").alias("ends"), F.lit(0).cast("long").alias("shift"))
+        for n, folder in self._index().items():
+            if before is None or n < before:
+                rows = rows.unionByName(self._part(folder).withColumns(
+                    {"_kind": F.lit(1), "_load": F.lit(n), "start": F.lit(None).cast("long")}))
+        return (rows.repartition("user_id").sortWithinPartitions("user_id", "_kind", "_load").mapInArrow(_reach, STATE_SCHEMA))
+
+    def balances(self, load: int, events: DataFrame, hot_rows: int = HOT_USER_ROWS, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+        """What ``replay_ledger`` over all loads gives for this load's transactions."""
+        entry = self.state(before=load).select("user_id", F.col("balance_units").alias("start"), F.col("n_txns").alias("reached"))
+        return _replay(entry, _event_units(events, self.seq), self.seq, hot_rows, segment_rows)
+
+
 def latest_state(df: DataFrame, key: str, seq: list[str], cols: list[str]) -> DataFrame:
     """Each key's last row by ``seq`` (op G9), as a partial+final aggregate."""
     last = F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(*[F.col(c) for c in seq]))

@@ -381,6 +381,25 @@ def q_ledger_replay(spark, sf_dir):
     return LG.replay_ledger(starts, events, ["txn_ts"])
 
 
+# Three loads by date, the middle one added last: balances and final state as of one replay.
+_LOADS = [("txn_ts < TIMESTAMP_NTZ '1994-06-01'", 0), ("txn_ts >= TIMESTAMP_NTZ '1996-06-01'", 2),
+          ("txn_ts >= TIMESTAMP_NTZ '1994-06-01' AND txn_ts < TIMESTAMP_NTZ '1996-06-01'", 1)]
+
+
+@register("ledger_in_loads", O.with_adapters(
+    "SELECT txn_id, user_id, rn AS txn_seq, CAST(bal AS DOUBLE) AS balance_after_txn, "
+    "CAST(last_value(bal) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS DOUBLE) "
+    "AS final_balance FROM rep WHERE rn > 0", _REPLAY_CTES, recursive=True))
+def q_ledger_in_loads(spark, sf_dir):
+    starts, events = _ledger_inputs(spark, sf_dir)
+    ledger = LG.LedgerLoads(spark, scratch_dir(spark, "ledger"), starts, ["txn_ts"])
+    for part, load in _LOADS:
+        ledger.add(load, events.where(part))
+    balances = reduce(DataFrame.unionByName, [ledger.balances(load, events.where(part)) for part, load in _LOADS])
+    final = ledger.state().select("user_id", (F.col("balance_units") / F.lit(float(LG.UNITS))).alias("final_balance"))
+    return balances.join(final, "user_id")
+
+
 @register("ledger_final_state", O.with_adapters(
     "SELECT user_id, CAST(round(bal, 2) AS DOUBLE) AS total_ledger_balance, rn AS n_txns, "
     "CAST(round(CASE WHEN bal > 0 THEN bal * CAST(CASE user_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 5 END "
