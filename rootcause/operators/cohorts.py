@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from rootcause.session import reliable_checkpoint
 TOPK_ROWS = 10_000
 MERGE_GROUPS = 256
 HIST_BINS = 1 << 20
+# Rows that a bin of scores holds on average when draws are looked up in it.
+RANK_ROWS = 64
 
 
 def _smallest_k_flag(df: DataFrame, score: str, key: str, k: int, flag: str) -> DataFrame:
@@ -118,18 +122,49 @@ def surrogate_ids(df: DataFrame, order: list[str], id_col: str = "id") -> DataFr
             .drop("_mid", "_pid", "_off"))
 
 
+def _score_bins(n: int) -> int:
+    """Bins of about RANK_ROWS rows each, at most HIST_BINS."""
+    return max(1, min(HIST_BINS, n // RANK_ROWS))
+
+
 def sample_with_replacement(df: DataFrame, key: str, k: int, salt: str) -> DataFrame:
     """k draws with repeats (op G4): draw i picks the row at dense index
-    floor(uniform(i, salt) * n). Returns (draw_id, <key columns>)."""
+    floor(uniform(i, salt) * n) of the order by (uniform(key, salt), key).
+    Returns (draw_id, <columns of df>); ``key`` is unique and not null.
+
+    The table is not sorted. Its scores are counted by bins in one narrow pass;
+    the running count of at most HIST_BINS bins turns each draw into a bin and
+    a place in it. Then only rows of bins that were drawn from are shuffled, by
+    bin, to be ranked there: for few draws that is a small part of the table,
+    which a second scan picks out.
+    """
     spark = df.sparkSession
-    indexed = surrogate_ids(df.withColumn("_u", uniform(key, salt)), ["_u", key], "_idx").drop("_u")
-    n = indexed.count()
-    if n == 0 or k <= 0:
-        return indexed.limit(0).withColumn("draw_id", F.lit(0).cast("long")).drop("_idx")
-    draws = spark.range(k).select(
-        F.col("id").alias("draw_id"),
-        (F.floor(uniform("id", salt) * F.lit(n)) + 1).cast("long").alias("_idx"))
-    return draws.join(indexed, "_idx").drop("_idx")
+    scored = df.withColumn("_u", uniform(key, salt))
+    n = df.count() if k > 0 else 0
+    if n == 0:
+        return df.limit(0).select(F.lit(0).cast("long").alias("draw_id"), *df.columns)
+    bins = _score_bins(n)
+    bin_of = F.floor(F.col("_u") * bins).cast("long")
+    counts = scored.groupBy(bin_of.alias("_bin")).count().toArrow()  # at most HIST_BINS rows
+    held = np.zeros(bins, np.int64)
+    held[counts["_bin"].to_numpy()] = counts["count"].to_numpy()
+    ends_of = spark.sparkContext.broadcast(np.cumsum(held))
+
+    def place(batches):
+        for b in batches:
+            at = b["_at"].to_numpy()
+            hit = np.searchsorted(ends_of.value, at, "right")
+            before = np.where(hit > 0, ends_of.value[hit - 1], 0)
+            yield pa.RecordBatch.from_arrays([b["draw_id"], pa.array(hit), pa.array(at - before)], ["draw_id", "_bin", "_place"])
+
+    draws = (spark.range(k).select(F.col("id").alias("draw_id"), F.floor(uniform("id", salt) * F.lit(n)).cast("long").alias("_at"))
+             .mapInArrow(place, "draw_id long, _bin long, _place long"))
+    binned = scored.withColumn("_bin", bin_of)
+    if k * 4 < bins:
+        # Few draws: rows of other bins are left out where they are read.
+        binned = binned.join(F.broadcast(draws.select("_bin").distinct()), "_bin", "left_semi")
+    ranked = binned.withColumn("_place", (F.row_number().over(Window.partitionBy("_bin").orderBy("_u", key)) - 1).cast("long"))
+    return draws.join(ranked, ["_bin", "_place"]).select("draw_id", *df.columns)
 
 
 def cohort_tickets(users: DataFrame, cohorts, stride: int) -> DataFrame:

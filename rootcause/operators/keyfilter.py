@@ -46,16 +46,29 @@ def build_filter(keys: DataFrame, key: str, n_keys: int) -> DataFrame:
             .agg(*(bit(w).alias(f"w{w}") for w in range(WORDS))))
 
 
+def _tested(df: DataFrame, key: str, keys: DataFrame, n_keys: int, how: str) -> tuple[DataFrame, Column]:
+    """``df`` joined to the pages of its keys, and the test of the bits."""
+    pages = _pages(n_keys)
+    filters = build_filter(keys.select(key), key, n_keys).select(F.col("page").alias("_page"), *(F.col(f"w{w}").alias(f"_w{w}") for w in range(WORDS)))
+    words = F.array(*(F.col(f"_w{w}") for w in range(WORDS)))
+    bits = [F.call_function("shiftright", F.get(words, F.shiftright(_place(key, k), 6)), _place(key, k).bitwiseAND(63)).bitwiseAND(1) == 1
+            for k in range(HASHES)]
+    return df.join(F.broadcast(filters), _page(key, pages) == F.col("_page"), how), reduce(lambda a, b: a & b, bits)
+
+
 def might_match(df: DataFrame, key: str, keys: DataFrame, n_keys: int) -> DataFrame:
     """The rows of ``df`` whose key may be among ``keys`` (column of the same
     name); all of them stay as they are where the filter would be too large."""
     if n_keys > MAX_KEYS:
         return df
-    pages = _pages(n_keys)
-    filters = build_filter(keys.select(key), key, n_keys).select(F.col("page").alias("_page"), *(F.col(f"w{w}").alias(f"_w{w}") for w in range(WORDS)))
-    tested = df.join(F.broadcast(filters), _page(key, pages) == F.col("_page"))
-    words = F.array(*(F.col(f"_w{w}") for w in range(WORDS)))
-    for k in range(HASHES):
-        word = F.get(words, F.shiftright(_place(key, k), 6))
-        tested = tested.where(F.call_function("shiftright", word, _place(key, k).bitwiseAND(63)).bitwiseAND(1) == 1)
-    return tested.select(*df.columns)
+    joined, passes = _tested(df, key, keys, n_keys, "inner")
+    return joined.where(passes).select(*df.columns)
+
+
+def flag_matches(df: DataFrame, key: str, keys: DataFrame, n_keys: int, flag: str) -> DataFrame:
+    """Every row of ``df``, with whether its key may be among ``keys``: true for
+    all where the filter would be too large, false for a null key."""
+    if n_keys > MAX_KEYS:
+        return df.withColumn(flag, F.col(key).isNotNull())
+    joined, passes = _tested(df, key, keys, n_keys, "left")
+    return joined.select(*df.columns, (F.coalesce(passes, F.lit(False)) & F.col(key).isNotNull()).alias(flag))

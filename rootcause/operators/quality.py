@@ -19,7 +19,9 @@ few driver round trips.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from rootcause.operators.keyfilter import flag_matches, might_match
 from rootcause.schemas import FOREIGN_KEYS, PRIMARY_KEYS
 from rootcause.themes import TIMEOUT_CODE, TIMEOUT_LATENCY_MS
 
@@ -81,39 +83,45 @@ def constraint_violations(tables: dict[str, DataFrame]) -> DataFrame:
     return _run(tables, parts)
 
 
-def _final_balance_sql(tol: float) -> str:
-    """Users with ledger rows none of which lies within ``tol`` of their
-    total_ledger_balance (one row per such user).
+def _bucket(c: str) -> str:
+    return f"CAST(floor(({c}) / CAST({_BUCKET!r} AS DOUBLE)) AS BIGINT)"
 
-    Instead of joining every ledger row to its user and grouping by user (a
-    hot user's rows would meet in one task, and AQE cannot split a skewed join
-    that feeds an aggregate on the same key), ledger balances are reduced to
-    distinct (user, cent bucket, balance), and each user is sent to the few
-    buckets its tolerance window can touch (one spare bucket on each side
-    absorbs rounding at the edges). The equi-join on (user, bucket) spreads a
-    hot user over as many reducers as it has buckets; the exact
-    |balance - total| < tol test runs after the join. Null balances keep a
-    null bucket: they match nothing but mark the user as having ledger rows.
-    """
+
+def _windows(users: DataFrame, tol: float) -> DataFrame:
+    """(user_id, total_ledger_balance, _b, _key): the buckets that a balance
+    within ``tol`` of the user's total can lie in, with a spare one on each side."""
     t = f"CAST({tol!r} AS DOUBLE)"
+    return (users.where("total_ledger_balance IS NOT NULL").selectExpr(
+        "user_id", "total_ledger_balance", f"explode(sequence({_bucket(f'total_ledger_balance - {t}')} - 1, "
+        f"{_bucket(f'total_ledger_balance + {t}')} + 1)) AS _b").withColumn("_key", F.xxhash64("user_id", "_b")))
 
-    def bucket(c):
-        return f"CAST(floor(({c}) / CAST({_BUCKET!r} AS DOUBLE)) AS BIGINT)"
 
-    cand = (f"SELECT user_id, {bucket('balance_after_txn')} AS _b, balance_after_txn AS _bal, count(1) AS _rows "
-            f"FROM {{financial_ledger}} GROUP BY user_id, {bucket('balance_after_txn')}, balance_after_txn")
-    windows = (f"SELECT user_id, total_ledger_balance, explode(sequence({bucket(f'total_ledger_balance - {t}')} - 1, "
-               f"{bucket(f'total_ledger_balance + {t}')} + 1)) AS _b FROM {{users}} "
-               f"WHERE total_ledger_balance IS NOT NULL")
-    hits = (f"SELECT c.user_id FROM ({cand}) c JOIN ({windows}) w ON c.user_id = w.user_id AND c._b = w._b "
-            f"WHERE abs(c._bal - w.total_ledger_balance) < {t}")
-    with_rows = (f"SELECT c.user_id FROM (SELECT DISTINCT user_id FROM ({cand}) c0) c "
-                 f"JOIN (SELECT DISTINCT user_id FROM {{users}}) u ON c.user_id = u.user_id")
-    return f"SELECT user_id FROM ({_match_sql(with_rows, hits, 'user_id', matched=False)}) m"
+#: Buckets of one user at most.
+_WINDOW_BUCKETS = 5
 
 
-def _users_without_final_balance(ledger: DataFrame, users: DataFrame, tol: float) -> DataFrame:
-    return ledger.sparkSession.sql(_final_balance_sql(tol), financial_ledger=ledger, users=users)
+def _users_without_final_balance(ledger: DataFrame, users: DataFrame, tol: float, n_users: int | None = None) -> DataFrame:
+    """Users with ledger rows none of which lies within ``tol`` of their
+    total_ledger_balance (one row per such user).
+
+    The ledger is read once. Rows whose (user, cent bucket) cannot be one of
+    a user's windows, by a Bloom filter of those, collapse to one row a user in
+    each map task; the few others go on as distinct balances. So what is
+    shuffled grows with the users, not with the ledger, and a hot user is a few
+    rows a task. The equi-join on (user, bucket) and the exact
+    |balance - total| < tol test come after it.
+    """
+    n_users = users.count() if n_users is None else n_users
+    windows = _windows(users, tol)
+    rows = ledger.selectExpr("user_id", f"{_bucket('balance_after_txn')} AS _b", "balance_after_txn AS _bal").withColumn(
+        "_key", F.when(F.col("_b").isNotNull(), F.xxhash64("user_id", "_b")))
+    flagged = flag_matches(rows, "_key", windows, n_users * _WINDOW_BUCKETS, "_maybe")
+    seen = flagged.groupBy("user_id", F.when(F.col("_maybe"), F.col("_b")).alias("_b"),
+                           F.when(F.col("_maybe"), F.col("_bal")).alias("_bal")).agg(F.count(F.lit(1)).alias("_rows"))
+    near = F.coalesce(F.abs(F.col("_bal") - F.col("total_ledger_balance")) < F.lit(tol), F.lit(False))
+    hit = (seen.join(windows.select("user_id", "_b", "total_ledger_balance"), ["user_id", "_b"], "left")
+           .groupBy("user_id").agg(F.max(near).alias("_hit")))
+    return hit.where(~F.col("_hit")).join(users.select("user_id").distinct(), "user_id").select("user_id")
 
 
 def telemetry_invariants(tables: dict[str, DataFrame], tolerance: float = 1e-6) -> DataFrame:
@@ -130,7 +138,12 @@ def telemetry_invariants(tables: dict[str, DataFrame], tolerance: float = 1e-6)
     Adapter data breaks some of these by construction: compare counts.
     """
     activity = ["trades", "financial_ledger", "app_performance"]
-    tagged = " UNION ALL ".join(f"SELECT '{n}' AS table_name, user_id FROM {{{n}}}" for n in activity)
+    n_users = tables["users"].count()
+    # Only rows of users that may be defective are counted per user and shuffled.
+    suspects = tables["users"].where("kyc_status <> 'APPROVED'").select("user_id")
+    tables = tables | {f"of_{n}": might_match(tables[n].select("user_id"), "user_id", suspects, n_users) for n in activity}
+    tables["without_final"] = _users_without_final_balance(tables["financial_ledger"], tables["users"], 0.005, n_users)
+    tagged = " UNION ALL ".join(f"SELECT '{n}' AS table_name, user_id FROM {{of_{n}}}" for n in activity)
     defective = "SELECT user_id FROM {users} WHERE kyc_status <> 'APPROVED'"
     parts = [_per_table_sql(_match_sql(_counts_sql(tagged, "user_id", activity), defective, "user_id", True),
                             activity, "kyc_user_has_activity")]
@@ -154,5 +167,5 @@ def telemetry_invariants(tables: dict[str, DataFrame], tolerance: float = 1e-6)
                  "'price_bps_agreement', b, 'timeout_code_override', c) AS (rule, violations) "
                  f"FROM (SELECT {rules} FROM {{trades}}) t) s")
     parts.append(f"SELECT 'users' AS table_name, 'final_balance_in_ledger' AS rule, "
-                 f"CAST(count(1) AS BIGINT) AS violations FROM ({_final_balance_sql(0.005)}) f")
+                 f"CAST(count(1) AS BIGINT) AS violations FROM {{without_final}} f")
     return _run(tables, parts)
