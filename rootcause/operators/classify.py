@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from rootcause.functions.text import JSON_SPAN_PATTERN, wrap_review
 from rootcause.plans.scoped import FINANCE_WORDS, label_sql, parted, tags_sql
 from rootcause.schemas import CATEGORY_COL
-from rootcause.themes import DEFAULT_THEME
+from rootcause.themes import DEFAULT_THEME, THEMES
 
 _SPAN = re.compile(r"\{.*\}", re.DOTALL)
 
@@ -178,9 +178,24 @@ def categorise(df: DataFrame, col: str, infer: Callable[[pd.Series], pd.Series],
     return with_category(replied, label, out).drop("_reply")
 
 
-def category_distribution(df: DataFrame, col: str = CATEGORY_COL) -> DataFrame:
+UNLISTED = "UNLISTED"
+
+
+def listed_label(col: str, known=THEMES) -> Column:
+    """The label if it is one of ``known``, else UNLISTED; null stays null."""
+    return F.when(F.col(col).isNull() | F.col(col).isin(list(known)), F.col(col)).otherwise(F.lit(UNLISTED))
+
+
+def category_distribution(df: DataFrame, col: str = CATEGORY_COL, known=None) -> DataFrame:
     """Count per category, null categories ignored, renamed to
-    (Category, Count) and ordered by count desc then name (ops C3, B7)."""
+    (Category, Count) and ordered by count desc then name (ops C3, B7).
+
+    Labels are counted as they are. A model may answer with anything, so for
+    its labels pass the ``known`` ones: all others are counted as UNLISTED, and
+    the result has a bounded number of rows.
+    """
+    if known is not None:
+        df = df.withColumn(col, listed_label(col, known))
     return (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("Count"))
               .withColumnRenamed(col, "Category")
               .orderBy(F.col("Count").desc(), F.col("Category").asc()))
@@ -194,8 +209,8 @@ def top_category(dist: DataFrame) -> DataFrame:
 def ranked_categories(dist: DataFrame) -> DataFrame:
     """Pick list with a 0-based index; index 0 is the default choice (op C5).
 
-    The window has no partition key, but its input is the distribution: one
-    row per distinct label.
+    The window has no partition key: its input is a distribution, one row per
+    distinct label. Labels that nobody chose must be counted with ``known``.
     """
     w = Window.orderBy(F.col("Count").desc(), F.col("Category").asc())
     return dist.withColumn("idx", (F.row_number().over(w) - 1).cast("int")) \

@@ -25,7 +25,11 @@ from rootcause.themes import ACTION_OWNERS, ACTIONS_HEADING, INSIGHT_ERROR_PREFI
 INSIGHT_REQUEST = "The top user complaint is '{theme}'. Exact metrics:\n{text}\n\nPlease generate the Executive Summary."
 
 BULLET_PATTERN = r"(?m)^[ \t]*[-*] "
-SENTENCE_END_PATTERN = r"[.!?](\s|$)"
+# A sentence ends at a mark with a new beginning behind it, or at the end of the text; a mark
+# inside a number, or after one of these abbreviations, ends nothing.
+ABBREVIATION_PATTERN = r"(?i)(^|[^\p{L}])(vs|approx|incl|excl|avg|max|min|no|e\.g|i\.e)\."
+SENTENCE_END_PATTERN = r"[.!?]+[\"')*_]*(\s+[^\sa-z]|\s*$)"
+ENDED_PATTERN = r"(^|[.!?][\"')*_]*)\s*$"
 # A number of basis points written as a percentage: '%' right beside 'bps', or
 # in place of it after a metric named bps.
 BPS_AS_PERCENT_PATTERN = r"(?i)(\d\s*%\s*\(?bps|bps\s*\)?%|_bps[^\n.;,]{0,20}\d\s*%)"
@@ -140,8 +144,9 @@ def summary_contract(df: DataFrame, col: str = "summary") -> DataFrame:
     c = F.col(col)
     has_heading = F.startswith(c, F.lit(INSIGHT_HEADING + "\n"))
     body = F.substring_index(F.substring(c, len(INSIGHT_HEADING) + 1, 1_000_000), ACTIONS_HEADING, 1)
-    # A full stop inside a number or a name does not end a sentence.
-    sentences = F.regexp_count(body, F.lit(SENTENCE_END_PATTERN)).cast("long")
+    body = F.regexp_replace(body, ABBREVIATION_PATTERN, "$1$2")
+    # What stands after the last mark is a sentence without one.
+    sentences = (F.regexp_count(body, F.lit(SENTENCE_END_PATTERN)) + (~body.rlike(ENDED_PATTERN)).cast("int")).cast("long")
     bullets = F.regexp_count(c, F.lit(BULLET_PATTERN)).cast("long")
     after = F.filter(F.split(F.trim(F.when(c.contains(ACTIONS_HEADING), F.substring_index(c, ACTIONS_HEADING, -1))
                                     .otherwise(F.lit(""))), "\n"), lambda line: F.trim(line) != "")

@@ -18,6 +18,7 @@ from rootcause.operators.diagnose import diagnose_long
 from rootcause.operators.insight import summarise, with_display
 from rootcause.operators.severity import baseline
 from rootcause.schemas import CATEGORY_COL
+from rootcause.themes import THEMES
 
 
 def label_reviews(reviews: DataFrame, rules=None, curated: bool = False) -> DataFrame:
@@ -29,7 +30,8 @@ def label_reviews(reviews: DataFrame, rules=None, curated: bool = False) -> Data
 
 def theme_ranking(reviews: DataFrame, rules=None, curated: bool = False) -> DataFrame:
     """(complaint_theme, review_count, rank_idx), most frequent first."""
-    ranked = ranked_categories(category_distribution(label_reviews(reviews, rules, curated), CATEGORY_COL))
+    known = [*THEMES, *(label for label, _ in rules or ())]
+    ranked = ranked_categories(category_distribution(label_reviews(reviews, rules, curated), CATEGORY_COL, known))
     return ranked.select(F.col("Category").alias("complaint_theme"), F.col("Count").alias("review_count"),
                          F.col("idx").alias("rank_idx"))
 

@@ -593,8 +593,8 @@ _ACTIONS_LINES = (f"list_filter(string_split(split_part(summary, {_lit(ACTIONS_H
                   f"lambda x: trim(x) <> '')")
 _CONTRACT_CTES = _SUMMARY_CTES + f""",
 checked AS (SELECT complaint_theme, starts_with(summary, {_lit(INSIGHT_HEADING)} || chr(10)) AS has_heading,
-  CAST(len(regexp_extract_all(split_part(substr(summary, {len(INSIGHT_HEADING) + 1}), {_lit(ACTIONS_HEADING)}, 1),
-    '[.!?](\\s|$)')) AS BIGINT) AS sentence_count,
+  CAST(len(list_filter(string_split_regex(trim(split_part(substr(summary, {len(INSIGHT_HEADING) + 1}), {_lit(ACTIONS_HEADING)}, 1),
+    ' ' || chr(10)), '[.!?]+(\\s+|$)'), lambda x: x <> '')) AS BIGINT) AS sentence_count,
   CAST(len(list_filter(string_split(summary, chr(10)), lambda x: regexp_matches(x, '^[ \\t]*[-*] '))) AS BIGINT) AS bullet_count,
   contains(summary, '- **Engineering**') AND contains(summary, '- **Infrastructure**')
     AND contains(summary, '- **Product**') AS has_owners,

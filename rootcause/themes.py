@@ -16,8 +16,6 @@ THEMES = [
 ]
 DEFAULT_THEME = "GENERAL_INQUIRY"
 
-KYC_STATUSES = ["APPROVED", "PENDING", "REJECTED"]
-
 # KYC failure reasons and their weights; then the two non-KYC bottleneck values.
 KYC_REASONS = [
     "DOCUMENT_MISMATCH",
@@ -31,13 +29,8 @@ KYC_REASON_WEIGHTS = [0.40, 0.20, 0.15, 0.10, 0.10, 0.05]
 AUTH_OTP = "2FA/OTP_NOT_RECEIVED"
 AUTH_CLEARED = "CLEARED"
 
-TXN_TYPES = ["MARGIN_PENALTY", "DELAYED_PAYMENT", "AUTO_SQUARE_OFF", "WITHDRAWAL", "DEPOSIT", "AMC_FEE"]
-ORDER_SIDES = ["BUY", "SELL", "STOP_LOSS"]
-ORDER_KINDS = ["MARKET", "LIMIT"]
-REJECTION_CODES = ["NONE", "INSUFFICIENT_DEPTH", "INVALID_TICK_SIZE", "FAILED TIMEOUT"]
 TIMEOUT_CODE = "FAILED TIMEOUT"
 TIMEOUT_LATENCY_MS = 5000
-DEVICE_OS = ["Android", "iOS"]
 
 # Sentinels and output contracts.
 SQL_ERROR_SENTINEL = "ERROR_GENERATING_SQL"
