@@ -11,9 +11,7 @@ No row of a key is lost; a few in a hundred of the others pass.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS_PER_KEY = 8
@@ -27,33 +25,34 @@ def _pages(n_keys: int) -> int:
     return max(1, -(-n_keys * BITS_PER_KEY // (64 * WORDS)))
 
 
-def _page(key: str, pages: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(pages))
+def _hashed(df: DataFrame, key: str, pages: int) -> DataFrame:
+    """``df`` with its key's page and the 64 bits that its places in the page are taken from."""
+    return df.selectExpr("*", f"pmod(xxhash64(`{key}`), {pages}L) AS _page", f"xxhash64(1, `{key}`) AS _h")
+
+
+def _word(k: int) -> str:
+    return f"CAST(shiftright(_h, {9 * k + 6}) & {WORDS - 1} AS INT)"
 
 
-def _place(key: str, k: int) -> Column:
-    """The k-th of a key's bits in its page."""
-    return F.shiftright(F.xxhash64(F.lit(1), key), 9 * k).bitwiseAND(64 * WORDS - 1).cast("int")
+def _bit(k: int) -> str:
+    return f"CAST(shiftright(_h, {9 * k}) & 63 AS INT)"
 
 
 def build_filter(keys: DataFrame, key: str, n_keys: int) -> DataFrame:
-    """(page, w0 .. w7) of the keys, of which there are at most ``n_keys``; repeated ones are fine."""
-    def bit(word: int) -> Column:
-        ones = [F.when(F.shiftright(_place(key, k), 6) == word, F.call_function("shiftleft", F.lit(1).cast("long"), _place(key, k).bitwiseAND(63)))
-                .otherwise(F.lit(0).cast("long")) for k in range(HASHES)]
-        return F.bit_or(reduce(lambda a, b: a.bitwiseOR(b), ones))
-    return (keys.where(F.col(key).isNotNull()).groupBy(_page(key, _pages(n_keys)).alias("page"))
-            .agg(*(bit(w).alias(f"w{w}") for w in range(WORDS))))
+    """(_page, _w0 .. _w7) of the keys, of which there are at most ``n_keys``; repeated ones are fine."""
+    def word(w: int) -> str:
+        ones = [f"CASE WHEN {_word(k)} = {w} THEN shiftleft(1L, {_bit(k)}) ELSE 0L END" for k in range(HASHES)]
+        return f"bit_or({' | '.join(ones)}) AS _w{w}"
+    return (_hashed(keys.where(f"`{key}` IS NOT NULL").select(key), key, _pages(n_keys)).groupBy("_page")
+            .agg(*(F.expr(word(w)) for w in range(WORDS))))
 
 
-def _tested(df: DataFrame, key: str, keys: DataFrame, n_keys: int, how: str) -> tuple[DataFrame, Column]:
-    """``df`` joined to the pages of its keys, and the test of the bits."""
-    pages = _pages(n_keys)
-    filters = build_filter(keys.select(key), key, n_keys).select(F.col("page").alias("_page"), *(F.col(f"w{w}").alias(f"_w{w}") for w in range(WORDS)))
-    words = F.array(*(F.col(f"_w{w}") for w in range(WORDS)))
-    bits = [F.call_function("shiftright", F.get(words, F.shiftright(_place(key, k), 6)), _place(key, k).bitwiseAND(63)).bitwiseAND(1) == 1
-            for k in range(HASHES)]
-    return df.join(F.broadcast(filters), _page(key, pages) == F.col("_page"), how), reduce(lambda a, b: a & b, bits)
+def _tested(df: DataFrame, key: str, keys: DataFrame, n_keys: int, how: str) -> tuple[DataFrame, str]:
+    """``df`` joined to the pages of its keys, and the test of the bits as SQL text."""
+    words = "array(" + ", ".join(f"_w{w}" for w in range(WORDS)) + ")"
+    bits = [f"(shiftright(element_at({words}, {_word(k)} + 1), {_bit(k)}) & 1) = 1" for k in range(HASHES)]
+    joined = _hashed(df, key, _pages(n_keys)).join(F.broadcast(build_filter(keys, key, n_keys)), "_page", how)
+    return joined, " AND ".join(bits)
 
 
 def might_match(df: DataFrame, key: str, keys: DataFrame, n_keys: int) -> DataFrame:
@@ -71,4 +70,4 @@ def flag_matches(df: DataFrame, key: str, keys: DataFrame, n_keys: int, flag: st
     if n_keys > MAX_KEYS:
         return df.withColumn(flag, F.col(key).isNotNull())
     joined, passes = _tested(df, key, keys, n_keys, "left")
-    return joined.select(*df.columns, (F.coalesce(passes, F.lit(False)) & F.col(key).isNotNull()).alias(flag))
+    return joined.select(*df.columns, F.expr(f"coalesce({passes}, false) AND `{key}` IS NOT NULL").alias(flag))

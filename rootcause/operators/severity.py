@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootcause.operators.diagnose import cohort_fits_broadcast
-from rootcause.plans.diagnostics import PLANS, DiagnosticPlan
+from rootcause.plans.diagnostics import PLANS, DiagnosticPlan, Metric
 
 ACCURACY = 100_000
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -29,15 +29,15 @@ INNER, OUTER = 1.349, 3.29
 
 def cohort_masks(support: DataFrame, themes: list[str]) -> DataFrame:
     """(user_id, mask): bit i is set where the user has a ticket of theme i."""
-    bit = F.lit(0)
-    for i, t in enumerate(themes):
-        bit = F.when(F.col("complaint_theme") == t, F.lit(1 << i)).otherwise(bit)
+    bit = "CASE complaint_theme " + " ".join(f"WHEN '{t}' THEN {1 << i}" for i, t in enumerate(themes)) + " END"
     return (support.where(F.col("complaint_theme").isin(themes) & F.col("user_id").isNotNull())
-            .groupBy("user_id").agg(F.bit_or(bit).alias("mask")))
+            .groupBy("user_id").agg(F.expr(f"bit_or({bit}) AS mask")))
 
 
-def _outside(df: DataFrame, masks: DataFrame, small: bool) -> DataFrame:
-    return (df.join(F.broadcast(masks) if small else masks, "user_id", "left").withColumn("mask", F.coalesce("mask", F.lit(0))))
+def _entries(rows: list[dict[str, str]]) -> str:
+    """SQL text: one row for each dict of column -> expression."""
+    structs = ["named_struct(" + ", ".join(f"'{k}', {v}" for k, v in r.items()) + ")" for r in rows]
+    return f"inline(array({', '.join(structs)}))"
 
 
 def baseline(tables: dict[str, DataFrame], themes=None) -> DataFrame:
@@ -50,8 +50,8 @@ def baseline(tables: dict[str, DataFrame], themes=None) -> DataFrame:
     themes = list(themes or PLANS)
     support = tables["customer_support"]
     masks = cohort_masks(support, themes)
-    small = cohort_fits_broadcast(support, themes)
-    by_table: dict[str, list[tuple[int, DiagnosticPlan, object]]] = {}
+    masks = F.broadcast(masks) if cohort_fits_broadcast(support, themes) else masks
+    by_table: dict[str, list[tuple[int, DiagnosticPlan, Metric]]] = {}
     for i, theme in enumerate(themes):
         plan = PLANS[theme]
         for m in plan.metrics:
@@ -60,29 +60,26 @@ def baseline(tables: dict[str, DataFrame], themes=None) -> DataFrame:
     for table, metrics in by_table.items():
         groups = sorted({p.group_by for _, p, m in metrics if m.agg == "count" and p.group_by})
         measures = [x for x in metrics if x[2].agg != "count"]
-        counts = [x for x in metrics if x[2].agg == "count"]
         cols = ["user_id", *groups, *sorted({m.column for _, _, m in metrics} - {"user_id", *groups})]
-        rows = _outside(tables[table].select(*dict.fromkeys(cols)), masks, small)
-        out = {i: F.col("mask").bitwiseAND(F.lit(1 << i)) == 0 for i, _, _ in metrics}
+        rows = tables[table].select(*cols).join(masks, "user_id", "left").withColumn("mask", F.expr("coalesce(mask, 0)"))
         if measures:
-            sketches = rows.agg(*(F.percentile_approx(F.when(out[i], F.col(m.column).cast("double")), list(QUANTILES), ACCURACY).alias(f"q{k}")
-                                  for k, (i, _, m) in enumerate(measures)))
-            parts.append(sketches.select(F.inline(F.array(*(
-                F.struct(F.lit(p.theme).alias("complaint_theme"), F.lit(m.alias).alias("metric"), F.col(f"q{k}").alias("q"))
-                for k, (_, p, m) in enumerate(measures)))))
-                .select("complaint_theme", "metric", F.col("q")[2].alias("median"),
-                        F.nullif(F.greatest((F.col("q")[3] - F.col("q")[1]) / INNER, (F.col("q")[4] - F.col("q")[0]) / OUTER), F.lit(0.0)).alias("scale"),
-                        F.lit(None).cast("map<string,bigint>").alias("outside"), F.lit(None).cast("long").alias("outside_total")))
+            quantiles = ", ".join(f"{q}D" for q in QUANTILES)
+            sketches = rows.agg(*(F.expr(f"percentile_approx(CASE WHEN mask & {1 << i} = 0 THEN CAST({m.column} AS DOUBLE) END, "
+                                         f"array({quantiles}), {ACCURACY}) AS q{k}") for k, (i, _, m) in enumerate(measures)))
+            parts.append(sketches.selectExpr(_entries([
+                {"complaint_theme": f"'{p.theme}'", "metric": f"'{m.alias}'", "median": f"q{k}[2]",
+                 "scale": f"nullif(greatest((q{k}[3] - q{k}[1]) / {INNER}D, (q{k}[4] - q{k}[0]) / {OUTER}D), 0D)",
+                 "outside": "CAST(NULL AS MAP<STRING, BIGINT>)", "outside_total": "CAST(NULL AS BIGINT)"}
+                for k, (_, p, m) in enumerate(measures)])))
         for group in groups:
-            mine = [x for x in counts if x[1].group_by == group]
-            held = (rows.groupBy(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("g"))
-                    .agg(*(F.count(F.when(out[i], F.col(m.column))).alias(f"n{k}") for k, (i, _, m) in enumerate(mine))))
-            maps = held.agg(*(x for k in range(len(mine)) for x in (
-                F.map_from_entries(F.collect_list(F.struct("g", f"n{k}"))).alias(f"m{k}"), F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"t{k}"))))
-            parts.append(maps.select(F.inline(F.array(*(
-                F.struct(F.lit(p.theme).alias("complaint_theme"), F.lit(m.alias).alias("metric"), F.lit(None).cast("double").alias("median"),
-                         F.lit(None).cast("double").alias("scale"), F.col(f"m{k}").alias("outside"), F.col(f"t{k}").alias("outside_total"))
-                for k, (_, p, m) in enumerate(mine))))))
+            mine = [(i, p, m) for i, p, m in metrics if m.agg == "count" and p.group_by == group]
+            held = rows.groupBy(F.expr(f"coalesce(CAST({group} AS STRING), '') AS g")).agg(
+                *(F.expr(f"count(CASE WHEN mask & {1 << i} = 0 THEN {m.column} END) AS n{k}") for k, (i, _, m) in enumerate(mine)))
+            maps = held.agg(*(F.expr(x) for k in range(len(mine)) for x in (
+                f"map_from_entries(collect_list(named_struct('g', g, 'n', n{k}))) AS m{k}", f"coalesce(sum(n{k}), 0L) AS t{k}")))
+            parts.append(maps.selectExpr(_entries([
+                {"complaint_theme": f"'{p.theme}'", "metric": f"'{m.alias}'", "median": "CAST(NULL AS DOUBLE)", "scale": "CAST(NULL AS DOUBLE)",
+                 "outside": f"m{k}", "outside_total": f"t{k}"} for k, (_, p, m) in enumerate(mine)])))
     result = parts[0]
     for p in parts[1:]:
         result = result.unionByName(p)
@@ -92,15 +89,13 @@ def baseline(tables: dict[str, DataFrame], themes=None) -> DataFrame:
 def with_severity(long_df: DataFrame, base: DataFrame) -> DataFrame:
     """``long_df`` (of ``diagnose_long``) with the severity of each value; null
     for a missing value and for a metric without any outside value."""
-    high = F.expr("CASE concat(complaint_theme, ' ', metric) " + " ".join(
-        f"WHEN '{t} {m.alias}' THEN {str(m.high_is_bad).lower()}" for t, p in PLANS.items() for m in p.metrics) + " END")
-    whole = long_df.where("agg = 'count'").groupBy("complaint_theme", "metric").agg(F.sum("n").alias("_cohort"))
-    d = long_df.join(base, ["complaint_theme", "metric"], "left").join(whole, ["complaint_theme", "metric"], "left")
-    apart = (F.col("value") - F.col("median")) / F.coalesce("scale", F.lit(1.0))
-    share = F.try_divide(F.col("n").cast("double"), F.col("_cohort").cast("double"))
+    high = "CASE concat(complaint_theme, ' ', metric) " + " ".join(
+        f"WHEN '{t} {m.alias}' THEN {str(m.high_is_bad).lower()}" for t, p in PLANS.items() for m in p.metrics) + " END"
+    # A few result rows a theme; a join with their own sum would compute them twice.
+    d = (long_df.withColumn("_cohort", F.expr("sum(n) OVER (PARTITION BY complaint_theme, metric)"))
+         .join(F.broadcast(base), ["complaint_theme", "metric"], "left"))
+    apart = "(value - median) / coalesce(scale, 1D)"
     # Half a row more than there are, so that a group unknown outside has a share.
-    held = F.coalesce(F.expr("outside[coalesce(group_key, '')]"), F.lit(0))
-    usual = (held + F.lit(0.5)) / (F.col("outside_total") + F.lit(1.0))
-    unusual = (share - usual) / F.sqrt(usual * (F.lit(1.0) - usual))
-    severity = F.when(F.col("agg") == "count", unusual).otherwise(F.when(high, apart).otherwise(-apart))
-    return d.withColumn("severity", severity).select(*long_df.columns, "severity")
+    d = d.withColumn("_usual", F.expr("(coalesce(outside[coalesce(group_key, '')], 0L) + 0.5D) / (outside_total + 1D)"))
+    unusual = "(try_divide(CAST(n AS DOUBLE), CAST(_cohort AS DOUBLE)) - _usual) / sqrt(_usual * (1D - _usual))"
+    return d.selectExpr(*long_df.columns, f"CASE WHEN agg = 'count' THEN {unusual} WHEN {high} THEN {apart} ELSE -({apart}) END AS severity")

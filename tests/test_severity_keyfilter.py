@@ -118,7 +118,7 @@ def test_telemetry_is_filtered_below_the_first_exchange(spark, tables):
     for frame in (D.diagnose_long(tables, ["LEDGER_DISPUTE"], "pre_aggregate"), D.diagnose(tables, "LEDGER_DISPUTE", "pre_aggregate")):
         plan = frame._jdf.queryExecution().sparkPlan().toString()
         lines = plan.split("\n")
-        test = next(i for i, line in enumerate(lines) if "pmod(xxhash64(user_id" in line and "BroadcastHashJoin" in line)
+        test = next(i for i, line in enumerate(lines) if "BroadcastHashJoin [_page" in line)
         # Above the test (nearer the root) stand the aggregates by user, below it the ledger.
         above = [line for line in lines[:test] if "HashAggregate(keys=[user_id" in line]
         assert len(above) == 2, plan
