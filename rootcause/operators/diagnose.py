@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from rootcause.functions.numeric import SUM_TYPE, exact_avg, exact_sum
 from rootcause.functions.text import extract_sql
-from rootcause.operators.keyfilter import might_match
+from rootcause.operators.keyfilter import MAX_KEYS, might_match
 from rootcause.operators.statements import CHECKS, joins_without_equality, parse_query, plan_tree, statement_contract, wrapped
 from rootcause.plans.diagnostics import ID_COLUMNS, PLANS, UNIT_SUFFIXES, DiagnosticPlan
 from rootcause.schemas import TABLE_SCHEMAS
@@ -59,7 +59,7 @@ def diagnose(tables: dict[str, DataFrame], theme: str, strategy: str = "auto") -
 
     ``rows`` is the SQL-shaped plan (join every telemetry row to the cohort,
     AQE picks the join). The other strategies (``auto``, ``broadcast``,
-    ``pre_aggregate``) run ``diagnose_long`` for this theme, which broadcasts
+    ``filtered``, ``pre_aggregate``) run ``diagnose_long`` for this theme, which broadcasts
     only a cohort proven small and otherwise pre-aggregates per user, then pivot
     back to the same schema; results are identical.
     """
@@ -83,8 +83,8 @@ def _wide(tables: dict[str, DataFrame], plan: DiagnosticPlan, strategy: str) ->
     """One theme's result columns straight from its grouped aggregate (the
     grouped rows are already wide: one row per group key)."""
     if strategy == "auto":
-        strategy = "broadcast" if cohort_fits_broadcast(tables["customer_support"], [plan.theme]) else "pre_aggregate"
-    if strategy not in ("broadcast", "pre_aggregate"):
+        strategy = _chosen(tables["customer_support"], [plan.theme])
+    if strategy not in ("broadcast", "filtered", "pre_aggregate"):
         raise ValueError(f"unknown strategy {strategy!r}")
     metrics = _metric_index([plan])
     cols = ([f"group_key AS {plan.group_by}"] if plan.group_by else []) + [
@@ -127,10 +127,17 @@ def ticket_count(support: DataFrame, themes) -> int:
     return sum(counts.get(t, 0) for t in themes if t in PLANS) + extra
 
 
+def _chosen(support: DataFrame, themes) -> str:
+    """The plan for a cohort of the counted size."""
+    if cohort_fits_broadcast(support, themes):
+        return "broadcast"
+    return "filtered" if ticket_count(support, themes) <= MAX_KEYS else "pre_aggregate"
+
+
 def _telemetry(tables: dict[str, DataFrame], target: str, plans: list[DiagnosticPlan], strategy: str) -> DataFrame:
-    """The target table of a strategy: with ``pre_aggregate`` only the rows whose
+    """The target table of a strategy: with ``filtered`` only the rows whose
     user may be in a cohort, so that no others are grouped and shuffled."""
-    if strategy != "pre_aggregate":
+    if strategy != "filtered":
         return tables[target]
     themes = [p.theme for p in plans]
     support = tables["customer_support"]
@@ -153,10 +160,12 @@ def diagnose_long(tables: dict[str, DataFrame], themes=None, strategy: str = "au
       is joined map-side, then aggregated. Telemetry is never shuffled and a
       hot user costs nothing extra. Chosen by ``auto`` only when the cohort is
       proven small (``cohort_fits_broadcast``).
-    - ``pre_aggregate``: telemetry rows of users outside every cohort are
-      dropped in the scan by a Bloom filter of the cohorts' users, then both
-      sides are reduced per user before the join: telemetry to (user, group
-      column) partial sums and counts, tickets to
+    - ``filtered``: telemetry rows of users outside every cohort are dropped in
+      the scan by a Bloom filter of the cohorts' users, then as
+      ``pre_aggregate``. The plan for cohorts too large to broadcast, whose
+      filter is not.
+    - ``pre_aggregate``: both sides are reduced per user before the join:
+      telemetry to (user, group column) partial sums and counts, tickets to
       (user, theme) counts. Partial aggregation collapses a hot user inside
       each map task, the join meets one row per user on each side, and totals
       are sums of ticket count x partial. Decimal sums keep this exact,
@@ -165,9 +174,8 @@ def diagnose_long(tables: dict[str, DataFrame], themes=None, strategy: str = "au
     """
     themes = list(themes or PLANS)
     if strategy == "auto":
-        strategy = ("broadcast" if cohort_fits_broadcast(tables["customer_support"], themes)
-                    else "pre_aggregate")
-    if strategy not in ("broadcast", "pre_aggregate", "rows"):
+        strategy = _chosen(tables["customer_support"], themes)
+    if strategy not in ("broadcast", "filtered", "pre_aggregate", "rows"):
         raise ValueError(f"unknown strategy {strategy!r}")
     by_target: dict[str, list[DiagnosticPlan]] = {}
     for t in themes:
@@ -277,7 +285,7 @@ def _preaggregated_sql(target, plans, metrics) -> str:
 
 def _grouped_sql(target: str, plans, metrics, strategy: str) -> str:
     """(complaint_theme, group_key, n<i>, v<i>, s<i>) per theme and group key."""
-    if strategy == "pre_aggregate":
+    if strategy in ("filtered", "pre_aggregate"):
         return _preaggregated_sql(target, plans, metrics)
     return _rows_sql(target, plans, metrics, broadcast_cohort=strategy == "broadcast")
 

@@ -115,7 +115,7 @@ def test_filter_loses_no_key_and_few_others_pass(spark):
 
 
 def test_telemetry_is_filtered_below_the_first_exchange(spark, tables):
-    for frame in (D.diagnose_long(tables, ["LEDGER_DISPUTE"], "pre_aggregate"), D.diagnose(tables, "LEDGER_DISPUTE", "pre_aggregate")):
+    for frame in (D.diagnose_long(tables, ["LEDGER_DISPUTE"], "filtered"), D.diagnose(tables, "LEDGER_DISPUTE", "filtered")):
         plan = frame._jdf.queryExecution().sparkPlan().toString()
         lines = plan.split("\n")
         test = next(i for i, line in enumerate(lines) if "BroadcastHashJoin [_page" in line)
@@ -129,6 +129,15 @@ def test_telemetry_is_filtered_below_the_first_exchange(spark, tables):
 def test_hot_users_outside_the_cohort_are_not_shuffled(spark):
     T, _ = world(spark)
     for theme in PLANS:
-        assert sorted(map(str, D.diagnose(T, theme, "pre_aggregate").collect())) == sorted(map(str, D.diagnose(T, theme, "rows").collect()))
-    long = [sorted(map(str, D.diagnose_long(T, strategy=s).collect())) for s in ("rows", "pre_aggregate", "broadcast")]
-    assert long[0] == long[1] == long[2]
+        assert sorted(map(str, D.diagnose(T, theme, "filtered").collect())) == sorted(map(str, D.diagnose(T, theme, "rows").collect()))
+    long = [sorted(map(str, D.diagnose_long(T, strategy=s).collect())) for s in ("rows", "filtered", "pre_aggregate", "broadcast")]
+    assert all(x == long[0] for x in long)
+
+
+def test_the_plan_follows_the_counted_cohort(spark, monkeypatch):
+    T, _ = world(spark)
+    assert D._chosen(T["customer_support"], list(PLANS)) == "broadcast"
+    monkeypatch.setattr(D.cohort_fits_broadcast, "__defaults__", (0,))
+    assert D._chosen(T["customer_support"], list(PLANS)) == "filtered"
+    monkeypatch.setattr(D, "MAX_KEYS", 1)
+    assert D._chosen(T["customer_support"], list(PLANS)) == "pre_aggregate"
