@@ -8,8 +8,11 @@ deviations, in the metric's bad direction; a count's is the distance of its
 group's share in the cohort from the share outside it, in standard deviations of
 one draw. Both say how unusual the row is, so that all metrics of a theme compare.
 
-The sketch is exact up to ``ACCURACY`` values and off by at most n / ACCURACY
-ranks beyond (one rank in 100 000).
+The sketch is exact up to half of ``accuracy`` values and off by at most
+n / accuracy ranks beyond (one rank in 100 000). A task's sketch of one metric
+holds at most about accuracy / 2 entries of 24 bytes, and all of them are merged
+in one task, so with many thousands of tasks pass a smaller accuracy (10 000
+gives 0.1 MB a task and metric).
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ def _entries(rows: list[dict[str, str]]) -> str:
     return f"inline(array({', '.join(structs)}))"
 
 
-def baseline(tables: dict[str, DataFrame], themes=None) -> DataFrame:
+def baseline(tables: dict[str, DataFrame], themes=None, accuracy: int = ACCURACY) -> DataFrame:
     """(complaint_theme, metric, median, scale, outside, outside_total) of the
     users outside each theme's cohort, one row a metric.
 
@@ -65,7 +68,7 @@ def baseline(tables: dict[str, DataFrame], themes=None) -> DataFrame:
         if measures:
             quantiles = ", ".join(f"{q}D" for q in QUANTILES)
             sketches = rows.agg(*(F.expr(f"percentile_approx(CASE WHEN mask & {1 << i} = 0 THEN CAST({m.column} AS DOUBLE) END, "
-                                         f"array({quantiles}), {ACCURACY}) AS q{k}") for k, (i, _, m) in enumerate(measures)))
+                                         f"array({quantiles}), {accuracy}) AS q{k}") for k, (i, _, m) in enumerate(measures)))
             parts.append(sketches.selectExpr(_entries([
                 {"complaint_theme": f"'{p.theme}'", "metric": f"'{m.alias}'", "median": f"q{k}[2]",
                  "scale": f"nullif(greatest((q{k}[3] - q{k}[1]) / {INNER}D, (q{k}[4] - q{k}[0]) / {OUTER}D), 0D)",

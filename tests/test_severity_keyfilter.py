@@ -94,6 +94,8 @@ def test_sketch_error_is_within_its_bound(spark):
     got = df.agg(F.percentile_approx("x", list(SV.QUANTILES), SV.ACCURACY)).first()[0]
     for p, x in zip(SV.QUANTILES, got):
         assert abs(x - (math.ceil(p * n) - 1)) <= n / SV.ACCURACY
+    small = df.where("x < 49000").agg(F.percentile_approx("x", list(SV.QUANTILES), SV.ACCURACY)).first()[0]
+    assert small == [math.ceil(p * 49_000) - 1 for p in SV.QUANTILES]
 
 
 # -- key filter -------------------------------------------------------------
