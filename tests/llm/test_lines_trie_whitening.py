@@ -250,3 +250,25 @@ def test_zero_and_diagonal_matrices():
     assert np.allclose(values, 0) and np.abs(vectors.T @ vectors - np.eye(4)).max() < 1e-12
     values, vectors = leading_eigenvectors(np.diag([1.0, 3.0, 2.0]), 2)
     assert np.allclose(values, [3, 2]) and np.allclose(np.abs(vectors), [[0, 0], [1, 0], [0, 1]], atol=1e-12)
+
+
+@pytest.mark.parametrize("n", [11, 12])
+def test_queries_match_their_sql(spark, n):
+    import duckdb
+    from rootcause.llm.queries import REGISTRY
+    query, sql = next(v for k, v in REGISTRY.items() if k.startswith(f"op{n}_"))
+    con = duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF_SMALL}/{table}.parquet')")
+    found, wanted = query(spark, SF_SMALL), con.execute(sql)
+    order = [d[0] for d in wanted.description]
+    assert sorted(order) == sorted(found.columns)
+    same(found.select(order), wanted.fetchall())
+
+
+def test_whitening_query_casts_the_exact_deviation(spark):
+    from rootcause.llm.queries import op13_embedding_whitening
+    df = op13_embedding_whitening(spark, SF_SMALL)
+    assert dict(df.dtypes) == {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double",
+                               "explained": "double", "identity_error": "double"}
+    assert df.groupBy("vec_id").count().agg({"count": "max"}).first()[0] == 32
