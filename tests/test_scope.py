@@ -71,11 +71,11 @@ def test_sentences(spark, cases):
     assert not wrong, wrong
 
 
-def test_examples_of_the_taxonomy(spark):
-    cases = [("I initiated a withdrawal of 424 on the 26th, which has not yet been credited to my bank account. slow app.", L),
-             ("I am trying to sell my shares but I am not receiving the T-PIN on my mobile.", G),
-             ("they let me buy shares but when I wanted to sell it was deactivated for you do rekyc.", K),
-             ("Due to a technical glitch I have not got allotment in OFS and very bad customer support.", X)]
+def test_one_sentence_of_each_decision_rule(spark):
+    cases = [("Asked for a payout on Monday; the withdrawal has not yet been credited, and the app crawls.", L),
+             ("Wanted to sell before noon, the T-PIN was never delivered to my phone.", G),
+             ("First they took my buy order, now selling needs a rekyc.", K),
+             ("No allotment in the OFS because of some glitch, and nobody answers.", X)]
     df = spark.createDataFrame([(t,) for t, _ in cases], "content string")
     assert [r[0] for r in df.select(C.classify_by_scope("content")).collect()] == [w for _, w in cases]
 
