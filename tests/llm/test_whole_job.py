@@ -1,6 +1,8 @@
 """Rows and findings that a quick version of an operator would lose."""
 
 import random
+import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -106,3 +108,54 @@ def test_wrapped_license_notices(spark):
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in scan(frame(spark, rows)).collect()}
     assert got[1][0] == "gpl,gpl-3.0" and got[2] == ("mit", 1.0) and got[3] == ("bsd", 1.0) and got[6] == ("mit", 1.0)
     assert got[4] == got[5] == ("", 0.0)
+
+
+def plain_labels(text):
+    """Every block of every template, one by one."""
+    from rootcause.llm import licenses
+    best = {}
+    for sentence in re.split(licenses._ENDS, (text or "").lower()):
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", sentence)
+        for _, label, wanted, need, span, asked, barred in licenses._rules(licenses.TEMPLATES, licenses.THRESHOLD):
+            for i, w in enumerate(ws):
+                block = set(ws[i:i + span])
+                if w in wanted and set(asked) <= block and not block & set(barred) and len(block & set(wanted)) >= need:
+                    best[label] = max(best.get(label, 0), len(block & set(wanted)) / len(wanted))
+    return best
+
+
+#: Sentence, and the labels that it must get besides those of base phrases.
+LICENSE_SENTENCES = (
+    ("Licensed under CC BY 4.0", "cc-by-4.0"), ("Licensed under CC BY-NC 4.0", "cc-by-nc-4.0"),
+    ("Creative Commons Attribution 4.0 International License", "cc-by-4.0"),
+    ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa-4.0"),
+    ("Released under the Apache License", ""), ("Licensed under the Apache License, Version 2.0 (the License)", "apache-2.0"),
+    ("GNU General Public License, version 2", "gpl-2.0"), ("the GNU General Public License, version 3", "gpl-3.0"),
+    ("GNU Lesser General Public License, version 3", "lgpl-3.0"), ("GNU Affero General Public License version 3", "agpl-3.0"),
+    ("The film was released\nunder bad skies by the license board", ""),
+    ("All children slept. He reserved\na table and\nthe rights to\nall of it", ""), ("All rights reserved", "reserved"),
+    ("It was released with the MIT robot under a license", ""), ("Released under the MIT License", "mit"),
+)
+
+
+def test_words_that_tell_licenses_apart(spark):
+    from rootcause.llm.licenses import BASE_PHRASES, scan
+    base = set(BASE_PHRASES.values())
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
+           " documentation files (the Software), to deal in the Software without restriction").split()
+    bsd = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
+           " following conditions are met").split()
+    rows = [(i, text) for i, (text, _) in enumerate(LICENSE_SENTENCES)]
+    for k, notice in enumerate((mit, bsd)):
+        for width in (20, 80, 140):
+            rows.append((1000 * (k + 1) + width, "\n".join(textwrap.wrap(" ".join(notice), width))))
+    far = " ".join(f"w{i}" for i in range(1000))
+    rows += [(9000 + i, " ".join(far.split()[:100 + i]) + " " + " ".join(mit) + " " + far) for i in range(40)]
+    got = {r["doc_id"]: r for r in scan(frame(spark, rows)).collect()}
+    for i, (text, label) in enumerate(LICENSE_SENTENCES):
+        assert set(filter(None, got[i]["labels"].split(","))) - (base - {label}) == set(filter(None, [label])), text
+    for i, text in rows:
+        own, r = plain_labels(text), got[i]
+        assert r["labels"] == ",".join(sorted({*own, *filter(None, r["base_labels"].split(","))})), text
+        assert r["score"] == (1.0 if r["n_base"] else max(own.values(), default=0.0)), text
+        assert i < 1000 or r["labels"] == ("bsd" if 2000 <= i < 3000 else "mit"), i
