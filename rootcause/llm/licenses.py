@@ -37,12 +37,12 @@ TEMPLATES = (
     ("apache-2.0", "Apache License, Version 2.0", "apache 2", ""),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"
             " provided that the following conditions are met", "redistribution source binary", ""),
-    ("cc-by-4.0", "CC BY 4.0", "cc by 4", _NOT_CC),
+    ("cc-by-4.0", "Licensed under CC BY 4.0", "cc by 4", _NOT_CC),
     ("cc-by-4.0", "Creative Commons Attribution 4.0 International License", "attribution 4", _NOT_CC),
-    ("cc-by-nc-4.0", "CC BY-NC 4.0", "cc by nc 4", "sa nd"),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", "cc by nc 4", "sa nd"),
     ("cc-by-nc-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "attribution noncommercial 4",
      "sharealike share noderivatives noderivs"),
-    ("cc-by-sa-4.0", "CC BY-SA 4.0", "cc by sa 4", "nc"),
+    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", "cc by sa 4", "nc"),
     ("cc-by-sa-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "attribution sharealike 4",
      "noncommercial non"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
