@@ -2,8 +2,10 @@
 functions only.
 
 A candidate is a run of at least 12 letters, digits and ``_ + / -`` that holds
-a digit, any value that a credential word and ``:`` or ``=`` stand before, or a
-key in a provider's format. Its features are its length, shares of character classes and
+a digit, any value that a credential word and ``:``, ``=``, ``is`` or ``was``
+stand before (a quoted one with its blanks), the text of a tag named by a
+credential word, the password of a URL, a whole private key block, or a key in
+a provider's format. Its features are its length, shares of character classes and
 transitions between them, the share of its letters that dictionary words
 cover, signs of a path, and the words beside it. The dictionary are the words
 of the scanned corpus: a part of a candidate is a word when enough documents
@@ -28,16 +30,25 @@ from rootcause.llm.tables import stage_table, with_ids
 
 _CREDENTIAL = "password|passwd|pwd|secret|token|credential|api.?key|access.?key|private.?key|auth"
 CREDENTIAL = rf"(?i)({_CREDENTIAL})"
-#: The cheap look back at the sign goes before the long one at the word.
-_ASSIGNED = (r"(?<=[:=]|[:=]\s|[:=][\"']|[:=]\s[\"'])"
-             rf"(?<=(?i:{_CREDENTIAL})\w{{0,16}}[\"']?\s{{0,2}}[:=]\s{{0,1}}[\"']?)"
-             r"(?![:=])[^\s\"']*[^\s\"'.,;:)\]}]")
+_NAMED = rf"(?i:{_CREDENTIAL})\w{{0,16}}"
+_VALUE = r"[^\s\"']*[^\s\"'.,;:)\]}]"
+#: The cheap look back goes before the long one at the credential word.
+_ASSIGNED = (r"(?<=[:=\s\"'])(?![:=])(?<=[:=]\s{0,8}[\"']?)"
+             rf"(?<={_NAMED}[\"']?\s{{0,8}}[:=]\s{{0,8}}[\"']?)" + _VALUE)
+_QUOTED = "|".join(rf"(?<={q})(?<={_NAMED}[\"']?\s{{0,8}}[:=]\s{{0,8}}{q})[^{q}\s][^{q}\n]*(?={q})" for q in "\"'")
+_SAID = rf"(?<=(?:is|was)\s{{1,4}})(?<={_NAMED}\s{{1,4}}(?:is|was)\s{{1,4}}[\"']?)" + _VALUE
+_TAGGED = rf"(?<=>)(?<=<\w{{0,16}}{_NAMED}>)[^<\s][^<]*(?=</)"
+_IN_URL = r"(?<=[^\s/:@]:)(?=[^\s/@]+@)(?<=://[^\s/:@]{1,64}:)[^\s/@]+"
+_KEY_BLOCK = (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:\s{0,4}[A-Za-z\-]{1,20}:[^\n]*\n){0,4}[A-Za-z0-9+/=\s\\]*+"
+              r"-----END [A-Z ]{0,40}PRIVATE KEY-----")
 _PROVIDER = (r"(?<![A-Za-z0-9_+/\-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9_+/\-])|gh[pousr]_[A-Za-z0-9]{20,}|sk_live_[A-Za-z0-9]{10,}"
              r"|xox[abps]-[A-Za-z0-9\-]{10,})")
 _RUN = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9])[A-Za-z0-9_+/\-]{12,}={0,2}"
-CANDIDATE = f"{_ASSIGNED}|{_PROVIDER}|{_RUN}"
+CANDIDATE = "|".join((_KEY_BLOCK, _QUOTED, _ASSIGNED, _SAID, _TAGGED, _IN_URL, _PROVIDER, _RUN))
 #: Words beside identifiers that are no secrets.
 HARMLESS = r"(?i)(commit|sha.?1|sha.?256|md5|checksum|digest|revision|uuid|guid|order|invoice|card|phone|version|file|path|example)"
+#: Words of sentences, rare in pass phrases.
+COMMON = r"(?i)(?<![a-z])(?:the|a|an|is|are|be|to|of|in|on|for|and|or|not|must|your|you|this|that|with|at|by|it|as|from|was|will)(?![a-z])"
 PLACEHOLDER = "<SECRET>"
 #: Characters on either side that count as the neighbourhood.
 NEAR = 40
@@ -51,7 +62,8 @@ CUT = 0.5
 
 FEATURES = ("length", "digit_share", "upper_share", "lower_share", "transitions", "transition_share", "distinct_share",
             "hex_only", "digits_only", "uuid_like", "vowel_share", "coverage", "slashes", "after_path", "assigned",
-            "quoted", "symbols", "reference", "credential_near", "credential_next", "harmless_near", "provider")
+            "quoted", "symbols", "reference", "credential_near", "credential_next", "harmless_near", "provider", "blanks",
+            "common_words", "key_block", "in_url")
 
 
 def find(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -115,9 +127,13 @@ def with_features(findings: DataFrame, corpus: DataFrame) -> DataFrame:
             .withColumn("symbols", share("[A-Za-z0-9_+/-]"))
             .withColumn("reference", _flag(F.col("value").rlike(r"^[$<{%\[(]|[()\[\]{}<>]|^[a-z_]+(\.[a-z_]+)+$")))
             .withColumn("credential_near", _flag(F.col("before").rlike(CREDENTIAL) | F.col("after").rlike(CREDENTIAL)))
-            .withColumn("credential_next", _flag(F.col("before").rlike(CREDENTIAL + r"\w*[\"']?\s*(:|=|is)?\s*[\"']?$")))
+            .withColumn("credential_next", _flag(F.col("before").rlike(CREDENTIAL + r"\w*[\"']?\s*(:|=|is|was|>)?\s*[\"']?$")))
             .withColumn("harmless_near", _flag(F.col("before").rlike(HARMLESS + r"\W*\w{0,12}\W*$")))
             .withColumn("provider", _flag(F.col("value").rlike("^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_|^sk_live|^xox[abps]-")))
+            .withColumn("blanks", F.regexp_count("value", F.lit(r"\s")).cast("double"))
+            .withColumn("common_words", F.regexp_count("value", F.lit(COMMON)).cast("double"))
+            .withColumn("key_block", _flag(F.col("value").startswith("-----BEGIN ")))
+            .withColumn("in_url", _flag(F.col("before").rlike("://[^\\s/:@]+:$") & F.col("after").startswith("@")))
             .drop("covered", "finding"))
 
 
@@ -128,7 +144,7 @@ def labelled_bank(spark: SparkSession, rows: int = BANK_ROWS, start: int = 0) ->
     more = F.sha2(i.cast("string"), 256)
     mixed = F.regexp_replace(F.base64(F.unhex(more)), "[+/=]", "x")
     number = F.conv(F.substring(more, 1, 13), 16, 10)
-    pick = F.pmod(F.xxhash64(i, F.lit("kind")), F.lit(16))
+    pick = F.pmod(F.xxhash64(i, F.lit("kind")), F.lit(24))
     prose = F.element_at(F.array(*map(F.lit, ("this and ", "with the ", "of them. ", "y en la ", "und der "))),
                          (F.pmod(F.xxhash64(i), F.lit(5)) + 1).cast("int"))
     word = F.element_at(F.array(*map(F.lit, ("password=", "token = \"", "secret: ", "api_key=", "auth_token='", "passwd: "))),
@@ -152,6 +168,13 @@ def labelled_bank(spark: SparkSession, rows: int = BANK_ROWS, start: int = 0) ->
                       "your", "is", "expired", "invalid", "missing", "undefined", "not", "rotated", "weekly", "unknown", "empty")
     reference = one_of("r", "${TOKEN}", "$PASSWORD", "<password>", "{{secret}}", "os.environ", "getpass()", "self.token", "config.secret",
                        "get_token()", "<your-key-here>", "%(password)s", "settings.api_key", "[hidden]", "<SECRET>")
+    said = F.concat(prose, one_of("y", "the password is ", "My secret was ", "its token is ", "that passwd was ", "api key is "))
+    tag = one_of("g", "password", "secret", "token", "apiKey", "authToken")
+    url = F.concat(prose, one_of("l", "postgres://", "mysql://", "https://", "amqp://", "redis://"), plain("m"), F.lit(":"))
+    quoted = F.concat(prose, one_of("q", "password = \"", "\"secret\": \"", "passwd: \"", "api_key=\""))
+    phrase = F.concat_ws(" ", plain("b"), F.lower(title("b")), plain("c"), F.when(i % 3 > 0, F.lower(title("d"))))
+    sentence = F.concat_ws(" ", one_of("v", "must be", "is not", "will be", "for the", "to be", "ask the"), ordinary,
+                           one_of("x", "by the user", "in the vault", "for your account", "at this time", "of that host"))
     # Fixed kinds: (value, before, after, label), chosen by `pick`.
     kinds = [
         (F.left(hexes, size), F.concat(prose, word), F.lit(" "), 1),
@@ -173,6 +196,16 @@ def labelled_bank(spark: SparkSession, rows: int = BANK_ROWS, start: int = 0) ->
         (F.when(i % 2 == 0, hexes).otherwise(F.md5(i.cast("string"))),
          F.concat(prose, F.element_at(F.array(*map(F.lit, ("commit ", "md5 ", "checksum: ", "sha1 = "))),
                                       (i % 4 + 1).cast("int"))), F.lit(" "), 0),
+        (F.concat(plain("a"), (i % 1000).cast("string")), said, F.lit(" "), 1),
+        (F.left(mixed, (size / 2).cast("int")), said, F.lit(". "), 1),
+        (ordinary, said, F.lit(" "), 0),
+        (F.concat(plain("a"), (i % 1000).cast("string"), one_of("s", "@", "!", "", "")),
+         F.concat(prose, F.lit("<"), tag, F.lit(">")), F.concat(F.lit("</"), tag, F.lit("> ")), 1),
+        (F.concat(plain("a"), (i % 100).cast("string"), one_of("s", "p", "!", "", "z")), url, F.lit("@db.host "), 1),
+        (phrase, quoted, F.lit("\" "), 1),
+        (sentence, quoted, F.lit("\" "), 0),
+        (F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), mixed, F.lit("\n"), letters, F.lit("\n-----END RSA PRIVATE KEY-----")),
+         F.concat(prose, F.lit("\n")), F.lit("\n"), 1),
         (F.concat(F.lit("usr/local/share/part"), (i % 97).cast("string")), F.concat(prose, F.lit("/")), F.lit(".txt "), 0),
     ]
     struct = reduce(lambda acc, k: acc.when(pick == k[0], F.struct(
@@ -222,7 +255,11 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None, cut: float = CUT)
     columns = docs.columns
     corpus = docs.select("doc_id", "text")
     keep = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc")
-    rows = stage_table(find(docs.select("text", keep), ["doc"]), "secret-rows")
+    # One scan of the texts: rows without a candidate are kept as they are.
+    staged = stage_table(docs.select("text", keep).withColumn("hits", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
+                         .withColumn("gaps", F.when(F.size("hits") > 0, F.split("text", CANDIDATE)))
+                         .withColumn("row", F.monotonically_increasing_id()).select("row", "doc", "hits", "gaps"), "secret-rows")
+    rows = staged.where("gaps IS NOT NULL")
     found = classified(findings_of(rows), corpus, labelled, cut)
     secret = (found.where("is_secret").groupBy("row").agg(F.collect_set("place").alias("secrets")))
     pieces = F.transform("gaps", lambda gap, i: F.concat(
@@ -230,5 +267,5 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None, cut: float = CUT)
     cleaned = (rows.join(secret, "row", "left").withColumn("secrets", F.coalesce("secrets", F.array().cast("array<int>")))
                .withColumn("cleaned", F.array_join(pieces, ""))
                .select(*(F.col("cleaned").alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in columns)))
-    untouched = docs.where(F.coalesce(F.size(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))) == 0, F.lit(True)))
-    return untouched.select(columns).union(cleaned)
+    untouched = staged.where("gaps IS NULL").select(*(F.col("doc").getField(c).alias(c) for c in columns))
+    return untouched.union(cleaned)
