@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from rootcause.llm.tables import map_batches, stage_table, with_ids
+from rootcause.llm.tables import kept, map_batches, stage_table, with_ids
 
 WINDOW = 10
 SHARD_BYTES = 2 << 20
@@ -139,14 +139,8 @@ class ItemAutomaton:
         return spans, items, longest
 
 
-_BUILT: dict[str, ItemAutomaton] = {}
-
-
 def _automaton(shard) -> ItemAutomaton:
-    if shard.id not in _BUILT:
-        _BUILT.clear()
-        _BUILT[shard.id] = ItemAutomaton(*shard.value)
-    return _BUILT[shard.id]
+    return kept(shard.id, lambda: ItemAutomaton(*shard.value))
 
 
 class _Shard:
@@ -208,7 +202,7 @@ def match_items(docs: DataFrame, items: DataFrame, n: int = WINDOW, shard_bytes:
     """
     docs = docs.select("doc_id", "text")
     shards = _shards(items, n, shard_bytes)
-    parts = [docs.transform(map_batches, _match(s), _MATCHES) for s in shards]
+    parts = [docs.transform(map_batches, _match(s), _MATCHES, s.id) for s in shards]
     if len(parts) == 1:
         return parts[0]
     whole = parts[0]
@@ -298,7 +292,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = WINDOW, max_covera
     """
     shards = _shards(items, n, shard_bytes)
     if len(shards) == 1:
-        return docs.transform(map_batches, _clean(shards, docs.columns, max_coverage), docs.schema)
+        return docs.transform(map_batches, _clean(shards, docs.columns, max_coverage), docs.schema, shards[0].id)
     columns, schema = docs.columns, docs.schema
     row = "row_" + uuid.uuid4().hex
     left = stage_table(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
@@ -306,7 +300,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = WINDOW, max_covera
     while True:
         found = None
         for s in shards:
-            part = left.select(F.col(row).alias("doc_id"), "text").transform(map_batches, _match(s), _MATCHES).where(F.size("spans") > 0)
+            part = left.select(F.col(row).alias("doc_id"), "text").transform(map_batches, _match(s), _MATCHES, s.id).where(F.size("spans") > 0)
             found = part if found is None else found.union(part)
         found = stage_table(found.groupBy(F.col("doc_id").alias(row))
                             .agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))

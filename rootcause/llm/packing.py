@@ -20,14 +20,13 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rootcause.llm.tables import map_batches, stage_table
+from rootcause.llm.tables import kept, map_batches, stage_table
 
 CAPACITY = 2048
 CACHE_WORDS = 600_000
@@ -115,11 +114,6 @@ class WordIds:
         return np.array(self.tok.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
 
-@lru_cache(maxsize=2)
-def _word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -127,7 +121,7 @@ def _pieces(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _word_ids(path)
+        enc = kept(path, lambda: WordIds(path))
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -273,7 +267,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pieces = stage_table(docs.transform(map_batches, _pieces(tokenizer_path, capacity, end_id), _PIECES), "pieces")
+    pieces = stage_table(docs.transform(map_batches, _pieces(tokenizer_path, capacity, end_id), _PIECES, tokenizer_path), "pieces")
     by_length = pieces.groupBy("length").count().collect()  # at most `capacity` rows
     counts = np.zeros(capacity + 1, np.int64)
     for r in by_length:

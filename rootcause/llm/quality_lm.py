@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rootcause.llm.tables import map_batches, stage_table, with_ids
+from rootcause.llm.tables import kept, map_batches, stage_table, with_ids
 from rootcause.llm.textblocks import mix
 
 ORDER = 4
@@ -245,9 +245,6 @@ def _shard_of(char, shards: int):
     return F.pmod(F.shiftright(spread, 12), F.lit(shards))
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _word_grams(text: str) -> set[str]:
     found = _WORD.findall(text.lower())
     return {*found, *map(" ".join, zip(found, found[1:]))}
@@ -293,10 +290,7 @@ def _toxicity(texts: list[str], weights: dict[str, float]) -> list[float]:
 
 def _score(model, key: str, shard: int, shards: int, toxic):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(*model.value)
-        scorer = _SCORERS[key]
+        scorer = kept(key, lambda: Scorer(*model.value))
         for b in batches:
             texts = [t or "" for t in b["text"].to_pylist()]
             for i, j in _parts(texts):
@@ -343,8 +337,9 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_entries:
             mine = ~np.isnan(logb) & ((char_shard(last, shards) == s) if shards > 1 else True)
             weights[k] = keys[mine], logb[mine]
         sent = spark.sparkContext.broadcast((order, unseen, grams, weights))
-        parts.append(docs.transform(map_batches, _score(sent, uuid.uuid4().hex, s, shards, telling),
-                                     "doc_id long, lang string, digest string, n_chars long, log_sum double, toxicity double"))
+        key = f"scorer-{uuid.uuid4().hex}"
+        parts.append(docs.transform(map_batches, _score(sent, key, s, shards, telling),
+                                     "doc_id long, lang string, digest string, n_chars long, log_sum double, toxicity double", key))
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.union(p)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,12 +27,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema,
+                keeps: str | None = None) -> DataFrame:
     """``df.mapInArrow(fn, schema)`` in small batches, with what the worker no
-    longer needs given back at the end of a partition: workers live on."""
+    longer needs given back at the end of a partition: workers live on.
+
+    ``keeps`` names the object that ``fn`` holds by :func:`kept`; objects of
+    other names are dropped before ``fn`` starts.
+    """
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept(keeps)
         try:
             yield from fn(batches)
         finally:
@@ -39,6 +46,26 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, schema)
 
 
+_KEPT: dict[str, Any] = {}
+
+
+def kept(name: str, build: Callable[[], Any]) -> Any:
+    """``build()``, made once in a worker and held while its partitions are of
+    functions that keep ``name``: a model, an automaton or a tokenizer."""
+    if name not in _KEPT:
+        drop_kept(None)
+        _KEPT[name] = build()
+    return _KEPT[name]
+
+
+def drop_kept(but: str | None) -> None:
+    others = [name for name in _KEPT if name != but]
+    for name in others:
+        del _KEPT[name]
+    if others:
+        _give_back()
+
+
 def _give_back() -> None:
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it

@@ -22,13 +22,12 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rootcause.llm.tables import map_batches, stage_table
+from rootcause.llm.tables import kept, map_batches, stage_table
 
 CHUNK_BYTES = 1 << 16
 OVERLAP_BYTES = 1 << 11
@@ -97,9 +96,8 @@ class PieceCounter:
         return [tuple(x) for x in out]
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> PieceCounter:
-    return PieceCounter(path)
+    return kept(f"pieces of {path}", lambda: PieceCounter(path))
 
 
 def _whole(path: str):
@@ -183,7 +181,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, chunk_b
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = F.octet_length("text")
-    out = docs.where(size <= chunk_bytes).transform(map_batches, _whole(tokenizer_path), "doc_id long, n_bytes long, n_tokens long")
+    out = docs.where(size <= chunk_bytes).transform(map_batches, _whole(tokenizer_path), "doc_id long, n_bytes long, n_tokens long",
+                              f"pieces of {tokenizer_path}")
     # Chunks are told apart by their row: written once, its number stays.
     left = stage_table(docs.where(size > chunk_bytes).withColumn("row", F.monotonically_increasing_id()), "long-documents")
     ids = left.select("row", "doc_id")
@@ -196,7 +195,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, chunk_b
                         F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk"))
                 .select("row", "n_bytes", "chunk", (F.col("chunk").cast("long") * step).alias("base"),
                         F.substring("text", F.col("chunk") * step + 1, F.lit(chunk)).alias("piece")))
-        counted = (rows.repartition("row", "chunk").transform(map_batches, _encode_chunks(tokenizer_path, overlap), _CHUNK)
+        counted = (rows.repartition("row", "chunk").transform(map_batches, _encode_chunks(tokenizer_path, overlap), _CHUNK, f"pieces of {tokenizer_path}")
                    .groupBy("row").applyInPandas(_splice, "row long, n_bytes long, n_tokens long"))
         counted = stage_table(counted, "token-splices")
         out = out.union(counted.where("n_tokens IS NOT NULL").join(ids, "row").select("doc_id", "n_bytes", "n_tokens"))
