@@ -8,9 +8,8 @@ probability. The finished model is sent out in shards of bounded size by the
 character before the one that is predicted; every position of a document is
 scored by exactly one shard and the partial sums are added by document.
 
-A document goes when its perplexity is above the fence of its language: the
-median of held-out trusted documents, plus ``reach`` times the distance from
-there to their 95 % quantile, in logarithms. The held-out tenth is in no count.
+A document goes when its perplexity is above the fence of its language, the
+99 % quantile of held-out trusted documents. The held-out tenth is in no count.
 
 Documents labelled toxic are in no count and no fence. Toxic text is mostly
 ordinary text with a few telling words, which a perplexity over the whole
@@ -44,12 +43,14 @@ SHARD_ENTRIES = 2_000_000
 #: Characters of the language's median that every document is taken to have in
 #: addition, so that a few odd characters do not condemn a short text.
 PRIOR_CHARS = 60
-REACH = 3.0
+QUANTILE = 0.99
+#: Held-out documents of all languages that a language's quantiles are averaged with.
+PRIOR_DOCS = 20
 HELD_OUT = 10
 BLOCK_CHARS = 1 << 20
-#: Documents labelled toxic that must hold a word for it to count, and that
-#: there must be at all; how much more often they must hold it than trusted ones.
-TOXIC_DOCS, TOXIC_LEAST, TOXIC_RATIO = 5, 20, 20.0
+#: Documents labelled toxic that must hold a word for it to count, and how much
+#: more often they must hold it than trusted ones.
+TOXIC_DOCS, TOXIC_RATIO = 5, 20.0
 TOXIC_QUANTILE = 0.99
 _START = "\x02"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -270,8 +271,6 @@ def toxic_words(toxic: DataFrame, trusted: DataFrame) -> dict[str, float]:
     trusted ones.
     """
     n_toxic, n_trusted = toxic.count(), trusted.count()
-    if n_toxic < TOXIC_LEAST:
-        return {}
     schema, spark = "gram string, docs long", toxic.sparkSession
 
     def counts(docs: DataFrame, known=None) -> DataFrame:
@@ -351,18 +350,17 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_entries:
     return whole.select("doc_id", "lang", "n_chars", "log_sum", "toxicity")
 
 
-def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, reach: float = REACH,
+def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE,
              prior_chars: int = PRIOR_CHARS, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold, kept, toxicity and toxic of every row of ``docs``.
 
     ``labels`` has doc_id, quality and, where known, toxic; documents of
     quality 1 that are not toxic are trusted. ``kept`` judges the perplexity
-    alone, ``toxic`` the words; nothing is toxic where fewer than TOXIC_LEAST
-    documents outside the held-out tenth are labelled so. A null or empty text has no perplexity and is kept, as are all documents when
-    there is no trusted text. A null language is a language of its own; one
-    with fewer than 20 held-out trusted documents has the fence of all
-    languages. Rows that repeat a doc_id are scored each on its own; other
-    columns are ignored.
+    alone, ``toxic`` the words. A null or empty text has no perplexity and is
+    kept, as are all documents when there is no trusted text. A null language
+    is a language of its own; the fence of a language is drawn towards that of
+    all languages, the more the fewer held-out trusted documents it has. Rows
+    that repeat a doc_id are scored each on its own; other columns are ignored.
     """
     harm = F.col("toxic") == 1 if "toxic" in labels.columns else F.lit(False)
     told = labels.groupBy("doc_id").agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"),
@@ -373,38 +371,41 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, reach: floa
     model = stage_table(train(counted, order), "language-model")
     toxic = toxic_words(with_ids(docs, told.where("harm").where(~fold)).select("text"), counted)
     scored = stage_table(score(docs, model, order, shard_entries, toxic)
-                         .withColumn("loss", F.when(F.col("n_chars") > 0, -F.col("log_sum") / F.nullif("n_chars", F.lit(0)))), "scores")
-    held = scored.where("n_chars > 0").join(trusted.where(fold), "doc_id", "left_semi")
-    limit = held.agg(F.percentile_approx("toxicity", TOXIC_QUANTILE)).first()[0] or 0.0
-    held = (held.withColumn("lang", F.coalesce("lang", F.lit(""))).select("lang", "loss"))
-    own = fences(held, reach).where("n >= 20").select("lang", "median", "fence")
-    whole = fences(held.withColumn("lang", F.lit("")), reach).select(
-        F.col("median").alias("all_median"), F.col("fence").alias("all_fence"))
-    # One row of constants, or none where nothing is trusted.
-    constants = whole.first()
-    median = F.coalesce("median", F.lit(constants["all_median"] if constants else None).cast("double"))
-    fence = F.coalesce("fence", F.lit(constants["all_fence"] if constants else None).cast("double"))
-    shrunk = (F.col("loss") * F.col("n_chars") + prior_chars * median) / (F.col("n_chars") + prior_chars)
-    return (scored.withColumn("key", F.coalesce("lang", F.lit("")))
-            .join(F.broadcast(own.withColumnRenamed("lang", "key")), "key", "left")  # a row a language
-            .select("doc_id", "lang", "n_chars", F.exp("loss").alias("perplexity"), F.exp(fence).alias("threshold"),
-                    F.coalesce(shrunk <= fence, F.lit(True)).alias("kept"),
-                    "toxicity", (F.col("toxicity") > limit).alias("toxic")))
-
-
-def fences(held: DataFrame, reach: float) -> DataFrame:
-    """lang, n, median and fence of the losses of each language, from a
-    histogram of thousandths, so that no quantile needs a language's rows
-    together."""
-    bins = held.groupBy("lang", F.round(F.col("loss") * 1000).cast("long").alias("bin")).count()
-    upto = F.sum("count").over(Window.partitionBy("lang").orderBy("bin"))
-    n = F.sum("count").over(Window.partitionBy("lang"))
-    bins = bins.withColumn("upto", upto).withColumn("n", n)
-
-    def quantile(q: float):
-        return F.min(F.when(F.col("upto") >= q * F.col("n"), F.col("bin"))) / 1000
-    return (bins.groupBy("lang").agg(F.first("n").alias("n"), quantile(0.5).alias("median"), quantile(0.95).alias("high"))
-            .withColumn("fence", F.col("median") + reach * (F.col("high") - F.col("median"))))
+                         .withColumn("loss", F.when(F.col("n_chars") > 0, -F.col("log_sum") / F.nullif("n_chars", F.lit(0))))
+                         .withColumn("key", F.coalesce("lang", F.lit(""))), "scores")
+    held = scored.join(trusted.where(fold), "doc_id", "left_semi")
+    limit = held.where("n_chars > 0").agg(F.percentile_approx("toxicity", TOXIC_QUANTILE)).first()[0] or 0.0
+    held = stage_table(held.where("n_chars > 0").select("key", "n_chars", "loss"), "held-out")
+
+    def drawn(docs: DataFrame) -> DataFrame:
+        """With median and shrunk: the loss as if of prior_chars more characters of the median."""
+        return with_quantile(docs, held, "loss", 0.5, "median").withColumn(
+            "shrunk", (F.col("loss") * F.col("n_chars") + prior_chars * F.col("median")) / (F.col("n_chars") + prior_chars))
+    judged = with_quantile(drawn(scored), drawn(held), "shrunk", quantile, "fence")
+    return judged.select("doc_id", "lang", "n_chars", F.exp("loss").alias("perplexity"), F.exp("fence").alias("threshold"),
+                         F.coalesce(F.col("shrunk") <= F.col("fence"), F.lit(True)).alias("kept"),
+                         "toxicity", (F.col("toxicity") > limit).alias("toxic"))
+
+
+def with_quantile(docs: DataFrame, held: DataFrame, col: str, q: float, name: str) -> DataFrame:
+    """``docs`` with the q quantile of ``col`` over the held-out documents of
+    their language, averaged with PRIOR_DOCS documents at that of all languages."""
+    own = quantiles(held, col, q)
+    whole = quantiles(held.withColumn("key", F.lit("")), col, q).first()  # one row, or none where nothing is trusted
+    whole = F.lit(whole["value"] if whole else None).cast("double")
+    own = own.select("key", ((F.col("n") * F.col("value") + PRIOR_DOCS * whole) / (F.col("n") + PRIOR_DOCS)).alias(name))
+    return docs.join(F.broadcast(own), "key", "left").withColumn(name, F.coalesce(name, whole))  # a row a language
+
+
+def quantiles(held: DataFrame, col: str, q: float) -> DataFrame:
+    """key, n and value, the q quantile of ``col`` of each key, from a
+    histogram of thousandths, rounded up, so that no quantile needs a
+    language's rows together."""
+    bins = held.groupBy("key", F.ceil(F.col(col) * 1000).alias("bin")).count()
+    upto = F.sum("count").over(Window.partitionBy("key").orderBy("bin"))
+    n = F.sum("count").over(Window.partitionBy("key"))
+    return (bins.withColumn("upto", upto).withColumn("n", n).groupBy("key")
+            .agg(F.first("n").alias("n"), (F.min(F.when(F.col("upto") >= q * F.col("n"), F.col("bin"))) / 1000).alias("value")))
 
 
 def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
