@@ -14,6 +14,13 @@ classes are then still in several components make the pairs that could still
 join them: each class outside the gram's commonest component with those of
 other components. A link between two classes of one component changes nothing
 and is not looked for.
+
+Where a gram has many classes outside its commonest component (boilerplate that
+unlike documents share) these would be all pairs of a crowd. Its classes are
+paired by signatures instead: two sets that link differ in at most H grams, so
+that of H + 1 parts into which the grams are dealt by hash at least one holds
+the same grams in both. Sets of neighbouring size bands are compared in the
+parts of the larger one's band. No link is lost.
 """
 
 from __future__ import annotations
@@ -21,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +42,10 @@ ORDER_BITS = 20
 CHUNKS = 64
 #: Parts that a document's grams are dealt into by hash for the suffix filter.
 SUFFIX_PARTS = 64
+#: Classes of a gram outside its commonest component above which they are
+#: paired by signatures.
+CROWD = 128
+_SIGN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def document_sets(data: np.ndarray, offs: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -150,6 +162,54 @@ def _set_rows(n: int):
     return run
 
 
+@lru_cache(maxsize=64)
+def size_bands(largest: int, percent: int) -> np.ndarray:
+    """First sizes of the bands up to the one after that of ``largest``: sets
+    that link are of the same band or of neighbours."""
+    firsts = [1]
+    while firsts[-1] <= largest:
+        firsts.append(100 * firsts[-1] // percent + 1)
+    firsts.append(100 * firsts[-1] // percent + 1)
+    return np.array(firsts, np.int64)
+
+
+def signatures(s: np.ndarray, percent: int) -> np.ndarray:
+    """A key for each part of the set, in the parts of its own size band and of the next."""
+    bands = size_bands(1 << len(s).bit_length(), percent)
+    own = int(np.searchsorted(bands, len(s), "right")) - 1
+    spread, keys = T.mix(s ^ _SIGN), []
+    for band in (own, own + 1):
+        largest = int(100 * bands[band] // percent)  # the last size of the band
+        parts = 2 * largest * (100 - percent) // (100 + percent) + 1
+        sums = np.zeros(parts, np.uint64)
+        np.add.at(sums, (spread % np.uint64(parts)).astype(np.int64), spread)
+        place = np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(256) + np.uint64(band)
+        keys.append(T.mix(sums + T.mix(place)))
+    return np.concatenate(keys)
+
+
+def _signed(n: int, percent: int):
+    """(gram, id, size) with the signatures of every set in place of its grams."""
+    def batch(rows):
+        ids, sizes, keys = zip(*rows)
+        times = [len(k) for k in keys]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), times)),
+             pa.array(np.repeat(np.array(sizes, np.int32), times))], ["gram", "id", "size"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for doc_id, s in _sets(batches, n):
+            if len(s):
+                rows.append((doc_id, len(s), signatures(s, percent)))
+            if len(rows) == 128:
+                yield batch(rows)
+                rows = []
+        if rows:
+            yield batch(rows)
+    return run
+
+
 def _verify(percent: int):
     """Pairs that reach the threshold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +248,31 @@ def _can_reach(percent: int, size_a: str, size_b: str, place_a: str, place_b: st
     return length & (F.least(a - F.col(place_a), b - F.col(place_b)) >= need)
 
 
+def _open(rows: DataFrame, component: DataFrame, parts: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of grams whose classes are in several components, with component
+    and parts; by gram its commonest component and how many classes are not of it)."""
+    labelled = rows.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn(
+        "component", F.coalesce("component", "id"))
+    several = (labelled.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+               .where("lo < hi").select("gram"))
+    labelled = stage_table(labelled.join(several, "gram").join(parts, ["id", "size"]), name)
+    common = (labelled.groupBy("gram", "component").count().groupBy("gram")
+              .agg(F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("n"))
+              .select("gram", F.col("m.component").alias("common"), (F.col("n") - F.col("m.count")).alias("others")))
+    return labelled, common
+
+
+def _across(labelled: DataFrame, common: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a gram's classes outside its commonest component with those of
+    other components that may link."""
+    minor = (labelled.join(common, "gram").where("component != common")
+             .select("gram", *(F.col(c).alias(f"{c}2") for c in ("id", "size", "place", "component", "parts"))))
+    return (labelled.join(minor, "gram").where("component != component2")
+            .where(_can_reach(percent, "size", "size2", "place", "place2"))
+            .where(_parts_allow(percent, "size", "size2", "parts", "parts2"))
+            .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")))
+
+
 def _links(pairs: DataFrame, docs: DataFrame, n: int, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) that verify."""
     sets = stage_table(with_ids(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
@@ -197,7 +282,7 @@ def _links(pairs: DataFrame, docs: DataFrame, n: int, percent: int, name: str) -
     return stage_table(full.transform(map_batches, _verify(percent), "a long, b long"), f"{name}-links")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``.
 
     Two documents link when 100 * shared grams >= percent * grams of either.
@@ -205,7 +290,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     null or empty text, or one of white space, has no grams and no link. Rows
     that repeat a doc_id count as one document and share a component; a row
     without doc_id has a null component, and links with nothing, unless a
-    document with an id has the same grams. Other columns are ignored.
+    document with an id has the same grams. Other columns are ignored. ``crowd``
+    changes the work, not the result.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -260,20 +346,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     component = stage_table(connected_components(links), "labels")
 
     # Round 2: what could still join two components.
-    labelled = grams.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn(
-        "component", F.coalesce("component", "id"))
-    open_grams = (labelled.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                  .where("lo < hi").select("gram"))
-    labelled = stage_table(labelled.join(open_grams, "gram").join(parts.select("id", "parts"), "id"), "open")
-    common = (labelled.groupBy("gram", "component").count().groupBy("gram")
-              .agg(F.max(F.struct("count", "component")).alias("m")).select("gram", F.col("m.component").alias("common")))
-    minor = (labelled.join(common, "gram").where("component != common")
-             .select("gram", *(F.col(c).alias(f"{c}2") for c in ("id", "size", "place", "component", "parts"))))
-    second = (labelled.join(minor, "gram").where("component != component2")
-              .where(_can_reach(percent, "size", "size2", "place", "place2"))
-              .where(_parts_allow(percent, "size", "size2", "parts", "parts2"))
-              .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-              .join(first, ["a", "b"], "left_anti"))
+    labelled, common = _open(grams, component, parts, "open")
+    common = stage_table(common, "common")
+    second = _across(labelled, common.where(F.col("others") <= crowd), percent)
+    crowded = common.where(F.col("others") > crowd).select("gram")
+    if not crowded.isEmpty():
+        ids = stage_table(labelled.join(crowded, "gram").select(F.col("id").alias("doc_id")).distinct(), "crowded")
+        signed = with_ids(firsts, ids).transform(map_batches, _signed(n, percent), "gram long, id long, size int")
+        # A signature says nothing of the grams before it.
+        labelled, common = _open(signed.withColumn("place", F.lit(0)), component, parts, "signed")
+        second = second.union(_across(labelled, common, percent))
+    second = second.distinct().join(first, ["a", "b"], "left_anti")
     second = stage_table(second, "more-pairs")
     if not second.isEmpty():
         more = _links(second, docs, n, percent, "second")

@@ -171,6 +171,42 @@ def test_jaccard_joins_chains_and_near_copies(spark):
     same(near_duplicates(frame(spark, docs), 3, 90), brute.jaccard_components(docs, 3, 90))
 
 
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
+def test_signatures_of_sets_that_link_meet(n, percent):
+    from rootcause.llm.jaccard_join import signatures
+    rng = np.random.default_rng(percent)
+    met = 0
+    for _ in range(400):
+        both = rng.integers(1, 1 << 62, rng.integers(1, 300)).astype(np.uint64)
+        apart = int(len(both) * 100 / percent) - len(both)  # the most that may differ
+        other = rng.integers(1, 1 << 62, apart).astype(np.uint64)
+        cut = rng.integers(0, apart + 1)
+        a, b = (np.unique(np.concatenate([both, part])) for part in (other[:cut], other[cut:]))
+        assert 100 * len(both) >= percent * (len(both) + apart)
+        assert len(np.intersect1d(signatures(a, percent), signatures(b, percent)))
+        c = np.unique(rng.integers(1, 1 << 62, len(a)).astype(np.uint64))
+        met += len(a) > 100 and len(np.intersect1d(signatures(a, percent), signatures(c, percent))) > 0
+    assert met < 40
+
+
+@pytest.mark.parametrize("crowd", [0, 128])
+def test_jaccard_of_boilerplate(spark, crowd):
+    """Unlike documents of common sentences, near copies among them."""
+    from rootcause.llm.jaccard_join import near_duplicates
+    rng = random.Random(12)
+    sentences = [" ".join(f"w{rng.randrange(3000)}" for _ in range(14)) for _ in range(30)]
+    docs = []
+    for i in range(360):
+        words = " ".join(rng.sample(sentences, 10)).split()
+        docs.append((2 * i, " ".join(words)))
+        if i % 9 == 0:
+            for _ in range(rng.randrange(1, 5)):
+                words[rng.randrange(len(words))] = f"edit{i}"
+            docs.append((2 * i + 1, " ".join(words)))
+    for n, percent in ((3, 90), (5, 80)):
+        same(near_duplicates(frame(spark, docs), n, percent, crowd), brute.jaccard_components(docs, n, percent))
+
+
 def test_jaccard_of_ids_that_repeat(spark):
     """A doc_id with several texts is one document, whichever of them is a copy."""
     from rootcause.llm.jaccard_join import near_duplicates
