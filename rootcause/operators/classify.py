@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from rootcause.functions.text import JSON_SPAN_PATTERN, wrap_review
 from rootcause.plans.scoped import FINANCE_WORDS, label_sql, parted, tags_sql
 from rootcause.schemas import CATEGORY_COL
+from rootcause.session import BATCH_ROWS, give_back, small_batches
 from rootcause.themes import DEFAULT_THEME, THEMES
 
 _SPAN = re.compile(r"\{.*\}", re.DOTALL)
@@ -93,14 +94,19 @@ def _replies(prompts: pd.Series, infer, on_error) -> pd.Series:
         return pd.Series(out, index=prompts.index)
 
 
-def _infer_frames(batches, col, out, infer, wrap, on_error=None):
-    for b in batches:
-        prompts = b[col]
-        if wrap:
-            prompts = prompts.map(lambda t: None if t is None else f"<review>{t}</review>")
-        replies = _replies(prompts, infer, on_error)
-        b[out] = replies.map(_strip_reply)
-        yield b
+def _infer_frames(batches, col, out, infer, wrap, on_error=None, text=True):
+    """The batches with their replies; without the texts if ``text`` is false."""
+    try:
+        for b in batches:
+            for at in range(0, len(b), BATCH_ROWS):
+                part = b.iloc[at:at + BATCH_ROWS]
+                prompts = part[col]
+                if wrap:
+                    prompts = prompts.map(lambda t: None if t is None else f"<review>{t}</review>")
+                replies = _replies(prompts, infer, on_error)
+                yield (part if text else part.drop(columns=col)).assign(**{out: replies.map(_strip_reply)})
+    finally:
+        give_back()
 
 
 def batch_infer(df: DataFrame, col: str, infer: Callable[[pd.Series], pd.Series],
@@ -115,17 +121,19 @@ def batch_infer(df: DataFrame, col: str, infer: Callable[[pd.Series], pd.Series]
     of a text inside each map task first), and the join back moves only
     (digest, reply) pairs, never a second copy of the text. AQE splits a
     skewed digest on the review side. ``wrap`` sends '<review>' + text + '</review>'.
+    A call has BATCH_ROWS prompts at most, and a worker holds the texts of one call.
     With ``on_error`` a failing call costs only its own prompt: the reply is
     what ``on_error`` makes of the exception. Without it the exception ends the
     job.
     """
+    small_batches(df.sparkSession)
     if dedupe:
         key = "_text_sha256"
         keyed = df.withColumn(key, F.sha2(F.col(col), 256))
         texts = (keyed.where(F.col(col).isNotNull()).groupBy(key)
                  .agg(F.any_value(F.col(col)).alias(col)))
-        replies = texts.mapInPandas(lambda it: _infer_frames(it, col, out, infer, wrap, on_error),
-                                    f"`{key}` string, `{col}` string, `{out}` string").drop(col)
+        replies = texts.mapInPandas(lambda it: _infer_frames(it, col, out, infer, wrap, on_error, text=False),
+                                    f"`{key}` string, `{out}` string")
         return keyed.join(replies, key, "left").drop(key)
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType())])
     return df.mapInPandas(lambda it: _infer_frames(it, col, out, infer, wrap, on_error), schema)

@@ -140,3 +140,23 @@ def test_a_failing_call_costs_only_its_review(spark):
         prompt = None if t is None else f"<review>{t}</review>"
         want = None if t is None else "GENERAL_INQUIRY" if len(prompt) % 10 == 3 else C._label_of(label_reply(prompt))
         assert got[i] == want, (i, t)
+
+
+@pytest.mark.parametrize("dedupe", [True, False])
+def test_a_call_has_few_prompts(spark, dedupe):
+    """Whole texts go to a worker, and to the model, in batches of bounded size."""
+    def model(prompts):
+        if len(prompts) > 1024:
+            raise MemoryError(f"{len(prompts)} prompts in one call")
+        return prompts.map(len)
+
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "10000")
+    try:
+        df = spark.range(5000).selectExpr("id", "concat('text ', id % 4500) AS content").coalesce(1)
+        got = {r["id"]: r["reply"] for r in C.batch_infer(df, "content", model, wrap=True, dedupe=dedupe).collect()}
+        assert int(spark.conf.get(conf)) <= 1024
+    finally:
+        spark.conf.set(conf, before)
+    assert got == {i: str(len(f"<review>text {i % 4500}</review>")) for i in range(5000)}
