@@ -20,7 +20,10 @@ unlike documents share) these would be all pairs of a crowd. Its classes are
 paired by signatures instead: two sets that link differ in at most H grams, so
 that of H + 1 parts into which the grams are dealt by hash at least one holds
 the same grams in both. Sets of neighbouring size bands are compared in the
-parts of the larger one's band. No link is lost.
+parts of the larger one's band. The positional filter holds for them too: what
+precedes a class's first crowded gram is common to none of these pairs. Before
+any classes are paired, those whose place leaves no room for a link with even
+the smallest class of their gram go. No link is lost.
 """
 
 from __future__ import annotations
@@ -248,14 +251,27 @@ def _can_reach(percent: int, size_a: str, size_b: str, place_a: str, place_b: st
     return length & (F.least(a - F.col(place_a), b - F.col(place_b)) >= need)
 
 
-def _open(rows: DataFrame, component: DataFrame, parts: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+def _reaches_any(percent: int):
+    """Whether a class can link with any class of its gram, whose sizes are
+    ``small`` to ``large``: what :func:`_can_reach` asks of the smallest
+    partner that a class of this size and place may have."""
+    size, least = F.col("size"), F.greatest(F.lit(100) * F.col("small"), F.lit(percent) * F.col("size"))
+    room = F.lit(100 * (100 + percent)) * (size - F.col("place"))
+    return (F.lit(percent) * (F.lit(100) * size + least) <= room) & (F.lit(percent) * size <= F.lit(100) * F.col("large"))
+
+
+def _open(rows: DataFrame, component: DataFrame, parts: DataFrame, percent: int, name: str) -> tuple[DataFrame, DataFrame]:
     """(rows of grams whose classes are in several components, with component
-    and parts; by gram its commonest component and how many classes are not of it)."""
+    and parts, without classes that can link with none of their gram; by gram
+    its commonest component and how many classes are not of it)."""
+    rows = rows.withColumn("size", F.col("size").cast("long"))
     labelled = rows.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
-    several = (labelled.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-               .where("lo < hi").select("gram"))
-    labelled = stage_table(labelled.join(several, "gram").join(parts, ["id", "size"]), name)
+    several = (labelled.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                            F.min("size").alias("small"), F.max("size").alias("large"))
+               .where("lo < hi").select("gram", "small", "large"))
+    labelled = labelled.join(several, "gram").where(_reaches_any(percent)).drop("small", "large")
+    labelled = stage_table(labelled.join(parts, ["id", "size"]), name)
     common = (labelled.groupBy("gram", "component").count().groupBy("gram")
               .agg(F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("n"))
               .select("gram", F.col("m.component").alias("common"), (F.col("n") - F.col("m.count")).alias("others")))
@@ -346,18 +362,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, crowd: int =
     component = stage_table(connected_components(links), "labels")
 
     # Round 2: what could still join two components.
-    labelled, common = _open(grams, component, parts, "open")
+    labelled, common = _open(grams, component, parts, percent, "open")
     common = stage_table(common, "common")
     second = _across(labelled, common.where(F.col("others") <= crowd), percent)
     crowded = common.where(F.col("others") > crowd).select("gram")
     if not crowded.isEmpty():
-        ids = stage_table(labelled.join(crowded, "gram").select(F.col("id").alias("doc_id")).distinct(), "crowded")
-        signed = with_ids(firsts, ids).transform(map_batches, _signed(n, percent), "gram long, id long, size int")
-        # A signature says nothing of the grams before it.
-        labelled, common = _open(signed.withColumn("place", F.lit(0)), component, parts, "signed")
+        # Signatures look for the pairs whose first gram in common is a crowd's:
+        # the grams before the class's first such gram are in neither overlap.
+        leads = stage_table(labelled.join(crowded, "gram").groupBy(F.col("id").alias("doc_id")).agg(F.min("place").alias("place")),
+                            "crowded")
+        signed = with_ids(firsts, leads).transform(map_batches, _signed(n, percent), "gram long, id long, size int")
+        signed = signed.join(leads.withColumnRenamed("doc_id", "id"), "id")
+        labelled, common = _open(signed, component, parts, percent, "signed")
         second = second.union(_across(labelled, common, percent))
-    second = second.distinct().join(first, ["a", "b"], "left_anti")
-    second = stage_table(second, "more-pairs")
+    second = stage_table(second.distinct(), "met")
+    second = stage_table(second.join(first, ["a", "b"], "left_anti"), "more-pairs")
     if not second.isEmpty():
         more = _links(second, docs, n, percent, "second")
         if not more.isEmpty():

@@ -207,6 +207,30 @@ def test_jaccard_of_boilerplate(spark, crowd):
         same(near_duplicates(frame(spark, docs), n, percent, crowd), brute.jaccard_components(docs, n, percent))
 
 
+def test_jaccard_pairs_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """Copies too far apart to link are not paired with the whole group, crowded or not."""
+    from rootcause.llm import jaccard_join
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(149)]
+    docs = [(1000, " ".join(base))]
+    for i in range(300):
+        w = list(base)
+        for k in range(rng.randrange(1, 7)):
+            w[rng.randrange(len(w))] = f"edit{i}x{k}"
+        docs.append((i, " ".join(w)))
+    met, across = [], jaccard_join._across
+
+    def counted(*args):
+        pairs = across(*args)
+        met.append(pairs.count())
+        return pairs
+    monkeypatch.setattr(jaccard_join, "_across", counted)
+    for crowd in (16, 128):
+        met.clear()
+        same(jaccard_join.near_duplicates(frame(spark, docs), 5, 80, crowd), brute.jaccard_components(docs, 5, 80))
+        assert sum(met) < 10 * len(docs), (crowd, met)
+
+
 def test_jaccard_of_ids_that_repeat(spark):
     """A doc_id with several texts is one document, whichever of them is a copy."""
     from rootcause.llm.jaccard_join import near_duplicates
