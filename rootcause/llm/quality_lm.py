@@ -16,7 +16,8 @@ ordinary text with a few telling words, which a perplexity over the whole
 document averages away; it is told by words and pairs of words that documents
 labelled toxic hold far more often than trusted ones. A document's toxicity is
 the sum of their log odds, and it is toxic above the 99 % quantile of held-out
-trusted documents.
+trusted documents. Few of those say little about that quantile: the limit is
+then at least part of the two most telling words, the more the fewer they are.
 """
 
 from __future__ import annotations
@@ -374,7 +375,8 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
                          .withColumn("loss", F.when(F.col("n_chars") > 0, -F.col("log_sum") / F.nullif("n_chars", F.lit(0))))
                          .withColumn("key", F.coalesce("lang", F.lit(""))), "scores")
     held = scored.join(trusted.where(fold), "doc_id", "left_semi")
-    limit = held.where("n_chars > 0").agg(F.percentile_approx("toxicity", TOXIC_QUANTILE)).first()[0] or 0.0
+    limit = held.where("n_chars > 0").agg(F.percentile_approx("toxicity", TOXIC_QUANTILE).alias("value"), F.count("*").alias("n")).first()
+    limit = max(limit["value"] or 0.0, 2 * max(toxic.values(), default=0.0) * PRIOR_DOCS / (limit["n"] + PRIOR_DOCS))
     held = stage_table(held.where("n_chars > 0").select("key", "n_chars", "loss"), "held-out")
 
     def drawn(docs: DataFrame) -> DataFrame:
